@@ -92,7 +92,8 @@ def paste(src: Column, tgt: Column) -> Column:
 TOKENIZE = [
     (r"[\x00-\x1f]", " "),
     (r"([^\p{L}\p{Nd}\s.'`,\-])", " $1 "),
-    (r"([\p{L}\p{Nd}])-(?=[\p{L}\p{Nd}])", "$1 @-@ "),
+    (r"([\p{L}\p{Nd}])-([\p{L}\p{Nd}])", "$1 @-@ $2"),
+    (r"([\p{L}\p{Nd}])-([\p{L}\p{Nd}])", "$1 @-@ $2"),
     (r"([^\p{Nd}]),", "$1 , "),
     (r",([^\p{Nd}])", " , $1"),
     (r",$", " ,"),

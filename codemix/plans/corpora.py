@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from codemix.functions.arrays import let
 from codemix.functions.draw import digest, draw, hex_word
 from codemix.functions.text import LINE_END, words
+from codemix.session import dense_order
 
 TARGETS = ("xx", "yy", "zz")
 BAD_ONE_IN = 30
@@ -97,3 +98,77 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def references(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A clean target side: the words in reverse order."""
     return sentences(spark, sf_dir).select("sent_id", F.array_join(F.reverse("words"), " ").alias("ref"))
+
+
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences with a dense 0-based ``line_no`` inside their language corpus."""
+    ordered = dense_order(sentences(spark, sf_dir), F.col("lang"), F.col("sent_id"))
+    starts = ordered.groupBy("lang").agg(F.min("rank").alias("start"), F.count(F.lit(1)).alias("n_lines"))
+    return (ordered.join(F.broadcast(starts), "lang")  # one row per language
+            .withColumn("line_no", F.col("rank") - F.col("start")).drop("rank", "start"))
+
+
+def lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dictionary of every word seen twice; Spanish has none for ``zz``."""
+    counted = (sentences(spark, sf_dir).select("lang", F.explode("words").alias("word"))
+               .groupBy("lang", "word").agg(F.count(F.lit(1)).alias("c")).filter("c >= 2"))
+    target = F.explode(F.array(*[F.lit(t) for t in TARGETS]))
+    rolled = counted.select(F.col("lang").alias("src_lang"), "word", target.alias("tgt_lang")).filter(
+        "NOT (src_lang = 'es' AND tgt_lang = 'zz')").withColumn(
+        "d", draw(0, F.concat_ws(":", "src_lang", "word"), F.col("tgt_lang"), "lex"))
+    forms = F.concat(F.sequence(F.lit(1), (F.col("d") % 3 + 1).cast("int")),
+                     F.when(F.col("d") % 5 == 0, F.array(F.lit(1))).otherwise(F.array().cast("array<int>")))
+    return (rolled.select("src_lang", "tgt_lang", "word", F.explode(forms).alias("r"))
+            .select("src_lang", "tgt_lang", "word",
+                    F.concat("word", F.lit("_"), "tgt_lang", F.col("r").cast("string")).alias("translation")))
+
+
+def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Generation log: S, T, H and P lines per sentence and some noise."""
+    s = sentences(spark, sf_dir)
+    sid = F.col("sent_id").cast("string")
+    score = F.concat(F.lit("-0."), F.lpad((draw(0, F.col("sent_id"), 0, "score") % 10000).cast("string"), 4, "0"))
+    tab = F.lit("\t")
+    kinds = F.array(
+        F.concat(F.lit("S-"), sid, tab, F.col("text")),
+        F.concat(F.lit("T-"), sid, tab, F.col("text")),
+        F.concat(F.lit("H-"), sid, tab, score, tab, F.lit("LANG_TOK_XX "), F.col("text")),
+        F.concat(F.lit("P-"), sid, tab, score),
+        F.concat(F.lit("| note "), sid))
+    return s.select("sent_id", F.explode(kinds).alias("value"))
+
+
+def ref_hyp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reference text and a hypothesis that lost about every eighth word."""
+    kept = let(F.col("sent_id"), lambda sid: F.filter(
+        "words", lambda w, i: draw(0, sid, i, "H") % 8 != 0))
+    return sentences(spark, sf_dir).select(
+        "sent_id", F.col("lang").alias("grp"), F.col("text").alias("ref"), F.array_join(kept, " ").alias("hyp"))
+
+
+def pair_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lengths with end mark of every sentence and its ``xx`` candidate."""
+    src = sentences(spark, sf_dir).select("sent_id", (F.col("n") + 1).alias("src_len"))
+    tgt = candidates(spark, sf_dir).filter("lang = 'xx'").select(
+        "sent_id", (F.size(words(F.col("text"))) + 1).alias("tgt_len"))
+    return src.join(tgt, "sent_id").withColumnRenamed("sent_id", "ex_id")
+
+
+def vector_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``batch_id, pos, a, c`` from neighbouring vectors; batches of 16."""
+    emb = table(spark, sf_dir, "embeddings").select(
+        F.floor(F.col("vec_id") / 2).alias("k"), (F.col("vec_id") % 2).alias("side"), "embedding")
+    a = emb.filter("side = 0").select("k", F.col("embedding").alias("a"))
+    c = emb.filter("side = 1").select("k", F.col("embedding").alias("c"))
+    return a.join(c, "k").select(F.floor(F.col("k") / 16).alias("batch_id"), (F.col("k") % 16).alias("pos"), "a", "c")
+
+
+def mono_and_parallel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Examples with ``kind`` (parallel: en and fr), ``split`` and ``part``."""
+    s = sentences(spark, sf_dir)
+    d = draw(0, F.col("sent_id"), 0, "split")
+    return s.select(
+        F.col("sent_id").alias("ex_id"), "lang", "n",
+        F.when(F.col("lang").isin("en", "fr"), "parallel").otherwise("mono").alias("kind"),
+        F.when(d % 20 == 0, "valid").otherwise("train").alias("split"),
+        (F.floor(d / 32) % 3).cast("int").alias("part"))
