@@ -134,3 +134,50 @@ switched AS MATERIALIZED (
       ELSE concat_ws(' ', body, nullif(array_to_string(s.words[last + 2 :], ' '), '')) END AS switched
   FROM sent s LEFT JOIN joined j ON s.sent_id = j.sent_id
   WHERE s.sent_id IN (SELECT sent_id FROM valid))"""
+
+LEX = f""",
+lexw AS (SELECT lang, w, count(*) AS c FROM tok GROUP BY ALL HAVING count(*) >= 2),
+rolled AS (
+  SELECT lang AS src_lang, w AS word, tgt AS tgt_lang, {draw(0, "concat_ws(':', lang, w)", 'tgt', "'lex'")} AS d
+  FROM lexw, (VALUES ('xx'), ('yy'), ('zz')) t(tgt) WHERE NOT (lang = 'es' AND tgt = 'zz')),
+lex AS MATERIALIZED (
+  SELECT src_lang, tgt_lang, word, concat(word, '_', tgt_lang, r) AS translation
+  FROM rolled, (VALUES (1), (2), (3)) v(r) WHERE r <= 1 + d % 3
+  UNION ALL SELECT src_lang, tgt_lang, word, concat(word, '_', tgt_lang, 1) FROM rolled WHERE d % 5 = 0),
+dict_langs AS (SELECT src_lang, list(DISTINCT tgt_lang ORDER BY tgt_lang) AS tl FROM lex GROUP BY src_lang),
+entries AS MATERIALIZED (
+  SELECT src_lang, tgt_lang, word, list(translation ORDER BY translation) AS trs FROM lex GROUP BY ALL)"""
+
+
+def substituted(turn: str, ratio: float) -> str:
+    return SENT + LEX + f""",
+drawn AS (
+  SELECT t.*, tl[1 + {draw(0, 'sent_id', turn, "'lang'")} % len(tl)] AS tgt_lang
+  FROM tok t JOIN dict_langs g ON t.lang = g.src_lang),
+subs AS MATERIALIZED (
+  SELECT d.sent_id, d.lang, d.i, d.w, d.tgt_lang,
+    CASE WHEN {uniform(0, 'sent_id', 'i', "'accept'")} <= {ratio}
+      THEN trs[1 + {draw(0, 'sent_id', 'i', "'entry'")} % len(trs)] END AS entry
+  FROM drawn d LEFT JOIN entries e ON d.lang = e.src_lang AND d.tgt_lang = e.tgt_lang AND d.w = e.word)"""
+
+
+LINES = SENT + """,
+lines AS MATERIALIZED (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY sent_id) - 1 AS line_no,
+    count(*) OVER (PARTITION BY lang) AS n_lines FROM sent)"""
+
+PAIR_LENGTHS = CAND + f""",
+lens AS MATERIALIZED (
+  SELECT sent_id AS ex_id, n + 1 AS src_len, len({words('text')}) + 1 AS tgt_len FROM cand WHERE lang = 'xx')"""
+
+REFHYP = SENT + f""",
+refhyp AS MATERIALIZED (
+  SELECT s.sent_id, s.lang AS grp, s.text AS ref, coalesce(h.hyp, '') AS hyp FROM sent s LEFT JOIN (
+    SELECT sent_id, string_agg(w, ' ' ORDER BY i) AS hyp FROM tok
+    WHERE {draw(0, 'sent_id', 'i', "'H'")} % 8 <> 0 GROUP BY sent_id) h ON s.sent_id = h.sent_id)"""
+
+VECPAIR = """
+emb AS (SELECT vec_id // 2 AS k, vec_id % 2 AS side, embedding::DOUBLE[] AS v FROM embeddings),
+vp AS MATERIALIZED (
+  SELECT a.k // 16 AS batch_id, a.k % 16 AS pos, a.v AS a, c.v AS c FROM emb a JOIN emb c
+    ON a.k = c.k AND a.side = 0 AND c.side = 1)"""
