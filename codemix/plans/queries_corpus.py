@@ -95,7 +95,7 @@ def encoded_store(spark, d):
 
 
 @query("load_split", f"""WITH {EXAMPLES}
-SELECT ex_id, part, (n + 1)::INT AS src_len, 2 AS tgt_len, n + 4 AS last FROM ex WHERE split = 'train'""")
+SELECT ex_id, part, (n + 1)::INT AS src_len, 2 AS tgt_len, (n + 4)::INT AS last FROM ex WHERE split = 'train'""")
 def load_split(spark, d):
     got = store.load_split(spark, _store(spark, d), "train", "xx", "yy")
     return got.select("ex_id", "part", "src_len", "tgt_len", F.element_at("src", -1).alias("last"))

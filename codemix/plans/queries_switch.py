@@ -138,27 +138,34 @@ def code_switch_bilingual(spark, d):
         C.references(spark, d), SINGLE).select("sent_id", "lang", "text", "switched", "ref")
 
 
-# The multi-language loop, one tick per recursion step; `used` is a string of marks.
+# The multi-language loop, one tick per recursion step; `used` lists the replaced words.
 PICKS_MULTI = f"""
 queue AS MATERIALIZED (
-  SELECT p.sent_id, v.c, v.tw, v.n, ss, ts, row_number() OVER (PARTITION BY p.sent_id, p.lang
+  SELECT p.sent_id, p.lang, v.c, v.tw, v.n, ss, ts, row_number() OVER (PARTITION BY p.sent_id, p.lang
     ORDER BY {O.draw(0, 'p.sent_id', 'lab', "'phrase:' || p.lang")} >> 1, lab) AS o
   FROM phr p JOIN (SELECT *, row_number() OVER (PARTITION BY sent_id ORDER BY lang_idx) - 1 AS c FROM valid) v
     ON p.sent_id = v.sent_id AND p.lang = v.lang WHERE NOT closed),
 k AS (SELECT sent_id, count(*) AS k, any_value(n) AS n FROM valid GROUP BY sent_id),
-walk(sent_id, k, n, step, cur, pos, used, total, picked) AS (
-  SELECT k.sent_id, k, k.n, 0, {O.draw(0, 'k.sent_id', 0, "'step'")} % k, [1, 1, 1], []::INT[], 0, FALSE FROM k
+walk(sent_id, k, n, step, cur, pos, used, total, picked, pc, po) AS (
+  SELECT k.sent_id, k, k.n, 0, {O.draw(0, 'k.sent_id', 0, "'step'")} % k, [1, 1, 1], []::INT[], 0, FALSE,
+    0::BIGINT, 0::BIGINT FROM k
   UNION ALL
   SELECT w.sent_id, w.k, w.n, CASE WHEN busy THEN step ELSE step + 1 END,
     CASE WHEN busy THEN cur ELSE {O.draw(0, 'w.sent_id', 'step + 1', "'step'")} % k END,
     list_transform(pos, lambda v, x: CASE WHEN x = cur + 1 THEN v + 1 ELSE v END),
     CASE WHEN busy THEN used ELSE list_concat(used, ss) END,
-    CASE WHEN busy THEN total ELSE total + len(ss) END, NOT busy
-  FROM (SELECT w.*, q.ss, list_has_any(w.used, q.ss) AS busy FROM walk w JOIN queue q
-    ON w.sent_id = q.sent_id AND w.cur = q.c AND w.pos[w.cur + 1] = q.o WHERE w.total / w.n <= 0.75) w)"""
+    CASE WHEN busy THEN total ELSE total + len(ss) END, NOT busy, cur, o
+  FROM (SELECT w.*, q.ss, q.o, list_has_any(w.used, q.ss) AS busy FROM walk w JOIN queue q
+    ON w.sent_id = q.sent_id AND w.cur = q.c AND w.pos[w.cur + 1] = q.o WHERE w.total / w.n <= 0.75) w),
+picks AS MATERIALIZED (
+  SELECT w.sent_id, (w.step - 1)::BIGINT AS step, q.lang, q.ss, q.ts, q.tw
+  FROM walk w JOIN queue q ON w.sent_id = q.sent_id AND w.pc = q.c AND w.po = q.o WHERE picked)"""
+SWITCH_MULTI = f"WITH RECURSIVE {O.VALID}, {O.phrases()}, {PICKS_MULTI}"
 
 
-@query("greedy_replacement_multi")
+@query("greedy_replacement_multi", SWITCH_MULTI + """
+SELECT sent_id, step, lang, array_to_string(ss, ',') AS src_idx,
+  array_to_string(list_transform(ts, lambda j: tw[j + 1]), ' ') AS tgt_words FROM picks""")
 def greedy_replacement_multi(spark, d):
     return (switch.switch_picks(assembled(spark, d), MULTI)
             .select("sent_id", F.posexplode("picks").alias("step", "p"))
@@ -166,7 +173,9 @@ def greedy_replacement_multi(spark, d):
                     joined_ints("p.s").alias("src_idx"), F.array_join("p.tw", " ").alias("tgt_words")))
 
 
-@query("code_switch_multilingual")
+@query("code_switch_multilingual", SWITCH_MULTI + f""", {O.REBUILT}
+SELECT s.sent_id, s.lang, s.text, s.switched, array_to_string(list_reverse(t.words), ' ') AS ref
+FROM switched s JOIN sent t ON s.sent_id = t.sent_id""")
 def code_switch_multilingual(spark, d):
     return switch.code_switch(
         C.sentences(spark, d).select("sent_id", "lang", "text"), C.candidates(spark, d),

@@ -20,4 +20,5 @@ def query(name: str, sql: str | None = None):
 
 def load() -> None:
     """Import the query modules so that they register themselves."""
-    from codemix.plans import queries_corpus, queries_switch, queries_text  # noqa: F401
+    from codemix.plans import (  # noqa: F401
+        queries_corpus, queries_sample, queries_score, queries_switch, queries_text, queries_vocab)
