@@ -66,24 +66,3 @@ def neighbours(arr: Column, body: Callable[[Column, Column], Column]) -> Column:
     m = F.greatest(F.size(arr) - 1, F.lit(0))
     return F.filter(F.zip_with(F.slice(arr, F.lit(1), m), F.slice(arr, F.lit(2), m), body),
                     lambda v: v.isNotNull())
-
-
-def occurrences(arr: Column) -> Column:
-    """Number equal strings (``x`` twice gives ``x#0``, ``x#1``).
-
-    Makes a multiset of strings a set, so ``array_intersect`` counts clipped
-    matches.
-    """
-    return let(
-        F.sort_array(arr),
-        lambda a: let(
-            run_starts(a, lambda v: v),
-            lambda st: F.flatten(F.transform(
-                st,
-                lambda b, k: F.transform(
-                    F.slice(a, b + 1, F.coalesce(F.get(st, k + 1), F.size(a)) - b),
-                    lambda g, j: F.concat(g, F.lit("#"), j.cast("string")),
-                ),
-            )),
-        ),
-    )

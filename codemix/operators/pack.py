@@ -102,7 +102,7 @@ def pack_batches(df: DataFrame, max_tokens: int = 4000, max_sentences: int = 1 <
                 k += 1
         yield pd.DataFrame(rows, columns=["src_len", "tgt_len", "a", "b", "batch", "lo", "per"])
 
-    table = (hist.withColumn("size", size).coalesce(1)
+    table = (hist.withColumn("size", size).repartition(1)
              .mapInPandas(segments, "src_len int, tgt_len int, a bigint, b bigint, batch bigint, lo bigint, per bigint")
              .groupBy("src_len", "tgt_len")
              .agg(F.sort_array(F.collect_list(F.struct("a", "b", "batch", "lo", "per"))).alias("segs")))

@@ -18,45 +18,52 @@ def shuffle_pairs(df: DataFrame, row_id: str, seed: int) -> DataFrame:
     return df.withColumn("shuffle_key", draw(seed, F.col(row_id), 0, "shuffle")).orderBy("shuffle_key", row_id)
 
 
+def _levels(key: Column, row_id: str) -> list[Column]:
+    """Total order of the rows: the key, then a hash of the id, then the id."""
+    return [key.cast("double"), F.xxhash64(F.col(row_id)).cast("double"), F.col(row_id)]
+
+
 def cutoff(df: DataFrame, key: Column, row_id: str, k: int, fine: int = FINE):
-    """The k-th smallest (key, id), or None when there are fewer rows.
+    """The k-th smallest (key, hash of id, id), or None when there are no more than k rows.
 
-    Histograms of at most BUCKETS cells narrow the key range until ``fine``
-    rows remain; only those are ranked.  Nothing larger than a histogram
-    reaches the driver, and each pass reads two columns.
+    Histograms of at most BUCKETS cells narrow the key range, and inside one
+    heavily shared key the hash range, until ``fine`` rows remain; only those
+    are ranked.  Nothing larger than a histogram reaches the driver.
     """
-    keyed = df.select(key.cast("double").alias("k"), F.col(row_id).alias("id"))
-    low, high, total = keyed.agg(F.min("k"), F.max("k"), F.count(F.lit(1))).first()
-    if k <= 0 or total <= k:
+    value, spread, row = _levels(key, row_id)
+    open_rows = df.select(value.alias("k0"), spread.alias("k1"), row.alias("id"))
+    rows, below = open_rows.count(), 0
+    if k <= 0 or rows <= k:
         return None
-    below, rows = 0, total
-    while rows > fine and low < high:
-        width = (high - low) / BUCKETS
-        cell = F.least(F.floor((F.col("k") - low) / width), F.lit(BUCKETS - 1))
-        part = keyed.filter(F.col("k").between(low, high)).groupBy(cell.alias("cell"))
-        hist = part.agg(F.count(F.lit(1)).alias("n"), F.min("k").alias("lo"), F.max("k").alias("hi"))
-        for r in hist.orderBy("cell").collect():
-            if below + r["n"] >= k:
-                done, (low, high, rows) = r["n"] == rows, (r["lo"], r["hi"], r["n"])
-                break
-            below += r["n"]
-        if done:
+    for level in ("k0", "k1"):
+        if rows <= fine:
             break
-    rank = F.row_number().over(Window.orderBy("k", "id"))
-    row = (keyed.filter(F.col("k").between(low, high)).withColumn("r", rank)
-           .filter(F.col("r") == k - below).first())
-    return row["k"], row["id"]
-
-
-def smallest(df: DataFrame, key: Column, row_id: str, k: int) -> DataFrame:
-    """The k rows with the smallest (key, id): a cut-off, then a plain filter."""
+        low, high = open_rows.agg(F.min(level), F.max(level)).first()
+        while rows > fine and low < high:
+            cell = F.least(F.floor((F.col(level) - low) / ((high - low) / BUCKETS)), F.lit(BUCKETS - 1))
+            hist = (open_rows.filter(F.col(level).between(low, high)).groupBy(cell.alias("cell"))
+                    .agg(F.count(F.lit(1)).alias("n"), F.min(level).alias("lo"), F.max(level).alias("hi")))
+            for r in hist.orderBy("cell").collect():
+                if below + r["n"] >= k:
+                    low, high, rows = r["lo"], r["hi"], r["n"]
+                    break
+                below += r["n"]
+        open_rows = open_rows.filter(F.col(level).between(low, high))
+    rank = F.row_number().over(Window.orderBy("k0", "k1", "id"))
+    found = open_rows.withColumn("r", rank).filter(F.col("r") == k - below).first()
+    return found["k0"], found["k1"], found["id"]
+
+
+def smallest(df: DataFrame, key: Column, row_id: str, k: int, fine: int = FINE) -> DataFrame:
+    """The k rows with the smallest key (ties by hash of the id): a cut-off, then a plain filter."""
     if k <= 0:
         return df.filter(F.lit(False))
-    cut = cutoff(df, key, row_id, k)
+    cut = cutoff(df, key, row_id, k, fine)
     if cut is None:
         return df
-    value = key.cast("double")
-    return df.filter((value < cut[0]) | ((value == cut[0]) & (F.col(row_id) <= F.lit(cut[1]))))
+    value, spread, row = _levels(key, row_id)
+    v, h, i = (F.lit(c) for c in cut)
+    return df.filter((value < v) | ((value == v) & ((spread < h) | ((spread == h) & (row <= i)))))
 
 
 def sample_n(df: DataFrame, row_id: str, n: int, seed: int) -> DataFrame:

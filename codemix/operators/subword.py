@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from codemix.operators.sample import sample_n, smallest
+from codemix.session import checkpointed
 
 MARK = "▁"
 MAX_PIECE = 16
@@ -81,8 +82,9 @@ def seed_pieces(counts: DataFrame, seed_size: int = SEED_SIZE) -> DataFrame:
         .select("cnt", "len", F.array_join(F.slice("c", F.col("start"), F.col("len")), "").alias("piece"))
         .groupBy("piece", "len").agg(F.sum("cnt").alias("freq"))
     )
+    pieces = checkpointed(pieces.filter("len = 1 OR freq > 1"))
     single = pieces.filter("len = 1")
-    longer = smallest(pieces.filter("len > 1 AND freq > 1"), -F.col("freq") * F.col("len"), "piece", seed_size)
+    longer = smallest(pieces.filter("len > 1"), -F.col("freq") * F.col("len"), "piece", seed_size)
     return single.unionByName(longer)
 
 
@@ -114,7 +116,7 @@ def prune(expected: DataFrame, model, keep: int) -> DataFrame:
                     for p, e in zip(pdf["piece"], pdf["expected"])]
             yield pdf.assign(loss=loss)
 
-    scored = expected.mapInPandas(gap, "piece string, expected double, loss double")
+    scored = checkpointed(expected.mapInPandas(gap, "piece string, expected double, loss double"))
     single = scored.filter(F.length("piece") == 1)
     n_single = single.count()
     longer = smallest(scored.filter(F.length("piece") > 1), -F.col("loss"), "piece", max(0, keep - n_single))
@@ -136,12 +138,12 @@ def learn_subwords(df: DataFrame, vocab_size: int = 32000, words: str = "words",
     Every round is a job over the distinct words.  The model on the driver has
     at most ``seed_size`` pieces plus the characters.
     """
-    from codemix.session import checkpointed
-
     sc = df.sparkSession.sparkContext
     if max_sentences is not None:
         df = sample_n(df, row_id, max_sentences, seed)
-    counts = checkpointed(word_counts(df, words))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # distinct words are few bytes but much work: keep them on all cores
+    counts = checkpointed(word_counts(df, words).repartition(parts, "word"))
     rows = seed_pieces(counts, seed_size).select("piece", F.col("freq").cast("double").alias("expected")).collect()
     model = _normalised(rows)
     while True:

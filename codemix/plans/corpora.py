@@ -23,9 +23,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Give an input of few splits (one big row group) to all cores; others stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every non-blank line of every document: ``sent_id, lang, words, n, text``."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), "doc_id")
     lines = docs.select("doc_id", "lang", F.posexplode(F.split("text", LINE_END)).alias("pos", "line"))
     return (
         lines.select((F.col("doc_id") * 100000 + F.col("pos") + 1).alias("sent_id"), "lang",

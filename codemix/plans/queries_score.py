@@ -52,16 +52,21 @@ SCORED = r"""flatten(list_transform({words}, lambda w: CASE WHEN length(w) = 1 T
   WHEN regexp_matches(w, '{p}$') THEN [w[:-2], w[-1]] WHEN regexp_matches(w, '^{p}') THEN [w[1], w[2:]] ELSE [w] END))"""
 
 
-def _side(col: str, side: str) -> str:
-    chars = f"list_filter(string_split(array_to_string({O.words(col)}, ''), ''), lambda c: c <> '')"
+def _scored_rows(col: str, side: str) -> str:
     scored = SCORED.replace("{words}", O.words(col)).replace("{p}", PUNCT)
-    return (f"SELECT sent_id, grp, 'c' AS kind, '{side}' AS side, {chars} AS items FROM refhyp "
-            f"UNION ALL SELECT sent_id, grp, 'w', '{side}', {scored} FROM refhyp")
+    return f"SELECT sent_id, grp, 'w' AS kind, '{side}' AS side, {scored} AS items FROM refhyp"
+
+
+CHAR_GRAMS = f"""
+SELECT sent_id, grp, 'c' AS kind, o, side, substr(s, p, o) AS gram FROM (
+  SELECT sent_id, grp, side, s, o, unnest(range(1, length(s) - o + 2)) AS p FROM (
+    SELECT sent_id, grp, 'h' AS side, array_to_string({O.words('hyp')}, '') AS s FROM refhyp
+    UNION ALL SELECT sent_id, grp, 'r', array_to_string({O.words('ref')}, '') FROM refhyp), range(1, 7) x(o))"""
 
 
 @query("corpus_chrf", f"""WITH {O.REFHYP},
-toks AS ({_side('hyp', 'h')} UNION ALL {_side('ref', 'r')}),
-grams AS ({_ngram_sql('c', range(1, 7), '')} UNION ALL {_ngram_sql('w', range(1, 3), ' ')}), {STATS},
+toks AS ({_scored_rows('hyp', 'h')} UNION ALL {_scored_rows('ref', 'r')}),
+grams AS ({CHAR_GRAMS} UNION ALL {_ngram_sql('w', range(1, 3), ' ')}), {STATS},
 pr AS (SELECT grp, avg(m / h) AS p, avg(m / r) AS q FROM stats WHERE h > 0 AND r > 0 GROUP BY grp)
 SELECT grp, round(100 * 5 * p * q / (4 * p + q), 2) AS chrf FROM pr""")
 def corpus_chrf(spark, d):
