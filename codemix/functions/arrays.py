@@ -32,37 +32,3 @@ def hi(code: Column) -> Column:
 
 def lo(code: Column) -> Column:
     return code.bitwiseAND(F.lit(HALF - 1)).cast("int")
-
-
-def run_starts(arr: Column, key: Callable[[Column], Column]) -> Column:
-    """0-based positions at which a sorted array changes its key."""
-    marks = F.transform(
-        arr,
-        lambda v, k: F.when(
-            F.coalesce(key(v) != key(F.get(arr, k - 1)), F.lit(True)), k
-        ),
-    )
-    return F.filter(marks, lambda k: k.isNotNull())
-
-
-def runs(arr: Column, key: Callable[[Column], Column], item: Callable[[Column], Column]) -> Column:
-    """Split a sorted array at key changes; each run holds ``item`` of its members.
-
-    ``arr`` must be a bound variable (see ``let``).
-    """
-    return let(
-        run_starts(arr, key),
-        lambda st: F.transform(
-            st,
-            lambda b, k: F.transform(
-                F.slice(arr, b + 1, F.coalesce(F.get(st, k + 1), F.size(arr)) - b), item
-            ),
-        ),
-    )
-
-
-def neighbours(arr: Column, body: Callable[[Column, Column], Column]) -> Column:
-    """``body(previous, current)`` over consecutive elements; nulls are dropped."""
-    m = F.greatest(F.size(arr) - 1, F.lit(0))
-    return F.filter(F.zip_with(F.slice(arr, F.lit(1), m), F.slice(arr, F.lit(2), m), body),
-                    lambda v: v.isNotNull())

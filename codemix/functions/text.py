@@ -99,9 +99,11 @@ TOKENIZE = [
     (r",$", " ,"),
     (r"\.$", " ."),
 ]
+# A quote next to a non-letter stands alone; between letters it goes with one side.
+LONE_QUOTE = [(r"(^|[^\p{L}])'", "$1 ' "), (r"'([^\p{L}]|$)", " ' $1")]
 APOSTROPHE = {
-    "fr": [(r"(\p{L})'(\p{L})", "$1' $2"), (r"(^|[^\p{L}])'", "$1 ' "), (r"'([^\p{L}]|$)", " ' $1")],
-    "en": [(r"(\p{L})'(\p{L})", "$1 '$2"), (r"(^|[^\p{L}])'", "$1 ' "), (r"'([^\p{L}]|$)", " ' $1")],
+    "fr": LONE_QUOTE + [(r"(\p{L})'(\p{L})", "$1' $2")],
+    "en": LONE_QUOTE + [(r"(\p{L})'(\p{L})", "$1 '$2")],
     "": [(r"'", " ' ")],
 }
 # Undo the rules above, in this order.

@@ -1,10 +1,12 @@
-"""Word alignments and phrase extraction, as row-local column expressions."""
+"""Word alignments and phrase extraction; everything is row-local."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from codemix.functions.arrays import hi, let, lo, neighbours, pair, runs
+from codemix.functions.arrays import hi, let, lo, pair
+from codemix.functions.text import is_alpha
+from codemix.operators.components import phrase_udf
 
 EDGE = r"^\d{1,9}-\d{1,9}$"
 
@@ -19,96 +21,20 @@ def edge_codes(alignment: Column) -> Column:
     return F.sort_array(F.array_distinct(codes))
 
 
-def valid_codes(codes: Column, n_src: Column, n_tgt: Column) -> Column:
-    """Drop edges that point outside either sentence."""
-    return F.filter(codes, lambda c: (hi(c) < n_src) & (lo(c) < n_tgt))
-
-
 def parse_alignment(alignment: Column) -> Column:
     """``"0-0 1-2"`` to ``array<struct<s:int,t:int>>``."""
     return F.transform(edge_codes(alignment), lambda c: F.struct(hi(c).alias("s"), lo(c).alias("t")))
 
 
-def component_labels(n_src: Column, codes: Column) -> Column:
-    """Per source word the least source word of its component in the alignment graph.
+def phrases(df: DataFrame, one_to_one: bool = False, contiguous_only: bool = False) -> DataFrame:
+    """Add ``phrases`` to rows that hold ``words``, ``alignment`` and ``n_tgt``.
 
-    Sources that share a target are linked.  Each round gives a word the least
-    label among its neighbours and then follows the labels once, so the number
-    of rounds grows with the logarithm of the component, not its length.
-    ``codes`` must be a bound variable, sorted and in range.
-    """
-    by_target = F.sort_array(F.transform(codes, lambda c: pair(lo(c), hi(c))))
-    links = let(by_target, lambda b: neighbours(
-        b, lambda p, q: F.when(hi(p) == hi(q), pair(lo(p), lo(q)))))
-
-    def solve(ln: Column) -> Column:
-        identity = F.sequence(F.lit(0), n_src - 1)
-
-        def one_round(lab: Column) -> Column:
-            offers = F.concat(
-                F.transform(lab, lambda v, u: pair(u, v)),
-                F.transform(ln, lambda e: pair(hi(e), F.get(lab, lo(e)))),
-                F.transform(ln, lambda e: pair(lo(e), F.get(lab, hi(e)))),
-            )
-            least = let(F.sort_array(offers), lambda o: F.filter(
-                o, lambda v, k: F.coalesce(hi(v) != hi(F.get(o, k - 1)), F.lit(True))))
-            return let(F.transform(least, lo), lambda m: F.transform(m, lambda v: F.get(m, v)))
-
-        def step(state: Column, _: Column) -> Column:
-            return F.when(state["done"], state).otherwise(
-                let(one_round(state["lab"]),
-                    lambda new: F.struct(new.alias("lab"), (new == state["lab"]).alias("done"))))
-
-        return F.when(F.size(ln) == 0, identity).otherwise(F.aggregate(
-            F.sequence(F.lit(0), F.size(ln)),
-            F.struct(identity.alias("lab"), F.lit(False).alias("done")),
-            step,
-            lambda state: state["lab"],
-        ))
-
-    return let(links, solve)
-
-
-def phrases_from_codes(n_src: Column, codes: Column, alpha: Column,
-                       one_to_one: bool = False, contiguous_only: bool = False) -> Column:
-    """Connected components of the alignment graph in source order.
-
-    A component needs at least one all-letter source word (``alpha``: boolean
-    per source word).  Result: ``array<struct<s:array<int>,t:array<int>>>``.
+    Connected components of the alignment graph in source order, each with an
+    all-letter source word; malformed and out-of-range edges are dropped.
     """
-
-    def build(c: Column) -> Column:
-        def group(lab: Column) -> Column:
-            sources = F.sort_array(F.array_distinct(
-                F.transform(c, lambda e: pair(F.get(lab, hi(e)), hi(e)))))
-            targets = F.sort_array(F.array_distinct(
-                F.transform(c, lambda e: pair(F.get(lab, hi(e)), lo(e)))))
-            return F.zip_with(
-                let(sources, lambda a: runs(a, hi, lo)),
-                let(targets, lambda a: runs(a, hi, lo)),
-                lambda s, t: F.struct(s.alias("s"), t.alias("t")),
-            )
-
-        found = let(component_labels(n_src, c), group)
-        keep = F.filter(found, lambda p: F.exists(p["s"], lambda i: F.get(alpha, i)))
-        if one_to_one:
-            keep = F.filter(keep, lambda p: (F.size(p["s"]) == 1) & (F.size(p["t"]) == 1))
-        if contiguous_only:
-            keep = F.filter(keep, lambda p: F.element_at(p["s"], -1) - F.get(p["s"], F.lit(0)) + 1 == F.size(p["s"]))
-        return keep
-
-    return let(codes, build)
-
-
-def phrases(df: DataFrame, one_to_one: bool = False, contiguous_only: bool = False) -> DataFrame:
-    """Add ``phrases`` to rows that hold ``words``, ``alignment`` and ``n_tgt``."""
-    from codemix.functions.text import is_alpha
-
-    env = F.struct(F.size("words").alias("n"), F.col("n_tgt").alias("m"),
-                   F.transform("words", is_alpha).alias("alpha"))
-    return df.withColumn("phrases", let(env, lambda e: phrases_from_codes(
-        e["n"], valid_codes(edge_codes(F.col("alignment")), e["n"], e["m"]), e["alpha"],
-        one_to_one, contiguous_only)))
+    found = phrase_udf(one_to_one, contiguous_only)(
+        F.array("alignment"), F.array("n_tgt"), F.transform("words", is_alpha))
+    return df.withColumn("phrases", F.get(found, F.lit(0)))
 
 
 def align_embeddings(df: DataFrame, threshold: float = 1e-3) -> DataFrame:

@@ -10,8 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from codemix.functions.arrays import let
-from codemix.functions.draw import digest, draw, hex_word
+from codemix.functions.arrays import hi, let, lo, pair
+from codemix.functions.draw import digest, draw
 from codemix.functions.text import LINE_END, words
 from codemix.session import dense_order
 
@@ -42,30 +42,35 @@ def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# Share of draws below a two-digit hex bound: lost tokens and the two kinds of extra edges.
+LOST, JOINED, GAPPED = "1a", "25", "14"
+
+
 def _target_tokens() -> Column:
-    """Kept tokens in target order: ``array<struct<.., i, d, e, g>>`` (e, g: extra-edge draws)."""
+    """Kept tokens in target order: ``array<struct<block, order, i, h>>``, ``h`` a digest.
+
+    Digests are compared as hex strings: pieces of one serve all draws of a token.
+    """
 
     def tokens(env: Column) -> Column:
         return F.transform(F.sequence(F.lit(0), env["n"] - 1), lambda i: let(
             digest(0, env["sent_id"], i, env["tgt"]),
-            lambda h: F.struct(
-                F.floor(i / 2).cast("int").alias("block"), hex_word(h, 1).alias("o"), i.alias("i"),
-                hex_word(h, 0).alias("d"), hex_word(h, 2).alias("e"), hex_word(h, 3).alias("g"))))
+            lambda h: F.when(F.substring(h, 1, 2) >= LOST, F.struct(
+                F.shiftright(i, 1).alias("block"), F.substring(h, 9, 8).alias("order"), i.alias("i"), h.alias("h")))))
 
-    return F.sort_array(F.filter(let(F.struct("n", "sent_id", "tgt"), tokens), lambda t: t["d"] % 10 != 0))
+    return F.sort_array(F.filter(let(F.struct("n", "sent_id", "tgt"), tokens), lambda t: t.isNotNull()))
 
 
 def _edges(kept: Column) -> Column:
-    """Sorted ``struct<s,t>`` edges of the kept tokens."""
+    """Sorted codes of the (source, target) edges of the kept tokens."""
 
     def of(t: Column, j: Column) -> Column:
-        return F.filter(F.array(
-            F.struct(t["i"].alias("s"), j.alias("t")),
-            F.when((t["e"] % 7 == 0) & (t["i"] >= 1), F.struct((t["i"] - 1).alias("s"), j.alias("t"))),
-            F.when((t["g"] % 13 == 0) & (t["i"] >= 2), F.struct((t["i"] - 2).alias("s"), j.alias("t"))),
-        ), lambda e: e.isNotNull())
+        own = pair(t["i"], j)
+        back = lambda k, at, bound: F.when(
+            (F.substring(t["h"], at, 2) < bound) & (t["i"] >= k), pair(t["i"] - k, j)).otherwise(own)
+        return F.array(own, back(1, 17, JOINED), back(2, 25, GAPPED))
 
-    return F.sort_array(F.flatten(F.transform(kept, of)))
+    return F.sort_array(F.array_distinct(F.flatten(F.transform(kept, of))))
 
 
 def hashed_by(df: DataFrame, *keys: str) -> DataFrame:
@@ -82,7 +87,7 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     target_words = let(F.struct("words", "tgt"), lambda env: F.transform(
         "kept", lambda t: F.concat(F.get(env["words"], t["i"]), F.lit("_"), env["tgt"])))
     edge_texts = F.transform(
-        "edges", lambda e: F.concat(e["s"].cast("string"), F.lit("-"), e["t"].cast("string")))
+        "edges", lambda e: F.concat(hi(e).cast("string"), F.lit("-"), lo(e).cast("string")))
     beyond = F.concat(F.col("n").cast("string"), F.lit("-0"))
     return (
         hashed_by(sentences(spark, sf_dir), "sent_id")
@@ -90,7 +95,7 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
         .select("*", _target_tokens().alias("kept"), bad.alias("bad"))
         .withColumn("limit", F.when(F.col("bad") == 0, third).otherwise(F.size("kept")))
         .withColumn("edges", let(F.col("limit"), lambda m: F.filter(
-            _edges(F.col("kept")), lambda e: e["t"] < m)))
+            _edges(F.col("kept")), lambda e: lo(e) < m)))
         .select(
             "sent_id", "lang_idx", F.col("tgt").alias("lang"),
             F.when(F.col("bad") == 2, F.col("text"))

@@ -18,10 +18,6 @@ def uniform(seed, row_id, k, tag) -> str:
     return f"(({draw(seed, row_id, k, tag)} + 0.5) / 4294967296.0::DOUBLE)"
 
 
-def digest_word(k: int) -> str:
-    return f"('0x' || substr(h, {8 * k + 1}, 8))::BIGINT"
-
-
 SENT = rf"""
 raw_lines AS (
   SELECT doc_id, lang, unnest(parts) AS line, generate_subscripts(parts, 1) AS pos
@@ -37,13 +33,13 @@ targets(lang_idx, tgt) AS (VALUES (0, 'xx'), (1, 'yy'), (2, 'zz')),
 hashed AS (
   SELECT sent_id, lang_idx, tgt, i, w, md5(concat_ws(':', 0, sent_id, i, tgt)) AS h FROM tok, targets),
 kept AS MATERIALIZED (
-  SELECT sent_id, lang_idx, tgt, i, w || '_' || tgt AS tw, {digest_word(2)} AS e, {digest_word(3)} AS g,
-    row_number() OVER (PARTITION BY sent_id, tgt ORDER BY i // 2, {digest_word(1)}, i) - 1 AS j
-  FROM hashed WHERE {digest_word(0)} % 10 <> 0),
+  SELECT sent_id, lang_idx, tgt, i, w || '_' || tgt AS tw, substr(h, 17, 2) < '25' AS joined, substr(h, 25, 2) < '14' AS gapped,
+    row_number() OVER (PARTITION BY sent_id, tgt ORDER BY i // 2, substr(h, 9, 8), i) - 1 AS j
+  FROM hashed WHERE substr(h, 1, 2) >= '1a'),
 raw_edges AS (
   SELECT sent_id, tgt, i AS s, j AS t FROM kept
-  UNION ALL SELECT sent_id, tgt, i - 1, j FROM kept WHERE e % 7 = 0 AND i >= 1
-  UNION ALL SELECT sent_id, tgt, i - 2, j FROM kept WHERE g % 13 = 0 AND i >= 2),
+  UNION ALL SELECT sent_id, tgt, i - 1, j FROM kept WHERE joined AND i >= 1
+  UNION ALL SELECT sent_id, tgt, i - 2, j FROM kept WHERE gapped AND i >= 2),
 bads AS (
   SELECT sent_id, lang_idx, tgt, n, text AS src_text, {draw(0, 'sent_id', 0, "'bad:' || tgt")} % 30 AS bad
   FROM sent, targets),
