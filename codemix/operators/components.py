@@ -27,6 +27,12 @@ def _starts(lengths: np.ndarray) -> np.ndarray:
     return np.concatenate(([0], np.cumsum(lengths)))
 
 
+def _distinct(values: np.ndarray) -> np.ndarray:
+    """Sorted distinct values (sorting beats hashing here)."""
+    values = np.sort(values)
+    return values[_group_starts(values)]
+
+
 def component_labels(n_nodes: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
     """Least node of the component of every node, for undirected links (u, v).
 
@@ -60,7 +66,7 @@ def _edges(texts: pa.Array, n_src: np.ndarray, n_tgt: np.ndarray, base: np.ndarr
     parts = parts.filter(good)
     s, t = (pc.cast(parts.field(k), pa.int64()).to_numpy(zero_copy_only=False) for k in (0, 1))
     inside = (s < n_src[owner]) & (t < n_tgt[owner])
-    codes = np.unique(((base[owner] + s)[inside] << SHIFT) | t[inside])
+    codes = _distinct(((base[owner] + s)[inside] << SHIFT) | t[inside])
     return codes >> SHIFT, codes & LOW
 
 
@@ -89,10 +95,10 @@ def phrase_udf(one_to_one: bool = False, contiguous_only: bool = False):
         shared = (t[p] == t[q]) & (owner_of(node[p]) == owner_of(node[q]))
         lab = component_labels(int(base[-1]), node[p][shared], node[q][shared])
 
-        words = np.unique(node)
+        words = _distinct(node)
         words = words[np.argsort(lab[words], kind="stable")]
         s_from = _group_starts(lab[words])
-        targets = np.unique((lab[node] << SHIFT) | t)
+        targets = _distinct((lab[node] << SHIFT) | t)
         t_from = _group_starts(targets >> SHIFT)
         word_owner = owner_of(words)
         s_idx = words - base[word_owner]

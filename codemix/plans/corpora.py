@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from codemix.functions.arrays import hi, let, lo, pair
 from codemix.functions.draw import digest, draw
 from codemix.functions.text import LINE_END, words
-from codemix.session import dense_order
+from codemix.session import dense_order, scratch_path
 
 TARGETS = ("xx", "yy", "zz")
 BAD_ONE_IN = 30
@@ -29,8 +29,29 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
 
 
+_STORED: dict[tuple, str] = {}
+
+
+def stored(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
+    """A derived input as a parquet table in the shared scratch folder, built once per session.
+
+    Sentences, translations and dictionaries are given as files in practice, so
+    the queries read them as such, with column pruning.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _STORED:
+        path = scratch_path(spark, name)
+        build(spark, sf_dir).write.parquet(path)
+        _STORED[key] = path
+    return spark.read.parquet(_STORED[key])
+
+
 def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every non-blank line of every document: ``sent_id, lang, words, n, text``."""
+    return stored(spark, sf_dir, "sentences", _build_sentences)
+
+
+def _build_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), "doc_id")
     lines = docs.select("doc_id", "lang", F.posexplode(F.split("text", LINE_END)).alias("pos", "line"))
     return (
@@ -81,6 +102,10 @@ def hashed_by(df: DataFrame, *keys: str) -> DataFrame:
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``sent_id, lang_idx, lang, text, alignment`` in long form."""
+    return stored(spark, sf_dir, "candidates", _build_candidates)
+
+
+def _build_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     targets = F.array(*[F.struct(F.lit(k).alias("lang_idx"), F.lit(t).alias("tgt")) for k, t in enumerate(TARGETS)])
     bad = draw(0, F.col("sent_id"), 0, F.concat(F.lit("bad:"), F.col("tgt"))) % BAD_ONE_IN
     third = F.floor((F.size("kept") + 2) / 3).cast("int")
@@ -90,7 +115,7 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
         "edges", lambda e: F.concat(hi(e).cast("string"), F.lit("-"), lo(e).cast("string")))
     beyond = F.concat(F.col("n").cast("string"), F.lit("-0"))
     return (
-        hashed_by(sentences(spark, sf_dir), "sent_id")
+        sentences(spark, sf_dir)
         .select("*", F.explode(targets).alias("target")).select("*", "target.*")
         .select("*", _target_tokens().alias("kept"), bad.alias("bad"))
         .withColumn("limit", F.when(F.col("bad") == 0, third).otherwise(F.size("kept")))
@@ -121,6 +146,10 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dictionary of every word seen twice; Spanish has none for ``zz``."""
+    return stored(spark, sf_dir, "lexicon", _build_lexicon)
+
+
+def _build_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = (sentences(spark, sf_dir).select("lang", F.explode("words").alias("word"))
                .groupBy("lang", "word").agg(F.count(F.lit(1)).alias("c")).filter("c >= 2"))
     target = F.explode(F.array(*[F.lit(t) for t in TARGETS]))

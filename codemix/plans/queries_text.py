@@ -9,7 +9,7 @@ from codemix.operators import clean, corpus, lexsub, report
 from codemix.plans import corpora as C, oracle as O
 from codemix.plans.registry import query
 from codemix.sources import lexicon as lex_source
-from codemix.session import checkpointed, scratch_path
+from codemix.session import scratch_path
 
 
 @query("language_codes", """
@@ -145,7 +145,7 @@ WHERE src_lang IN ('en', 'es') AND tgt_lang IN ('xx', 'zz') GROUP BY ALL""")
 def lexicon_read(spark, d):
     """Writes dictionary files (blank- and tab-separated, some blank lines) and reads them back."""
     root = scratch_path(spark, "lexicon")
-    lex = checkpointed(C.lexicon(spark, d))
+    lex = C.lexicon(spark, d)
     for src in ("en", "es"):
         for tgt, sep in (("xx", " "), ("zz", "\t")):
             part = lex.filter((F.col("src_lang") == src) & (F.col("tgt_lang") == tgt))
@@ -163,14 +163,14 @@ FROM tok t LEFT JOIN entries e ON t.lang = e.src_lang AND e.tgt_lang = 'xx' AND
 def lexicon_lookup(spark, d):
     tokens = C.hashed_by(C.sentences(spark, d), "sent_id").select(
         "sent_id", F.col("lang").alias("src_lang"), F.lit("xx").alias("tgt_lang"), F.posexplode("words").alias("i", "word"))
-    found = lexsub.lookup_lexicon(tokens, checkpointed(C.lexicon(spark, d)))
+    found = lexsub.lookup_lexicon(tokens, C.lexicon(spark, d))
     return found.groupBy("sent_id", F.col("src_lang").alias("lang")).agg(
         F.count(F.lit(1)).alias("n_tokens"), F.count("choices").alias("n_found"),
         F.coalesce(F.sum(F.element_at("choices", -1)["upto"]), F.lit(0)).alias("n_entries"))
 
 
 def _substitute(spark, d, per):
-    return lexsub.lex_substitute(C.sentences(spark, d), checkpointed(C.lexicon(spark, d)),
+    return lexsub.lex_substitute(C.sentences(spark, d), C.lexicon(spark, d),
                                  lexsub.LexiconOptions(ratio=0.9, per=per))
 
 
