@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from codemix.functions.draw import draw, uniform
 from codemix.operators.lookup import lookup
-from codemix.session import BROADCAST_BYTES
+from codemix.session import BROADCAST_BYTES, checkpointed
 
 
 @dataclass(frozen=True)
@@ -27,12 +27,16 @@ def dictionary_entries(lexicon: DataFrame) -> DataFrame:
     ``array<struct<translation, upto>>`` with cumulative counts.
     """
     counted = lexicon.groupBy("src_lang", "tgt_lang", "word", "translation").agg(F.count(F.lit(1)).alias("c"))
-    upto = F.sum("c").over(
-        Window.partitionBy("src_lang", "tgt_lang", "word").orderBy("translation")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return (counted.select("src_lang", "tgt_lang", "word", "translation", upto.alias("upto"))
-            .groupBy("src_lang", "tgt_lang", "word")
-            .agg(F.sort_array(F.collect_list(F.struct("upto", "translation"))).alias("choices")))
+    listed = counted.groupBy("src_lang", "tgt_lang", "word").agg(
+        F.sort_array(F.collect_list(F.struct("translation", "c"))).alias("forms"))
+
+    def add(done: Column, form: Column) -> Column:
+        before = F.coalesce(F.try_element_at(done, F.lit(-1))["upto"], F.lit(0).cast("bigint"))
+        return F.concat(done, F.array(F.struct(
+            (before + form["c"]).alias("upto"), form["translation"].alias("translation"))))
+
+    empty = F.array().cast("array<struct<upto:bigint,translation:string>>")
+    return listed.select("src_lang", "tgt_lang", "word", F.aggregate("forms", empty, add).alias("choices"))
 
 
 def dictionary_languages(lexicon: DataFrame) -> DataFrame:
@@ -41,8 +45,11 @@ def dictionary_languages(lexicon: DataFrame) -> DataFrame:
 
 
 def lookup_lexicon(tokens: DataFrame, lexicon: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """Add ``choices`` (null when absent) to rows ``sent_id, i, src_lang, tgt_lang, word``."""
-    return lookup(tokens, dictionary_entries(lexicon), ["src_lang", "tgt_lang", "word"],
+    """Add ``choices`` (null when absent) to rows ``sent_id, i, src_lang, tgt_lang, word``.
+
+    The entries are checkpointed: they are measured first and joined after.
+    """
+    return lookup(tokens, checkpointed(dictionary_entries(lexicon)), ["src_lang", "tgt_lang", "word"],
                   F.struct("sent_id", "i"), limit)
 
 

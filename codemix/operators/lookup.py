@@ -6,19 +6,41 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from codemix.session import BROADCAST_BYTES, fits_broadcast
 
-SALTS = 32
+SALTS = 64
+HOT_PER_PARTITION = 4
+
+
+def hot_keys(tokens: DataFrame, keys: list[str]) -> DataFrame | None:
+    """Keys with more rows than a fraction of a fair partition; None if there is none.
+
+    At most HOT_PER_PARTITION x partitions keys can exceed that share, so the
+    list is bounded whatever the data.  Counts are combined before the shuffle.
+    """
+    spark = tokens.sparkSession
+    bound = HOT_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    counts = tokens.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    rows = tokens.count()
+    hot = counts.filter(F.col("_n") * bound > rows).select(*keys).collect()
+    schema = tokens.select(*keys).schema
+    return spark.createDataFrame([tuple(r) for r in hot if None not in tuple(r)], schema) if hot else None
 
 
 def lookup(tokens: DataFrame, table: DataFrame, keys: list[str], spread: Column,
            limit: int = BROADCAST_BYTES, salts: int = SALTS) -> DataFrame:
     """``tokens LEFT JOIN table USING (keys)``; ``table`` is unique on ``keys``.
 
-    A table of measured small size is broadcast.  A larger one is copied
-    ``salts`` times and joined on (keys, salt), so the rows of a frequent word
-    spread over that many tasks.
+    A table of measured small size is broadcast.  A larger one is joined by
+    shuffle; the rows of frequent keys are spread over ``salts`` tasks and only
+    their table rows are copied that often.
     """
     if fits_broadcast(table, limit):
         return tokens.join(F.broadcast(table), keys, "left")
-    salted = tokens.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
-    copies = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(copies, [*keys, "_salt"], "left").drop("_salt")
+    hot = hot_keys(tokens, keys)
+    if hot is None:
+        return tokens.join(table, keys, "left")
+    flagged = F.broadcast(hot.withColumn("_hot", F.lit(True)))
+    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")).otherwise(0)
+    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    salted = tokens.join(flagged, keys, "left").withColumn("_salt", salt).drop("_hot")
+    copied = table.join(flagged, keys, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
+    return salted.join(copied, [*keys, "_salt"], "left").drop("_salt")

@@ -7,7 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-BROADCAST_BYTES = 64 << 20
+BROADCAST_BYTES = 128 << 20
 ROW_OVERHEAD = 64
 
 
@@ -36,15 +36,19 @@ def checkpointed(df: DataFrame) -> DataFrame:
 def fits_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
     """Measure a side before it may be broadcast.
 
-    Counts rows and string bytes of the side; the caller keeps a shuffle plan
+    Sums the bytes of all strings and nested values (as JSON, an upper bound)
+    plus a row overhead; the caller keeps a shuffle plan
     for the case that this returns False.
     """
-    strings = [F.coalesce(F.octet_length(F.col(f.name)), F.lit(0))
-               for f in df.schema.fields if f.dataType.simpleString() == "string"]
-    arrays = [F.coalesce(F.octet_length(F.array_join(F.col(f.name), "")), F.lit(0))
-              for f in df.schema.fields if f.dataType.simpleString() == "array<string>"]
+    sized = []
+    for f in df.schema.fields:
+        kind, col = f.dataType.simpleString(), F.col(f.name)
+        if kind == "string":
+            sized.append(F.coalesce(F.octet_length(col), F.lit(0)))
+        elif kind.startswith(("array", "map", "struct")):
+            sized.append(F.coalesce(F.octet_length(F.to_json(col)), F.lit(0)))
     per_row = F.lit(ROW_OVERHEAD)
-    for c in strings + arrays:
+    for c in sized:
         per_row = per_row + c
     total = df.agg(F.sum(per_row.cast("bigint")).alias("b")).first()["b"] or 0
     return total <= limit
