@@ -16,6 +16,7 @@ from pyspark.sql.functions import arrow_udf
 PHRASES = "array<array<struct<s:array<int>,t:array<int>>>>"
 EDGE_PARTS = r"^(?P<s>[0-9]{1,9})-(?P<t>[0-9]{1,9})$"
 SHIFT = 31
+MAX_BYTES = 16 << 20
 LOW = (1 << SHIFT) - 1
 
 
@@ -70,6 +71,19 @@ def _edges(texts: pa.Array, n_src: np.ndarray, n_tgt: np.ndarray, base: np.ndarr
     return codes >> SHIFT, codes & LOW
 
 
+def _slices(alignments: pa.Array):
+    """Row ranges of a batch with about MAX_BYTES of alignment text, so that numpy
+    temporaries stay small when rows are very long."""
+    per_row = _lengths(alignments)
+    size = pc.fill_null(pc.binary_length(alignments.flatten()), 0).to_numpy(zero_copy_only=False)
+    upto = _starts(size)[_starts(per_row)]
+    start, n = 0, len(per_row)
+    while start < n:
+        end = max(start + 1, int(np.searchsorted(upto, upto[start] + MAX_BYTES, side="right")) - 1)
+        yield start, min(end, n)
+        start = min(end, n)
+
+
 def phrase_udf(one_to_one: bool = False, contiguous_only: bool = False):
     """UDF (alignments, target lengths, alpha flags) -> phrases of every candidate.
 
@@ -78,8 +92,7 @@ def phrase_udf(one_to_one: bool = False, contiguous_only: bool = False):
     order of their first source word.
     """
 
-    @arrow_udf(PHRASES)
-    def run(alignments: pa.Array, n_tgt: pa.Array, alpha: pa.Array) -> pa.Array:
+    def extract(alignments: pa.Array, n_tgt: pa.Array, alpha: pa.Array) -> pa.Array:
         per_row, n_words = _lengths(alignments), _lengths(alpha)
         row_of = np.repeat(np.arange(len(per_row)), per_row)
         n_src = n_words[row_of]
@@ -122,6 +135,12 @@ def phrase_udf(one_to_one: bool = False, contiguous_only: bool = False):
         inner = pa.ListArray.from_arrays(pa.array(_starts(per_cand), pa.int32()), phrases)
         return pa.ListArray.from_arrays(pa.array(_starts(per_row), pa.int32()), inner)
 
+    @arrow_udf(PHRASES)
+    def run(alignments: pa.Array, n_tgt: pa.Array, alpha: pa.Array) -> pa.Array:
+        parts = [extract(*(c.slice(lo, hi - lo) for c in (alignments, n_tgt, alpha)))
+                 for lo, hi in _slices(alignments)]
+        return pa.concat_arrays(parts) if parts else extract(alignments, n_tgt, alpha)
+
     # A pure function, marked so that the optimizer neither copies the call into
     # several expressions nor moves a filter on its result below it.
     return run.asNondeterministic()

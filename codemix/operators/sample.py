@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from codemix.functions.draw import SPAN, draw, uniform
-from codemix.session import dense_order
+from codemix.session import broadcast_if_small, dense_order
 
 FINE = 1 << 20
 BUCKETS = 1 << 16
@@ -111,7 +111,7 @@ def subsample_with_replacement(df: DataFrame, row_id: str, ratio: float, seed: i
     sums = blocked.groupBy("b").agg(F.sum("w").alias("s"))
     starts = sums.select("b", (F.sum("s").over(Window.orderBy("b")) - F.col("s")).alias("base"))
     inner = Window.partitionBy("b").orderBy("rank")
-    spans = (blocked.join(F.broadcast(starts), "b")
+    spans = (blocked.join(broadcast_if_small(starts), "b")
              .withColumn("upto", F.col("base") + F.sum("w").over(inner))
              .select("row_id", (F.col("upto") - F.col("w")).alias("lo"), F.col("upto").alias("hi")))
     total = ranked.agg(F.sum("w")).first()[0] or 0

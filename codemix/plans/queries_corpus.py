@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from codemix.operators import corpus, report, switch
 from codemix.plans import corpora as C, oracle as O
+from codemix.plans.queries_switch import SWITCH_MULTI, SWITCH_SINGLE
 from codemix.plans.registry import query
 from codemix.session import dense_order, scratch_path
 from codemix.sources import lines as L, logs, store
@@ -279,7 +280,16 @@ def sample_report(spark, d):
     return report.sample_report(rows, 1000).select("rank", "sent_id", "text")
 
 
-@query("code_switch_matrix")
+def _matrix_sql(switched: str, langs: str, kind: str, job: str) -> str:
+    return f"""SELECT sent_id, {job} AS job, '{kind}' AS kind, switched, ref FROM ({switched}, {O.REBUILT}
+SELECT s.sent_id, s.lang, s.switched, array_to_string(list_reverse(t.words), ' ') AS ref
+FROM switched s JOIN sent t ON s.sent_id = t.sent_id WHERE s.lang IN ({langs}))"""
+
+
+@query("code_switch_matrix",
+       _matrix_sql(SWITCH_SINGLE.replace(f", {O.REBUILT}", ""), "'en', 'fr'", "parallel",
+                   "CASE lang WHEN 'en' THEN 'en-fr' ELSE 'fr-en' END")
+       + " UNION ALL " + _matrix_sql(SWITCH_MULTI, "'de', 'es'", "mono", "'mono-' || lang"))
 def code_switch_matrix(spark, d):
     s = C.sentences(spark, d)
     job = F.when(F.col("lang") == "en", "en-fr").when(F.col("lang") == "fr", "fr-en").otherwise(

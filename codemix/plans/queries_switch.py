@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from codemix.functions.arrays import let
 from codemix.functions.text import words
 from codemix.operators import align, report, switch
 from codemix.plans import corpora as C, oracle as O

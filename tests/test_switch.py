@@ -227,3 +227,18 @@ def test_stream_equals_batch(spark, cases, tmp_path):
     got = {r["sent_id"]: r["switched"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     want = {r["sent_id"]: r["switched"] for r in code_switch(src, cands, None, opts).collect()}
     assert got == want and got
+
+
+def test_phrases_in_small_slices(spark, cases, monkeypatch):
+    import pyarrow as pa
+
+    from codemix.operators import components
+
+    als = pa.array([[c[0] and c[2] for c in cs] for _, _, cs in cases] + [[]], pa.list_(pa.string()))
+    n_tgt = pa.array([[len(c[1].split()) for c in cs] for _, _, cs in cases] + [[]], pa.list_(pa.int32()))
+    alpha = pa.array([[w.isalpha() for w in s] for _, s, _ in cases] + [[True]], pa.list_(pa.bool_()))
+    run = components.phrase_udf().func
+    whole = run(als, n_tgt, alpha)
+    monkeypatch.setattr(components, "MAX_BYTES", 100)
+    assert run(als, n_tgt, alpha).equals(whole)
+    assert len(list(components._slices(als))) > 10
