@@ -84,5 +84,5 @@ def contrastive_loss(vecpairs: DataFrame, tau: float = 0.1) -> DataFrame:
 def reduce_loss(per_batch: DataFrame, *keys: str) -> DataFrame:
     """Summed loss per sentence in bits, as reported over workers."""
     return per_batch.groupBy(*keys).agg(
-        (F.sum("loss") / F.sum("nsentences") / F.log(F.lit(2.0))).alias("contrastive_loss"),
-        F.sum("nsentences").alias("nsentences"))
+        F.sum("loss").alias("loss"), F.sum("nsentences").alias("nsentences"),
+        (F.sum("loss") / F.sum("nsentences") / F.log(F.lit(2.0))).alias("contrastive_loss"))

@@ -103,8 +103,8 @@ SELECT batch_id, count(*) AS nsentences, round(sum(l), 6) AS loss, round(sum(l)
 FROM terms GROUP BY batch_id""")
 def contrastive_loss(spark, d):
     per = embed.contrastive_loss(C.vector_pairs(spark, d))
-    bits = embed.reduce_loss(per, "batch_id").select("batch_id", F.round("contrastive_loss", 6).alias("bits"))
-    return per.select("batch_id", "nsentences", F.round("loss", 6).alias("loss")).join(bits, "batch_id")
+    return embed.reduce_loss(per, "batch_id").select(
+        "batch_id", "nsentences", F.round("loss", 6).alias("loss"), F.round("contrastive_loss", 6).alias("bits"))
 
 
 @query("align_embeddings", f"""WITH {O.VECPAIR},

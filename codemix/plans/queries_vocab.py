@@ -9,7 +9,8 @@ from codemix.operators import subword, vocab
 from codemix.plans import corpora as C, oracle as O
 from codemix.plans.queries_switch import joined_ints
 from codemix.plans.registry import query
-from codemix.session import checkpointed
+from codemix.session import checkpointed, scratch_path
+from codemix.sources import store
 
 TAGS = ["en", "fr", "de", "es"]
 
@@ -35,6 +36,13 @@ def build_vocabulary(spark, d):
     return _vocab(spark, d, 0)
 
 
+@query("vocabulary_store", f"WITH {vocab_sql(2)} SELECT id, token, cnt FROM vocab")
+def vocabulary_store(spark, d):
+    path = scratch_path(spark, "vocab") + "/dict.src"
+    store.write_vocab(_vocab(spark, d, 2), path)
+    return store.read_vocab(spark, path)
+
+
 def _encoded(spark, d):
     voc = checkpointed(_vocab(spark, d, 2))
     df = C.sentences(spark, d).withColumnRenamed("sent_id", "ex_id")

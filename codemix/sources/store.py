@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-PART_DIR = re.compile(r"^part=(\d+)$")
+from codemix.operators.vocab import SPECIAL
+from codemix.sources.lines import read_lines, write_lines
 
 
 def write_encoded(df: DataFrame, path: str) -> None:
@@ -18,6 +17,20 @@ def read_encoded(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def write_vocab(vocab: DataFrame, path: str) -> None:
+    """``token count`` lines in id order; ``path`` ends in ``name.suffix``."""
+    rows = vocab.select("id", F.concat_ws(" ", "token", F.col("cnt").cast("string")).alias("text"))
+    write_lines(rows, path, "id")
+
+
+def read_vocab(spark: SparkSession, path: str) -> DataFrame:
+    """``id, token, cnt``; the id follows from the line number."""
+    line = F.col("text")
+    return read_lines(spark, path).select(
+        (F.col("line_no") + SPECIAL).alias("id"), F.regexp_extract(line, "^(.*) [0-9]+$", 1).alias("token"),
+        F.substring_index(line, " ", -1).cast("bigint").alias("cnt"))
+
+
 def load_split(spark: SparkSession, path: str, split: str, src: str, tgt: str, combine: bool = True) -> DataFrame:
     """Parts 0, 1, ... of a split up to the first gap; part 0 only without ``combine``.
 
