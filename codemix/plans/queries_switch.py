@@ -163,12 +163,12 @@ SWITCH_MULTI = f"WITH RECURSIVE {O.VALID}, {O.phrases()}, {PICKS_MULTI}"
 
 
 @query("greedy_replacement_multi", SWITCH_MULTI + """
-SELECT sent_id, step, lang, array_to_string(ss, ',') AS src_idx,
+SELECT sent_id, lang, array_to_string(ss, ',') AS src_idx,
   array_to_string(list_transform(ts, lambda j: tw[j + 1]), ' ') AS tgt_words FROM picks""")
 def greedy_replacement_multi(spark, d):
     return (switch.switch_picks(assembled(spark, d), MULTI)
-            .select("sent_id", F.posexplode("picks").alias("step", "p"))
-            .select("sent_id", F.col("step").cast("bigint").alias("step"), F.col("p.lang").alias("lang"),
+            .select("sent_id", F.explode("picks").alias("p"))
+            .select("sent_id", F.col("p.lang").alias("lang"),
                     joined_ints("p.s").alias("src_idx"), F.array_join("p.tw", " ").alias("tgt_words")))
 
 
