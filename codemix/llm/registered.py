@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from codemix.llm import langid, line_dedup, near_dedup
+from codemix.llm import langid, line_dedup, near_dedup, packing
+
+#: Folder of the public tokenizer files; the same on driver and executors.
+TOKENIZERS = os.environ.get("CODEMIX_TOKENIZERS", "/opt/tokenizers")
+BPE = f"{TOKENIZERS}/byte_bpe_50k.json"
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -55,3 +61,8 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_near_dedup")
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), words=2, percent=80)
+
+
+@query("op8_packing")
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), BPE)
