@@ -232,3 +232,20 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
                F.when(F.col("doc_id").isNotNull(), F.col("component_id")))))
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id",
                       F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """The documents of ``docs`` that ``near_duplicates`` keeps, with all their columns.
+
+    Of rows that share a kept doc_id one stays, by the smallest hash of its text.  Rows
+    without a doc_id stay.
+    """
+    found = near_duplicates(docs, words, percent)
+    kept = found.filter("kept").select("doc_id").distinct()
+    named = docs.filter(F.col("doc_id").isNotNull())
+    stay = named.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    ids = named.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("m")).first()
+    if ids["n"] != ids["m"]:
+        first = W.partitionBy("doc_id").orderBy(F.xxhash64("text"))
+        stay = stay.withColumn("_nd_row", F.row_number().over(first)).filter(F.col("_nd_row") == 1).drop("_nd_row")
+    return stay.unionByName(docs.filter(F.col("doc_id").isNull()))

@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from codemix.llm import langid, line_dedup, near_dedup, packing
+from codemix.llm import langid, line_dedup, mixing, near_dedup, packing
 
 #: Folder of the public tokenizer files; the same on driver and executors.
 TOKENIZERS = os.environ.get("CODEMIX_TOKENIZERS", "/opt/tokenizers")
@@ -58,6 +58,30 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
 
 
+@query("op4_mixing", f"""
+with sizes as (select source, count(*) as n, sqrt(count(*)::double) as weight from documents group by source),
+rates as (select source, (select sum(n) from sizes) / (select sum(weight) from sizes) * weight / n as rate from sizes),
+steps as (
+  select source, sum(exp(-rate + k * ln(rate) - lgamma(k + 1))) over (partition by source order by k) as step
+  from (select source, rate, unnest(range(0, ceil(rate + 12 * sqrt(rate) + 30)::bigint + 1)) as k from rates)),
+drawn as (
+  select *, (('0x' || substr(md5('{mixing.SEED}:' || doc_id || ':0:copies'), 1, 8))::bigint + 0.5) / 4294967296.0 as at
+  from documents),
+counted as (
+  select d.doc_id, d.source, md5(coalesce(d.text, '')) as text_md5,
+         (select count(*) from steps s where s.source is not distinct from d.source and s.step <= d.at)::int as n_copies
+  from drawn d),
+dealt as (select *, unnest(range(1, n_copies + 1))::int as copy from counted)
+select doc_id, source, text_md5, n_copies, copy,
+       ('0x' || substr(md5('{mixing.SEED}:' || doc_id || ':' || copy || ':order'), 1, 8))::bigint as order_key
+from dealt
+""")
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix_sources(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "source", F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"),
+                        "n_copies", "copy", "order_key")
+
+
 @query("op6_near_dedup")
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), words=2, percent=80)
