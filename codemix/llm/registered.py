@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from codemix.llm import langid, line_dedup, mixing, near_dedup, packing
+from codemix.llm import chat, langid, line_dedup, mixing, near_dedup, packing, url_rules
 
 #: Folder of the public tokenizer files; the same on driver and executors.
 TOKENIZERS = os.environ.get("CODEMIX_TOKENIZERS", "/opt/tokenizers")
@@ -58,6 +58,36 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
 
 
+RULES = [
+    url_rules.Rule("org", "/", "allow"),
+    url_rules.Rule("example.org", "/es/", "block"),
+    url_rules.Rule("example.org", "/en/1", "block"),
+    url_rules.Rule("com", "/fr/", "allow"),
+    url_rules.Rule("com", "/de/", "block"),
+]
+
+
+@query("op3_url_rules", r"""
+with parsed as (
+  select page_id,
+         translate(coalesce(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), ''),
+                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+         coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') as path
+  from pages),
+rules(h, p, v) as (values ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'),
+                          ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
+ranked as (
+  select d.*, r.h || r.p as rule, r.v,
+         row_number() over (partition by page_id order by length(r.h || r.p) desc nulls last, r.h || r.p) as k
+  from parsed d left join rules r
+    on (d.host = r.h or d.host like '%.' || r.h) and starts_with(d.path, r.p))
+select page_id, host, path, rule, coalesce(v, 'allow') as verdict from ranked where k = 1
+""")
+def op3_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = url_rules.judge(table(spark, sf_dir, "pages").select("page_id", "url"), RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
 @query("op4_mixing", f"""
 with sizes as (select source, count(*) as n, sqrt(count(*)::double) as weight from documents group by source),
 rates as (select source, (select sum(n) from sizes) / (select sum(weight) from sizes) * weight / n as rate from sizes),
@@ -90,3 +120,35 @@ def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_packing")
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), BPE)
+
+
+@query("op9_chat_format", r"""
+with turns as (
+  select conv_id, turn, role, coalesce(text, '') as text from conversations
+  union all select -7, 0, 'user', '</s>[INST] ok [/INST]'
+  union all select -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+marked as (
+  select *, replace(replace(text, chr(92), chr(92) || chr(92)), '<|', '<' || chr(92) || '|') as inside,
+         replace(replace(role, chr(92), chr(92) || chr(92)), '<|', '<' || chr(92) || '|') as head
+  from turns)
+select conv_id, count(*)::bigint as n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn)) as turns_sha256,
+       coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars,
+       sha256(coalesce(string_agg(text, '' order by turn) filter (role = 'assistant'), '')) as loss_sha256,
+       sum(length('<|im_start|><|im_sep|><|im_end|>') + length(head) + length(inside))::bigint as formatted_chars
+from marked group by conv_id
+""")
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    planted = spark.range(2).select(
+        F.lit(-7).cast("bigint").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit("</s>[INST] ok [/INST]").alias("text"))
+    chats = chat.format_chats(rows.unionByName(planted)).select(
+        "conv_id", "formatted", chat.read_turns(F.col("formatted")).alias("turns"),
+        chat.learned_text(F.col("segments")).alias("learned"))
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return chats.select(
+        "conv_id", F.size("turns").cast("bigint").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"),
+        F.length("learned").cast("bigint").alias("loss_chars"), F.sha2("learned", 256).alias("loss_sha256"),
+        F.length("formatted").cast("bigint").alias("formatted_chars"))
