@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from codemix.llm import chat, langid, line_dedup, mixing, near_dedup, packing, url_rules
+from codemix.llm import chat, html_main, langid, line_dedup, mixing, near_dedup, packing, url_rules
 
 #: Folder of the public tokenizer files; the same on driver and executors.
 TOKENIZERS = os.environ.get("CODEMIX_TOKENIZERS", "/opt/tokenizers")
@@ -58,6 +58,11 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
 
 
+@query("op2_html_main_text")
+def op2_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_main.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 RULES = [
     url_rules.Rule("org", "/", "allow"),
     url_rules.Rule("example.org", "/es/", "block"),
