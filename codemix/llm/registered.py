@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from codemix.llm import chat, html_main, langid, line_dedup, mixing, near_dedup, packing, url_rules
+from codemix.llm import ann, chat, html_main, langid, line_dedup, mixing, near_dedup, packing, url_rules
 
 #: Folder of the public tokenizer files; the same on driver and executors.
 TOKENIZERS = os.environ.get("CODEMIX_TOKENIZERS", "/opt/tokenizers")
@@ -117,6 +117,11 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
                         "n_copies", "copy", "order_key")
 
 
+@query("op5_nearest_neighbours")
+def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
 @query("op6_near_dedup")
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), words=2, percent=80)
