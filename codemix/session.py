@@ -48,7 +48,38 @@ def ship(spark: SparkSession) -> None:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder, removed when the application ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    target, files = _files(spark, path)
+    files.deleteOnExit(target)
+    return path
+
+
+def _files(spark: SparkSession, path: str):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def stored(df: DataFrame, name: str = "table") -> DataFrame:
+    """Cut lineage by a table in the shared folder.
+
+    Unlike a checkpoint it is planned with its true size: estimates of a checkpoint carry
+    on those of its plan, which joins multiply, so they explode in loops.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Remove the files of a ``stored`` table that nothing will read again."""
+    path = getattr(df, "_scratch", None)
+    if path is not None:
+        target, files = _files(df.sparkSession, path)
+        files.delete(target, True)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
