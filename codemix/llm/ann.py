@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from codemix.llm.common import mix, stream
 from codemix.llm.vectors import classes, commonest_size, matrix, ranked, sample, usable
-from codemix.session import checkpointed
+from codemix.session import stored
 
 TABLES, FUNCTIONS, PROBES = 8, 8, 48
 SAMPLE, SAMPLE_QUERIES, TARGET = 4096, 128, 0.96
@@ -202,9 +202,9 @@ def nearest(embeddings: DataFrame, is_query, k: int = 10, vec: str = "embedding"
     size = commonest_size(rows)
     rows = rows.filter(F.size("vec") == size).dropDuplicates(["id", "vec"])
     found = classes(rows.select("id", "vec"), k + 1)
-    queries = checkpointed(rows.filter("asks").select(F.col("id").alias("query_id"), "vec")
+    queries = stored(rows.filter("asks").select(F.col("id").alias("query_id"), "vec")
                            .join(found.select("vec", F.col("rep").alias("q")), "vec").select("query_id", "q"))
-    asked = checkpointed(found.join(queries.select(F.col("q").alias("rep")).distinct(), "rep", "left_semi")
+    asked = stored(found.join(queries.select(F.col("q").alias("rep")).distinct(), "rep", "left_semi")
                          .select("rep", "ids", "vec"))
     n = found.count()
     splits = max(1, -(-n // SPLIT_ROWS))
@@ -212,12 +212,12 @@ def nearest(embeddings: DataFrame, is_query, k: int = 10, vec: str = "embedding"
     filed = f"cell bigint, kind int, rep bigint, ids array<bigint>, {_vec_type(found)}"
     both = (found.select("rep", "ids", "vec").mapInArrow(_file(shared, splits, False), filed)
             .unionByName(asked.mapInArrow(_file(shared, splits, True), filed)))
-    hits = checkpointed(both.repartition("cell").sortWithinPartitions("cell", "kind").mapInArrow(_meet(k + 1), _HITS))
+    hits = stored(both.repartition("cell").sortWithinPartitions("cell", "kind").mapInArrow(_meet(k + 1), _HITS))
     short = (asked.select("rep", "vec").join(
         hits.groupBy(F.col("q").alias("rep")).agg(F.countDistinct("vec_id").alias("n")), "rep", "left")
         .filter(F.coalesce("n", F.lit(0)) <= k).select("rep", "vec"))
     if n > 0 and not short.isEmpty():
-        hits = hits.unionByName(_completed(spark, found, checkpointed(short), k))
+        hits = hits.unionByName(_completed(spark, found, stored(short), k))
     return ranked(hits, queries, k, F.col("score"))
 
 
@@ -236,5 +236,5 @@ def _completed(spark, found: DataFrame, short: DataFrame, k: int) -> DataFrame:
         last = block[-1]["rep"]
         shared = spark.sparkContext.broadcast((np.array([r["rep"] for r in block], np.int64),
                                                np.array([list(r["vec"]) for r in block], np.float64)))
-        part = checkpointed(found.mapInArrow(_all_rows(shared, k + 1), _HITS))
+        part = stored(found.mapInArrow(_all_rows(shared, k + 1), _HITS))
         parts = part if parts is None else parts.unionByName(part)

@@ -23,7 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from codemix.session import checkpointed
+from codemix.session import stored
 
 BITS_PER_LINE = 16
 MIN_BITS, MAX_BITS = 1 << 20, 1 << 29
@@ -185,7 +185,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = 2, keep_first: bool = False,
     while size < min(bits_per_line * lines, MAX_BITS):
         size *= 2
     filter_ = docs.sparkSession.sparkContext.broadcast(twice_seen(ids, size))
-    suspects = checkpointed(ids.select("doc_id", F.xxhash64("text").alias("mark"), "text")
+    suspects = stored(ids.select("doc_id", F.xxhash64("text").alias("mark"), "text")
                             .mapInArrow(_suspects(filter_, size), _SUSPECTS))
     common = (suspects.groupBy("hi", "lo")
               .agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", F.col("at")[0], "mark")).alias("first"))

@@ -2,15 +2,17 @@
 
 Two small collections of band hashes, U (``BANDS_U`` bands of ``ROWS_U`` minimums) and
 V (``BANDS_V`` of ``ROWS_V``), give ``BANDS_U * BANDS_V`` tables: table (i, j) is keyed
-by the pair (U_i, V_j).  So 34 minimums serve 72 tables of four minimums each.  A pair
-of similarity 0.8 shares no table with probability 4e-4.
+by the pair (U_i, V_j).  So 52 minimums serve 96 tables of five minimums each.  A pair
+of similarity 0.8 shares no table with probability 5e-4.
 
 Texts with the same shingle set form one class, and classes are compared once.  In
 every bucket all members are first compared with one pivot.  Classes that end up in
 one component need no more comparisons; buckets that still span components choose
 further pivots, smallest component first, until every pair of the bucket was compared
 or lies in one component.  So no bucket is expanded to all pairs, and no link inside
-it is lost.  Links are confirmed on the full shingle sets.
+it is lost.  Before texts are fetched, counts of shingles by their first byte bound the
+intersection from above, which excludes nearly all chance candidates and no link.  Links
+are confirmed on the full shingle sets.
 """
 
 from __future__ import annotations
@@ -22,17 +24,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from codemix.llm.common import WordHasher, mix, row_slices, stream, text_buffer
-from codemix.session import checkpointed
+from codemix.session import discard, stored
 
 BANDS_U, ROWS_U = 8, 2
-BANDS_V, ROWS_V = 9, 2
-#: Pivots that an open bucket compares per round.
-PIVOTS = 16
+BANDS_V, ROWS_V = 12, 3
+#: Pivots that an open bucket compares per round at least; more while it makes few pairs.
+PIVOTS, BUCKET_PAIRS = 16, 50_000
 SALTS = 32
 #: Ids that may be broadcast to pick texts (8 bytes each).
 BROADCAST_IDS = 1_000_000
 
-_SIGNED = "doc_id bigint, n bigint, d1 bigint, d2 bigint, u array<bigint>, v array<bigint>"
+_SIGNED = "doc_id bigint, n bigint, d1 bigint, d2 bigint, u array<bigint>, v array<bigint>, spread binary"
 _WEIGHTS = stream(101, 64)
 _DIGEST = stream(103, 2)
 _TIMES = stream(107, BANDS_U * ROWS_U + BANDS_V * ROWS_V) | np.uint64(1)
@@ -88,7 +90,7 @@ def _sign(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split = BANDS_U * ROWS_U
         for batch in batches:
-            cols: dict[str, list] = {k: [] for k in ("n", "d1", "d2", "u", "v")}
+            cols: dict[str, list] = {k: [] for k in ("n", "d1", "d2", "u", "v", "spread")}
             for values in shingle_sets(batch.column("text"), words):
                 cols["n"].append(len(values))
                 for k in range(2):
@@ -96,12 +98,34 @@ def _sign(words: int):
                 least = minimums(values) if len(values) else np.zeros(0, np.uint64)
                 cols["u"].append(_bands(least[:split], ROWS_U, 113).view(np.int64))
                 cols["v"].append(_bands(least[split:], ROWS_V, 127).view(np.int64))
+                counts = np.bincount((values >> np.uint64(56)).astype(np.int64), minlength=256)
+                cols["spread"].append(counts.astype(np.uint8).tobytes() if counts.max() < 256 else None)
             longs = pa.list_(pa.int64())
             yield pa.RecordBatch.from_pydict({
                 "doc_id": batch.column("doc_id"), "n": pa.array(cols["n"], pa.int64()),
                 "d1": pa.array(np.array(cols["d1"], np.uint64).view(np.int64)),
                 "d2": pa.array(np.array(cols["d2"], np.uint64).view(np.int64)),
-                "u": pa.array(cols["u"], longs), "v": pa.array(cols["v"], longs)})
+                "u": pa.array(cols["u"], longs), "v": pa.array(cols["v"], longs),
+                "spread": pa.array(cols["spread"], pa.binary())})
+
+    return run
+
+
+def _possible(percent: int):
+    """Pairs whose sets can reach the similarity, by the bound on their intersection."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            known = ~(batch.column("s_a").is_null().to_numpy(zero_copy_only=False)
+                      | batch.column("s_b").is_null().to_numpy(zero_copy_only=False))
+            keep = ~known
+            some = batch.filter(pa.array(known))
+            x, y = (np.frombuffer(b"".join(some.column(c).to_pylist()), np.uint8).reshape(-1, 256)
+                    for c in ("s_a", "s_b"))
+            most = np.minimum(x, y).sum(1, dtype=np.int64)
+            whole = some.column("n_a").to_numpy() + some.column("n_b").to_numpy()
+            keep[known] = 100 * most >= percent * (whole - most)
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
 
     return run
 
@@ -126,6 +150,13 @@ def _alike(x: Column, y: Column, percent: int) -> Column:
     return 100 * F.least(x, y) >= percent * F.greatest(x, y)
 
 
+def possible(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) that the counts do not exclude."""
+    sides = [reps.select(F.col("doc_id").alias(c), F.col("n").alias(f"n_{c}"), F.col("spread").alias(f"s_{c}"))
+             for c in "ab"]
+    return stored(pairs.join(sides[0], "a").join(sides[1], "b").mapInArrow(_possible(percent), "a bigint, b bigint"))
+
+
 def confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """Pairs (a, b) whose shingle sets reach the similarity."""
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
@@ -133,7 +164,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> D
         texts = texts.join(F.broadcast(ids), "doc_id", "left_semi")
     both = (pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
             .join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b"))
-    return checkpointed(both.select("a", "b", "text_a", "text_b")
+    return stored(both.select("a", "b", "text_a", "text_b")
                         .mapInArrow(_confirm(words, percent), "a bigint, b bigint").distinct())
 
 
@@ -142,20 +173,23 @@ def components(links: DataFrame) -> DataFrame:
 
     Labels move to neighbours and are shortened by looking up the label's own label.
     """
-    sides = checkpointed(links.select(F.col("a").alias("x"), F.col("b").alias("y"))
-                         .union(links.select(F.col("b").alias("x"), F.col("a").alias("y"))))
-    labels = sides.groupBy(F.col("x").alias("id")).agg(F.min("y").alias("m")).select(
-        "id", F.least("id", "m").alias("label"))
+    sides = stored(links.select(F.col("a").alias("x"), F.col("b").alias("y"))
+                   .union(links.select(F.col("b").alias("x"), F.col("a").alias("y"))))
+    held = stored(sides.groupBy(F.col("x").alias("id")).agg(F.min("y").alias("m"))
+                  .select("id", F.least("id", "m").alias("label")))
+    labels = held
     while True:
-        labels = checkpointed(labels)
         near = (sides.join(labels.withColumnRenamed("id", "y"), "y")
                 .groupBy(F.col("x").alias("id")).agg(F.min("label").alias("m")))
         moved = labels.join(near, "id").select("id", "label", F.least("label", "m").alias("to"))
         roots = labels.select(F.col("id").alias("to"), F.col("label").alias("root"))
-        now = checkpointed(moved.join(roots, "to").select("id", "label", F.least("to", "root").alias("to")))
+        now = stored(moved.join(roots, "to").select("id", "label", F.least("to", "root").alias("to")))
         if now.filter(F.col("to") != F.col("label")).isEmpty():
+            discard(now)
+            discard(sides)
             return labels
-        labels = now.select("id", F.col("to").alias("label"))
+        discard(held)
+        held, labels = now, now.select("id", F.col("to").alias("label"))
 
 
 def _open(rows: DataFrame, labels: DataFrame) -> DataFrame:
@@ -166,13 +200,16 @@ def _open(rows: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _pivots(rows: DataFrame) -> DataFrame:
-    """Up to PIVOTS rows per bucket, smallest component first; cut per salt before the bucket meets."""
+    """The next pivots of each bucket, smallest component first; cut per salt before the bucket meets."""
     sizes = rows.groupBy("key", "label").agg(F.count(F.lit(1)).alias("size"))
-    ranked = rows.join(sizes, ["key", "label"]).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
+    wholes = sizes.groupBy("key").agg(F.sum("size").alias("whole"))
+    limit = F.greatest(F.lit(PIVOTS), F.floor(F.lit(BUCKET_PAIRS) / F.col("whole")))
+    ranked = rows.join(sizes.join(wholes, "key"), ["key", "label"]).withColumn(
+        "salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
     order = [F.col("size"), F.col("label"), F.col("id")]
     for keys in (["key", "salt"], ["key"]):
         ranked = ranked.withColumn("rank", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).filter(
-            F.col("rank") <= PIVOTS)
+            F.col("rank") <= limit)
     return ranked.select("key", F.col("id").alias("p"), F.col("n").alias("p_n"), F.col("label").alias("p_label"))
 
 
@@ -182,25 +219,25 @@ def links_of(reps: DataFrame, texts: DataFrame, words: int, percent: int) -> tup
     keys = reps.select(F.col("doc_id").alias("id"), "n", table.alias("key"))
     buckets = keys.groupBy("key").agg(F.min("id").alias("pivot"), F.count(F.lit(1)).alias("size")).filter(
         F.col("size") > 1)
-    rows = checkpointed(keys.join(buckets.select("key", "pivot"), "key"))
+    rows = stored(keys.join(buckets.select("key", "pivot"), "key"))
     sizes = reps.select(F.col("doc_id").alias("pivot"), F.col("n").alias("p_n"))
-    seen = checkpointed(rows.filter(F.col("id") != F.col("pivot")).select("id", "n", "pivot").distinct()
+    seen = stored(rows.filter(F.col("id") != F.col("pivot")).select("id", "n", "pivot").distinct()
                         .join(sizes, "pivot").filter(_alike(F.col("n"), F.col("p_n"), percent))
                         .select(F.col("pivot").alias("a"), F.col("id").alias("b")))
-    links = confirmed(seen, texts, words, percent)
+    links = confirmed(possible(seen, reps, percent), texts, words, percent)
     labels = components(links)
     rows = rows.filter(F.col("id") != F.col("pivot")).select("key", "id", "n")
     while True:
-        rows = checkpointed(_open(rows, labels))
+        rows = stored(_open(rows, labels))
         if rows.isEmpty():
             return links, labels
-        pivots = checkpointed(_pivots(rows))
+        pivots = stored(_pivots(rows))
         pairs = (rows.join(pivots, "key")
                  .filter((F.col("label") != F.col("p_label")) & _alike(F.col("n"), F.col("p_n"), percent))
                  .select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")).distinct()
                  .join(seen, ["a", "b"], "left_anti"))
-        pairs = checkpointed(pairs)
-        found = confirmed(pairs, texts, words, percent)
+        pairs = stored(pairs)
+        found = confirmed(possible(pairs, reps, percent), texts, words, percent)
         seen = seen.union(pairs)
         if not found.isEmpty():
             links = links.union(found)
@@ -218,12 +255,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     takes no part: its component_id is null and it is kept.  Only doc_id and text are read.
     """
     ids = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    signed = checkpointed(ids.mapInArrow(_sign(words), _SIGNED))
+    signed = stored(ids.mapInArrow(_sign(words), _SIGNED))
     full = signed.filter((F.col("n") > 0) & F.col("doc_id").isNotNull())
     same = ["d1", "d2", "n"]
-    classes = checkpointed(full.groupBy(*same).agg(F.min("doc_id").alias("rep")))
+    classes = stored(full.groupBy(*same).agg(F.min("doc_id").alias("rep")))
     first = classes.withColumnRenamed("rep", "doc_id")
-    reps = full.join(first, [*same, "doc_id"], "left_semi").dropDuplicates([*same, "doc_id"])
+    reps = stored(full.join(first, [*same, "doc_id"], "left_semi").dropDuplicates([*same, "doc_id"]))
     _, labels = links_of(reps, ids.filter(F.col("doc_id").isNotNull()), words, percent)
     owners = (classes.join(labels.withColumnRenamed("id", "rep"), "rep", "left")
               .select(*same, F.coalesce("label", "rep").alias("component_id")))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from codemix.llm.vectors import classes, commonest_size, matrix, ranked, sample, usable
-from codemix.session import checkpointed
+from codemix.session import stored
 
 PIVOTS, SAMPLE, BLOCK_ROWS, QUERY_ROWS = 48, 2048, 4096, 2048
 LEAF, SHRINK = 48, 0.7
@@ -230,7 +230,7 @@ def top_products(embeddings: DataFrame, is_query, k: int = 5, scale: int = 256,
     whole = F.transform("vec", lambda x: F.floor(x.cast("double") * scale).cast("bigint"))
     rows = rows.filter(F.size("vec") == size).select("id", whole.alias("vec"), "asks").dropDuplicates(["id", "vec"])
     found = classes(rows.select("id", "vec"), k + 1)
-    queries = checkpointed(rows.filter("asks").select(F.col("id").alias("query_id"), "vec")
+    queries = stored(rows.filter("asks").select(F.col("id").alias("query_id"), "vec")
                            .join(found.select("vec", F.col("rep").alias("q")), "vec").select("query_id", "q"))
     _, known = sample(found, SAMPLE)
     heads = centres(known, PIVOTS)
@@ -238,7 +238,7 @@ def top_products(embeddings: DataFrame, is_query, k: int = 5, scale: int = 256,
         return ranked(spark.createDataFrame([], _HITS), queries, k, F.desc("score"))
     shared = spark.sparkContext.broadcast((heads, known))
     shape = "rep bigint, ids array<bigint>, vec array<bigint>, grp int, gap double, floor double"
-    placed = checkpointed(found.select("rep", "ids", "vec").mapInArrow(_placed(shared, k), shape))
+    placed = stored(found.select("rep", "ids", "vec").mapInArrow(_placed(shared, k), shape))
     asked = placed.join(queries.select(F.col("q").alias("rep")).distinct(), "rep", "left_semi")
     groups = {r["grp"]: (r["gap"], -(-r["n"] // BLOCK_ROWS)) for r in
               placed.groupBy("grp").agg(F.max("gap").alias("gap"), F.count(F.lit(1)).alias("n")).collect()}

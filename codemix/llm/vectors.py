@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from codemix.session import checkpointed
+from codemix.session import stored
 
 
 def usable(vec: Column, zero: bool) -> Column:
@@ -31,7 +31,7 @@ def classes(rows: DataFrame, keep: int) -> DataFrame:
     """
     order = W.partitionBy("vec").orderBy("id")
     few = rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= keep)
-    return checkpointed(few.groupBy("vec").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    return stored(few.groupBy("vec").agg(F.array_sort(F.collect_list("id")).alias("ids"))
                         .select(F.col("ids")[0].alias("rep"), "ids", "vec"))
 
 
