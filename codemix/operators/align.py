@@ -53,19 +53,29 @@ def align_embeddings(df: DataFrame, threshold: float = 1e-3) -> DataFrame:
     def total(row: Column) -> Column:
         return F.aggregate(row, F.lit(0.0), lambda s, v: s + v)
 
-    sims = F.transform("src_vecs", lambda a: F.transform("tgt_vecs", lambda b: F.exp(dot(a, b))))
+    sims = F.transform("src_vecs", lambda a: F.transform("tgt_vecs", lambda b: dot(a, b)))
+
+    def column_fold(m: Column, start: float, join) -> Column:
+        return F.aggregate(m, F.transform(F.get(m, F.lit(0)), lambda _: F.lit(start)),
+                           lambda acc, row: F.zip_with(acc, row, join))
+
+    def normed(m: Column) -> Column:
+        """Softmax of rows and of columns, each less its largest entry: no exponential overflows."""
+        by_row = F.transform(m, lambda row: let(F.array_max(row), lambda top: let(
+            F.transform(row, lambda v: F.exp(v - top)),
+            lambda e: let(total(e), lambda t: F.transform(e, lambda v: v / t)))))
+        shifted = let(column_fold(m, float("-inf"), lambda x, y: F.greatest(x, y)), lambda tops: F.transform(
+            m, lambda row: F.zip_with(row, tops, lambda v, top: F.exp(v - top))))
+        by_col = let(shifted, lambda e: let(column_fold(e, 0.0, lambda x, y: x + y), lambda sums: F.transform(
+            e, lambda row: F.zip_with(row, sums, lambda v, t: v / t))))
+        return F.zip_with(by_row, by_col, lambda a, b: F.zip_with(
+            a, b, lambda p, q: F.struct(p.alias("p_row"), q.alias("p_col"))))
 
     def pick(m: Column) -> Column:
-        row_sum = F.transform(m, total)
-        col_sum = F.aggregate(
-            m, F.transform(F.get(m, F.lit(0)), lambda _: F.lit(0.0)),
-            lambda acc, row: F.zip_with(acc, row, lambda x, y: x + y))
-        return let(row_sum, lambda rs: let(col_sum, lambda cs: F.flatten(F.transform(
-            m, lambda row, i: F.filter(
-                F.transform(row, lambda v, j: F.when(
-                    (v / F.get(rs, i) > threshold) & (v / F.get(cs, j) > threshold),
-                    F.struct(i.alias("s"), j.alias("t"), (v / F.get(rs, i)).alias("p_row"),
-                             (v / F.get(cs, j)).alias("p_col")))),
-                lambda e: e.isNotNull())))))
+        return F.flatten(F.transform(normed(m), lambda row, i: F.filter(
+            F.transform(row, lambda c, j: F.when(
+                (c["p_row"] > threshold) & (c["p_col"] > threshold),
+                F.struct(i.alias("s"), j.alias("t"), c["p_row"].alias("p_row"), c["p_col"].alias("p_col")))),
+            lambda e: e.isNotNull())))
 
     return df.withColumn("edges", let(sims, pick))

@@ -53,8 +53,11 @@ def upsample_concat(dfs: list[DataFrame], ratios: list[int] | int) -> DataFrame:
         ratios = [ratios] + [1] * (len(dfs) - 1)
     if len(ratios) != len(dfs):
         raise ValueError("one ratio per corpus")
+    if any(r < 0 for r in ratios):
+        raise ValueError("a ratio must not be negative")
     times = F.element_at(F.array(*[F.lit(r) for r in ratios]), F.col("part") + 1)
-    return (concat_corpora(*dfs).withColumn("rep", F.explode(F.sequence(F.lit(1), times))))
+    copies = F.when(times > 0, F.sequence(F.lit(1), times))  # a ratio of 0 leaves the corpus out
+    return concat_corpora(*dfs).withColumn("rep", F.explode(copies))
 
 
 def assert_compatible(*metas: dict) -> None:
@@ -66,13 +69,14 @@ def assert_compatible(*metas: dict) -> None:
             raise ValueError(f"data sets differ in {bad}")
 
 
-def mix_training(parallel: DataFrame | None, mono: DataFrame | None, split: str, epoch: int, n_mono_parts: int = 1,
-                 parallel_ratio: float = 1.0, mono_ratio: float = 1.0, seed: int = 0,
+def mix_training(parallel: DataFrame | None, mono: DataFrame | None, split: str, epoch: int,
+                 n_mono_parts: int | None = None, parallel_ratio: float = 1.0, mono_ratio: float = 1.0, seed: int = 0,
                  one_mono_part: bool = False) -> DataFrame:
     """Training set of an epoch from parallel and monolingual sets.
 
-    Both inputs hold ``ex_id, split, part``; ``mono`` parts rotate when
-    ``one_mono_part``.  Only the training split is mixed and sub-sampled; other
+    Both inputs hold ``ex_id, split, part``; all ``mono`` parts are read, or one that
+    rotates with the epoch when ``one_mono_part``.  ``n_mono_parts`` names their number,
+    else the part numbers come from the data.  Only the training split is mixed and sub-sampled; other
     splits come from the parallel set (else from the mono set).  ``None`` for
     one input is the only-mono or only-parallel mode.
     """
@@ -84,13 +88,18 @@ def mix_training(parallel: DataFrame | None, mono: DataFrame | None, split: str,
     if split != "train" or mono is None:
         kind = "parallel" if parallel is not None else "mono"
         return base.filter(F.col("split") == split).withColumn("kind", F.lit(kind))
-    parts = [(epoch - 1) % n_mono_parts] if one_mono_part else range(n_mono_parts)
     train = mono.filter(F.col("split") == split)
+    parts = list(range(n_mono_parts)) if n_mono_parts is not None else sorted(
+        r["part"] for r in train.select("part").distinct().collect())
+    if one_mono_part and parts:
+        parts = [parts[(epoch - 1) % len(parts)]]
     sets = [subsample(train.filter(F.col("part") == p), "ex_id", mono_ratio, seed, epoch)
             .withColumn("kind", F.lit("mono")) for p in parts]
     if parallel is not None:
         sets.append(subsample(parallel.filter(F.col("split") == split), "ex_id", parallel_ratio, seed, epoch)
                     .withColumn("kind", F.lit("parallel")))
+    if not sets:
+        return train.withColumn("kind", F.lit("mono"))
     return reduce(DataFrame.unionByName, sets)
 
 

@@ -39,14 +39,17 @@ def unit(v: Column) -> Column:
 def batch_pairs(anchors: DataFrame, contrasts: DataFrame, max_batch: int = MAX_BATCH) -> DataFrame:
     """All anchor-contrast pairs of a batch: an equi-join on ``batch_id``.
 
-    A batch is bounded by construction; one that is not fails instead of
-    growing with its square.  Inputs hold ``batch_id, pos, vec``.
+    A batch is bounded by construction; one with too many anchors or contrasts fails
+    instead of growing with its square.  Inputs hold ``batch_id, pos, vec``.
     """
-    sizes = anchors.groupBy("batch_id").agg(F.count(F.lit(1)).alias("n"))
-    small = sizes.filter(F.assert_true(
-        F.col("n") <= max_batch, F.lit(f"a batch holds more than {max_batch} rows")).isNull()).select("batch_id")
-    a = anchors.join(small, "batch_id").select("batch_id", F.col("pos").alias("j"), F.col("vec").alias("a"))
-    c = contrasts.select("batch_id", F.col("pos").alias("i"), F.col("vec").alias("c"))
+    def bounded(df: DataFrame) -> DataFrame:
+        sizes = df.groupBy("batch_id").agg(F.count(F.lit(1)).alias("n"))
+        small = sizes.filter(F.assert_true(
+            F.col("n") <= max_batch, F.lit(f"a batch holds more than {max_batch} rows")).isNull()).select("batch_id")
+        return df.join(small, "batch_id")
+
+    a = bounded(anchors).select("batch_id", F.col("pos").alias("j"), F.col("vec").alias("a"))
+    c = bounded(contrasts).select("batch_id", F.col("pos").alias("i"), F.col("vec").alias("c"))
     return a.join(c, "batch_id")
 
 
@@ -63,20 +66,23 @@ def collect_batches(vecpairs: DataFrame, max_batch: int = MAX_BATCH) -> DataFram
             .select("batch_id", F.col("cells.a").alias("anchors"), F.col("cells.c").alias("contrasts")))
 
 
-def contrastive_loss(vecpairs: DataFrame, tau: float = 0.1) -> DataFrame:
+def contrastive_loss(vecpairs: DataFrame, tau: float = 0.1, max_batch: int = MAX_BATCH) -> DataFrame:
     """Per batch: sum over anchors of -log softmax over contrasts of cos / tau at the own pair.
 
+    The largest similarity is taken out of the exponentials, so a small ``tau`` does not
+    overflow.  A batch of more than ``max_batch`` pairs is an error.
+
     The similarity matrix lives inside the row of its batch, never as rows.
     """
     def losses(env: Column) -> Column:
         def one(a: Column, j: Column) -> Column:
             sims = F.transform(env["contrasts"], lambda c: dot(a, c) / tau)
-            return let(sims, lambda s: F.log(F.aggregate(
-                s, F.lit(0.0), lambda t, v: t + F.exp(v))) - F.get(s, j))
+            return let(sims, lambda s: let(F.array_max(s), lambda top: top + F.log(F.aggregate(
+                s, F.lit(0.0), lambda t, v: t + F.exp(v - top))) - F.get(s, j)))
 
         return F.aggregate(F.transform(env["anchors"], one), F.lit(0.0), lambda t, v: t + v)
 
-    return collect_batches(vecpairs).select(
+    return collect_batches(vecpairs, max_batch).select(
         "batch_id", F.size("anchors").cast("bigint").alias("nsentences"),
         let(F.struct("anchors", "contrasts"), losses).alias("loss"))
 

@@ -124,7 +124,8 @@ def assign_shards(df: DataFrame, n: int, drop_remainder: bool = False, n_batches
         "step", F.floor(F.col("batch_no") / n))
     if drop_remainder:
         if n_batches is None:
-            n_batches = (df.agg(F.max("batch_no")).first()[0] or -1) + 1
+            last = df.agg(F.max("batch_no")).first()[0]
+            n_batches = 0 if last is None else last + 1
         out = out.filter(F.col("step") < n_batches // n)
     if grouped_shuffle_seed is not None:
         out = out.withColumn("order_key", draw(grouped_shuffle_seed, F.col("step"), 0, "batch"))

@@ -100,12 +100,14 @@ def subsample_with_replacement(df: DataFrame, row_id: str, ratio: float, seed: i
                                weight: str | None = None, block: int = FINE) -> DataFrame:
     """ceil(n * ratio) draws with replacement; ``draw_no`` numbers them.
 
-    Rows own half-open intervals of the cumulative integer weight.  Draws are
-    points; both are cut into cells of equal weight and merged by position
-    inside a cell, so the work is linear and a heavy row is spread over cells.
+    Rows own half-open intervals of the cumulative weight (any weight above 0 counts,
+    fractions as well).  Draws are points; both are cut into cells of equal weight and
+    merged by position inside a cell, so the work is linear and a heavy row is spread
+    over cells.  There are enough cells that none holds more than about ``block`` rows
+    of mean weight or 1000 draws.
     """
     spark = df.sparkSession
-    w = F.lit(1).cast("bigint") if weight is None else F.col(weight).cast("bigint")
+    w = F.lit(1.0) if weight is None else F.col(weight).cast("double")
     ranked = dense_order(df.select(F.col(row_id).alias("row_id"), w.alias("w")).filter("w > 0"), F.col("row_id"))
     blocked = ranked.withColumn("b", F.floor(F.col("rank") / block))
     sums = blocked.groupBy("b").agg(F.sum("w").alias("s"))
@@ -114,24 +116,25 @@ def subsample_with_replacement(df: DataFrame, row_id: str, ratio: float, seed: i
     spans = (blocked.join(broadcast_if_small(starts), "b")
              .withColumn("upto", F.col("base") + F.sum("w").over(inner))
              .select("row_id", (F.col("upto") - F.col("w")).alias("lo"), F.col("upto").alias("hi")))
-    total = ranked.agg(F.sum("w")).first()[0] or 0
+    whole = ranked.agg(F.sum("w").alias("w"), F.count(F.lit(1)).alias("n")).first()
+    total = whole["w"] or 0.0
     size = sample_size(df.count(), ratio)
     if total == 0 or size == 0:
         return df.filter(F.lit(False)).select(F.lit(0).cast("bigint").alias("draw_no"), F.col(row_id))
-    cell = max(1, total // max(1, size // 1000))
-    starts_at = F.explode(F.sequence(F.floor(F.col("lo") / cell), F.floor((F.col("hi") - 1) / cell)))
+    cell = total / max(1, size // 1000, whole["n"] // block)
+    starts_at = F.explode(F.sequence(F.floor(F.col("lo") / cell), F.floor(F.col("hi") / cell)))
     rows = spans.select("row_id", "lo", starts_at.alias("cell")).select(
-        "cell", F.greatest("lo", F.col("cell") * cell).alias("at"), F.lit(0).alias("kind"),
+        "cell", F.greatest("lo", F.col("cell") * F.lit(cell)).alias("at"), F.lit(0).alias("kind"), "lo",
         "row_id", F.lit(None).cast("bigint").alias("draw_no"))
     key = _epoch_seed(seed, epoch)
-    # 64 random bits scaled to the total weight in integer arithmetic: 32 + 20 bits suffice below 2^31 weights
-    point = F.floor(F.pmod(draw(key, F.col("id"), 0, "replace") * F.lit(1 << 20)
-                           + draw(key, F.col("id"), 1, "replace") % (1 << 20), F.lit(total)))
-    draws = spark.range(size).select("id", point.alias("at")).select(
-        F.floor(F.col("at") / cell).alias("cell"), "at", F.lit(1).alias("kind"),
+    # 52 random bits as a fraction, which a double holds exactly
+    share = (draw(key, F.col("id"), 0, "replace") * F.lit(1 << 20)
+             + draw(key, F.col("id"), 1, "replace") % (1 << 20)) / F.lit(float(1 << 52))
+    draws = spark.range(size).select("id", (share * F.lit(total)).alias("at")).select(
+        F.floor(F.col("at") / cell).alias("cell"), "at", F.lit(1).alias("kind"), F.lit(0.0).alias("lo"),
         F.lit(None).cast("bigint").alias("row_id"), F.col("id").alias("draw_no"))
     merged = rows.unionByName(draws)
     owner = F.last("row_id", ignorenulls=True).over(
-        Window.partitionBy("cell").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        Window.partitionBy("cell").orderBy("at", "kind", "lo").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return (merged.withColumn("row", owner).filter(F.col("kind") == 1)
             .select("draw_no", F.col("row").alias(row_id)))

@@ -51,11 +51,20 @@ def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored(spark, sf_dir, "sentences", _build_sentences)
 
 
+#: Line numbers of a document; a longer one is an error and no clash of ids.
+LINES_PER_DOC = 10_000_000
+
+
+def sentence_id(doc_id: Column, pos: Column) -> Column:
+    fits = F.assert_true(pos + 1 < LINES_PER_DOC, F.lit(f"a document of {LINES_PER_DOC} lines or more")).isNull()
+    return F.when(fits, doc_id * LINES_PER_DOC + pos + 1)
+
+
 def _build_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), "doc_id")
     lines = docs.select("doc_id", "lang", F.posexplode(F.split("text", LINE_END)).alias("pos", "line"))
     return (
-        lines.select((F.col("doc_id") * 100000 + F.col("pos") + 1).alias("sent_id"), "lang",
+        lines.select(sentence_id(F.col("doc_id"), F.col("pos")).alias("sent_id"), "lang",
                      words(F.col("line")).alias("words"))
         .withColumn("n", F.size("words"))
         .filter(F.col("n") > 0)
@@ -145,13 +154,13 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dictionary of every word seen twice; Spanish has none for ``zz``."""
+    """Dictionary of every word; Spanish has none for ``zz``."""
     return stored(spark, sf_dir, "lexicon", _build_lexicon)
 
 
 def _build_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = (sentences(spark, sf_dir).select("lang", F.explode("words").alias("word"))
-               .groupBy("lang", "word").agg(F.count(F.lit(1)).alias("c")).filter("c >= 2"))
+               .distinct())
     target = F.explode(F.array(*[F.lit(t) for t in TARGETS]))
     rolled = counted.select(F.col("lang").alias("src_lang"), "word", target.alias("tgt_lang")).filter(
         "NOT (src_lang = 'es' AND tgt_lang = 'zz')").withColumn(
@@ -164,10 +173,13 @@ def _build_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Generation log: S, T, H and P lines per sentence and some noise."""
+    """Generation log: S, T, H and P lines per sentence and some noise; scores of many digits or with exponents."""
     s = sentences(spark, sf_dir)
     sid = F.col("sent_id").cast("string")
-    score = F.concat(F.lit("-0."), F.lpad((draw(0, F.col("sent_id"), 0, "score") % 10000).cast("string"), 4, "0"))
+    drawn = draw(0, F.col("sent_id"), 0, "score")
+    score = (F.when(drawn % 3 == 0, F.concat(F.lit("-0."), F.lpad(drawn.cast("string"), 16, "0")))
+             .when(drawn % 3 == 1, F.concat(F.lit("-"), drawn.cast("string"), F.lit("e-12")))
+             .otherwise(F.concat(F.lit("-0."), F.lpad((drawn % 10000).cast("string"), 4, "0"))))
     tab = F.lit("\t")
     kinds = F.array(
         F.concat(F.lit("S-"), sid, tab, F.col("text")),
@@ -187,11 +199,12 @@ def ref_hyp(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pair_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lengths with end mark of every sentence and its ``xx`` candidate."""
+    """Lengths with end mark of every sentence and each of its candidates."""
     src = sentences(spark, sf_dir).select("sent_id", (F.col("n") + 1).alias("src_len"))
-    tgt = candidates(spark, sf_dir).filter("lang = 'xx'").select(
-        "sent_id", (F.size(words(F.col("text"))) + 1).alias("tgt_len"))
-    return src.join(tgt, "sent_id").withColumnRenamed("sent_id", "ex_id")
+    tgt = candidates(spark, sf_dir).select(
+        "sent_id", "lang_idx", (F.size(words(F.col("text"))) + 1).alias("tgt_len"))
+    return src.join(tgt, "sent_id").select(
+        (F.col("sent_id") * len(TARGETS) + F.col("lang_idx")).alias("ex_id"), "src_len", "tgt_len")
 
 
 def vector_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ raw_lines AS (
   SELECT doc_id, lang, unnest(parts) AS line, generate_subscripts(parts, 1) AS pos
   FROM (SELECT doc_id, lang, string_split_regex(text, '\r\n|\r|\n') AS parts FROM documents)),
 sent AS MATERIALIZED (
-  SELECT doc_id * 100000 + pos AS sent_id, lang, words, len(words) AS n, array_to_string(words, ' ') AS text
+  SELECT doc_id * 10000000 + pos AS sent_id, lang, words, len(words) AS n, array_to_string(words, ' ') AS text
   FROM (SELECT doc_id, lang, pos, {words('line')} AS words FROM raw_lines) WHERE len(words) > 0),
 tok AS MATERIALIZED (
   SELECT sent_id, lang, n, unnest(words) AS w, generate_subscripts(words, 1) - 1 AS i FROM sent)"""
@@ -132,7 +132,7 @@ switched AS MATERIALIZED (
   WHERE s.sent_id IN (SELECT sent_id FROM valid))"""
 
 LEX = f""",
-lexw AS (SELECT lang, w, count(*) AS c FROM tok GROUP BY ALL HAVING count(*) >= 2),
+lexw AS (SELECT DISTINCT lang, w FROM tok),
 rolled AS (
   SELECT lang AS src_lang, w AS word, tgt AS tgt_lang, {draw(0, "concat_ws(':', lang, w)", 'tgt', "'lex'")} AS d
   FROM lexw, (VALUES ('xx'), ('yy'), ('zz')) t(tgt) WHERE NOT (lang = 'es' AND tgt = 'zz')),
@@ -164,7 +164,7 @@ lines AS MATERIALIZED (
 
 PAIR_LENGTHS = CAND + f""",
 lens AS MATERIALIZED (
-  SELECT sent_id AS ex_id, n + 1 AS src_len, len({words('text')}) + 1 AS tgt_len FROM cand WHERE lang = 'xx')"""
+  SELECT sent_id * 3 + lang_idx AS ex_id, n + 1 AS src_len, len({words('text')}) + 1 AS tgt_len FROM cand)"""
 
 REFHYP = SENT + f""",
 refhyp AS MATERIALIZED (

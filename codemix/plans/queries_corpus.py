@@ -8,54 +8,64 @@ from codemix.operators import corpus, report, switch
 from codemix.plans import corpora as C, oracle as O
 from codemix.plans.queries_switch import SWITCH_MULTI, SWITCH_SINGLE
 from codemix.plans.registry import query
-from codemix.session import dense_order, scratch_path
+from codemix.session import dense_order, scratch_path, stored
 from codemix.sources import lines as L, logs, store
 
-LANGS = ["en", "fr", "de", "es"]
+def _langs(spark, d):
+    """The languages of the table (one small row each)."""
+    rows = C.table(spark, d, "documents").select("lang").distinct().collect()
+    return sorted(r["lang"] for r in rows if r["lang"] is not None)
 
 
 def _written(spark, d):
     """The corpora of all languages as text folders ``train.{lang}``."""
     root = scratch_path(spark, "lines")
-    rows = C.lines(spark, d)
-    for lang in LANGS:
+    rows = stored(C.lines(spark, d).select("lang", "line_no", "text"), "numbered")
+    langs = _langs(spark, d)
+    for lang in langs:
         L.write_lines(rows.filter(F.col("lang") == lang), f"{root}/train.{lang}")
-    return root
+    return [f"{root}/train.{lang}" for lang in langs]
 
 
 @query("read_lines", f"WITH {O.LINES} SELECT 'train' AS corpus, lang, line_no, text FROM lines")
 def read_lines(spark, d):
-    root = _written(spark, d)
-    return L.read_lines(spark, *[f"{root}/train.{x}" for x in LANGS])
+    return L.read_lines(spark, *_written(spark, d))
 
 
-@query("zip_lines", f"""WITH {O.LINES}
-SELECT a.line_no, a.text, b.text AS text_1, c.text AS text_2,
-  ((b.text IS NULL)::INT + (c.text IS NULL)::INT)::INT AS n_missing
-FROM lines a LEFT JOIN lines b ON a.line_no = b.line_no AND b.lang = 'fr'
-LEFT JOIN lines c ON a.line_no = c.line_no AND c.lang = 'de' WHERE a.lang = 'en'""")
+@query("zip_lines", f"""WITH {O.LINES},
+nos AS (SELECT DISTINCT line_no FROM lines)
+SELECT n.line_no, a.text, b.text AS text_1, c.text AS text_2, e.text AS text_3,
+  ((a.text IS NULL)::INT + (b.text IS NULL)::INT + (c.text IS NULL)::INT + (e.text IS NULL)::INT)::INT AS n_missing
+FROM nos n LEFT JOIN lines a ON n.line_no = a.line_no AND a.lang = 'fr'
+LEFT JOIN lines b ON n.line_no = b.line_no AND b.lang = 'en' LEFT JOIN lines c ON n.line_no = c.line_no AND c.lang = 'de'
+LEFT JOIN lines e ON n.line_no = e.line_no AND e.lang = 'es'""")
 def zip_lines(spark, d):
-    rows = C.lines(spark, d)
+    rows = stored(C.lines(spark, d).select("lang", "line_no", "text"), "numbered")
     side = lambda lang: rows.filter(F.col("lang") == lang).select("line_no", "text")
-    return L.zip_lines(side("en"), side("fr"), side("de"))
+    return L.zip_lines(side("fr"), side("en"), side("de"), side("es"))
 
 
 @query("write_parallel", f"""WITH {O.LINES}
-SELECT lang, line_no, text, array_to_string(list_reverse(words), ' ') AS tgt FROM lines WHERE lang = 'en'""")
+SELECT lang, line_no, text, array_to_string(list_reverse(words), ' ') AS tgt FROM lines""")
 def write_parallel(spark, d):
-    prefix = scratch_path(spark, "parallel") + "/train"
-    pairs = C.lines(spark, d).filter("lang = 'en'").select(
-        "line_no", F.col("text").alias("src"), F.array_join(F.reverse("words"), " ").alias("tgt"))
-    L.write_parallel(pairs, prefix, "en", "rev")
-    back = L.read_lines(spark, f"{prefix}.rev").select("line_no", F.col("text").alias("tgt"))
-    return L.read_lines(spark, f"{prefix}.en").select("lang", "line_no", "text").join(back, "line_no")
+    root = scratch_path(spark, "parallel")
+    rows = stored(C.lines(spark, d).select(
+        "lang", "line_no", F.col("text").alias("src"), F.array_join(F.reverse("words"), " ").alias("tgt")), "numbered")
+    langs = _langs(spark, d)
+    for lang in langs:
+        L.write_parallel(rows.filter(F.col("lang") == lang), f"{root}/{lang}", lang, "rev")
+    side = lambda name: L.read_lines(spark, *[f"{root}/{x}.{x if name == 'src' else 'rev'}" for x in langs]).select(
+        F.col("corpus").alias("lang"), "line_no", F.col("text").alias("text" if name == "src" else "tgt"))
+    return side("src").join(side("tgt"), ["lang", "line_no"])
 
 
 @query("generation_log", f"""WITH {O.SENT},
-logs AS (SELECT sent_id AS id, text, {O.draw(0, 'sent_id', 0, "'score'")} % 10000 AS sc FROM sent)
+drawn AS (SELECT sent_id AS id, text, {O.draw(0, 'sent_id', 0, "'score'")} AS d FROM sent),
+logs AS (SELECT id, text, CASE d % 3 WHEN 0 THEN '-0.' || lpad(d::VARCHAR, 16, '0') WHEN 1 THEN '-' || d || 'e-12'
+  ELSE '-0.' || lpad((d % 10000)::VARCHAR, 4, '0') END AS sc FROM drawn)
 SELECT 'S' AS tag, id, NULL::DOUBLE AS score, text FROM logs UNION ALL SELECT 'T', id, NULL, text FROM logs
-UNION ALL SELECT 'H', id, -sc / 10000, 'LANG_TOK_XX ' || text FROM logs
-UNION ALL SELECT 'P', id, NULL, '-0.' || lpad(sc::VARCHAR, 4, '0') FROM logs""")
+UNION ALL SELECT 'H', id, sc::DOUBLE, 'LANG_TOK_XX ' || text FROM logs
+UNION ALL SELECT 'P', id, NULL, sc FROM logs""")
 def generation_log(spark, d):
     return logs.parse_log(C.log_lines(spark, d).select("value"))
 
@@ -145,14 +155,14 @@ def route_directions(spark, d):
 
 def _pairs(spark, d):
     src = C.sentences(spark, d).select("sent_id", F.col("lang").alias("src_lang"), F.col("text").alias("src"))
-    tgt = C.candidates(spark, d).filter("lang <> 'zz'").select(
+    tgt = C.candidates(spark, d).select(
         "sent_id", F.col("lang").alias("tgt_lang"), F.col("text").alias("tgt"))
     return src.join(tgt, "sent_id")
 
 
 PAIRS = f"""{O.CAND},
 prs AS (SELECT c.sent_id, s.lang AS src_lang, c.lang AS tgt_lang, s.text AS src, c.text AS tgt
-  FROM cand c JOIN sent s ON c.sent_id = s.sent_id WHERE c.lang <> 'zz'),
+  FROM cand c JOIN sent s ON c.sent_id = s.sent_id),
 both_ways AS (SELECT * FROM prs UNION ALL SELECT sent_id, tgt_lang, src_lang, tgt, src FROM prs)"""
 
 
@@ -172,18 +182,18 @@ def per_direction_sets(spark, d):
 
 
 @query("concat_corpora", f"""WITH {O.SENT}
-SELECT array_position(['en', 'fr', 'de'], lang)::INT - 1 AS part, sent_id, text FROM sent WHERE lang <> 'es'""")
+SELECT array_position(['en', 'fr', 'de', 'es'], lang)::INT - 1 AS part, sent_id, text FROM sent""")
 def concat_corpora(spark, d):
     s = C.sentences(spark, d).select("sent_id", "lang", "text")
-    return corpus.concat_corpora(*[s.filter(F.col("lang") == x).drop("lang") for x in ("en", "fr", "de")])
+    return corpus.concat_corpora(*[s.filter(F.col("lang") == x).drop("lang") for x in ("en", "fr", "de", "es")])
 
 
 @query("upsample_concat", f"""WITH {O.SENT}
-SELECT array_position(['en', 'fr', 'de'], lang)::INT - 1 AS part, rep::INT AS rep, sent_id
-FROM sent, range(1, 5) r(rep) WHERE lang <> 'es' AND rep <= CASE lang WHEN 'en' THEN 1 WHEN 'fr' THEN 3 ELSE 4 END""")
+SELECT array_position(['en', 'fr', 'de', 'es'], lang)::INT - 1 AS part, rep::INT AS rep, sent_id
+FROM sent, range(1, 5) r(rep) WHERE rep <= CASE lang WHEN 'en' THEN 1 WHEN 'fr' THEN 3 WHEN 'de' THEN 0 ELSE 4 END""")
 def upsample_concat(spark, d):
     s = C.sentences(spark, d).select("sent_id", "lang")
-    return corpus.upsample_concat([s.filter(F.col("lang") == x).drop("lang") for x in ("en", "fr", "de")], [1, 3, 4])
+    return corpus.upsample_concat([s.filter(F.col("lang") == x).drop("lang") for x in ("en", "fr", "de", "es")], [1, 3, 0, 4])
 
 
 def _sub(where: str, ratio: float, kind: str, epoch: int = 4) -> str:
@@ -196,7 +206,7 @@ def _sub(where: str, ratio: float, kind: str, epoch: int = 4) -> str:
 def _mix(spark, d, **kw):
     ex = C.mono_and_parallel(spark, d)
     return corpus.mix_training(ex.filter("kind = 'parallel'").drop("kind"), ex.filter("kind = 'mono'").drop("kind"),
-                               n_mono_parts=3, parallel_ratio=0.7, mono_ratio=0.4, **kw).select("ex_id", "part", "kind")
+                               parallel_ratio=0.7, mono_ratio=0.4, **kw).select("ex_id", "part", "kind")
 
 
 @query("mix_training_all_parts", f"WITH {EXAMPLES} " + " UNION ALL ".join(
@@ -218,15 +228,23 @@ def valid_for_mono(spark, d):
     return corpus.valid_for_mono(ex.filter("kind = 'parallel'").drop("kind"), ex.filter("kind = 'mono'").drop("kind"))
 
 
-def _recipe_sql(kind: str) -> str:
-    rows = [f"('{kind}', '{p}', '{o}', '{s}')" for p, cells in corpus.RECIPES[kind].items() for o, s in cells]
-    return ", ".join(rows)
+# Stated apart from the operator's table: recipe, purpose, origin, sides.
+RECIPE_ROWS = """
+  ('main', 'subword', 'parallel', ['switched', 'target']), ('main', 'subword', 'mono', ['target']),
+  ('main', 'dictionary', 'parallel', ['switched', 'target']), ('main', 'dictionary', 'mono', ['switched', 'target']),
+  ('lexicon', 'subword', 'parallel', ['raw', 'target']), ('lexicon', 'subword', 'mono', ['raw']),
+  ('lexicon', 'dictionary', 'parallel', ['switched', 'target']), ('lexicon', 'dictionary', 'mono', ['switched', 'target']),
+  ('distill', 'subword', 'parallel', ['raw', 'translation']), ('distill', 'subword', 'mono', ['raw', 'translation']),
+  ('distill', 'dictionary', 'parallel', ['raw', 'translation']), ('distill', 'dictionary', 'mono', ['raw', 'translation']),
+  ('scratch', 'subword', 'parallel', ['raw', 'target']), ('scratch', 'subword', 'mono', ['raw']),
+  ('scratch', 'dictionary', 'parallel', ['raw', 'target']), ('scratch', 'dictionary', 'mono', ['raw'])"""
 
 
 @query("vocabulary_corpora", f"""WITH {O.SENT},
 sided AS (SELECT CASE WHEN lang IN ('en', 'fr') THEN 'parallel' ELSE 'mono' END AS origin,
   unnest(['raw', 'switched', 'target', 'translation']) AS side, n FROM sent),
-recipe(kind, purpose, origin, side) AS (VALUES {', '.join(_recipe_sql(k) for k in corpus.RECIPES)})
+listed(kind, purpose, origin, sides) AS (VALUES {RECIPE_ROWS}),
+recipe AS (SELECT kind, purpose, origin, unnest(sides) AS side FROM listed)
 SELECT kind, purpose, r.origin, r.side, count(*) AS n_lines, sum(n)::BIGINT AS n_tokens
 FROM recipe r JOIN sided s ON r.origin = s.origin AND r.side = s.side GROUP BY ALL""")
 def vocabulary_corpora(spark, d):
@@ -246,11 +264,12 @@ def corpus_counts(spark, d):
 
 
 @query("head_and_range", f"""WITH {O.LINES}
-SELECT lang, line_no, text FROM lines WHERE (lang = 'en' AND line_no < 500) OR (lang = 'fr' AND line_no + 1 BETWEEN 20 AND 400)""")
+SELECT 'head' AS cut, lang, line_no, text FROM lines WHERE line_no < 500
+UNION ALL SELECT 'range', lang, line_no, text FROM lines WHERE line_no + 1 BETWEEN 20 AND 400""")
 def head_and_range(spark, d):
-    rows = C.lines(spark, d).select("lang", "line_no", "text")
-    return corpus.head_n(rows.filter("lang = 'en'"), 500).unionByName(
-        corpus.line_range(rows.filter("lang = 'fr'"), 20, 400))
+    rows = stored(C.lines(spark, d).select("lang", "line_no", "text"), "numbered")
+    return corpus.head_n(rows, 500).withColumn("cut", F.lit("head")).unionByName(
+        corpus.line_range(rows, 20, 400).withColumn("cut", F.lit("range")))
 
 
 SLICED = f"""{O.LINES},

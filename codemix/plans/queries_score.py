@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from codemix.functions.text import words
 from codemix.operators import align, embed, score
 from codemix.plans import corpora as C, oracle as O
 from codemix.plans.registry import query
@@ -16,6 +17,8 @@ FROM toks, range({orders.start}, {orders.stop}) x(o), LATERAL (SELECT unnest(ran
 WHERE kind = '{kind}'"""
 
 
+PIECES_SQL = """flatten(list_transform({w}, lambda w: CASE WHEN length(w) > 2 THEN ['▁' || w[1:2], w[3:]] ELSE ['▁' || w] END))"""
+
 STATS = """
 counted AS (SELECT sent_id, grp, kind, o, gram, count(*) FILTER (WHERE side = 'h') AS h,
   count(*) FILTER (WHERE side = 'r') AS r FROM grams GROUP BY ALL),
@@ -35,15 +38,56 @@ def corpus_bleu(spark, d):
     return score.corpus_bleu(C.ref_hyp(spark, d), ["grp"])
 
 
+MTEVAL_SQL = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(' ' || {t} || ' ',
+  '([\{-\~\[-\` -\&\(-\+\:-\@\/])', ' \1 ', 'g'), '([^0-9])([\.,])', '\1 \2 ', 'g'),
+  '([\.,])([^0-9])', ' \1 \2', 'g'), '([0-9])(-)', '\1 \2 ', 'g')"""
+
+
+def _mteval_words(col: str) -> str:
+    text = col
+    for a, b in (("<skipped>", ""), ("&quot;", '"'), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">")):
+        text = f"replace({text}, '{a}', '{b}')"
+    return O.words(MTEVAL_SQL.replace("{t}", text))
+
+
+@query("corpus_bleu_13a", f"""WITH {O.REFHYP},
+toks AS (SELECT sent_id, grp, 'w' AS kind, 'h' AS side, {_mteval_words('hyp')} AS items FROM refhyp
+  UNION ALL SELECT sent_id, grp, 'w', 'r', {_mteval_words('ref')} FROM refhyp),
+grams AS ({_ngram_sql('w', range(1, 5), ' ')}), {STATS}
+SELECT grp, round(100 * exp(sum(ln(m / h)) / 4) * any_value(bp), 2) AS bleu,
+  any_value(sl)::BIGINT AS sys_len, any_value(rl)::BIGINT AS ref_len
+FROM stats JOIN (SELECT grp AS g, h AS sl, r AS rl, CASE WHEN h >= r THEN 1 ELSE exp(1 - r / h) END AS bp FROM stats WHERE o = 1)
+  ON g = grp GROUP BY grp""")
+def corpus_bleu_13a(spark, d):
+    return score.corpus_bleu(C.ref_hyp(spark, d), ["grp"], tokenizer="13a")
+
+
+@query("corpus_bleu_pieces", f"""WITH {O.REFHYP},
+toks AS (SELECT sent_id, grp, 'w' AS kind, 'h' AS side, {PIECES_SQL.replace('{w}', O.words('hyp'))} AS items FROM refhyp
+  UNION ALL SELECT sent_id, grp, 'w', 'r', {PIECES_SQL.replace('{w}', O.words('ref'))} FROM refhyp),
+grams AS ({_ngram_sql('w', range(1, 5), ' ')}), {STATS}
+SELECT grp, round(100 * exp(sum(ln(m / h)) / 4) * any_value(bp), 2) AS bleu,
+  any_value(sl)::BIGINT AS sys_len, any_value(rl)::BIGINT AS ref_len
+FROM stats JOIN (SELECT grp AS g, h AS sl, r AS rl, CASE WHEN h >= r THEN 1 ELSE exp(1 - r / h) END AS bp FROM stats WHERE o = 1)
+  ON g = grp GROUP BY grp""")
+def corpus_bleu_pieces(spark, d):
+    """Scores on pieces: here a word's first two characters and its rest."""
+    pieces = lambda c: F.flatten(F.transform(words(F.col(c)), lambda w: F.when(F.length(w) > 2, F.array(
+        F.concat(F.lit("▁"), F.substring(w, 1, 2)), F.substring(w, F.lit(3), F.length(w)))).otherwise(
+        F.array(F.concat(F.lit("▁"), w)))))
+    rows = C.ref_hyp(spark, d).select("grp", pieces("ref").alias("ref"), pieces("hyp").alias("hyp"))
+    return score.corpus_bleu(rows, ["grp"], tokenizer="pieces")
+
+
 @query("bleu_batch_counts", f"""WITH {O.REFHYP},
-toks AS (SELECT sent_id, sent_id // 100000 AS grp, 'w' AS kind, 'h' AS side, {O.words('hyp')} AS items FROM refhyp
-  UNION ALL SELECT sent_id, sent_id // 100000, 'w', 'r', {O.words('ref')} FROM refhyp),
+toks AS (SELECT sent_id, sent_id // 10000000 AS grp, 'w' AS kind, 'h' AS side, {O.words('hyp')} AS items FROM refhyp
+  UNION ALL SELECT sent_id, sent_id // 10000000, 'w', 'r', {O.words('ref')} FROM refhyp),
 grams AS ({_ngram_sql('w', range(1, 5), ' ')}), {STATS}
 SELECT grp AS batch, sum(CASE WHEN o = 1 THEN m ELSE 0 END)::BIGINT AS m1, sum(CASE WHEN o = 4 THEN m ELSE 0 END)::BIGINT AS m4,
   sum(CASE WHEN o = 4 THEN h ELSE 0 END)::BIGINT AS h4, sum(CASE WHEN o = 1 THEN r ELSE 0 END)::BIGINT AS r1
 FROM stats GROUP BY grp""")
 def bleu_batch_counts(spark, d):
-    df = C.ref_hyp(spark, d).withColumn("batch", F.floor(F.col("sent_id") / 100000))
+    df = C.ref_hyp(spark, d).withColumn("batch", F.floor(F.col("sent_id") / C.LINES_PER_DOC))
     return score.bleu_counts(df, ["batch"]).select("batch", "m1", "m4", "h4", "r1")
 
 

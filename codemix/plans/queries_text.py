@@ -140,31 +140,33 @@ def filter_by_length(spark, d):
 
 
 @query("lexicon_read", f"""WITH {O.SENT} {O.LEX}
-SELECT src_lang, tgt_lang, word, translation, count(*) AS n FROM lex
-WHERE src_lang IN ('en', 'es') AND tgt_lang IN ('xx', 'zz') GROUP BY ALL""")
+SELECT src_lang, tgt_lang, word, translation, count(*) AS n FROM lex GROUP BY ALL""")
 def lexicon_read(spark, d):
     """Writes dictionary files (blank- and tab-separated, some blank lines) and reads them back."""
     root = scratch_path(spark, "lexicon")
     lex = C.lexicon(spark, d)
-    for src in ("en", "es"):
-        for tgt, sep in (("xx", " "), ("zz", "\t")):
-            part = lex.filter((F.col("src_lang") == src) & (F.col("tgt_lang") == tgt))
-            if src == "es" and tgt == "zz":
-                continue
-            value = F.explode(F.array(F.concat("word", F.lit(sep), "translation"), F.lit(" ")))
-            part.select(value.alias("value")).write.text(f"{root}/{src}-{tgt}.txt")
-    return (lex_source.read_lexicon(spark, root, ["en", "es"], ["xx", "zz"])
+    pairs = sorted(map(tuple, lex.select("src_lang", "tgt_lang").distinct().collect()))
+    for src, tgt in pairs:
+        part = lex.filter((F.col("src_lang") == src) & (F.col("tgt_lang") == tgt))
+        sep = "\t" if tgt == "zz" else " "
+        value = F.explode(F.array(F.concat("word", F.lit(sep), "translation"), F.lit(" ")))
+        part.select(value.alias("value")).write.text(f"{root}/{src}-{tgt}.txt")
+    sides = [sorted({p[k] for p in pairs}) for k in range(2)]
+    return (lex_source.read_lexicon(spark, root, *sides)
             .groupBy("src_lang", "tgt_lang", "word", "translation").agg(F.count(F.lit(1)).alias("n")))
 
 
 @query("lexicon_lookup", f"""WITH {O.SENT} {O.LEX}
-SELECT t.lang, t.sent_id, count(*) AS n_tokens, count(e.word) AS n_found, coalesce(sum(len(trs)), 0)::BIGINT AS n_entries
-FROM tok t LEFT JOIN entries e ON t.lang = e.src_lang AND e.tgt_lang = 'xx' AND t.w = e.word GROUP BY ALL""")
+SELECT t.lang, t.sent_id, g.tgt AS tgt_lang, count(*) AS n_tokens, count(e.word) AS n_found, coalesce(sum(len(trs)), 0)::BIGINT AS n_entries
+FROM tok t CROSS JOIN (VALUES ('xx'), ('yy'), ('zz')) g(tgt)
+LEFT JOIN entries e ON t.lang = e.src_lang AND e.tgt_lang = g.tgt AND t.w = e.word GROUP BY ALL""")
 def lexicon_lookup(spark, d):
+    targets = F.explode(F.array(*[F.lit(t) for t in C.TARGETS])).alias("tgt_lang")
     tokens = C.hashed_by(C.sentences(spark, d), "sent_id").select(
-        "sent_id", F.col("lang").alias("src_lang"), F.lit("xx").alias("tgt_lang"), F.posexplode("words").alias("i", "word"))
+        "sent_id", F.col("lang").alias("src_lang"), "words", targets).select(
+        "sent_id", "src_lang", "tgt_lang", F.posexplode("words").alias("i", "word"))
     found = lexsub.lookup_lexicon(tokens, C.lexicon(spark, d))
-    return found.groupBy("sent_id", F.col("src_lang").alias("lang")).agg(
+    return found.groupBy("sent_id", F.col("src_lang").alias("lang"), "tgt_lang").agg(
         F.count(F.lit(1)).alias("n_tokens"), F.count("choices").alias("n_found"),
         F.coalesce(F.sum(F.element_at("choices", -1)["upto"]), F.lit(0)).alias("n_entries"))
 

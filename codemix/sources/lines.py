@@ -50,12 +50,15 @@ def write_parallel(df: DataFrame, prefix: str, src_lang: str, tgt_lang: str, ord
 def zip_lines(first: DataFrame, *others: DataFrame) -> DataFrame:
     """Join corpora by line number; ``text`` of the k-th other becomes ``text_k``.
 
-    Lines missing from a shorter corpus are null and counted in ``n_missing``.
+    Every line of the longest corpus stays; lines that a corpus lacks are null there
+    and counted in ``n_missing``.
     """
     sides = [o.select("line_no", F.col("text").alias(f"text_{k}")) for k, o in enumerate(others, 1)]
-    out = reduce(lambda a, b: a.join(b, "line_no", "left"), sides, first)
-    missing = reduce(lambda a, b: a + b, [F.col(f"text_{k}").isNull().cast("int") for k in range(1, len(others) + 1)])
-    return out.withColumn("n_missing", missing)
+    there = [F.col("_in").isNotNull()] + [F.col(f"_in_{k}").isNotNull() for k in range(1, len(others) + 1)]
+    sides = [s.withColumn(f"_in_{k}", F.lit(True)) for k, s in enumerate(sides, 1)]
+    out = reduce(lambda a, b: a.join(b, "line_no", "full"), sides, first.withColumn("_in", F.lit(True)))
+    missing = reduce(lambda a, b: a + b, [(~t).cast("int") for t in there])
+    return out.withColumn("n_missing", missing).drop("_in", *[f"_in_{k}" for k in range(1, len(others) + 1)])
 
 
 def unpaste_lines(df: DataFrame, col: str = "text") -> DataFrame:

@@ -10,14 +10,13 @@ LINE = r"^[SHPT]-[0-9]+"
 def parse_log(lines: DataFrame, col: str = "value") -> DataFrame:
     """All tagged lines as ``tag, id, score, text``; other lines are dropped.
 
-    ``score`` is only set for lines with three fields; ``text`` is the last one.
+    ``score`` is only set for lines with three fields whose second is a number; ``text`` is the last one.
     """
     parts = F.split(F.col(col), "\t")
     return lines.filter(F.col(col).rlike(LINE)).select(
         F.substring(col, 1, 1).alias("tag"),
         F.substring_index(F.get(parts, F.lit(0)), "-", -1).cast("bigint").alias("id"),
-        F.when(F.size(parts) > 2, F.try_to_number(F.get(parts, F.lit(1)), F.lit("S99990.999999")).cast("double"))
-        .alias("score"),
+        F.when(F.size(parts) > 2, F.get(parts, F.lit(1)).try_cast("double")).alias("score"),
         F.element_at(parts, -1).alias("text"))
 
 
