@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from codemix.session import BROADCAST_BYTES, fits_broadcast
+from codemix.session import BROADCAST_BYTES, discard, fits_broadcast, stored
 
 SALTS = 64
 HOT_PER_PARTITION = 4
@@ -19,10 +19,11 @@ def hot_keys(tokens: DataFrame, keys: list[str]) -> DataFrame | None:
     spark = tokens.sparkSession
     bound = HOT_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
     counts = tokens.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    rows = tokens.count()
-    hot = counts.filter(F.col("_n") * bound > rows).select(*keys).collect()
-    schema = tokens.select(*keys).schema
-    return spark.createDataFrame([tuple(r) for r in hot if None not in tuple(r)], schema) if hot else None
+    stored_counts = stored(counts, "counts")  # one pass over the tokens serves the total and the list
+    rows = stored_counts.agg(F.sum("_n")).first()[0] or 0
+    hot = stored_counts.filter(F.col("_n") * bound > rows).select(*keys).collect()
+    discard(stored_counts)
+    return spark.createDataFrame([tuple(r) for r in hot], tokens.select(*keys).schema) if hot else None
 
 
 def lookup(tokens: DataFrame, table: DataFrame, keys: list[str], spread: Column,
@@ -38,9 +39,12 @@ def lookup(tokens: DataFrame, table: DataFrame, keys: list[str], spread: Column,
     hot = hot_keys(tokens, keys)
     if hot is None:
         return tokens.join(table, keys, "left")
-    flagged = F.broadcast(hot.withColumn("_hot", F.lit(True)))
+    # keys with a null match nothing, but they are spread as well: as text, null is a key like any other
+    name = lambda: F.to_json(F.struct(*keys), {"ignoreNullFields": "false"})
+    flagged = F.broadcast(hot.select(name().alias("_name"), F.lit(True).alias("_hot")))
     salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")).otherwise(0)
     copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    salted = tokens.join(flagged, keys, "left").withColumn("_salt", salt).drop("_hot")
-    copied = table.join(flagged, keys, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
+    salted = tokens.withColumn("_name", name()).join(flagged, "_name", "left").withColumn("_salt", salt).drop("_hot", "_name")
+    copied = table.withColumn("_name", name()).join(flagged, "_name", "left").withColumn(
+        "_salt", F.explode(copies)).drop("_hot", "_name")
     return salted.join(copied, [*keys, "_salt"], "left").drop("_salt")
