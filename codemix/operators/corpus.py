@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from codemix.functions.text import lang_short, with_tag
 from codemix.operators.sample import subsample
-from codemix.operators.switch import SwitchOptions, code_switch
+from codemix.operators.switch import SwitchOptions, switch_by_kind
 
 
 def directions(spark: SparkSession, langs: list[str]) -> DataFrame:
@@ -189,9 +189,5 @@ def build_matrix(src: DataFrame, candidates: DataFrame, ref: DataFrame,
     ``src(sent_id, job, kind, text)`` with ``kind`` parallel (one language per
     sentence) or mono (many languages); every row keeps its clean target.
     """
-    single = SwitchOptions(**{**opts.__dict__, "single_language": True})
-    multi = SwitchOptions(**{**opts.__dict__, "single_language": False})
-    cols = ["sent_id", "job", "kind", "switched", "ref"]
-    a = code_switch(src.filter(F.col("kind") == "parallel"), candidates, ref, single).select(*cols)
-    b = code_switch(src.filter(F.col("kind") == "mono"), candidates, ref, multi).select(*cols)
-    return a.unionByName(b)
+    done = switch_by_kind(src, candidates, ref, F.col("kind") == "parallel", opts)
+    return done.select("sent_id", "job", "kind", "switched", "ref")
