@@ -8,7 +8,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from codemix.functions.draw import draw
-from codemix.session import broadcast_if_small, dense_order
+from codemix.session import BROADCAST_BYTES, dense_order, fits_broadcast, stored
+
+#: Consecutive source lengths that are packed together, and tasks that share one frequent pair of lengths.
+WIDTH, SALTS = 16, 32
 
 
 def _tie(row_id: str, shuffle: bool, seed: int) -> list[Column]:
@@ -77,38 +80,53 @@ def batch_segments(sizes: Iterator[tuple[int, int]], max_tokens: int, max_senten
 
 
 def pack_batches(df: DataFrame, max_tokens: int = 4000, max_sentences: int = 1 << 30, multiple: int = 1,
-                 row_id: str = "ex_id", shuffle: bool = False, seed: int = 0) -> DataFrame:
+                 row_id: str = "ex_id", shuffle: bool = False, seed: int = 0, width: int = WIDTH,
+                 limit: int = BROADCAST_BYTES) -> DataFrame:
     """Greedy token-budget batches over the length order: adds ``rank`` and ``batch_no``.
 
-    The greedy pass depends only on the sequence of sizes, which the histogram
-    of (src_len, tgt_len) describes in full.  It runs over that histogram, whose
-    rows are bounded by the position limits and not by the corpus; rows then
-    find their batch by their rank inside the run.
+    No batch spans two groups of ``width`` consecutive source lengths; so groups are packed
+    in parallel, each from its run-length histogram, which the position limits bound and not
+    the corpus.  Rows find their batch by their rank inside the run; a large table of runs is
+    joined with a salt, so that one frequent pair of lengths is spread over tasks.
     """
     ranked = order_by_length(df, row_id, shuffle, seed)
-    size = F.greatest("src_len", "tgt_len")
-    hist = ranked.groupBy("src_len", "tgt_len").agg(F.count(F.lit(1)).alias("n"), F.min("rank").alias("first"))
-
-    def segments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        runs = pd.concat(list(batches)).sort_values("first")
-        rows, pos, ends = [], 0, list(zip(runs["src_len"], runs["tgt_len"], runs["first"], runs["n"]))
-        for lo, hi, batch, per in batch_segments(zip(runs["size"], runs["n"]), max_tokens, max_sentences, multiple):
+    hist = (ranked.groupBy("src_len", "tgt_len").agg(F.count(F.lit(1)).alias("n"), F.min("rank").alias("first"))
+            .withColumn("grp", F.floor(F.col("src_len") / width)))
+
+    def segments(runs: pd.DataFrame) -> pd.DataFrame:
+        runs = runs.sort_values("first")
+        sizes = runs[["src_len", "tgt_len"]].max(axis=1)
+        base = runs["first"].iloc[0]
+        rows, pos, ends = [], 0, list(zip(runs["src_len"], runs["tgt_len"], runs["first"], runs["n"], strict=True))
+        for lo, hi, batch, per in batch_segments(zip(sizes, runs["n"], strict=True), max_tokens, max_sentences, multiple):
+            lo, hi = lo + base, hi + base
             while pos < len(ends) and ends[pos][2] + ends[pos][3] <= lo:
                 pos += 1
             k = pos
             while k < len(ends) and ends[k][2] < hi:  # a segment may span several runs
                 a, b = max(lo, ends[k][2]), min(hi, ends[k][2] + ends[k][3])
-                rows.append((ends[k][0], ends[k][1], a, b, batch, lo, per))
+                rows.append((runs["grp"].iloc[0], *ends[k][:2], a, b, batch, lo, per, batch + (hi - lo) // per))
                 k += 1
-        yield pd.DataFrame(rows, columns=["src_len", "tgt_len", "a", "b", "batch", "lo", "per"])
-
-    table = (hist.withColumn("size", size).repartition(1)
-             .mapInPandas(segments, "src_len int, tgt_len int, a bigint, b bigint, batch bigint, lo bigint, per bigint")
+        return pd.DataFrame(rows, columns=["grp", "src_len", "tgt_len", "a", "b", "batch", "lo", "per", "upto"])
+
+    found = stored(hist.groupBy("grp").applyInPandas(
+        segments, "grp bigint, src_len int, tgt_len int, a bigint, b bigint, batch bigint, lo bigint, per bigint, upto bigint"))
+    starts, total = [], 0
+    for r in found.groupBy("grp").agg(F.max("upto").alias("n")).orderBy("grp").collect():  # one row per group of lengths
+        starts.append((r["grp"], total))
+        total += r["n"]
+    table = (found.join(F.broadcast(df.sparkSession.createDataFrame(starts, "grp bigint, before bigint")), "grp")
              .groupBy("src_len", "tgt_len")
-             .agg(F.sort_array(F.collect_list(F.struct("a", "b", "batch", "lo", "per"))).alias("segs")))
+             .agg(F.sort_array(F.collect_list(F.struct("a", "b", (F.col("before") + F.col("batch")).alias("batch"), "lo", "per")))
+                  .alias("segs")))
     seg = F.get(F.filter("segs", lambda s: (F.col("rank") >= s["a"]) & (F.col("rank") < s["b"])), F.lit(0))
-    return (ranked.join(broadcast_if_small(table), ["src_len", "tgt_len"])
-            .withColumn("seg", seg)
+    if fits_broadcast(table, limit):
+        joined = ranked.join(F.broadcast(table), ["src_len", "tgt_len"])
+    else:
+        salted = table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = ranked.withColumn("salt", F.pmod("rank", F.lit(SALTS)).cast("int")).join(
+            salted, ["src_len", "tgt_len", "salt"]).drop("salt")
+    return (joined.withColumn("seg", seg)
             .withColumn("batch_no", F.col("seg.batch") + F.floor((F.col("rank") - F.col("seg.lo")) / F.col("seg.per")))
             .drop("segs", "seg"))
 

@@ -1,14 +1,16 @@
 """Sampling, packing, vocabulary, scores, sources, subwords: brute force and properties."""
 
+import itertools
 import math
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from codemix.functions import text as T
 from codemix.functions.draw import draw
-from codemix.operators import clean, corpus, embed, lexsub, pack, sample, score, subword, vocab
+from codemix.operators import align, clean, corpus, embed, lexsub, pack, sample, score, subword, vocab
 from codemix.operators.lookup import lookup
 from codemix.session import dense_order
 from codemix.sources import lexicon, lines, logs, store
@@ -49,11 +51,21 @@ def test_pack_batches_rows(spark, multiple):
     rng = random.Random(9)
     rows = [(i, rng.choice([5, 5, 5, rng.randint(1, 30)]), rng.randint(1, 30)) for i in range(3000)]
     df = spark.createDataFrame(rows, "ex_id bigint, src_len int, tgt_len int")
-    got = pack.pack_batches(df, 200, 64, multiple).orderBy("rank").collect()
     ordered = sorted(rows, key=lambda r: (r[1], r[2], r[0]))
-    assert [r["ex_id"] for r in got] == [r[0] for r in ordered]
-    want = [b for b, n in enumerate(greedy([max(r[1:]) for r in ordered], 200, 64, multiple)) for _ in range(n)]
-    assert [r["batch_no"] for r in got] == want
+    for width, limit in ((16, 1 << 20), (1000, 1 << 20), (4, 0)):
+        got = pack.pack_batches(df, 200, 64, multiple, width=width, limit=limit).orderBy("rank").collect()
+        assert [r["ex_id"] for r in got] == [r[0] for r in ordered]
+        counts = [n for _, group in itertools.groupby(ordered, key=lambda r: r[1] // width)
+                  for n in greedy([max(r[1:]) for r in group], 200, 64, multiple)]
+        assert [r["batch_no"] for r in got] == [b for b, n in enumerate(counts) for _ in range(n)]
+
+
+def test_no_rows_no_batches_and_the_only_batch(spark):
+    shape = "ex_id bigint, src_len int, tgt_len int"
+    assert pack.pack_batches(spark.createDataFrame([], shape), 200).collect() == []
+    one = pack.pack_batches(spark.createDataFrame([(1, 3, 3), (2, 3, 3)], shape), 200)
+    assert pack.assign_shards(one, 1, drop_remainder=True).count() == 2
+    assert pack.assign_shards(one, 2, drop_remainder=True).count() == 0
 
 
 def test_too_long_row_fails(spark):
@@ -88,6 +100,19 @@ def test_weighted_replacement_follows_weights(spark):
     assert abs(share - 1000 / 2999) < 0.05
 
 
+def test_replacement_with_fractions(spark):
+    df = spark.range(400).withColumn("w", F.when(F.col("id") < 200, 0.5).when(F.col("id") < 300, 0.0).otherwise(1.5))
+    for block in (50, 1 << 20):
+        got = sample.subsample_with_replacement(df, "id", 1.0, weight="w", block=block)
+        rows = [r["id"] for r in got.collect()]
+        assert len(rows) == 400 and None not in rows and not [i for i in rows if 200 <= i < 300]
+        assert abs(sum(i < 200 for i in rows) / 400 - 0.4) < 0.1
+    halves = df.withColumn("w", F.lit(0.5))
+    assert sample.subsample_with_replacement(halves, "id", 0.5, weight="w").count() == 200
+    same = lambda w: sorted(map(tuple, sample.subsample_with_replacement(df.withColumn("w", F.lit(w)), "id", 0.5, weight="w").collect()))
+    assert same(1.0) == same(4.0)
+
+
 def test_dense_order(spark):
     df = spark.range(1000).withColumn("k", draw(0, F.col("id"), 0, "x") % 3)
     got = [(r["k"], r["id"]) for r in dense_order(df, F.col("k"), F.col("id")).orderBy("rank").collect()]
@@ -100,6 +125,23 @@ def test_lookup_salted_equals_broadcast(spark):
     table = spark.createDataFrame([("hot", 1), ("w1", 2)], "word string, v int")
     run = lambda limit: sorted(map(str, lookup(tokens, table, ["word"], F.col("id"), limit).select("id", "word", "v").collect()))
     assert run(1 << 20) == run(0)
+    nulls = tokens.withColumn("word", F.when(F.col("word") != "hot", F.col("word")))
+    assert lookup(nulls, table, ["word"], F.col("id"), 0).filter("v is not null").count() == lookup(
+        nulls, table, ["word"], F.col("id")).filter("v is not null").count() > 0
+    assert lookup(nulls, table, ["word"], F.col("id"), 0).count() == 500
+
+
+def test_ids_keep_empty_rows(spark):
+    voc = spark.createDataFrame([(4, "a"), (5, "b")], "id bigint, token string")
+    df = spark.createDataFrame([(1, ["a", "x", "b"]), (2, []), (3, None), (4, ["b"])], "ex_id bigint, words array<string>")
+    for limit in (1 << 20, 0):
+        enc = vocab.encode_ids(df, voc, limit=limit)
+        assert {r.ex_id: r.ids for r in enc.collect()} == {1: [4, 3, 5, 2], 2: [2], 3: [2], 4: [5, 2]}
+        text = {r.ex_id: r.text for r in vocab.decode_ids(enc, voc, "hyp", limit=limit).collect()}
+        assert text == {1: "a UNKNOWNTOKENINHYP b", 2: "", 3: "", 4: "b"}
+        assert vocab.encode_ids(df, voc.limit(0), limit=limit).count() == 4
+    plan = vocab.encode_ids(df, voc)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
 
 
 def test_lexicon_substitution_paths_agree(spark):
@@ -141,6 +183,24 @@ def test_generation_log(spark):
     df = spark.createDataFrame([("H-12\t-0.25\ta b",), ("P-12\t-1",), ("noise",), ("S-3\ttext",)], "value string")
     got = sorted(map(tuple, logs.parse_log(df).collect()))
     assert got == [("H", 12, -0.25, "a b"), ("P", 12, None, "-1"), ("S", 3, None, "text")]
+    real = ["-0.8888964653015137", "-1.2e-05", "-inf", "odd", ""]
+    rows = spark.createDataFrame([(f"H-{i}\t{x}\tt",) for i, x in enumerate(real)], "value string")
+    assert [r["score"] for r in logs.parse_log(rows).orderBy("id").collect()] == [
+        -0.8888964653015137, -1.2e-05, float("-inf"), None, None]
+
+
+def test_zip_keeps_the_longest(spark):
+    side = lambda n, name: spark.createDataFrame([(i, f"{name}{i}" if i != 1 else None) for i in range(n)], "line_no bigint, text string")
+    got = lines.zip_lines(side(1, "a"), side(3, "b"), side(2, "c")).orderBy("line_no").collect()
+    assert [tuple(r) for r in got] == [(0, "a0", "b0", "c0", 0), (1, None, None, None, 1), (2, None, "b2", None, 2)]
+
+
+def test_ratio_of_zero_leaves_a_corpus_out(spark):
+    a, b = spark.range(2), spark.range(3)
+    got = corpus.upsample_concat([a, b], [2, 0])
+    assert Counter((r["part"], r["rep"]) for r in got.collect()) == {(0, 1): 2, (0, 2): 2}
+    with pytest.raises(ValueError):
+        corpus.upsample_concat([a, b], [-1, 1])
 
 
 def test_load_split(spark, tmp_path):
@@ -186,6 +246,8 @@ def test_mix_modes(spark):
     assert count(corpus.mix_training(par, mono, "train", 1, 3)) == {"parallel": 270, "mono": 270}
     assert count(corpus.mix_training(par, mono, "train", 2, 3, one_mono_part=True)) == {"parallel": 270, "mono": 90}
     assert count(corpus.mix_training(par, None, "train", 1)) == {"parallel": 270}
+    assert count(corpus.mix_training(par, mono, "train", 1)) == {"parallel": 270, "mono": 270}
+    assert {r["part"] for r in corpus.mix_training(None, mono, "train", 2, one_mono_part=True).collect()} == {1}
     assert count(corpus.mix_training(None, mono, "train", 1, 3, mono_ratio=0.5)) == {"mono": 135}
     assert count(corpus.mix_training(par, mono, "valid", 1, 3)) == {"parallel": 30}
     with pytest.raises(ValueError):
@@ -208,6 +270,10 @@ def test_bleu_and_chrf(spark):
     got = {r["k"]: r["bleu"] for r in score.corpus_bleu(df, ["k"]).collect()}
     smoothed = 100 * math.exp(sum(math.log(1 / (2 ** (j + 1) * (5 - j))) for j in range(4)) / 4)
     assert got == {"same": 100.0, "none": round(smoothed, 2), "short": 0.0}
+    with pytest.raises(ValueError, match="unknown tokenizer"):
+        score.corpus_bleu(df, ["k"], tokenizer="spm")
+    pieces = df.select("k", F.split("ref", "").alias("ref"), F.split("hyp", "").alias("hyp"))
+    assert {r["k"]: r["bleu"] for r in score.corpus_bleu(pieces, ["k"], tokenizer="pieces").collect()}["same"] == 100.0
     chrf = {r["k"]: r["chrf"] for r in score.corpus_chrf(df, ["k"]).collect()}
     assert chrf["same"] == 100.0 and chrf["none"] == 0.0
     tok = spark.createDataFrame([("Hi, it's 3.5-4 &quot;x&quot;!",)], "t string")
@@ -215,6 +281,46 @@ def test_bleu_and_chrf(spark):
         ["Hi", ",", "it's", "3.5", "-", "4", '"', "x", '"', "!"]
 
 
+@pytest.mark.parametrize("step", [1 << 20, 50])
+def test_ngram_matches_are_brute_force(monkeypatch, step):
+    import pyarrow as pa
+
+    from codemix.operators import ngrams
+
+    def plain(h, r, order):
+        row = []
+        for n in range(1, order + 1):
+            a, b = ([tuple(x[i:i + n]) for i in range(len(x) - n + 1)] for x in (h, r))
+            row += [sum((Counter(a) & Counter(b)).values()), len(a), len(b)]
+        return row
+
+    monkeypatch.setattr(ngrams, "STEP", step)
+    rng = random.Random(1)
+    hyp = ["".join(rng.choices("abcé \U0001f600", k=rng.randint(0, 30))) for _ in range(200)] + [None, ""]
+    ref = ["".join(rng.choices("abcé ", k=rng.randint(0, 30))) for _ in range(200)] + ["x", None]
+    assert ngrams.matches(pa.array(hyp), pa.array(ref), 6).to_pylist() == [
+        plain(h or "", r or "", 6) for h, r in zip(hyp, ref, strict=True)]
+    words_of = lambda rows: [None if t is None else t.split() for t in rows]
+    kind = pa.list_(pa.string())
+    got = ngrams.matches(pa.array(words_of(hyp), kind), pa.array(words_of(ref), kind), 4).to_pylist()
+    assert got == [plain(h or [], r or [], 4) for h, r in zip(words_of(hyp), words_of(ref), strict=True)]
+    assert ngrams.matches(pa.array([], pa.string()), pa.array([], pa.string()), 2).to_pylist() == []
+
+
+def test_extreme_similarities_stay_finite(spark):
+    big = spark.createDataFrame([([[30.0, 0.0], [0.0, 900.0]], [[30.0, 0.0], [0.0, 900.0]])],
+                                "src_vecs array<array<double>>, tgt_vecs array<array<double>>")
+    assert [(e.s, e.t) for e in align.align_embeddings(big).first().edges] == [(0, 0), (1, 1)]
+    df = spark.createDataFrame([(1, 0, [1.0, 0.0], [0.0, 1.0]), (1, 1, [0.0, 1.0], [0.0, 1.0])],
+                               "batch_id bigint, pos bigint, a array<double>, c array<double>")
+    assert embed.contrastive_loss(df, tau=0.0001).first()["loss"] == pytest.approx(2 * math.log(2))
+    with pytest.raises(Exception, match="more than 1 rows"):
+        embed.contrastive_loss(df, max_batch=1).collect()
+    side = df.select("batch_id", "pos", F.col("a").alias("vec"))
+    with pytest.raises(Exception, match="more than 1 rows"):
+        embed.batch_pairs(side.filter("pos = 0"), side, max_batch=1).collect()
+
+
 def test_contrastive_batch_limit(spark):
     df = spark.range(10).select(F.lit(1).alias("batch_id"), F.col("id").alias("pos"), F.array(F.lit(1.0)).alias("a"),
                                 F.array(F.lit(1.0)).alias("c"))

@@ -242,3 +242,17 @@ def test_phrases_in_small_slices(spark, cases, monkeypatch):
     monkeypatch.setattr(components, "MAX_BYTES", 100)
     assert run(als, n_tgt, alpha).equals(whole)
     assert len(list(components._slices(als))) > 10
+
+
+def test_many_candidates_and_a_long_line(spark):
+    """300 candidates of one sentence, and a line of 100,000 words."""
+    n = 100_000
+    rows = [(1, " ".join(f"w{chr(97 + i % 26)}" for i in range(40))), (2, " ".join(["word", "line"] * (n // 2)))]
+    src = spark.createDataFrame(rows, "sent_id bigint, text string")
+    cands = [(1, k, f"l{k}", " ".join(f"x{k}" for _ in range(40)), " ".join(f"{i}-{i}" for i in range(40))) for k in range(300)]
+    cands += [(2, k, f"l{k}", " ".join([f"y{k}"] * n), " ".join(f"{i}-{i}" for i in range(n))) for k in range(2)]
+    cand = spark.createDataFrame(cands, "sent_id bigint, lang_idx int, lang string, text string, alignment string")
+    got = {r["sent_id"]: r["switched"].split() for r in code_switch(src, cand, opts=SwitchOptions(ratio=0.5)).collect()}
+    assert len(got[1]) == 40 and 20 <= sum(w.startswith("x") for w in got[1]) <= 21
+    assert len({w for w in got[1] if w.startswith("x")}) > 10
+    assert len(got[2]) == n and n // 2 <= sum(w.startswith("y") for w in got[2]) <= n // 2 + 1
