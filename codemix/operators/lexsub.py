@@ -4,11 +4,16 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
-from codemix.functions.draw import draw, uniform
+from codemix.functions.draw import SPAN, digest, draw, hex_word
 from codemix.operators.lookup import lookup
-from codemix.session import BROADCAST_BYTES, checkpointed
+from codemix.session import BROADCAST_BYTES, fits_broadcast, stored
+
+SEP = "\x00"
 
 
 @dataclass(frozen=True)
@@ -47,42 +52,83 @@ def dictionary_languages(lexicon: DataFrame) -> DataFrame:
 def lookup_lexicon(tokens: DataFrame, lexicon: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     """Add ``choices`` (null when absent) to rows ``sent_id, i, src_lang, tgt_lang, word``.
 
-    The entries are checkpointed: they are measured first and joined after.
+    The entries are stored: they are measured first and joined after.
     """
-    return lookup(tokens, checkpointed(dictionary_entries(lexicon)), ["src_lang", "tgt_lang", "word"],
+    return lookup(tokens, stored(dictionary_entries(lexicon)), ["src_lang", "tgt_lang", "word"],
                   F.struct("sent_id", "i"), limit)
 
 
+def _in_rows(rows: DataFrame, entries: DataFrame) -> Column:
+    """The drawn translation of every word, from a broadcast dictionary of measured size; no exchange."""
+    table = entries.select(F.concat_ws(SEP, "src_lang", "tgt_lang", "word").alias("key"), "choices").toArrow()
+    keys = pa.concat_arrays(table["key"].chunks) if len(table) else pa.array([], pa.string())
+    lists = pa.concat_arrays(table["choices"].chunks) if len(table) else pa.array([], pa.list_(pa.struct(
+        [("upto", pa.int64()), ("translation", pa.string())])))
+    flat, sizes = lists.flatten(), pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    upto = flat.field("upto").to_numpy(zero_copy_only=False).astype(np.int64)
+    totals = upto[np.cumsum(sizes) - 1] if len(sizes) else np.zeros(0, np.int64)
+    before = np.cumsum(totals) - totals
+    shared = rows.sparkSession.sparkContext.broadcast(
+        (keys, totals, before, upto + np.repeat(before, sizes), flat.field("translation")))
+
+    def run(src: pa.Array, words: pa.Array, langs: pa.Array, draws: pa.Array) -> pa.Array:
+        known, totals, before, ends, translations = shared.value
+        size = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        own = pc.take(src, pa.array(np.repeat(np.arange(len(size)), size)))
+        at = pc.index_in(pc.binary_join_element_wise(own, langs.flatten(), words.flatten(), SEP), value_set=known)
+        hit = at.is_valid().to_numpy(zero_copy_only=False)
+        entry = at.drop_null().to_numpy().astype(np.int64)
+        drawn = draws.flatten().to_numpy(zero_copy_only=False)[hit].astype(np.int64)
+        place = np.full(len(hit), -1, np.int64)
+        place[hit] = np.searchsorted(ends, before[entry] + drawn % totals[entry], "right")
+        found = pc.take(translations, pa.array(place, mask=~hit))
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), found)
+
+    return F.arrow_udf(run, "array<string>")("src_lang", "words", "langs", "draws")
+
+
+def _by_join(rows: DataFrame, entries: DataFrame, limit: int) -> DataFrame:
+    """The same for a dictionary too large to broadcast: words are exploded, joined and grouped again."""
+    cells = F.when(F.size("words") > 0, F.transform("words", lambda w, i: F.struct(
+        w.alias("word"), i.alias("i"), F.get("langs", i).alias("tgt_lang"), F.get("draws", i).alias("d"))))
+    flat = rows.select("sent_id", "src_lang", F.explode_outer(cells).alias("c")).select("sent_id", "src_lang", "c.*")
+    found = lookup(flat, entries, ["src_lang", "tgt_lang", "word"], F.struct("sent_id", "i"), limit)
+    at = F.pmod("d", F.element_at("choices", -1)["upto"])
+    entry = F.get(F.filter("choices", lambda c: c["upto"] > F.col("at")), F.lit(0))["translation"]
+    listed = F.sort_array(F.collect_list(F.when(F.col("i").isNotNull(), F.struct("i", "entry"))))
+    grouped = (found.withColumn("at", at).withColumn("entry", entry).groupBy("sent_id")
+               .agg(F.transform(listed, lambda c: c["entry"]).alias("entries")))
+    return rows.join(grouped, "sent_id")
+
+
 def lex_substitute(df: DataFrame, lexicon: DataFrame, opts: LexiconOptions = LexiconOptions()) -> DataFrame:
-    """Replace dictionary words of ``df(sent_id, lang, words)``.
+    """Replace dictionary words of ``df(sent_id, lang, words)``; ``sent_id`` is unique.
 
     Result: ``sent_id, lang, n, text, switched, hits`` (``hits``: language of
-    every replacement).  Rows are hashed by sentence first, so with a broadcast
-    dictionary the regrouping needs no second exchange.
+    every replacement).  A sentence is one row, so with a dictionary of measured small
+    size there is no exchange.  One digest per word serves all its draws.
     """
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    turn = F.lit(0) if opts.per == "sentence" else F.col("i")
-    choice = F.pmod(draw(opts.seed, F.col("sent_id"), turn, "lang"), F.greatest(F.size("tgt_langs"), F.lit(1)))
-    tokens = (
-        df.withColumnRenamed("lang", "src_lang").repartition(parts, "sent_id")
-        .join(F.broadcast(dictionary_languages(lexicon)), "src_lang", "left")
-        .select("sent_id", "src_lang", "tgt_langs", F.posexplode("words").alias("i", "word"))
-        .select("sent_id", "src_lang", "i", "word", F.get("tgt_langs", choice.cast("int")).alias("tgt_lang"))
-    )
-    found = lookup_lexicon(tokens, lexicon, opts.broadcast_limit)
-    total = F.element_at("choices", -1)["upto"]
-    at = F.pmod(draw(opts.seed, F.col("sent_id"), F.col("i"), "entry"), total)
-    entry = F.get(F.filter("choices", lambda c: c["upto"] > F.col("at")), F.lit(0))["translation"]
-    hit = F.col("choices").isNotNull() & (uniform(opts.seed, F.col("sent_id"), F.col("i"), "accept") <= opts.ratio)
-    replaced = (found.withColumn("at", at)
-                .select("sent_id", "src_lang", "i", "word", "tgt_lang", F.when(hit, entry).alias("entry")))
-    cells = F.sort_array(F.collect_list(F.struct("i", "word", "entry", "tgt_lang")))
-    return (
-        replaced.groupBy("sent_id", "src_lang").agg(cells.alias("cells"))
-        .select(
-            "sent_id", F.col("src_lang").alias("lang"), F.size("cells").alias("n"),
-            F.array_join("cells.word", " ").alias("text"),
-            F.array_join(F.transform("cells", lambda c: F.coalesce(c["entry"], c["word"])), " ").alias("switched"),
-            F.filter(F.transform("cells", lambda c: F.when(c["entry"].isNotNull(), c["tgt_lang"])),
-                     lambda v: v.isNotNull()).alias("hits"))
-    )
+    langs = dictionary_languages(lexicon)
+    langs = F.broadcast(langs) if fits_broadcast(langs, opts.broadcast_limit) else langs
+    pick = lambda d: F.get("tgt_langs", F.pmod(d, F.greatest(F.size("tgt_langs"), F.lit(1))).cast("int"))
+    rows = (df.select("sent_id", F.col("lang").alias("src_lang"), F.coalesce("words", F.array().cast("array<string>")).alias("words"))
+            .join(langs, "src_lang", "left")
+            .withColumn("digests", F.transform("words", lambda w, i: digest(opts.seed, F.col("sent_id"), i, "lex"))))
+    if opts.per == "sentence":
+        rows = rows.withColumn("lang0", pick(draw(opts.seed, F.col("sent_id"), 0, "lang"))).withColumn(
+            "langs", F.transform("words", lambda w: F.col("lang0")))
+    else:
+        rows = rows.withColumn("langs", F.transform("digests", lambda d: pick(hex_word(d, 0))))
+    rows = rows.withColumn("draws", F.transform("digests", lambda d: hex_word(d, 1)))
+    entries = stored(dictionary_entries(lexicon), "entries")
+    if fits_broadcast(entries, opts.broadcast_limit):
+        found = rows.withColumn("entries", _in_rows(rows, entries))
+    else:
+        found = _by_join(rows, entries, opts.broadcast_limit)
+    accepted = F.zip_with("entries", "digests", lambda e, d: F.when(
+        (hex_word(d, 2) + F.lit(0.5)) / F.lit(float(SPAN)) <= opts.ratio, e))
+    done = found.withColumn("entries", accepted)
+    return done.select(
+        "sent_id", F.col("src_lang").alias("lang"), F.size("words").alias("n"), F.array_join("words", " ").alias("text"),
+        F.array_join(F.zip_with("entries", "words", lambda e, w: F.coalesce(e, w)), " ").alias("switched"),
+        F.filter(F.zip_with("entries", "langs", lambda e, g: F.when(e.isNotNull(), g)), lambda v: v.isNotNull()).alias("hits"))

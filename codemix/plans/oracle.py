@@ -145,15 +145,17 @@ entries AS MATERIALIZED (
   SELECT src_lang, tgt_lang, word, list(translation ORDER BY translation) AS trs FROM lex GROUP BY ALL)"""
 
 
-def substituted(turn: str, ratio: float) -> str:
+def substituted(per: str, ratio: float) -> str:
+    word = lambda k: f"('0x' || substr(h, {8 * k + 1}, 8))::BIGINT"
+    lang = draw(0, "sent_id", 0, "'lang'") if per == "sentence" else word(0)
     return SENT + LEX + f""",
+hashed AS (SELECT *, md5(concat_ws(':', 0, sent_id, i, 'lex')) AS h FROM tok),
 drawn AS (
-  SELECT t.*, tl[1 + {draw(0, 'sent_id', turn, "'lang'")} % len(tl)] AS tgt_lang
-  FROM tok t JOIN dict_langs g ON t.lang = g.src_lang),
+  SELECT t.*, tl[1 + {lang} % len(tl)] AS tgt_lang
+  FROM hashed t JOIN dict_langs g ON t.lang = g.src_lang),
 subs AS MATERIALIZED (
   SELECT d.sent_id, d.lang, d.i, d.w, d.tgt_lang,
-    CASE WHEN {uniform(0, 'sent_id', 'i', "'accept'")} <= {ratio}
-      THEN trs[1 + {draw(0, 'sent_id', 'i', "'entry'")} % len(trs)] END AS entry
+    CASE WHEN ({word(2)} + 0.5) / 4294967296.0::DOUBLE <= {ratio} THEN trs[1 + {word(1)} % len(trs)] END AS entry
   FROM drawn d LEFT JOIN entries e ON d.lang = e.src_lang AND d.tgt_lang = e.tgt_lang AND d.w = e.word)"""
 
 

@@ -180,19 +180,19 @@ SUB_ROWS = """ SELECT sent_id, lang, string_agg(coalesce(entry, w), ' ' ORDER BY
   count(entry) AS n_hits FROM subs GROUP BY ALL"""
 
 
-@query("lexicon_substitution_per_sentence", f"WITH {O.substituted('0', 0.9)} {SUB_ROWS}")
+@query("lexicon_substitution_per_sentence", f"WITH {O.substituted('sentence', 0.9)} {SUB_ROWS}")
 def lexicon_substitution_per_sentence(spark, d):
     return _substitute(spark, d, "sentence").select(
         "sent_id", "lang", "switched", F.size("hits").cast("bigint").alias("n_hits"))
 
 
-@query("lexicon_substitution_per_word", f"WITH {O.substituted('i', 0.9)} {SUB_ROWS}")
+@query("lexicon_substitution_per_word", f"WITH {O.substituted('word', 0.9)} {SUB_ROWS}")
 def lexicon_substitution_per_word(spark, d):
     return _substitute(spark, d, "word").select(
         "sent_id", "lang", "switched", F.size("hits").cast("bigint").alias("n_hits"))
 
 
-@query("lexicon_report", f"""WITH {O.substituted('i', 0.9)}
+@query("lexicon_report", f"""WITH {O.substituted('word', 0.9)}
 SELECT '*' AS lang, count(*) AS words FROM subs
 UNION ALL SELECT tgt_lang, count(*) FROM subs WHERE entry IS NOT NULL GROUP BY tgt_lang""")
 def lexicon_report(spark, d):
