@@ -26,6 +26,16 @@ def parse_alignment(alignment: Column) -> Column:
     return F.transform(edge_codes(alignment), lambda c: F.struct(hi(c).alias("s"), lo(c).alias("t")))
 
 
+def dropped_edges(alignment: Column, n_src: Column, n_tgt: Column) -> Column:
+    """How many edges of an alignment are malformed or lie outside the sentences; null counts as none."""
+    def bad(e: Column) -> Column:
+        inside = (F.substring_index(e, "-", 1).try_cast("int") < n_src) & (
+            F.substring_index(e, "-", -1).try_cast("int") < n_tgt)
+        return (e != "") & ~(e.rlike(EDGE) & F.coalesce(inside, F.lit(False)))
+
+    return F.size(F.filter(F.split(F.coalesce(alignment, F.lit("")), r"\s+"), bad))
+
+
 def phrases(df: DataFrame, one_to_one: bool = False, contiguous_only: bool = False) -> DataFrame:
     """Add ``phrases`` to rows that hold ``words``, ``alignment`` and ``n_tgt``.
 

@@ -69,6 +69,18 @@ def assert_compatible(*metas: dict) -> None:
             raise ValueError(f"data sets differ in {bad}")
 
 
+def differing_settings(settings: DataFrame) -> DataFrame:
+    """Of rows (data_set, name, value): the names whose values differ between data sets, with their number.
+
+    A set without a value counts as one with the value null.
+    """
+    sets = settings.select("data_set").distinct().count()
+    per = settings.groupBy("name").agg(F.countDistinct("value").alias("n_values"),
+                                       F.countDistinct(F.when(F.col("value").isNotNull(), F.col("data_set"))).alias("given"))
+    total = F.col("n_values") + (F.col("given") < sets).cast("bigint")
+    return per.select("name", total.alias("n_values")).filter("n_values > 1")
+
+
 def mix_training(parallel: DataFrame | None, mono: DataFrame | None, split: str, epoch: int,
                  n_mono_parts: int | None = None, parallel_ratio: float = 1.0, mono_ratio: float = 1.0, seed: int = 0,
                  one_mono_part: bool = False) -> DataFrame:

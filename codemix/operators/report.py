@@ -22,6 +22,25 @@ def switch_stats(picks: DataFrame, langs: DataFrame) -> DataFrame:
                       mean("tgt_words").alias("mean_tgt_words"))
 
 
+def switch_totals(assembled: DataFrame, done: DataFrame) -> DataFrame:
+    """One row for a run: lines in, without a valid candidate and out, replacements, overall means.
+
+    ``assembled`` has a row per source line with candidates, ``done`` one per line that kept
+    a valid one, with its ``picks``.
+    """
+    span = F.aggregate("picks", F.lit(0), lambda a, p: a + F.element_at(p["s"], -1) + 1 - F.get(p["s"], F.lit(0)))
+    words = F.aggregate("picks", F.lit(0), lambda a, p: a + F.size(p["tw"]))
+    ins = assembled.agg(F.count(F.lit(1)).alias("lines_in"))
+    outs = done.select(F.size("picks").alias("k"), span.alias("span"), words.alias("words")).agg(
+        F.count(F.lit(1)).alias("lines_out"), F.coalesce(F.sum("k"), F.lit(0)).alias("replacements"),
+        F.sum("span").alias("span"), F.sum("words").alias("words"))
+    mean = lambda c: F.when(F.col("replacements") > 0, F.round(F.col(c) / F.col("replacements"), 6))
+    one = F.lit(1).alias("run")
+    return (ins.select("*", one).join(outs.select("*", one), "run")
+            .select("lines_in", (F.col("lines_in") - F.col("lines_out")).alias("lines_without"), "lines_out", "replacements",
+                    mean("span").alias("mean_src_span"), mean("words").alias("mean_tgt_words")))
+
+
 def lex_stats(substituted: DataFrame) -> DataFrame:
     """Total words (with no language) and replacements per language."""
     total = substituted.agg(F.lit("*").alias("lang"), F.sum("n").cast("bigint").alias("words"))

@@ -228,6 +228,23 @@ def valid_for_mono(spark, d):
     return corpus.valid_for_mono(ex.filter("kind = 'parallel'").drop("kind"), ex.filter("kind = 'mono'").drop("kind"))
 
 
+@query("compatible_sets", f"""WITH {O.SENT},
+per AS (SELECT lang, count(*) AS n, max(n) AS longest FROM sent GROUP BY lang),
+settings AS (SELECT lang, 'lines' AS name, n::VARCHAR AS value FROM per UNION ALL SELECT lang, 'pad', '1' FROM per
+  UNION ALL SELECT lang, 'long', CASE WHEN longest > 30 THEN 'yes' ELSE 'no' END FROM per
+  UNION ALL SELECT lang, 'bos', '0' FROM per WHERE lang <> 'es')
+SELECT name, count(DISTINCT value) + (count(*) < (SELECT count(*) FROM per))::INT AS n_values FROM settings
+GROUP BY name HAVING n_values > 1""")
+def compatible_sets(spark, d):
+    """Settings per language set, derived from its lines; ``bos`` is not stated for es."""
+    per = C.sentences(spark, d).groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.max("n").alias("longest"))
+    named = F.create_map(
+        F.lit("lines"), F.col("n").cast("string"), F.lit("pad"), F.lit("1"),
+        F.lit("long"), F.when(F.col("longest") > 30, "yes").otherwise("no"),
+        F.lit("bos"), F.when(F.col("lang") != "es", "0"))
+    return corpus.differing_settings(per.select(F.col("lang").alias("data_set"), F.explode(named).alias("name", "value")))
+
+
 # Stated apart from the operator's table: recipe, purpose, origin, sides.
 RECIPE_ROWS = """
   ('main', 'subword', 'parallel', ['switched', 'target']), ('main', 'subword', 'mono', ['target']),

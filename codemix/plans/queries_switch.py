@@ -47,6 +47,17 @@ def alignment_parse(spark, d):
         total("t").alias("sum_t"))
 
 
+@query("alignment_dropped", f"""WITH {O.CAND},
+sized AS (SELECT *, len({O.words('text')}) AS m FROM cand)
+SELECT sent_id, lang, count(*) AS n_dropped
+FROM (SELECT sent_id, lang, n, m, unnest(string_split(alignment, ' ')) AS e FROM sized WHERE alignment <> '')
+WHERE split_part(e, '-', 1)::BIGINT >= n OR split_part(e, '-', 2)::BIGINT >= m GROUP BY ALL""")
+def alignment_dropped(spark, d):
+    pairs = candidate_pairs(spark, d)
+    return pairs.select("sent_id", "lang", align.dropped_edges(F.col("alignment"), F.col("n"), F.col("n_tgt")).cast("bigint")
+                        .alias("n_dropped")).filter("n_dropped > 0")
+
+
 @query("candidate_assembly", f"""WITH {O.CAND}
 SELECT sent_id, count(*) AS n_cands, string_agg(lang || ':' || alignment, '|' ORDER BY lang_idx) AS alignments
 FROM cand GROUP BY ALL""")
@@ -181,6 +192,15 @@ def code_switch_multilingual(spark, d):
         C.references(spark, d), MULTI).select("sent_id", "lang", "text", "switched", "ref")
 
 
+@query("switch_totals", f"""WITH RECURSIVE {O.VALID}, {O.PICKED}, {O.phrases('chosen')}, {O.PICKS_SINGLE},
+ins AS (SELECT count(DISTINCT sent_id) AS i FROM cand), outs AS (SELECT count(DISTINCT sent_id) AS o FROM valid)
+SELECT any_value(i) AS lines_in, any_value(i) - any_value(o) AS lines_without, any_value(o) AS lines_out,
+  count(*) AS replacements, round(sum(ss[-1] + 1 - ss[1]) / count(*), 6) AS mean_src_span,
+  round(sum(len(ts)) / count(*), 6) AS mean_tgt_words FROM picks, ins, outs""")
+def switch_totals(spark, d):
+    return report.switch_totals(assembled(spark, d), single_picks(spark, d))
+
+
 @query("switch_report", f"""WITH RECURSIVE {O.VALID}, {O.PICKED}, {O.phrases('chosen')}, {O.PICKS_SINGLE}
 SELECT t.tgt AS lang, count(p.sent_id) AS replacements,
   CASE WHEN count(p.sent_id) > 0 THEN round(sum(ss[-1] + 1 - ss[1]) / count(p.sent_id), 6) END AS mean_src_span,

@@ -156,6 +156,14 @@ def lexicon_read(spark, d):
             .groupBy("src_lang", "tgt_lang", "word", "translation").agg(F.count(F.lit(1)).alias("n")))
 
 
+@query("lexicon_missing", f"""WITH {O.SENT} {O.LEX}
+SELECT lang AS src_lang, tgt AS tgt_lang FROM (SELECT DISTINCT lang FROM sent), (VALUES ('xx'), ('yy'), ('zz')) t(tgt)
+WHERE (lang, tgt) NOT IN (SELECT src_lang, tgt_lang FROM lex)""")
+def lexicon_missing(spark, d):
+    langs = [r["lang"] for r in C.sentences(spark, d).select("lang").distinct().collect()]
+    return lex_source.missing_dictionaries(C.lexicon(spark, d), langs, list(C.TARGETS))
+
+
 @query("lexicon_lookup", f"""WITH {O.SENT} {O.LEX}
 SELECT t.lang, t.sent_id, g.tgt AS tgt_lang, count(*) AS n_tokens, count(e.word) AS n_found, coalesce(sum(len(trs)), 0)::BIGINT AS n_entries
 FROM tok t CROSS JOIN (VALUES ('xx'), ('yy'), ('zz')) g(tgt)

@@ -16,6 +16,13 @@ def parse_entry(line: Column) -> Column:
     return F.struct(F.get(fields, F.lit(0)).alias("word"), F.get(fields, F.lit(1)).alias("translation"))
 
 
+def missing_dictionaries(lexicon: DataFrame, src_langs: list[str], tgt_langs: list[str]) -> DataFrame:
+    """Wanted pairs (src_lang, tgt_lang) that have no entry; their target language is never drawn."""
+    wanted = [(s, t) for s in src_langs for t in tgt_langs]
+    pairs = lexicon.sparkSession.createDataFrame(wanted, "src_lang string, tgt_lang string")
+    return pairs.join(lexicon.select("src_lang", "tgt_lang").distinct(), ["src_lang", "tgt_lang"], "left_anti")
+
+
 def read_lexicon(spark: SparkSession, folder: str, src_langs: list[str], tgt_langs: list[str]) -> DataFrame:
     """``src_lang, tgt_lang, word, translation`` of the pairs that have a file.
 
