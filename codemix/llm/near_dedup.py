@@ -7,10 +7,10 @@ of similarity 0.8 shares no table with probability 5e-4.
 
 Texts with the same shingle set form one class, and classes are compared once.  In
 every bucket all members are first compared with one pivot.  Classes that end up in
-one component need no more comparisons; buckets that still span components choose
-further pivots, smallest component first, until every pair of the bucket was compared
-or lies in one component.  So no bucket is expanded to all pairs, and no link inside
-it is lost.  Before texts are fetched, counts of shingles by their first byte bound the
+one component need no more comparisons.  In buckets that still span components, rows of
+small components are pivots for all others, ``PIVOTS`` at a time, until every pair of the
+bucket was compared or lies in one component; they meet blockwise in memory.  So no
+bucket is expanded to all pairs, and no link inside it is lost.  Before texts are fetched, counts of shingles by their first byte bound the
 intersection from above, which excludes nearly all chance candidates and no link.  Links
 are confirmed on the full shingle sets.
 """
@@ -28,8 +28,8 @@ from codemix.session import discard, stored
 
 BANDS_U, ROWS_U = 8, 2
 BANDS_V, ROWS_V = 12, 3
-#: Pivots that an open bucket compares per round at least; more while it makes few pairs.
-PIVOTS, BUCKET_PAIRS = 16, 50_000
+#: Rows of an open bucket that all its rows are compared with per round, and rows of a bucket in one task.
+PIVOTS, BLOCK_ROWS = 1024, 4096
 SALTS = 32
 #: Ids that may be broadcast to pick texts (8 bytes each).
 BROADCAST_IDS = 1_000_000
@@ -201,24 +201,75 @@ def _open(rows: DataFrame, labels: DataFrame) -> DataFrame:
 
 def _pivots(rows: DataFrame) -> DataFrame:
     """The next pivots of each bucket, smallest component first; cut per salt before the bucket meets."""
-    sizes = rows.groupBy("key", "label").agg(F.count(F.lit(1)).alias("size"))
-    wholes = sizes.groupBy("key").agg(F.sum("size").alias("whole"))
-    limit = F.greatest(F.lit(PIVOTS), F.floor(F.lit(BUCKET_PAIRS) / F.col("whole")))
-    ranked = rows.join(sizes.join(wholes, "key"), ["key", "label"]).withColumn(
-        "salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
-    order = [F.col("size"), F.col("label"), F.col("id")]
+    sizes = rows.groupBy("key", "label").agg(F.count(F.lit(1)).alias("share"))
+    ranked = rows.join(sizes, ["key", "label"]).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
+    order = [F.col("share"), F.col("label"), F.col("id")]
     for keys in (["key", "salt"], ["key"]):
         ranked = ranked.withColumn("rank", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).filter(
-            F.col("rank") <= limit)
-    return ranked.select("key", F.col("id").alias("p"), F.col("n").alias("p_n"), F.col("label").alias("p_label"))
+            F.col("rank") <= PIVOTS)
+    return ranked.select(*rows.columns)
+
+
+def _meet(percent: int):
+    """Pairs of a bucket's pivots and rows that lie in different components and can be alike.
+
+    Buckets arrive one after the other, pivots first; at most PIVOTS rows and a batch are held.
+    """
+
+    def parts(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+        spread = batch.column("spread").fill_null(b"\xff" * 256)  # unknown counts exclude nothing
+        return (*(batch.column(c).to_numpy() for c in ("id", "label", "n")),
+                np.frombuffer(b"".join(spread.to_pylist()), np.uint8).reshape(-1, 256))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for batch in batches:
+            marks = [batch.column(c).to_numpy() for c in ("key", "block", "kind")]
+            edges = np.flatnonzero(np.any([np.diff(m) != 0 for m in marks], axis=0)) + 1
+            out: list[tuple[np.ndarray, np.ndarray]] = []
+            for s, e in zip([0, *edges.tolist()], [*edges.tolist(), batch.num_rows], strict=True):
+                if s == e:
+                    continue
+                if now != (marks[0][s], marks[1][s]):
+                    now, held = (marks[0][s], marks[1][s]), []
+                ids, labels, sizes, spreads = parts(batch.slice(s, e - s))
+                if marks[2][s] == 0:
+                    held.append((ids, labels, sizes, spreads))
+                    continue
+                for pivots in held:
+                    for i, label, n, spread in zip(*pivots, strict=True):
+                        fit = np.flatnonzero((labels != label) & (100 * np.minimum(sizes, n) >= percent * np.maximum(sizes, n)))
+                        if len(fit):
+                            most = np.minimum(spreads[fit], spread).sum(1, dtype=np.int64)
+                            fit = fit[100 * most >= percent * (sizes[fit] + n - most)]
+                            out.append((np.minimum(ids[fit], i), np.maximum(ids[fit], i)))
+            if out:
+                a, b = (np.concatenate(x) for x in zip(*out, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return run
+
+
+def _near_pairs(rows: DataFrame, pivots: DataFrame, percent: int) -> DataFrame:
+    """Candidate pairs of open buckets; large buckets are cut into blocks that each get the pivots."""
+    blocks = rows.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("blocks"))
+    here = rows.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    sent = pivots.join(blocks, "key").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    columns = ["key", "block", "id", "label", "n", "spread"]
+    both = here.select(*columns, F.lit(1).alias("kind")).unionByName(sent.select(*columns, F.lit(0).alias("kind")))
+    return (both.repartition("key", "block").sortWithinPartitions("key", "block", "kind")
+            .mapInArrow(_meet(percent), "a bigint, b bigint").distinct())
 
 
 def links_of(reps: DataFrame, texts: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """Confirmed links between class representatives, and their component labels."""
     table = F.explode(F.flatten(F.transform("u", lambda x: F.transform("v", lambda y: F.xxhash64(x, y)))))
     keys = reps.select(F.col("doc_id").alias("id"), "n", table.alias("key"))
-    buckets = keys.groupBy("key").agg(F.min("id").alias("pivot"), F.count(F.lit(1)).alias("size")).filter(
-        F.col("size") > 1)
+    same = ["pivot", "size", "x", "y"]  # buckets of the same members are compared once
+    buckets = (keys.groupBy("key").agg(F.min("id").alias("pivot"), F.count(F.lit(1)).alias("size"),
+                                       F.bit_xor(F.xxhash64("id")).alias("x"),
+                                       F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y"))
+               .filter(F.col("size") > 1).groupBy(*same).agg(F.min("key").alias("key")))
     rows = stored(keys.join(buckets.select("key", "pivot"), "key"))
     sizes = reps.select(F.col("doc_id").alias("pivot"), F.col("n").alias("p_n"))
     seen = stored(rows.filter(F.col("id") != F.col("pivot")).select("id", "n", "pivot").distinct()
@@ -227,23 +278,20 @@ def links_of(reps: DataFrame, texts: DataFrame, words: int, percent: int) -> tup
     links = confirmed(possible(seen, reps, percent), texts, words, percent)
     labels = components(links)
     rows = rows.filter(F.col("id") != F.col("pivot")).select("key", "id", "n")
+    spreads = reps.select(F.col("doc_id").alias("id"), "spread")
     while True:
         rows = stored(_open(rows, labels))
         if rows.isEmpty():
             return links, labels
-        pivots = stored(_pivots(rows))
-        pairs = (rows.join(pivots, "key")
-                 .filter((F.col("label") != F.col("p_label")) & _alike(F.col("n"), F.col("p_n"), percent))
-                 .select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")).distinct()
-                 .join(seen, ["a", "b"], "left_anti"))
-        pairs = stored(pairs)
-        found = confirmed(possible(pairs, reps, percent), texts, words, percent)
+        full = rows.join(spreads, "id")
+        pivots = stored(_pivots(full))
+        pairs = stored(_near_pairs(full, pivots, percent).join(seen, ["a", "b"], "left_anti"))
+        found = confirmed(pairs, texts, words, percent)
         seen = seen.union(pairs)
         if not found.isEmpty():
             links = links.union(found)
             labels = components(links)
-        rows = rows.select("key", "id", "n").join(
-            pivots.select("key", F.col("p").alias("id")), ["key", "id"], "left_anti")
+        rows = rows.select("key", "id", "n").join(pivots.select("key", "id"), ["key", "id"], "left_anti")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
