@@ -18,17 +18,27 @@ from codemix.operators.sample import sample_n, smallest
 from codemix.session import checkpointed
 
 MARK = "▁"
+#: Longest piece that is proposed when a model is learned; models with longer pieces are used in full.
 MAX_PIECE = 16
 SEED_SIZE = 1_000_000
 UNKNOWN_COST = -30.0
 MIN_EXPECTED = 0.5
 
 
-def viterbi(word: str, model: dict[str, float], skip: str | None = None) -> tuple[list[str], float]:
-    """Best segmentation; a character without a piece stands alone at a high cost."""
+def longest_piece(model: dict[str, float]) -> int:
+    return max(map(len, model), default=1)
+
+
+def viterbi(word: str, model: dict[str, float], skip: str | None = None,
+            longest: int | None = None) -> tuple[list[str], float]:
+    """Best segmentation; a character without a piece stands alone at a high cost.
+
+    ``longest`` is the length of the model's longest piece; it is looked up when not given.
+    """
+    longest = longest_piece(model) if longest is None else longest
     best = [(0.0, 0)] + [(-math.inf, 0)] * len(word)
     for end in range(1, len(word) + 1):
-        for start in range(max(0, end - MAX_PIECE), end):
+        for start in range(max(0, end - longest), end):
             piece = word[start:end]
             logp = model.get(piece) if piece != skip else None
             if logp is None:
@@ -46,21 +56,28 @@ def viterbi(word: str, model: dict[str, float], skip: str | None = None) -> tupl
     return pieces[::-1], best[len(word)][0]
 
 
-def expected_pieces(word: str, model: dict[str, float]) -> dict[str, float]:
-    """Expected piece counts of one word under the model (forward-backward sums)."""
+def _log_add(a: float, b: float) -> float:
+    if a < b:
+        a, b = b, a
+    return a if b == -math.inf else a + math.log1p(math.exp(b - a))
+
+
+def expected_pieces(word: str, model: dict[str, float], longest: int | None = None) -> dict[str, float]:
+    """Expected piece counts of one word under the model: forward-backward sums of logarithms."""
     n = len(word)
-    arcs = [(s, e, model[word[s:e]]) for e in range(1, n + 1) for s in range(max(0, e - MAX_PIECE), e)
+    longest = longest_piece(model) if longest is None else longest
+    arcs = [(s, e, model[word[s:e]]) for e in range(1, n + 1) for s in range(max(0, e - longest), e)
             if word[s:e] in model]
-    ahead, back = [0.0] * (n + 1), [0.0] * (n + 1)
-    ahead[0] = back[n] = 1.0
+    ahead, back = [-math.inf] * (n + 1), [-math.inf] * (n + 1)
+    ahead[0] = back[n] = 0.0
     for s, e, logp in arcs:
-        ahead[e] += ahead[s] * math.exp(logp)
+        ahead[e] = _log_add(ahead[e], ahead[s] + logp)
     for s, e, logp in sorted(arcs, reverse=True):
-        back[s] += math.exp(logp) * back[e]
+        back[s] = _log_add(back[s], logp + back[e])
     out: dict[str, float] = {}
-    if ahead[n] > 0:
+    if ahead[n] > -math.inf:
         for s, e, logp in arcs:
-            p = ahead[s] * math.exp(logp) * back[e] / ahead[n]
+            p = math.exp(ahead[s] + logp + back[e] - ahead[n])
             out[word[s:e]] = out.get(word[s:e], 0.0) + p
     return out
 
@@ -71,10 +88,14 @@ def word_counts(df: DataFrame, words: str = "words") -> DataFrame:
     return df.select(F.explode(words).alias("w")).groupBy(marked.alias("word")).agg(F.count(F.lit(1)).alias("cnt"))
 
 
-def seed_pieces(counts: DataFrame, seed_size: int = SEED_SIZE) -> DataFrame:
-    """Frequent substrings (by count x length) and every single character."""
+def seed_pieces(counts: DataFrame, seed_size: int = SEED_SIZE, max_piece: int = MAX_PIECE,
+                min_count: int = 2) -> DataFrame:
+    """Every single character, and the ``seed_size`` best substrings by count x length.
+
+    Substrings have at most ``max_piece`` characters and occur ``min_count`` times at least.
+    """
     chars = F.split("word", "")
-    longest = F.least(F.lit(MAX_PIECE), F.size("c") - F.col("start") + 1)
+    longest = F.least(F.lit(max_piece), F.size("c") - F.col("start") + 1)
     pieces = (
         counts.select("cnt", chars.alias("c"))
         .select("cnt", "c", F.explode(F.sequence(F.lit(1), F.size("c"))).alias("start"))
@@ -82,7 +103,7 @@ def seed_pieces(counts: DataFrame, seed_size: int = SEED_SIZE) -> DataFrame:
         .select("cnt", "len", F.array_join(F.slice("c", F.col("start"), F.col("len")), "").alias("piece"))
         .groupBy("piece", "len").agg(F.sum("cnt").alias("freq"))
     )
-    pieces = checkpointed(pieces.filter("len = 1 OR freq > 1"))
+    pieces = checkpointed(pieces.filter((F.col("len") == 1) | (F.col("freq") >= min_count)))
     single = pieces.filter("len = 1")
     longer = smallest(pieces.filter("len > 1"), -F.col("freq") * F.col("len"), "piece", seed_size)
     return single.unionByName(longer)
@@ -92,10 +113,11 @@ def expectation(counts: DataFrame, model) -> DataFrame:
     """``piece, expected`` summed over the corpus; sums within a task come first."""
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        longest = longest_piece(model.value)
         for pdf in batches:
             total: Counter = Counter()
-            for word, cnt in zip(pdf["word"], pdf["cnt"]):
-                for piece, p in expected_pieces(word, model.value).items():
+            for word, cnt in zip(pdf["word"], pdf["cnt"], strict=True):
+                for piece, p in expected_pieces(word, model.value, longest).items():
                     total[piece] += p * cnt
             yield pd.DataFrame(list(total.items()), columns=["piece", "expected"])
 
@@ -111,9 +133,10 @@ def prune(expected: DataFrame, model, keep: int) -> DataFrame:
     """
 
     def gap(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        longest = longest_piece(model.value)
         for pdf in batches:
-            loss = [e * (model.value.get(p, UNKNOWN_COST) - viterbi(p, model.value, skip=p)[1])
-                    for p, e in zip(pdf["piece"], pdf["expected"])]
+            loss = [e * (model.value.get(p, UNKNOWN_COST) - viterbi(p, model.value, p, longest)[1])
+                    for p, e in zip(pdf["piece"], pdf["expected"], strict=True)]
             yield pdf.assign(loss=loss)
 
     scored = checkpointed(expected.mapInPandas(gap, "piece string, expected double, loss double"))
@@ -123,18 +146,22 @@ def prune(expected: DataFrame, model, keep: int) -> DataFrame:
     return single.unionByName(longer).select("piece", "expected")
 
 
-def _normalised(rows) -> dict[str, float]:
-    weights = {r["piece"]: max(r["expected"], MIN_EXPECTED) for r in rows
-               if r["expected"] >= MIN_EXPECTED or len(r["piece"]) == 1}
+def _normalised(rows, least: float = MIN_EXPECTED) -> dict[str, float]:
+    """Log probabilities; pieces expected less than ``least`` times go, characters stay with that count."""
+    weights = {r["piece"]: max(r["expected"], least) for r in rows
+               if r["expected"] >= least or len(r["piece"]) == 1}
     total = math.log(sum(weights.values()))
     return {p: math.log(w) - total for p, w in weights.items()}
 
 
 def learn_subwords(df: DataFrame, vocab_size: int = 32000, words: str = "words", seed_size: int = SEED_SIZE,
                    rounds: int = 2, shrink: float = 0.75, max_sentences: int | None = None,
-                   row_id: str = "sent_id", seed: int = 0) -> dict[str, float]:
+                   row_id: str = "sent_id", seed: int = 0, max_piece: int = MAX_PIECE, min_count: int = 2,
+                   min_expected: float = MIN_EXPECTED) -> dict[str, float]:
     """Unigram model (piece -> log probability) by EM and pruning (Kudo 2018).
 
+    ``seed_size``, ``max_piece``, ``min_count`` and ``min_expected`` bound the pieces that are tried.
+
     Every round is a job over the distinct words.  The model on the driver has
     at most ``seed_size`` pieces plus the characters.
     """
@@ -144,12 +171,12 @@ def learn_subwords(df: DataFrame, vocab_size: int = 32000, words: str = "words",
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # distinct words are few bytes but much work: keep them on all cores
     counts = checkpointed(word_counts(df, words).repartition(parts, "word"))
-    rows = seed_pieces(counts, seed_size).select("piece", F.col("freq").cast("double").alias("expected")).collect()
-    model = _normalised(rows)
+    rows = seed_pieces(counts, seed_size, max_piece, min_count).select("piece", F.col("freq").cast("double").alias("expected")).collect()
+    model = _normalised(rows, min_expected)
     while True:
         for _ in range(rounds):
             shared = sc.broadcast(model)
-            model = _normalised(expectation(counts, shared).collect())
+            model = _normalised(expectation(counts, shared).collect(), min_expected)
             shared.unpersist()
         if len(model) <= vocab_size:
             return model
@@ -157,7 +184,7 @@ def learn_subwords(df: DataFrame, vocab_size: int = 32000, words: str = "words",
         keep = max(vocab_size, int(len(model) * shrink))
         kept = prune(expectation(counts, shared), shared, keep).collect()
         shared.unpersist()
-        fewer = _normalised(kept)
+        fewer = _normalised(kept, min_expected)
         if len(fewer) >= len(model):  # only characters are left
             return fewer
         model = fewer
@@ -188,8 +215,8 @@ def segmenter(segment) -> Column:
 
 def encode_subwords(df: DataFrame, model: dict[str, float], words: str = "words") -> DataFrame:
     """Add ``pieces``: best segmentation of every word.  Narrow: no exchange, no join."""
-    shared = df.sparkSession.sparkContext.broadcast(model)
-    return df.withColumn("pieces", segmenter(lambda w: viterbi(MARK + w, shared.value)[0])(F.col(words)))
+    shared, longest = df.sparkSession.sparkContext.broadcast(model), longest_piece(model)
+    return df.withColumn("pieces", segmenter(lambda w: viterbi(MARK + w, shared.value, None, longest)[0])(F.col(words)))
 
 
 def bpe_word(word: str, ranks: dict[tuple[str, str], int]) -> list[str]:

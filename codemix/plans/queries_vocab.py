@@ -112,6 +112,46 @@ def learn_subwords(spark, d):
     return spark.createDataFrame([(p, float(round(v, 6))) for p, v in model.items()], "piece string, logp double")
 
 
+def _trigram_model(spark, d):
+    """A fixed model: every substring of up to three characters of the marked words, by frequency."""
+    counts = subword.word_counts(C.sentences(spark, d))
+    rows = subword.seed_pieces(counts, 1 << 40, max_piece=3, min_count=1)
+    total = rows.agg(F.sum("freq")).first()[0] or 1
+    return {r["piece"]: r["logp"] for r in rows.select("piece", F.log(F.col("freq") / F.lit(float(total))).alias("logp")).collect()}
+
+
+# Best score of a prefix from those of the three before it; the longest piece wins a tie.
+SEGMENTED = f"""WITH RECURSIVE {O.SENT},
+words AS MATERIALIZED (SELECT '▁' || w AS word, count(*) AS c FROM tok GROUP BY w),
+subs AS (SELECT substr(word, s, l) AS piece, sum(c) AS freq FROM words, range(1, 4) x(l),
+  LATERAL (SELECT unnest(range(1, len(word) - l + 2)) AS s) GROUP BY piece),
+model AS MATERIALIZED (SELECT piece, ln(freq::DOUBLE / (SELECT sum(freq) FROM subs)::DOUBLE) AS logp FROM subs),
+walk(word, e, s0, p0, s1, p1, s2, p2) AS (
+  SELECT word, 0, 0.0::DOUBLE, '', '-inf'::DOUBLE, '', '-inf'::DOUBLE, '' FROM words
+  UNION ALL
+  SELECT word, e + 1,
+    CASE WHEN c3 >= c2 AND c3 >= c1 THEN c3 WHEN c2 >= c1 THEN c2 ELSE c1 END,
+    CASE WHEN c3 >= c2 AND c3 >= c1 THEN p2 || ' ' || substr(word, e - 1, 3) WHEN c2 >= c1 THEN p1 || ' ' || substr(word, e, 2)
+      ELSE p0 || ' ' || substr(word, e + 1, 1) END, s0, p0, s1, p1
+  FROM (SELECT w.*, s0 + a.logp AS c1, s1 + coalesce(b.logp, 0) AS c2, s2 + coalesce(c.logp, 0) AS c3
+    FROM walk w JOIN model a ON a.piece = substr(word, e + 1, 1) LEFT JOIN model b ON e >= 1 AND b.piece = substr(word, e, 2)
+    LEFT JOIN model c ON e >= 2 AND c.piece = substr(word, e - 1, 3) WHERE e < len(word)))
+SELECT word, trim(p0) AS pieces, round(s0, 6) AS score FROM walk WHERE e = len(word)"""
+
+
+@query("segment_words", SEGMENTED)
+def segment_words(spark, d):
+    """Every distinct word under the fixed model, with its score."""
+    model = _trigram_model(spark, d)
+    words = C.sentences(spark, d).select(F.explode("words").alias("w")).distinct().select(
+        F.concat(F.lit(subword.MARK), "w").alias("word"), F.array("w").alias("words"))
+    cut = subword.encode_subwords(words, model).select("word", "pieces")
+    logs = F.broadcast(spark.createDataFrame(list(model.items()), "piece string, logp double"))
+    scored = cut.select("word", "pieces", F.posexplode("pieces").alias("i", "piece")).join(logs, "piece")
+    return scored.groupBy("word", "pieces").agg(F.round(F.sum("logp"), 6).alias("score")).select(
+        "word", F.array_join("pieces", " ").alias("pieces"), "score")
+
+
 @query("encode_subwords_round_trip", f"WITH {O.SENT} SELECT sent_id, text FROM sent")
 def encode_subwords_round_trip(spark, d):
     """Encode, then decode: the text itself."""

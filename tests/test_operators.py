@@ -368,6 +368,13 @@ def test_em_raises_the_likelihood():
         last = now
 
 
+def test_long_words_do_not_underflow():
+    model = {"a": -10.0, "aa": -12.0, "a" * 20: -15.0}
+    got = subword.expected_pieces("a" * 300, model)
+    assert sum(len(p) * c for p, c in got.items()) == pytest.approx(300)
+    assert subword.viterbi("a" * 20, model)[0] == ["a" * 20]
+
+
 def test_bpe_merges():
     ranks = {("l", "o"): 0, ("lo", "w</w>"): 1, ("e", "r</w>"): 2}
     assert subword.bpe_word("low", ranks) == ["low"]
