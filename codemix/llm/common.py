@@ -72,21 +72,21 @@ class WordHasher:
     """64-bit hashes of the words of a text: runs of bytes outside ``[\\x20\\x09-\\x0D]``.
 
     A word's hash sums a random value per byte times a power of its place, then
-    mixes; A-Z count as a-z when ``lower`` is set.
+    mixes; A-Z count as a-z when ``lower`` is set.  Sums of a run of bytes are
+    differences of running sums, shifted back by an inverse power.
     """
 
     def __init__(self, lower: bool, seed: int = 7):
         self.table = _lowered(seed) if lower else stream(seed, 256)
-        self.base = np.uint64(int(stream(seed + 1, 1)[0]) | 1)
-        self.powers = np.ones(1, np.uint64)
+        self.base = int(stream(seed + 1, 1)[0]) | 1
+        self.powers = self.inverses = np.ones(1, np.uint64)
 
-    def _power(self, n: int) -> np.ndarray:
+    def _grow(self, n: int) -> None:
         if len(self.powers) < n:
-            size = max(n, 2 * len(self.powers))
-            grown = np.full(size, self.base, np.uint64)
-            grown[0] = 1
-            self.powers = np.cumprod(grown)
-        return self.powers
+            for name, base in (("powers", self.base), ("inverses", pow(self.base, -1, 1 << 64))):
+                grown = np.full(n, base, np.uint64)
+                grown[0] = 1
+                setattr(self, name, np.cumprod(grown))
 
     def pieces(self, data: np.ndarray) -> Iterator[tuple[int, int]]:
         """Cuts of one long text into pieces that end at separators."""
@@ -120,15 +120,31 @@ class WordHasher:
         return starts, ends
 
     def hashes(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        if not len(starts):
-            return np.zeros(0, np.uint64)
-        lens = ends - starts
-        total = int(lens.sum())
-        shift = np.cumsum(lens) - lens
-        place = np.arange(total) - np.repeat(shift, lens)
-        at = place + np.repeat(starts, lens)
-        value = self.table[data[at]] * self._power(int(lens.max()))[place]
-        return mix(np.add.reduceat(value, shift) + lens.astype(np.uint64))
+        """Hashes of runs of bytes in rising order; steps of about SLICE_BYTES."""
+        out, a = np.zeros(len(starts), np.uint64), 0
+        while a < len(starts):
+            base = int(starts[a])
+            if ends[a] - base > SLICE_BYTES:
+                out[a] = self._long(data[base:ends[a]])
+                a += 1
+                continue
+            b = int(np.searchsorted(ends, base + SLICE_BYTES, "right"))
+            part = data[base:ends[b - 1]]
+            self._grow(len(part) + 1)
+            sums = np.zeros(len(part) + 1, np.uint64)
+            np.cumsum(self.table[part] * self.powers[:len(part)], out=sums[1:])
+            s, e = starts[a:b] - base, ends[a:b] - base
+            out[a:b] = mix((sums[e] - sums[s]) * self.inverses[s] + (e - s).astype(np.uint64))
+            a = b
+        return out
+
+    def _long(self, run: np.ndarray) -> np.uint64:
+        cuts = np.arange(0, len(run), SLICE_BYTES)
+        found = self.hashes(run, cuts, np.minimum(cuts + SLICE_BYTES, len(run)))
+        value = found[:1]
+        for k in range(1, len(found)):
+            value = mix(value ^ found[k])
+        return value[0]
 
     def words(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Word hashes of all rows in order, and the n + 1 bounds of each row's words."""
@@ -141,3 +157,28 @@ class WordHasher:
             return hashes, np.array([0, len(hashes)])
         starts, ends = self.spans(data, bounds)
         return self.hashes(data, starts, ends), np.searchsorted(starts, bounds, "left")
+
+
+class Remembered:
+    """A direct-mapped memory from 64-bit hashes to entry numbers; the first hash of a slot stays."""
+
+    def __init__(self, bits: int):
+        self.keys = np.zeros(1 << bits, np.uint64)
+        self.entries = np.zeros(1 << bits, np.int64)
+        self.mask, self.size = np.uint64((1 << bits) - 1), 0
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """Entry numbers; -1 where a hash is not known."""
+        slots = (hashes & self.mask).astype(np.int64)
+        return np.where((self.keys[slots] == hashes) & (hashes != 0), self.entries[slots], -1)
+
+    def add(self, hashes: np.ndarray) -> np.ndarray:
+        """Places in ``hashes`` (distinct, unknown) of those that found a free slot; they get the next entries."""
+        slots = (hashes & self.mask).astype(np.int64)
+        free = np.flatnonzero(self.keys[slots] == 0)
+        _, first = np.unique(slots[free], return_index=True)
+        kept = free[np.sort(first)]
+        self.keys[slots[kept]] = hashes[kept]
+        self.entries[slots[kept]] = self.size + np.arange(len(kept))
+        self.size += len(kept)
+        return kept

@@ -18,15 +18,18 @@ import json
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from codemix.llm.common import WordHasher, row_slices, text_buffer
+from codemix.llm.common import Remembered, WordHasher, row_slices, text_buffer
 
 CAPACITY = 1024
 END = 0
+#: Bits of a worker's memory of chunks; those that find no slot are tokenised again in the next block.
+MEMORY_BITS = 21
 #: Largest number of items of the multiset that one search looks at, longest first.
 WIDTH = 256
 
@@ -74,6 +77,8 @@ class Chunked:
         self.encoder = ranked_encoder(path)
         self.special = re.compile("|".join(map(re.escape, self.encoder.special_tokens_set)) or r"(?!)")
         self.hasher = WordHasher(False)
+        self.memory = Remembered(MEMORY_BITS)
+        self.sizes, self.flat = np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
         plain, special = self.encoder.encode_ordinary, self.special
@@ -99,23 +104,36 @@ class Chunked:
 
     def _split(self, whole: bytes, data: np.ndarray, bounds: np.ndarray) -> Iterator[np.ndarray]:
         _, ends = self.hasher.spans(data, bounds)
-        edge = np.unique(np.concatenate([[0], bounds, ends]))
+        border = np.zeros(len(data) + 1, bool)
+        border[0] = border[bounds] = border[ends] = True
+        edge = np.flatnonzero(border)
         starts, ends = edge[:-1], edge[1:]
         if not len(starts):
             for _ in range(len(bounds) - 1):
                 yield np.zeros(0, np.uint32)
             return
-        hashes = np.concatenate([self.hasher.hashes(data, starts[i:i + 200_000], ends[i:i + 200_000])
-                                 for i in range(0, len(starts), 200_000)])
-        _, first, back = np.unique(hashes, return_index=True, return_inverse=True)
-        found = self._encode([whole[s:e].decode("utf-8", "surrogatepass")
-                              for s, e in zip(starts[first].tolist(), ends[first].tolist(), strict=True)])
-        sizes = np.array([len(f) for f in found], np.int64)
-        flat = np.fromiter((i for f in found for i in f), np.uint32, int(sizes.sum()))
+        hashes = self.hasher.hashes(data, starts, ends)
+        place = self.memory.find(hashes)
+        sizes, flat = self.sizes, self.flat
+        missed = np.flatnonzero(place < 0)
+        if len(missed):
+            new, first, back = np.unique(hashes[missed], return_index=True, return_inverse=True)
+            first = missed[first]
+            found = self._encode([whole[s:e].decode("utf-8", "surrogatepass")
+                                  for s, e in zip(starts[first].tolist(), ends[first].tolist(), strict=True)])
+            more = np.array([len(f) for f in found], np.int64)
+            ids = np.fromiter(chain.from_iterable(found), np.uint32, int(more.sum()))
+            place[missed] = len(sizes) + back
+            sizes, flat = np.concatenate([sizes, more]), np.concatenate([flat, ids])
+            kept = self.memory.add(new)
+            self.sizes = np.concatenate([self.sizes, more[kept]])
+            stay = np.zeros(len(more), bool)
+            stay[kept] = True
+            self.flat = np.concatenate([self.flat, ids[np.repeat(stay, more)]])
         begin = np.cumsum(sizes) - sizes
         cuts = np.searchsorted(starts, bounds, "left")
         for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            use = back[s:e]
+            use = place[s:e]
             take = sizes[use]
             shift = np.cumsum(take) - take
             yield flat[np.arange(int(take.sum())) + np.repeat(begin[use] - shift, take)]
