@@ -4,7 +4,7 @@ The network reads the bytes of a segment (a word, cut every ``SEGMENT`` bytes; A
 count as a-z) from both sides and gives every byte position a probability per
 language.  A document's probabilities are the mean over its letter positions.
 Segments are independent, so each distinct one is computed once per block of text
-and weighted by its count, and a worker remembers the first ``REMEMBERED`` ones:
+and weighted by its count, and a worker remembers up to ``2 ** MEMORY_BITS``:
 the same sums for a fraction of the work.
 
 Training runs in numpy on the driver, by backpropagation through time, on a
@@ -14,24 +14,26 @@ of which at most ``train_segments`` distinct segments are kept, by hash order.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from codemix.llm.common import WordHasher, row_slices, text_buffer
+from codemix.llm.common import Remembered, WordHasher, row_slices, text_buffer
 
 SEGMENT = 32
 BLOCK = 8 << 20
 TRAIN_DOCS, TRAIN_SEGMENTS = 800, 30_000
 HIDDEN, EPOCHS, BATCH, RATE = 12, 6, 256, 0.01
-#: Segments whose result a worker remembers; more are computed again.
-REMEMBERED = 500_000
+#: Bits of a worker's memory of segments; those that find no slot are computed again.
+MEMORY_BITS = 20
 UNKNOWN = "und"
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A"):ord("Z") + 1] += 32
+PLAIN = re.compile(rb"[A-Za-z]")
 LETTER = np.zeros(256, bool)
 LETTER[ord("a"):ord("z") + 1] = LETTER[ord("A"):ord("Z") + 1] = LETTER[0x80:] = True
 
@@ -192,21 +194,22 @@ class Network:
             out[pick] = np.add.reduceat(odds * LETTER[part][:, None], to, axis=0)
         return out
 
-    def recalled(self, hashes: np.ndarray, data: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
-        """``pooled`` for sorted distinct hashes, through the worker's memory."""
-        known, values = self.__dict__.get("_memory", (np.zeros(0, np.uint64), np.zeros((0, len(self.langs)))))
-        place = np.searchsorted(known, hashes)
-        seen = np.zeros(len(hashes), bool)
-        if len(known):
-            seen = known[np.minimum(place, len(known) - 1)] == hashes
-        out = np.empty((len(hashes), len(self.langs)))
-        out[seen] = values[place[seen]]
-        new = ~seen
-        out[new] = self.pooled(data, starts[new], lens[new])
-        if len(known) < REMEMBERED and new.any():
-            add = np.flatnonzero(new)[:REMEMBERED - len(known)]
-            self._memory = (np.insert(known, place[add], hashes[add]), np.insert(values, place[add], out[add], axis=0))
-        return out
+    def recalled(self, hashes: np.ndarray, data: np.ndarray, starts: np.ndarray, lens: np.ndarray):
+        """``pooled`` through the worker's memory: a table of values, and each segment's row in it."""
+        if "_memory" not in self.__dict__:
+            self._memory, self._values = Remembered(MEMORY_BITS), np.zeros((0, len(self.langs)))
+        place = self._memory.find(hashes)
+        missed = np.flatnonzero(place < 0)
+        if not len(missed):
+            return self._values, place
+        new, first, back = np.unique(hashes[missed], return_index=True, return_inverse=True)
+        first = missed[first]
+        odds = self.pooled(data, starts[first], lens[first])
+        place[missed] = len(self._values) + back
+        table = np.concatenate([self._values, odds])
+        kept = self._memory.add(new)
+        self._values = np.concatenate([self._values, odds[kept]])
+        return table, place
 
     def documents(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Per text: the probabilities, and whether it has a letter."""
@@ -214,16 +217,15 @@ class Network:
         hasher, n = WordHasher(True), len(bounds) - 1
         sums, letters = np.zeros((n, len(self.langs))), np.zeros(n)
         for starts, ends, count, hashes, rows in segments(hasher, data, bounds):
-            _, first, back = np.unique(hashes, return_index=True, return_inverse=True)
-            odds = self.recalled(hashes[first], data, starts[first], (ends - starts)[first])
+            odds, place = self.recalled(hashes, data, starts, ends - starts)
             letters += np.bincount(rows, count, n)
             for c in range(len(self.langs)):
-                sums[:, c] += np.bincount(rows, odds[back, c], n)
-        plain = LETTER.copy()
-        plain[0x80:] = False
-        has = np.diff(np.concatenate([[0], np.cumsum(plain[data])])[bounds]) > 0
-        for i in np.flatnonzero(~has & (letters > 0)):
-            has[i] = any(c.isalpha() for c in data[bounds[i]:bounds[i + 1]].tobytes().decode("utf-8", "replace"))
+                sums[:, c] += np.bincount(rows, odds[place, c], n)
+        has = letters > 0
+        for i in np.flatnonzero(has):
+            text = memoryview(data[bounds[i]:bounds[i + 1]])
+            if not PLAIN.search(text):
+                has[i] = any(c.isalpha() for c in bytes(text).decode("utf-8", "replace"))
         return sums / np.maximum(letters, 1)[:, None], has
 
 
@@ -238,10 +240,9 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hasher = WordHasher(True)
     for batch in batches:
         data, bounds = text_buffer(batch.column("text"))
-        langs = batch.column("lang").to_pylist()
+        langs, raw = batch.column("lang").to_pylist(), LOWER[data].tobytes()
         counts: dict[tuple[str, bytes], int] = {}
         for starts, ends, _, _, rows in segments(hasher, data, bounds):
-            raw = LOWER[data].tobytes()
             for a, b, i in zip(starts.tolist(), ends.tolist(), rows.tolist(), strict=True):
                 key = (langs[i], raw[a:b])
                 counts[key] = counts.get(key, 0) + 1
