@@ -23,22 +23,29 @@ def _levels(key: Column, row_id: str) -> list[Column]:
     return [key.cast("double"), F.xxhash64(F.col(row_id)).cast("double"), F.col(row_id)]
 
 
-def cutoff(df: DataFrame, key: Column, row_id: str, k: int, fine: int = FINE):
-    """The k-th smallest (key, hash of id, id), or None when there are no more than k rows.
-
-    Histograms of at most BUCKETS cells narrow the key range, and inside one
-    heavily shared key the hash range, until ``fine`` rows remain; only those
-    are ranked.  Nothing larger than a histogram reaches the driver.
+def cutoff(df: DataFrame, key: Column, row_id: str, k, fine: int = FINE):
+    """The k-th smallest (key, hash of id, id), or None when all rows are wanted.
+
+    Rows of a null key are never taken.  ``k`` may be a function of the number of all rows.
+    Returns the cut-off and how many rows lie up to it.  One pass gives the number and the
+    range; histograms of at most BUCKETS cells narrow the key range, and inside one heavily
+    shared key the hash range, until ``fine`` rows remain; only those are ranked.  Nothing
+    larger than a histogram reaches the driver.
     """
     value, spread, row = _levels(key, row_id)
     open_rows = df.select(value.alias("k0"), spread.alias("k1"), row.alias("id"))
-    rows, below = open_rows.count(), 0
-    if k <= 0 or rows <= k:
-        return None
+    total, rows, low, high = open_rows.agg(F.count(F.lit(1)), F.count("k0"), F.min("k0"), F.max("k0")).first()
+    k, below = k(total) if callable(k) else k, 0
+    if k <= 0:
+        return None, 0
+    if rows <= k:
+        return None, rows
+    open_rows = open_rows.filter(F.col("k0").isNotNull())
     for level in ("k0", "k1"):
         if rows <= fine:
             break
-        low, high = open_rows.agg(F.min(level), F.max(level)).first()
+        if level == "k1":
+            low, high = open_rows.agg(F.min(level), F.max(level)).first()
         while rows > fine and low < high:
             cell = F.least(F.floor((F.col(level) - low) / ((high - low) / BUCKETS)), F.lit(BUCKETS - 1))
             hist = (open_rows.filter(F.col(level).between(low, high)).groupBy(cell.alias("cell"))
@@ -51,16 +58,17 @@ def cutoff(df: DataFrame, key: Column, row_id: str, k: int, fine: int = FINE):
         open_rows = open_rows.filter(F.col(level).between(low, high))
     rank = F.row_number().over(Window.orderBy("k0", "k1", "id"))
     found = open_rows.withColumn("r", rank).filter(F.col("r") == k - below).first()
-    return found["k0"], found["k1"], found["id"]
+    return (found["k0"], found["k1"], found["id"]), k
 
 
-def smallest(df: DataFrame, key: Column, row_id: str, k: int, fine: int = FINE) -> DataFrame:
-    """The k rows with the smallest key (ties by hash of the id): a cut-off, then a plain filter."""
-    if k <= 0:
-        return df.filter(F.lit(False))
-    cut = cutoff(df, key, row_id, k, fine)
+def smallest(df: DataFrame, key: Column, row_id: str, k, fine: int = FINE) -> DataFrame:
+    """The k rows with the smallest key (ties by hash of the id): a cut-off, then a plain filter.
+
+    ``k`` is a number, or a function of the number of rows; rows of a null key are left out.
+    """
+    cut, taken = cutoff(df, key, row_id, k, fine)
     if cut is None:
-        return df
+        return df.filter(key.isNotNull()) if taken else df.filter(F.lit(False))
     value, spread, row = _levels(key, row_id)
     v, h, i = (F.lit(c) for c in cut)
     return df.filter((value < v) | ((value == v) & ((spread < h) | ((spread == h) & (row <= i)))))
@@ -88,12 +96,12 @@ def subsample(df: DataFrame, row_id: str, ratio: float, seed: int = 0, epoch: in
     With weights the smallest keys -ln(u)/w win (Efraimidis & Spirakis 2006);
     rows of weight 0 are never drawn.
     """
-    size = sample_size(df.count(), ratio)
+    size = lambda n: sample_size(n, ratio)
+    sample_size(0, ratio)  # a wrong ratio fails at once
     u = uniform(_epoch_seed(seed, epoch), F.col(row_id), 0, "subsample")
     if weight is None:
         return smallest(df, draw(_epoch_seed(seed, epoch), F.col(row_id), 0, "subsample"), row_id, size)
-    live = df.filter(F.col(weight) > 0)
-    return smallest(live, -F.log(u) / F.col(weight), row_id, size)
+    return smallest(df, F.when(F.col(weight) > 0, -F.log(u) / F.col(weight)), row_id, size)
 
 
 def subsample_with_replacement(df: DataFrame, row_id: str, ratio: float, seed: int = 0, epoch: int = 1,
