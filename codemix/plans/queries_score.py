@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from codemix.functions.text import words
+from codemix.functions.text import untag_lang, words
 from codemix.operators import align, embed, score
 from codemix.plans import corpora as C, oracle as O
 from codemix.plans.registry import query
+from codemix.sources import logs
 
 # Clipped n-gram counts of `toks(sent_id, grp, side, items, kind)`.
 def _ngram_sql(kind: str, orders: range, sep: str) -> str:
@@ -26,18 +27,34 @@ stats AS (SELECT grp, kind, o, sum(least(h, r))::DOUBLE AS m, sum(h)::DOUBLE AS
   FROM counted GROUP BY ALL)"""
 
 
-@query("corpus_bleu", f"""WITH {O.REFHYP},
+BLEU_SQL = f"""WITH {O.REFHYP},
 toks AS (SELECT sent_id, grp, 'w' AS kind, 'h' AS side, {O.words('hyp')} AS items FROM refhyp
   UNION ALL SELECT sent_id, grp, 'w', 'r', {O.words('ref')} FROM refhyp),
 grams AS ({_ngram_sql('w', range(1, 5), ' ')}), {STATS}
 SELECT grp, round(100 * exp(sum(ln(m / h)) / 4) * any_value(bp), 2) AS bleu,
   any_value(sl)::BIGINT AS sys_len, any_value(rl)::BIGINT AS ref_len
 FROM stats JOIN (SELECT grp AS g, h AS sl, r AS rl, CASE WHEN h >= r THEN 1 ELSE exp(1 - r / h) END AS bp FROM stats WHERE o = 1)
-  ON g = grp GROUP BY grp""")
+  ON g = grp GROUP BY grp"""
+
+
+@query("corpus_bleu", BLEU_SQL)
 def corpus_bleu(spark, d):
     return score.corpus_bleu(C.ref_hyp(spark, d), ["grp"])
 
 
+@query("score_log", BLEU_SQL)
+def score_log(spark, d):
+    """From a generation log to a score: H lines, sorted join with the references, tags off, BLEU."""
+    rows = C.ref_hyp(spark, d)
+    sid, tab = F.col("sent_id").cast("string"), F.lit("\t")
+    log = rows.select(F.explode(F.array(
+        F.concat(F.lit("S-"), sid, tab, "ref"), F.concat(F.lit("H-"), sid, tab, F.lit("-3.5e-05"), tab, F.lit("LANG_TOK_XX "), "hyp"),
+        F.concat(F.lit("P-"), sid, tab, F.lit("-0.1")))).alias("value"))
+    hyps = logs.read_hypotheses(log).select(
+        F.col("id").alias("sent_id"), untag_lang(F.col("text"), F.lit("xx")).alias("hyp"))
+    return score.corpus_bleu(rows.select("sent_id", "grp", "ref").join(hyps, "sent_id"), ["grp"])
+
+
 MTEVAL_SQL = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(' ' || {t} || ' ',
   '([\{-\~\[-\` -\&\(-\+\:-\@\/])', ' \1 ', 'g'), '([^0-9])([\.,])', '\1 \2 ', 'g'),
   '([\.,])([^0-9])', ' \1 \2', 'g'), '([0-9])(-)', '\1 \2 ', 'g')"""

@@ -9,7 +9,7 @@ from codemix.operators import subword, vocab
 from codemix.plans import corpora as C, oracle as O
 from codemix.plans.queries_switch import joined_ints
 from codemix.plans.registry import query
-from codemix.session import checkpointed, scratch_path
+from codemix.session import checkpointed, scratch_path, stored
 from codemix.sources import store
 
 TAGS = ["en", "fr", "de", "es"]
@@ -136,10 +136,10 @@ walk(word, e, s0, p0, s1, p1, s2, p2) AS (
   FROM (SELECT w.*, s0 + a.logp AS c1, s1 + coalesce(b.logp, 0) AS c2, s2 + coalesce(c.logp, 0) AS c3
     FROM walk w JOIN model a ON a.piece = substr(word, e + 1, 1) LEFT JOIN model b ON e >= 1 AND b.piece = substr(word, e, 2)
     LEFT JOIN model c ON e >= 2 AND c.piece = substr(word, e - 1, 3) WHERE e < len(word)))
-SELECT word, trim(p0) AS pieces, round(s0, 6) AS score FROM walk WHERE e = len(word)"""
+"""
 
 
-@query("segment_words", SEGMENTED)
+@query("segment_words", SEGMENTED + "SELECT word, trim(p0) AS pieces, round(s0, 6) AS score FROM walk WHERE e = len(word)")
 def segment_words(spark, d):
     """Every distinct word under the fixed model, with its score."""
     model = _trigram_model(spark, d)
@@ -152,6 +152,21 @@ def segment_words(spark, d):
         "word", F.array_join("pieces", " ").alias("pieces"), "score")
 
 
+@query("prepare_ids", SEGMENTED.rstrip() + """,
+seg AS MATERIALIZED (SELECT word, string_split(trim(p0), ' ') AS ps FROM walk WHERE e = len(word)),
+flat AS MATERIALIZED (SELECT t.sent_id, t.i, unnest(ps) AS piece, generate_subscripts(ps, 1) AS j
+  FROM tok t JOIN seg s ON s.word = '▁' || t.w),
+voc AS (SELECT piece AS token, row_number() OVER (ORDER BY count(*) DESC, piece) + 3 AS id FROM flat GROUP BY piece)
+SELECT sent_id AS ex_id, string_agg(v.id::VARCHAR, ',' ORDER BY i, j) || ',2' AS ids FROM flat JOIN voc v ON token = piece
+GROUP BY sent_id""")
+def prepare_ids(spark, d):
+    """Sentences to ids: subwords, a vocabulary of the pieces, lookup."""
+    cut = stored(subword.encode_subwords(C.sentences(spark, d), _trigram_model(spark, d)).select(
+        F.col("sent_id").alias("ex_id"), "pieces"), "pieces")
+    voc = stored(vocab.build_vocab(cut, [], words="pieces"), "vocabulary")
+    return vocab.encode_ids(cut, voc, words="pieces").select("ex_id", joined_ints("ids").alias("ids"))
+
+
 @query("encode_subwords_round_trip", f"WITH {O.SENT} SELECT sent_id, text FROM sent")
 def encode_subwords_round_trip(spark, d):
     """Encode, then decode: the text itself."""
