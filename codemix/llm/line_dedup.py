@@ -28,7 +28,7 @@ from codemix.session import stored
 BITS_PER_LINE = 16
 MIN_BITS, MAX_BITS = 1 << 20, 1 << 29
 CHUNK = 1 << 20
-SALTS = 32
+SALTS, JOIN_SALTS = 32, 16
 BLANK = b" \t\n\x0b\x0c\r"
 
 _NOTES = "chunk int, salt int, once binary, twice binary"
@@ -190,7 +190,10 @@ def dedup_lines(docs: DataFrame, min_docs: int = 2, keep_first: bool = False,
     common = (suspects.groupBy("hi", "lo")
               .agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", F.col("at")[0], "mark")).alias("first"))
               .filter(F.col("n") >= min_docs))
-    drops = suspects.join(common, ["hi", "lo"])
+    # a line that every third document holds is one key: its suspects are spread over salts
+    common = common.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(JOIN_SALTS - 1))))
+    drops = suspects.withColumn("salt", F.pmod(F.xxhash64("doc_id", "mark"), F.lit(JOIN_SALTS)).cast("int")).join(
+        common, ["hi", "lo", "salt"])
     if keep_first:
         drops = drops.filter(~(F.col("first.doc_id").eqNullSafe(F.col("doc_id"))
                                & F.col("first.mark").eqNullSafe(F.col("mark"))))
