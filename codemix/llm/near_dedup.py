@@ -213,7 +213,8 @@ def _pivots(rows: DataFrame) -> DataFrame:
 def _meet(percent: int):
     """Pairs of a bucket's pivots and rows that lie in different components and can be alike.
 
-    Buckets arrive one after the other, pivots first; at most PIVOTS rows and a batch are held.
+    Buckets arrive one after the other, those of one U band together, pivots first.  At most
+    PIVOTS rows, a batch and the distinct pairs of a band's block are held.
     """
 
     def parts(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
@@ -221,50 +222,66 @@ def _meet(percent: int):
         return (*(batch.column(c).to_numpy() for c in ("id", "label", "n")),
                 np.frombuffer(b"".join(spread.to_pylist()), np.uint8).reshape(-1, 256))
 
+    def distinct(out: list[np.ndarray]) -> pa.RecordBatch:
+        pairs = np.concatenate(out)
+        pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
+        new = np.concatenate([[True], (pairs[1:] != pairs[:-1]).any(1)])
+        return pa.RecordBatch.from_arrays([pa.array(pairs[new, 0]), pa.array(pairs[new, 1])], ["a", "b"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
+        band, now, held, out = None, None, [], []
         for batch in batches:
-            marks = [batch.column(c).to_numpy() for c in ("key", "block", "kind")]
+            marks = [batch.column(c).to_numpy() for c in ("u", "block", "key", "kind")]
             edges = np.flatnonzero(np.any([np.diff(m) != 0 for m in marks], axis=0)) + 1
-            out: list[tuple[np.ndarray, np.ndarray]] = []
             for s, e in zip([0, *edges.tolist()], [*edges.tolist(), batch.num_rows], strict=True):
                 if s == e:
                     continue
-                if now != (marks[0][s], marks[1][s]):
-                    now, held = (marks[0][s], marks[1][s]), []
-                ids, labels, sizes, spreads = parts(batch.slice(s, e - s))
-                if marks[2][s] == 0:
+                u, block, key, kind = (m[s] for m in marks)
+                if band != (u, block) or sum(map(len, out)) > 1_000_000:
+                    if out:
+                        yield distinct(out)
+                    band, out = (u, block), []
+                if now != (u, block, key):
+                    now, held = (u, block, key), []
+                part = batch.slice(s, e - s)
+                ids, labels, sizes, spreads = parts(part)
+                if kind == 0:
                     held.append((ids, labels, sizes, spreads))
                     continue
+                once = part.column("whole").to_numpy()[0] <= PIVOTS  # all rows are pivots: a pair would be met twice
                 for pivots in held:
                     for i, label, n, spread in zip(*pivots, strict=True):
-                        fit = np.flatnonzero((labels != label) & (100 * np.minimum(sizes, n) >= percent * np.maximum(sizes, n)))
+                        fit = np.flatnonzero((labels != label) & (100 * np.minimum(sizes, n) >= percent * np.maximum(sizes, n))
+                                             & ((ids > i) | (not once)))
                         if len(fit):
                             most = np.minimum(spreads[fit], spread).sum(1, dtype=np.int64)
                             fit = fit[100 * most >= percent * (sizes[fit] + n - most)]
-                            out.append((np.minimum(ids[fit], i), np.maximum(ids[fit], i)))
-            if out:
-                a, b = (np.concatenate(x) for x in zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+                        if len(fit):
+                            out.append(np.stack([np.minimum(ids[fit], i), np.maximum(ids[fit], i)], 1))
+        if out:
+            yield distinct(out)
 
     return run
 
 
 def _near_pairs(rows: DataFrame, pivots: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs of open buckets; large buckets are cut into blocks that each get the pivots."""
-    blocks = rows.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("blocks"))
-    here = rows.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    sent = pivots.join(blocks, "key").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    columns = ["key", "block", "id", "label", "n", "spread"]
+    """Candidate pairs of open buckets; large ones are cut into blocks that each get the pivots."""
+    sizes = rows.groupBy("u", "key").agg(F.count(F.lit(1)).alias("whole"))
+    blocks = sizes.groupBy("u").agg(F.ceil(F.sum("whole") / BLOCK_ROWS).cast("int").alias("blocks"))
+    shape = sizes.join(blocks, "u").drop("u")
+    here = rows.join(shape, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    sent = pivots.join(shape, "key").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    columns = ["u", "block", "key", "whole", "id", "label", "n", "spread"]
     both = here.select(*columns, F.lit(1).alias("kind")).unionByName(sent.select(*columns, F.lit(0).alias("kind")))
-    return (both.repartition("key", "block").sortWithinPartitions("key", "block", "kind")
+    return (both.repartition("u", "block").sortWithinPartitions("u", "block", "key", "kind")
             .mapInArrow(_meet(percent), "a bigint, b bigint").distinct())
 
 
 def links_of(reps: DataFrame, texts: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """Confirmed links between class representatives, and their component labels."""
-    table = F.explode(F.flatten(F.transform("u", lambda x: F.transform("v", lambda y: F.xxhash64(x, y)))))
-    keys = reps.select(F.col("doc_id").alias("id"), "n", table.alias("key"))
+    table = F.explode(F.flatten(F.transform("u", lambda x: F.transform("v", lambda y: F.struct(
+        x.alias("u"), F.xxhash64(x, y).alias("key"))))))
+    keys = reps.select(F.col("doc_id").alias("id"), "n", table.alias("t")).select("id", "n", "t.u", "t.key")
     same = ["pivot", "size", "x", "y"]  # buckets of the same members are compared once
     buckets = (keys.groupBy("key").agg(F.min("id").alias("pivot"), F.count(F.lit(1)).alias("size"),
                                        F.bit_xor(F.xxhash64("id")).alias("x"),
@@ -277,7 +294,7 @@ def links_of(reps: DataFrame, texts: DataFrame, words: int, percent: int) -> tup
                         .select(F.col("pivot").alias("a"), F.col("id").alias("b")))
     links = confirmed(possible(seen, reps, percent), texts, words, percent)
     labels = components(links)
-    rows = rows.filter(F.col("id") != F.col("pivot")).select("key", "id", "n")
+    rows = rows.filter(F.col("id") != F.col("pivot")).select("u", "key", "id", "n")
     spreads = reps.select(F.col("doc_id").alias("id"), "spread")
     while True:
         rows = stored(_open(rows, labels))
@@ -291,7 +308,7 @@ def links_of(reps: DataFrame, texts: DataFrame, words: int, percent: int) -> tup
         if not found.isEmpty():
             links = links.union(found)
             labels = components(links)
-        rows = rows.select("key", "id", "n").join(pivots.select("key", "id"), ["key", "id"], "left_anti")
+        rows = rows.select("u", "key", "id", "n").join(pivots.select("key", "id"), ["key", "id"], "left_anti")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
