@@ -53,6 +53,14 @@ def row_slices(bounds: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[i
         start = stop
 
 
+def thin(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches cut to about ``limit`` bytes of one text column, so that Python copies stay small."""
+    for batch in batches:
+        _, bounds = text_buffer(batch.column(column))
+        for a, b in row_slices(bounds, limit):
+            yield batch.slice(a, b - a)
+
+
 def space_table() -> np.ndarray:
     table = np.zeros(256, bool)
     table[[0x20, *range(0x09, 0x0E)]] = True

@@ -24,11 +24,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 from codemix.llm.common import Remembered, WordHasher, row_slices, text_buffer
 
 SEGMENT = 32
-BLOCK = 8 << 20
+BLOCK = 2 << 20
 TRAIN_DOCS, TRAIN_SEGMENTS = 800, 30_000
 HIDDEN, EPOCHS, BATCH, RATE = 12, 6, 256, 0.01
+#: Updates at least: a small sample is passed more often.
+UPDATES = 400
 #: Bits of a worker's memory of segments; those that find no slot are computed again.
-MEMORY_BITS = 20
+MEMORY_BITS = 19
 UNKNOWN = "und"
 
 LOWER = np.arange(256, dtype=np.uint8)
@@ -160,6 +162,7 @@ class Network:
         first = {k: np.zeros_like(v) for k, v in self.weights.items()}
         second = {k: np.zeros_like(v) for k, v in self.weights.items()}
         lens, step = np.array([len(w) for w in words]), 0
+        epochs = max(epochs, -(-UPDATES // -(-len(words) // BATCH))) if words else 0
         total = epochs * (len(words) // BATCH + 1)
         for _ in range(epochs):
             mixed = rng.permutation(len(words))
@@ -197,19 +200,25 @@ class Network:
     def recalled(self, hashes: np.ndarray, data: np.ndarray, starts: np.ndarray, lens: np.ndarray):
         """``pooled`` through the worker's memory: a table of values, and each segment's row in it."""
         if "_memory" not in self.__dict__:
-            self._memory, self._values = Remembered(MEMORY_BITS), np.zeros((0, len(self.langs)))
+            self._memory = Remembered(MEMORY_BITS)
+            self._values = np.zeros((1 << 16, len(self.langs)))
         place = self._memory.find(hashes)
         missed = np.flatnonzero(place < 0)
-        if not len(missed):
-            return self._values, place
-        new, first, back = np.unique(hashes[missed], return_index=True, return_inverse=True)
-        first = missed[first]
-        odds = self.pooled(data, starts[first], lens[first])
-        place[missed] = len(self._values) + back
-        table = np.concatenate([self._values, odds])
-        kept = self._memory.add(new)
-        self._values = np.concatenate([self._values, odds[kept]])
-        return table, place
+        if len(missed):
+            new, first, back = np.unique(hashes[missed], return_index=True, return_inverse=True)
+            first = missed[first]
+            base = self._memory.size
+            order = np.full(len(new), -1)
+            kept = self._memory.add(new)
+            order[kept] = np.arange(len(kept))  # the remembered ones come first and stay
+            order[order < 0] = np.arange(len(kept), len(new))
+            if base + len(new) > len(self._values):
+                grown = np.zeros((2 * (base + len(new)), len(self.langs)))
+                grown[:base] = self._values[:base]
+                self._values = grown
+            self._values[base + order] = self.pooled(data, starts[first], lens[first])
+            place[missed] = base + order[back]
+        return self._values, place
 
     def documents(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Per text: the probabilities, and whether it has a letter."""

@@ -23,6 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
+from codemix.llm.common import row_slices, text_buffer, thin
 from codemix.session import stored
 
 BITS_PER_LINE = 16
@@ -56,7 +57,7 @@ def _note(size: int):
 
         salt = TaskContext.get().partitionId() % SALTS
         hit = []
-        for batch in batches:
+        for batch in thin(batches, "text"):
             digests: list[int] = []
             for text in batch.column(0):
                 digests.extend(xxhash.xxh3_128_intdigest(k) for k in set(_keys(text.as_py())) if k)
@@ -119,7 +120,7 @@ def twice_seen(docs: DataFrame, size: int) -> np.ndarray:
 def _suspects(filter_, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = filter_.value
-        for batch in batches:
+        for batch in thin(batches, "text"):
             rows: dict[str, list] = {k: [] for k in ("doc_id", "mark", "hi", "lo", "at")}
             owners, digests, places = [], [], []
             for i, text in enumerate(batch.column("text")):
@@ -149,6 +150,9 @@ def _suspects(filter_, size: int):
 
 
 def _without(texts: pa.Array, drops: pa.Array) -> pa.Array:
+    cuts = list(row_slices(text_buffer(texts)[1], 4 << 20))
+    if len(cuts) > 1:
+        return pa.concat_arrays([_without(texts.slice(a, b - a), drops.slice(a, b - a)) for a, b in cuts])
     kept, lines, dropped = [], [], []
     for text, drop in zip(texts.to_pylist(), drops.to_pylist(), strict=True):
         parts = (text or "").split("\n")

@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from codemix.llm.common import WordHasher, mix, row_slices, stream, text_buffer
+from codemix.llm.common import WordHasher, mix, row_slices, stream, text_buffer, thin
 from codemix.session import discard, stored
 
 BANDS_U, ROWS_U = 8, 2
@@ -89,7 +89,7 @@ def _bands(least: np.ndarray, rows: int, tag: int) -> np.ndarray:
 def _sign(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split = BANDS_U * ROWS_U
-        for batch in batches:
+        for batch in thin(batches, "text"):
             cols: dict[str, list] = {k: [] for k in ("n", "d1", "d2", "u", "v", "spread")}
             for values in shingle_sets(batch.column("text"), words):
                 cols["n"].append(len(values))
@@ -132,7 +132,7 @@ def _possible(percent: int):
 
 def _confirm(words: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in thin(batches, "text_a"):
             linked = []
             for x, y in zip(shingle_sets(batch.column("text_a"), words),
                             shingle_sets(batch.column("text_b"), words), strict=True):
