@@ -28,8 +28,8 @@ from codemix.session import discard, stored
 
 BANDS_U, ROWS_U = 8, 2
 BANDS_V, ROWS_V = 12, 3
-#: Rows of an open bucket that all its rows are compared with per round, and rows of a bucket in one task.
-PIVOTS, BLOCK_ROWS = 1024, 4096
+#: Rows of an open bucket that all its rows are compared with per round, and rows of a band in one task (streamed).
+PIVOTS, BLOCK_ROWS = 1024, 65_536
 SALTS = 32
 #: Ids that may be broadcast to pick texts (8 bytes each).
 BROADCAST_IDS = 1_000_000
