@@ -218,9 +218,11 @@ def _meet(percent: int):
     """
 
     def parts(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
-        spread = batch.column("spread").fill_null(b"\xff" * 256)  # unknown counts exclude nothing
+        spread = batch.column("spread")
+        known = ~spread.is_null().to_numpy(zero_copy_only=False)
+        spread = spread.fill_null(b"\0" * 256)  # not read where unknown
         return (*(batch.column(c).to_numpy() for c in ("id", "label", "n")),
-                np.frombuffer(b"".join(spread.to_pylist()), np.uint8).reshape(-1, 256))
+                np.frombuffer(b"".join(spread.to_pylist()), np.uint8).reshape(-1, 256), known)
 
     def distinct(out: list[np.ndarray]) -> pa.RecordBatch:
         pairs = np.concatenate(out)
@@ -244,18 +246,18 @@ def _meet(percent: int):
                 if now != (u, block, key):
                     now, held = (u, block, key), []
                 part = batch.slice(s, e - s)
-                ids, labels, sizes, spreads = parts(part)
+                ids, labels, sizes, spreads, known = parts(part)
                 if kind == 0:
-                    held.append((ids, labels, sizes, spreads))
+                    held.append((ids, labels, sizes, spreads, known))
                     continue
                 once = part.column("whole").to_numpy()[0] <= PIVOTS  # all rows are pivots: a pair would be met twice
                 for pivots in held:
-                    for i, label, n, spread in zip(*pivots, strict=True):
+                    for i, label, n, spread, sure in zip(*pivots, strict=True):
                         fit = np.flatnonzero((labels != label) & (100 * np.minimum(sizes, n) >= percent * np.maximum(sizes, n))
                                              & ((ids > i) | (not once)))
-                        if len(fit):
+                        if len(fit) and sure:  # unknown counts exclude nothing
                             most = np.minimum(spreads[fit], spread).sum(1, dtype=np.int64)
-                            fit = fit[100 * most >= percent * (sizes[fit] + n - most)]
+                            fit = fit[~known[fit] | (100 * most >= percent * (sizes[fit] + n - most))]
                         if len(fit):
                             out.append(np.stack([np.minimum(ids[fit], i), np.maximum(ids[fit], i)], 1))
         if out:

@@ -171,6 +171,20 @@ def test_open_buckets_compare_all_their_components(spark):
     assert {r.id: r.label for r in labels.collect()} == {i: c for i, (_, c) in expect.items() if i}
 
 
+def test_long_texts_of_an_open_bucket_still_meet(spark):
+    """Two alike sets of more than 80,000 shingles, without known counts, whose pivot links to neither."""
+    near = [f"w{i}" for i in range(84_000)]
+    rows = [(0, " ".join(f"p{i}" for i in range(84_000))), (1, " ".join(near)), (2, " ".join([*near, "q"]))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    signed = docs.mapInArrow(near_dedup._sign(2), near_dedup._SIGNED)
+    assert signed.filter("spread IS NULL AND n > 80000").count() == 3
+    reps = signed.select("doc_id", "n", F.array(F.lit(1).cast("bigint")).alias("u"),
+                         F.array(F.lit(2).cast("bigint")).alias("v"), "spread")
+    links, labels = near_dedup.links_of(reps, docs, 2, 80)
+    assert {tuple(r) for r in links.collect()} == {(1, 2)}
+    assert {r.id: r.label for r in labels.collect()} == {1: 1, 2: 1}
+
+
 def test_components_of_a_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 140)] + [(7, 7)]
     got = {r.id: r.label for r in near_dedup.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
