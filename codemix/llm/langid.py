@@ -264,7 +264,10 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def train(docs: DataFrame, train_docs: int = TRAIN_DOCS, train_segments: int = TRAIN_SEGMENTS,
           epochs: int = EPOCHS) -> Network:
-    """Fit the network on labelled documents that are not held out."""
+    """Fit the network on labelled documents that are not held out.
+
+    Without one segment to learn from it has no languages.
+    """
     labelled = docs.filter(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(
         "doc_id", "text", "lang")
     sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -279,7 +282,7 @@ def train(docs: DataFrame, train_docs: int = TRAIN_DOCS, train_segments: int = T
             .groupBy("lang", "segment").agg(F.sum("n").alias("n"))
             .orderBy(F.xxhash64("segment", "lang"), "segment", "lang").limit(train_segments).collect())
     if not rows:
-        return Network(langs)
+        return Network([])
     target = np.array([langs.index(r["lang"]) for r in rows])
     weight = np.sqrt(np.array([r["n"] for r in rows], np.float64))
     share = np.bincount(target, weight, len(langs))

@@ -17,9 +17,15 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a recognisable language (no letter, no text) go."""
-    found = langid.identify(docs, langid.train(docs))
-    return found.filter(F.col("lang_pred") != langid.UNKNOWN).select(*COLUMNS)
+    """lang becomes the network's language; documents without a letter or text go.
+
+    Where no language could be learned, documents with a letter stay with their lang.
+    """
+    network = langid.train(docs)
+    if not network.langs:
+        return docs.filter(F.col("text").rlike(r"\p{L}")).select(*COLUMNS)
+    found = langid.identify(docs, network).filter(F.col("lang_pred") != langid.UNKNOWN)
+    return found.withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -147,6 +147,25 @@ def test_pipeline_composes_its_stages(spark, tmp_path):
     assert whole.columns == packed.columns and whole.agg(F.sum("length")).first() == packed.agg(F.sum("length")).first()
 
 
+def test_language_stage_writes_the_recognised_language(spark):
+    words = {"en": ["the", "shore", "thing", "with", "wave"], "de": ["der", "schuh", "jung", "keit", "zug"]}
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choices(words[lang], k=30)), lang if i < 60 else None, None, None)
+            for i in range(80) for lang in [["en", "de"][i % 3 % 2]]]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    got = {r.doc_id: r.lang for r in corpus_pipeline.language_id(spark, docs, "").collect()}
+    assert got == {i: ["en", "de"][i % 3 % 2] for i in range(80)}
+
+
+@pytest.mark.parametrize("label", [None, "en"])
+def test_language_stage_keeps_texts_when_nothing_is_learned(spark, label):
+    rows = [(1, "the shore", None, None, None), (2, "12 --", label, None, None), (3, "été", None, None, None),
+            (4, None, None, None, None), (5, "", None, None, None), (6, "中文", None, None, None), (7, "١٢ ×", None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    got = sorted((r.doc_id, r.lang) for r in corpus_pipeline.language_id(spark, docs, "").collect())
+    assert got == [(1, None), (3, None), (6, None)]
+
+
 def test_pipeline_of_an_empty_table(spark, tmp_path):
     spark.createDataFrame([], "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(
         f"{tmp_path}/documents.parquet")
