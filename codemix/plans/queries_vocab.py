@@ -102,13 +102,9 @@ def swap_direction(spark, d):
     return out.select("ex_id", *[joined_ints(c).alias(c) for c in ("src", "tgt", "prev")], "n_src", "n_tgt")
 
 
-def _model(spark, d, size=1500, seed_size=4000, rounds=1):
-    return subword.learn_subwords(C.sentences(spark, d), size, seed_size=seed_size, rounds=rounds, shrink=0.5)
-
-
 @query("learn_subwords")
 def learn_subwords(spark, d):
-    model = _model(spark, d, 4000, 16000, 2)
+    model = subword.learn_subwords(C.sentences(spark, d))
     return spark.createDataFrame([(p, float(round(v, 6))) for p, v in model.items()], "piece string, logp double")
 
 
@@ -170,7 +166,8 @@ def prepare_ids(spark, d):
 @query("encode_subwords_round_trip", f"WITH {O.SENT} SELECT sent_id, text FROM sent")
 def encode_subwords_round_trip(spark, d):
     """Encode, then decode: the text itself."""
-    enc = subword.encode_subwords(C.sentences(spark, d), _model(spark, d))
+    sentences = C.sentences(spark, d)
+    enc = subword.encode_subwords(sentences, subword.learn_subwords(sentences))
     return enc.select("sent_id", T.decode_pieces(F.col("pieces")).alias("text"))
 
 

@@ -12,6 +12,7 @@ from codemix.functions import text as T
 from codemix.functions.draw import draw
 from codemix.operators import align, clean, corpus, embed, lexsub, pack, sample, score, subword, vocab
 from codemix.operators.lookup import lookup
+from codemix.plans import queries_vocab
 from codemix.session import dense_order
 from codemix.sources import lexicon, lines, logs, store
 
@@ -341,6 +342,21 @@ def test_subwords(spark):
     assert enc.select(T.decode_pieces(F.col("pieces"))).first()[0] == "low Ωmega x"
 
 
+def test_registered_subwords_have_the_operators_sizes(spark, monkeypatch):
+    df = spark.createDataFrame([(1, ["low"], "low")], "sent_id bigint, words array<string>, text string")
+    sizes = []
+
+    def learn(*args, **named):
+        sizes.append((args[1:], named))
+        return {c: -1.0 for c in "low" + subword.MARK}
+
+    monkeypatch.setattr(queries_vocab.C, "sentences", lambda *_: df)
+    monkeypatch.setattr(subword, "learn_subwords", learn)
+    assert queries_vocab.learn_subwords(spark, "").count() == 4
+    assert [tuple(r) for r in queries_vocab.encode_subwords_round_trip(spark, "").collect()] == [(1, "low")]
+    assert sizes == [((), {}), ((), {})]
+
+
 def test_em_raises_the_likelihood():
     words = {"▁abab": 5, "▁abc": 3, "▁cab": 2}
     pieces = {w[i:j] for w in words for i in range(len(w)) for j in range(i + 1, len(w) + 1)}
