@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -190,3 +191,76 @@ class Remembered:
         self.entries[slots[kept]] = self.size + np.arange(len(kept))
         self.size += len(kept)
         return kept
+
+
+class Grown:
+    """An array that rows are appended to, with room to spare."""
+
+    def __init__(self, dtype):
+        self.room, self.size = np.zeros(1 << 12, dtype), 0
+
+    def append(self, rows: np.ndarray) -> None:
+        need = self.size + len(rows)
+        if need > len(self.room):
+            grown = np.zeros(max(need, 2 * len(self.room)), self.room.dtype)
+            grown[:self.size] = self.room[:self.size]
+            self.room = grown
+        self.room[self.size:need] = rows
+        self.size = need
+
+
+class ChunkIds:
+    """Ids of texts through their distinct chunks: words, with the white space before them when ``glued``.
+
+    ``encode`` gives the ids of a list of chunks.  Up to ``2 ** bits`` chunks of at most
+    ``LONGEST`` ids are remembered; the others are encoded again in the next block.
+    """
+
+    LONGEST = 64
+
+    def __init__(self, encode: Callable[[list[str]], list[list[int]]], glued: bool, bits: int = 18):
+        self.encode, self.glued = encode, glued
+        self.hasher, self.memory = WordHasher(False), Remembered(bits)
+        self.begin, self.sizes, self.flat = Grown(np.int64), Grown(np.int64), Grown(np.uint32)
+
+    def ids(self, data: np.ndarray, bounds: np.ndarray) -> Iterator[np.ndarray]:
+        """Ids of every text of a block, in order."""
+        starts, ends = self.hasher.spans(data, bounds)
+        if self.glued:
+            border = np.zeros(len(data) + 1, bool)
+            border[0] = border[bounds] = border[ends] = True
+            edge = np.flatnonzero(border)
+            starts, ends = edge[:-1], edge[1:]
+        if not len(starts):
+            for _ in range(len(bounds) - 1):
+                yield np.zeros(0, np.uint32)
+            return
+        hashes = self.hasher.hashes(data, starts, ends)
+        place = self.memory.find(hashes)
+        missed = np.flatnonzero(place < 0)
+        begin, sizes, flat = (g.room[:g.size] for g in (self.begin, self.sizes, self.flat))
+        if len(missed):
+            new, first, back = np.unique(hashes[missed], return_index=True, return_inverse=True)
+            first, whole = missed[first], memoryview(data)
+            found = self.encode([bytes(whole[s:e]).decode("utf-8", "surrogatepass")
+                                 for s, e in zip(starts[first].tolist(), ends[first].tolist(), strict=True)])
+            more = np.array([len(f) for f in found], np.int64)
+            ids = np.fromiter(chain.from_iterable(found), np.uint32, int(more.sum()))
+            at = np.cumsum(more) - more
+            place[missed] = len(sizes) + back
+            begin, sizes = np.concatenate([begin, len(flat) + at]), np.concatenate([sizes, more])
+            flat = np.concatenate([flat, ids])
+            short = np.flatnonzero(more <= self.LONGEST)
+            kept = short[self.memory.add(new[short])]
+            stay = np.zeros(len(more), bool)
+            stay[kept] = True
+            kept_sizes = more[kept]
+            self.begin.append(self.flat.size + np.cumsum(kept_sizes) - kept_sizes)
+            self.sizes.append(kept_sizes)
+            self.flat.append(ids[np.repeat(stay, more)])
+        cuts = np.searchsorted(starts, bounds, "left")
+        for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            use = place[s:e]
+            take = sizes[use]
+            shift = np.cumsum(take) - take
+            yield flat[np.arange(int(take.sum())) + np.repeat(begin[use] - shift, take)]

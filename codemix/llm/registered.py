@@ -6,11 +6,22 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from codemix.llm import ann, chat, html_main, langid, line_dedup, mixing, near_dedup, packing, topk, url_rules
+from codemix.llm import (
+    ann, bpe_automaton, chat, html_main, langid, line_dedup, merkle, mixing, near_dedup, packing, topk, url_rules)
 
-#: Folder of the public tokenizer files; the same on driver and executors.
-TOKENIZERS = os.environ.get("CODEMIX_TOKENIZERS", "/opt/tokenizers")
-BPE = f"{TOKENIZERS}/byte_bpe_50k.json"
+
+
+def tokenizer_file(name: str) -> str:
+    """Path of a public tokenizer file; the same on driver and executors."""
+    folder = os.environ.get("CODEMIX_TOKENIZERS")
+    if folder:
+        return f"{folder}/{name}"
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -129,7 +140,7 @@ def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op8_packing")
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), BPE)
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file(BPE))
 
 
 @query("op9_chat_format", r"""
@@ -178,3 +189,80 @@ where rank <= 5
 """)
 def op10_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_products(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+@query("op11_bpe_round_trip")
+def op11_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokenizer_file(WORD_BPE)
+    encoded = bpe_automaton.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path)
+    return bpe_automaton.decode(encoded.select("doc_id", "ids"), path).select(
+        "doc_id", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_TEXT_SQL = f"translate(text, '{UPPER}', '{LOWER}')"
+
+
+def _leaf_sql(text: str) -> str:
+    sized = [f"coalesce(strlen({v}) || ':' || {v}, '-')"
+             for v in ("doc_id::varchar", "source", "lang", "n_chars::varchar", text)]
+    return f"sha256({' || '.join(sized)})"
+
+
+@query("op13_merkle_manifest", f"""
+with recursive checked as (
+  select *, list_reduce(list_concat([4294967295::bigint], list_transform(string_split(doc_id::varchar, ''), lambda c: ascii(c)::bigint)),
+    lambda crc, byte: list_reduce(list_concat([xor(crc, byte)], [1::bigint, 1, 1, 1, 1, 1, 1, 1]),
+      lambda x, one: case when x & one = 1 then xor(x >> 1, 3988292384::bigint) else x >> 1 end)) as crc
+  from documents),
+leaves as (
+  select row_number() over () as row_id, doc_id, coalesce('=' || source, '-') as tree, {_leaf_sql('text')} as leaf,
+    case when xor(crc, 4294967295::bigint) % 5 = 0 then {_leaf_sql(_TEXT_SQL)} else {_leaf_sql('text')} end as seen
+  from checked),
+placed as materialized (
+  select *, row_number() over (partition by tree order by doc_id nulls first, leaf) - 1 as pos,
+    count(*) over (partition by tree) as m from leaves),
+nodes(level, tree, pos, m, hash) as (
+  select 0, tree, pos, m, leaf from placed
+  union all
+  select level + 1, tree, pos // 16, (any_value(m) + 15) // 16, sha256(string_agg(hash, '' order by pos))
+  from nodes where m > 1 group by level, tree, pos // 16),
+subroots as materialized (
+  select tree, hash as subroot, row_number() over (order by tree) - 1 as pos, count(*) over () as m
+  from nodes where m = 1),
+upper(level, pos, m, hash) as (
+  select 0, pos, m, subroot from subroots
+  union all
+  select level + 1, pos // 16, (any_value(m) + 15) // 16, sha256(string_agg(hash, '' order by pos))
+  from upper where m > 1 group by level, pos // 16),
+walk(row_id, level, tree, pos, m, now, proof) as (
+  select row_id, 0, tree, pos, m, seen, '' from placed
+  union all
+  select w.row_id, w.level + 1, w.tree, w.pos // 16, (w.m + 15) // 16,
+    sha256(string_agg(case when n.pos = w.pos then w.now else n.hash end, '' order by n.pos)),
+    w.proof || coalesce(string_agg(n.hash, '' order by n.pos) filter (n.pos <> w.pos), '')
+  from walk w join nodes n on n.level = w.level and n.tree = w.tree and n.pos // 16 = w.pos // 16
+  where w.m > 1 group by w.row_id, w.level, w.tree, w.pos, w.m, w.now, w.proof),
+rest(row_id, level, pos, m, now, proof) as (
+  select row_id, 0, s.pos, s.m, now, proof from walk join subroots s using (tree) where walk.m = 1
+  union all
+  select w.row_id, w.level + 1, w.pos // 16, (w.m + 15) // 16,
+    sha256(string_agg(case when n.pos = w.pos then w.now else n.hash end, '' order by n.pos)),
+    w.proof || coalesce(string_agg(n.hash, '' order by n.pos) filter (n.pos <> w.pos), '')
+  from rest w join upper n on n.level = w.level and n.pos // 16 = w.pos // 16
+  where w.m > 1 group by w.row_id, w.level, w.pos, w.m, w.now, w.proof)
+select p.doc_id, p.leaf, s.subroot, u.hash as root, sha256(r.proof) as proof_sha256, r.now as folded_root,
+  r.now = u.hash as verified
+from placed p join subroots s using (tree) join rest r on r.row_id = p.row_id and r.m = 1
+join upper u on u.m = 1
+""")
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    suspect = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    lowered = [F.translate("text", UPPER, LOWER) if c == "text" else F.col(c) for c in merkle.FIELDS]
+    rows = merkle.manifest(docs, carry={"tampered": F.when(suspect, F.unhex(merkle.leaf(lowered)))})
+    seen = F.coalesce(F.lower(F.hex("tampered")), F.col("leaf"))
+    return rows.select(
+        "doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("path")).alias("proof_sha256"),
+        merkle.fold(seen, F.col("path")).alias("folded_root")).withColumn("verified", F.col("folded_root") == F.col("root"))

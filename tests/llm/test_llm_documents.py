@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 
 from codemix.llm import langid, line_dedup, mixing, near_dedup, packing
 from codemix.llm.common import WordHasher, row_slices, text_buffer
-from codemix.llm.registered import BPE
+from codemix.llm.registered import BPE as BPE_NAME, tokenizer_file
+
+BPE = tokenizer_file(BPE_NAME)
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 BLANKS = " \t\n\x0b\x0c\r"

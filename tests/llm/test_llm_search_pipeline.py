@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from codemix.llm import ann, near_dedup, packing, registered, topk
-from codemix.llm.registered import BPE
+from codemix.llm.registered import BPE as BPE_NAME, tokenizer_file
+
+BPE = tokenizer_file(BPE_NAME)
 
 SHAPE = "vec_id bigint, embedding array<float>, label int"
 BAD = [None, [], [float("nan")] * 6, [1.0, None, 0.0, 0.0, 0.0, 0.0], [float("inf")] + [0.0] * 5, [1.0, 2.0]]
