@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from codemix import session
 from codemix.llm import langid, line_dedup, mixing, near_dedup, packing
-from codemix.llm.registered import BPE
+from codemix.llm.registered import BPE, tokenizer_file
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -46,7 +46,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token sequences of 1024 by minimum bin slack, one row per piece."""
-    return packing.pack(docs, BPE)
+    return packing.pack(docs, tokenizer_file(BPE))
 
 
 STAGES = [
