@@ -78,15 +78,16 @@ def _lowered(seed: int) -> np.ndarray:
 
 
 class WordHasher:
-    """64-bit hashes of the words of a text: runs of bytes outside ``[\\x20\\x09-\\x0D]``.
+    """64-bit hashes of the words of a text: runs of bytes outside ``breaks``, by default ``[\\x20\\x09-\\x0D]``.
 
     A word's hash sums a random value per byte times a power of its place, then
     mixes; A-Z count as a-z when ``lower`` is set.  Sums of a run of bytes are
     differences of running sums, shifted back by an inverse power.
     """
 
-    def __init__(self, lower: bool, seed: int = 7):
+    def __init__(self, lower: bool, seed: int = 7, breaks: np.ndarray = SPACE):
         self.table = _lowered(seed) if lower else stream(seed, 256)
+        self.breaks = breaks
         self.base = int(stream(seed + 1, 1)[0]) | 1
         self.powers = self.inverses = np.ones(1, np.uint64)
 
@@ -103,7 +104,7 @@ class WordHasher:
         while start < n:
             stop = min(start + SLICE_BYTES, n)
             while stop < n:
-                gap = np.flatnonzero(SPACE[data[stop:stop + SLICE_BYTES]])
+                gap = np.flatnonzero(self.breaks[data[stop:stop + SLICE_BYTES]])
                 if len(gap):
                     stop += int(gap[0])
                     break
@@ -114,7 +115,7 @@ class WordHasher:
     def spans(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Starts and ends of the words; no word crosses a bound."""
         inside = np.zeros(len(data) + 2, bool)
-        inside[1:-1] = ~SPACE[data]
+        inside[1:-1] = ~self.breaks[data]
         edge = inside[1:] != inside[:-1]
         at = np.flatnonzero(edge)
         starts, ends = at[::2], at[1::2]

@@ -16,9 +16,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from codemix.session import broadcast_if_small, discard, stored
+from codemix.llm.order import numbered
+from codemix.session import discard, stored
 
 FAN_BITS = 4
 #: Children of a node, and nodes of a level that one window holds (whole runs).
@@ -45,24 +46,6 @@ def _tree(source: Column) -> Column:
     return F.when(source.isNull(), F.lit("-")).otherwise(F.concat(F.lit("="), source))
 
 
-def numbered(rows: DataFrame, *order: Column) -> DataFrame:
-    """Add ``pos``, the 0-based place of a row in its ``tree``, and ``m``, the size of the tree.
-
-    One range exchange by (tree, order); places are counted per partition, and a table of one
-    row per tree and partition holds where they start.
-    """
-    at = F.monotonically_increasing_id()
-    done = stored(rows.orderBy("tree", *order).withColumn("_at", at), "leaves").withColumn(
-        "_part", F.shiftright("_at", 33))
-    parts = done.groupBy("tree", "_part").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
-    before = W.partitionBy("tree").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
-    starts = stored(parts.select("tree", "_part", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"),
-                                 F.sum("_n").over(W.partitionBy("tree")).alias("m")), "starts")
-    return (done.join(broadcast_if_small(starts), ["tree", "_part"])
-            .withColumn("pos", F.col("_at") - F.col("_first") + F.col("_before"))
-            .drop("_at", "_part", "_first", "_before"))
-
-
 #: A node's run in its level, its slot there, the length of the run, and the window that holds whole runs.
 _RUN, _SLOT = f"shiftright(pos, {FAN_BITS})", f"(pos & {FAN - 1})"
 _LENGTH = f"least({FAN}, m - shiftleft({_RUN}, {FAN_BITS}))"
@@ -151,10 +134,10 @@ def manifest(docs: DataFrame, carry: dict[str, Column] | None = None, fields: Se
     rows = stored(docs.select(_tree(F.col("source")).alias("tree"), F.col("doc_id").cast("bigint").alias("doc_id"),
                               F.unhex(leaf([docs[c] for c in fields])).alias("hash"),
                               *[c.alias(name) for name, c in carry.items()]), "rows")
-    placed = stored(numbered(rows, F.asc_nulls_first("doc_id"), F.asc("hash")), "placed")
+    placed = stored(numbered(rows, "tree", F.asc_nulls_first("doc_id"), F.asc("hash")), "placed")
     discard(rows)
     levels = climb(placed)
-    subroots = numbered(tops(levels).select(F.lit("").alias("tree"), F.col("tree").alias("name"), "hash"), F.asc("name"))
+    subroots = numbered(tops(levels).select(F.lit("").alias("tree"), F.col("tree").alias("name"), "hash"), "tree", F.asc("name"))
     upper = climb(stored(subroots, "subroots"))
     last = tops(upper).first()
     root = bytes(last["hash"]).hex() if last else None

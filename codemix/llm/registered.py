@@ -7,7 +7,8 @@ import os
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from codemix.llm import (
-    ann, bpe_automaton, chat, html_main, langid, line_dedup, merkle, mixing, near_dedup, packing, topk, url_rules)
+    ann, bpe_automaton, chat, html_main, langid, line_dedup, merkle, mixing, near_dedup, packing, phrases, topk,
+    url_rules)
 
 
 
@@ -200,6 +201,46 @@ def op11_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+@query("op12_phrase_collocations", r"""
+with pieces as (
+  select row_number() over () as piece, lang, piece_text from (
+    select coalesce(lang, 'und') as lang, unnest(string_split_regex(
+      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\n-\r]')) as piece_text
+    from documents)),
+tokens as (
+  select piece, lang, unnest(ws) as w, generate_subscripts(ws, 1) as i
+  from (select piece, lang, list_filter(string_split_regex(piece_text, '[ \t]+'), lambda w: w <> '') as ws from pieces)),
+near as materialized (
+  select lang, w, lead(w, 1) over p as w2, lead(w, 2) over p as w3 from tokens window p as (partition by piece order by i)),
+f1 as materialized (select lang, w, count(*) as f from near group by all),
+f2 as materialized (select lang, w, w2, count(*) as f from near where w2 is not null group by all having count(*) >= 10),
+f3 as materialized (select lang, w, w2, w3, count(*) as f from near where w3 is not null group by all having count(*) >= 10),
+cuts as (
+  select p.lang, p.w || ' ' || p.w2 as phrase, p.f as a, 1 as k, x.f as l, y.f as r
+  from f2 p join f1 x using (lang, w) join f1 y on y.lang = p.lang and y.w = p.w2
+  union all
+  select p.lang, p.w || ' ' || p.w2 || ' ' || p.w3, p.f, 1, x.f, y.f
+  from f3 p join f1 x using (lang, w) join f2 y on y.lang = p.lang and y.w = p.w2 and y.w2 = p.w3
+  union all
+  select p.lang, p.w || ' ' || p.w2 || ' ' || p.w3, p.f, 2, x.f, y.f
+  from f3 p join f2 x using (lang, w, w2) join f1 y on y.lang = p.lang and y.w = p.w3),
+scored as (
+  select *, (1000000::hugeint * a * a) // (l::hugeint * r) as score from cuts),
+best as (
+  select * from (select *, row_number() over (partition by lang, phrase order by score, k) as best from scored) where best = 1),
+longer as (
+  select lang, phrase, max(f) as f from (
+    select lang, w || ' ' || w2 as phrase, f from f3 union all select lang, w2 || ' ' || w3, f from f3) group by all),
+ranked as (
+  select b.*, row_number() over (partition by b.lang order by score desc, a desc, b.phrase) as rank
+  from best b left join longer g on g.lang = b.lang and g.phrase = b.phrase where g.f is null or 100 * g.f < 50 * a)
+select lang, rank, phrase, a, l, r, n, score::bigint as score
+from ranked join (select lang, sum(f)::bigint as n from f1 group by lang) using (lang) where rank <= 2000
+""")
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"), support=10, longest=3, top=2000, covered=50)
+
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _TEXT_SQL = f"translate(text, '{UPPER}', '{LOWER}')"
 

@@ -2,15 +2,17 @@
 
 import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from codemix.llm import bpe_automaton, merkle
+from codemix.llm import bloom, bpe_automaton, merkle, phrases
 from codemix.llm.registered import WORD_BPE, tokenizer_file
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -167,3 +169,86 @@ def test_lowered_capitals_are_found(spark):
         "ok", merkle.fold(F.col("seen"), F.col("path")) == F.col("root"))
     assert all(r.ok == (r.doc_id % 2 == 0) for r in out.collect())
     assert zlib.crc32(b"15") % 5 == docs.filter("doc_id = 15").select(F.crc32(F.lit("15")) % 5).first()[0]
+
+
+# --- phrases ----------------------------------------------------------------
+
+def brute_phrases(rows, support, longest, top, covered):
+    counts, totals = {}, {}
+    for text, lang in rows:
+        lang = "und" if lang is None else lang
+        low = re.sub("[A-Z]", lambda m: m.group().lower(), text or "")
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", low):
+            words = re.findall(r"[^\x20\x09]+", piece)
+            totals[lang] = totals.get(lang, 0) + len(words)
+            for n in range(1, longest + 1):
+                for i in range(len(words) - n + 1):
+                    key = (lang, tuple(words[i:i + n]))
+                    counts[key] = counts.get(key, 0) + 1
+    out = {}
+    for (lang, words), a in counts.items():
+        if len(words) < 2 or a < support:
+            continue
+        inside = [f for (g, w), f in counts.items() if g == lang and len(w) > len(words) and f >= support
+                  and any(w[i:i + len(words)] == words for i in range(len(w) - len(words) + 1))]
+        if any(100 * f >= covered * a for f in inside):
+            continue
+        cuts = [(1000000 * a * a // (counts[lang, words[:k]] * counts[lang, words[k:]]), k) for k in range(1, len(words))]
+        score, k = min(cuts)
+        out.setdefault(lang, []).append((-score, -a, " ".join(words).encode(), counts[lang, words[:k]], counts[lang, words[k:]]))
+    return sorted((lang, i + 1, p.decode(), -a, le, ri, totals[lang], -s)
+                  for lang, found in out.items() for i, (s, a, p, le, ri) in enumerate(sorted(found)[:top]))
+
+
+@pytest.mark.parametrize("support,shards,longest,top,covered", [(10, 4, 3, 2000, 50), (3, 2, 4, 5, 80), (10, 9, 2, 50, 50)])
+def test_phrases_equal_brute_force(spark, support, shards, longest, top, covered):
+    rng = random.Random(support)
+    words = ["a", "B", "new", "york", "é", "ü\xa0x", "of", "the", "\x1cz"]
+    rows = []
+    for _ in range(120):
+        parts = [" ".join(rng.choices(words, k=rng.randint(1, 8))) if rng.random() < 0.6 else "New \t York of" for _ in range(4)]
+        rows.append((rng.choice([". ", "\n", "\x0b", " , ", "!? "]).join(parts), rng.choice(["en", "en", "fr", None, "und"])))
+    rows += [rows[0]] * 3 + [(None, "en"), ("", "en"), (" \t ", None), ("the cat " * 4000, "xx"), ("x y", "lonely")]
+    docs = spark.createDataFrame([(i if i % 9 else None, t, g, 7) for i, (t, g) in enumerate(rows)],
+                                 "doc_id bigint, text string, lang string, shard int").repartition(5)
+    got = phrases.collocations(docs, support, shards, longest, top, covered).collect()
+    assert sorted(tuple(r) for r in got) == brute_phrases(rows, support, longest, top, covered)
+
+
+def test_phrases_of_nothing(spark):
+    docs = spark.createDataFrame([], DOCS)
+    assert phrases.collocations(docs).collect() == []
+    with pytest.raises(ValueError):
+        phrases.collocations(docs, support=4, shards=4)
+
+
+def test_words_join_within_pieces_of_a_row():
+    part = list(phrases.Slices(pa.array(["one two, three " * 9, "one two three " * 12]), ["en", "fr"]))
+    assert [int(p.joined.sum()) for p in part] == [9 + 8 + 35]
+
+
+def test_tasks_hand_on_what_they_hold(spark, monkeypatch):
+    batch = pa.RecordBatch.from_pydict({"text": ["a b c. a b"] * 3, "lang": ["en"] * 3, "shard": pa.array([0, 1, 1], pa.int32())})
+    whole = pa.Table.from_batches(phrases._mine(1, None)(iter([batch] * 4)))
+    monkeypatch.setattr(phrases, "HELD_KEYS", 5)
+    parts = pa.Table.from_batches(phrases._mine(1, None)(iter([batch] * 4)))
+    assert parts.num_rows > whole.num_rows == 6 and pc.sum(parts["n"]) == pc.sum(whole["n"])
+
+
+def test_large_products_are_exact(spark):
+    a, le, ri = 10 ** 15 + 7, 3 * 10 ** 15 + 11, 10 ** 15 + 9
+    row = spark.range(1).selectExpr(f"cast({a} as decimal(19,0)) a", f"cast({le} as decimal(19,0)) l",
+                                    f"cast({ri} as decimal(19,0)) r").withColumn(
+        "up", F.col("a") * F.col("a") * F.lit(1000000)).withColumn("down", F.col("l") * F.col("r")).selectExpr("up div down as s")
+    assert row.first().s == 1000000 * a * a // (le * ri)
+
+
+def test_filter_misses_no_key(spark):
+    rng = np.random.default_rng(2)
+    keys = rng.integers(-2 ** 63, 2 ** 63 - 1, 30_000)
+    bits = bloom.build(spark.createDataFrame([(int(k),) for k in keys], "key bigint"))
+    assert bloom.known(bits, keys.view(np.uint64)).all()
+    other = rng.integers(-2 ** 63, 2 ** 63 - 1, 30_000).view(np.uint64)
+    assert bloom.known(bits, other).mean() < 0.01
+    assert bloom.size_for(10 ** 12) == bloom.MAX_BITS and not bloom.known(
+        bloom.build(spark.createDataFrame([], "key bigint")), other).any()
