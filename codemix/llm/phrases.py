@@ -10,9 +10,10 @@
 A shard is no task: it is mined by all of them, so neither a shard nor a phrase is held in
 one place.  The local support must stay above one occurrence, or a shard would call every
 phrase frequent: so there are few shards, whatever the size of the corpus.  Within a
-shard a phrase is only tried when its parts were frequent in some shard.
+shard a phrase is only tried when its parts were frequent there.
 
-Words are told apart by 64-bit hashes inside a slice of text, and by themselves beyond.
+Words are told apart by 64-bit hashes inside a slice of text, phrases by 128 bits inside a
+task, and by themselves beyond.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from codemix.llm import bloom
-from codemix.llm.common import WordHasher, mix, row_slices, text_buffer, thin
+from codemix.llm.common import WordHasher, mix, row_slices, stream, text_buffer, thin
 from codemix.llm.order import numbered
 from codemix.operators.lookup import lookup
 from codemix.session import broadcast_if_small, stored
@@ -33,7 +34,7 @@ from codemix.session import broadcast_if_small, stored
 SUPPORT, SHARDS, LONGEST = 10, 4, 3
 UNKNOWN = "und"
 #: Counts that a task holds before it hands them on.
-HELD_KEYS, HELD_PHRASES = 2_000_000, 200_000
+HELD_KEYS, HELD_PHRASES = 1_000_000, 300_000
 
 #: White space inside a piece, and characters that end one.
 BLANK = np.zeros(256, bool)
@@ -77,14 +78,17 @@ class Slices:
             at, key = at[on], mix(key[on] * _STEP + self.words[at[on] + length])
             length += 1
 
-    def frequent(self, length: int, filter_: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-        """Starts and keys of the phrases of ``length`` words whose parts one word shorter are in the filter."""
+    def frequent(self, length: int, filter_: np.ndarray | None, salts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and keys of the phrases of ``length`` words whose parts one word shorter are in the filter.
+
+        ``salts`` holds, per text, what tells its shard's keys apart there.
+        """
         steps = self.keys()
         for _ in range(length - 1):
             at, key = next(steps)
         if length > 1:
             ok = np.zeros(len(self.words) + 1, bool)
-            ok[at[bloom.known(filter_, key)]] = True
+            ok[at[bloom.known(filter_, key ^ salts[self.rows[at]])]] = True
         at, key = next(steps)
         if length > 1:
             on = ok[at] & ok[at + 1]
@@ -92,7 +96,11 @@ class Slices:
         return at, key
 
 
-def _mine(length: int, filter_):
+def _salts(shards: int) -> np.ndarray:
+    return stream(131, shards)
+
+
+def _mine(length: int, filter_, salts: np.ndarray):
     """(shard, key, n) of the phrases of ``length`` words, summed over what a task holds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,7 +118,7 @@ def _mine(length: int, filter_):
         for batch in thin(batches, "text"):
             shards = batch.column("shard").to_numpy()
             for part in Slices(batch.column("text"), batch.column("lang").to_pylist()):
-                at, key = part.frequent(length, None if filter_ is None else filter_.value)
+                at, key = part.frequent(length, None if filter_ is None else filter_.value, salts[shards])
                 of = shards[part.rows[at]]
                 for shard in np.unique(of).tolist():
                     held.setdefault(shard, []).append(key[of == shard])
@@ -123,49 +131,90 @@ def _mine(length: int, filter_):
     return run
 
 
+class Tally:
+    """Counts of candidates that a task holds, by two 64-bit keys; phrases are written out once per key."""
+
+    def __init__(self, longest: int, filter_: np.ndarray):
+        self.longest, self.filter = longest, filter_
+        self.empty()
+
+    def empty(self) -> None:
+        self.key, self.check = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        self.n, self.words, self.names = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, object)
+        self.totals: dict[str, int] = {}
+
+    def rows(self) -> pa.RecordBatch:
+        langs, phrases = [k[0] for k in self.names] + list(self.totals), [k[1] for k in self.names]
+        out = pa.RecordBatch.from_arrays([
+            pa.array(langs, pa.string()), pa.array(np.concatenate([self.words, np.zeros(len(self.totals), np.int32)])),
+            pa.array(phrases + [b""] * len(self.totals), pa.binary()).cast(pa.string()),
+            pa.array(np.concatenate([self.n, np.array(list(self.totals.values()), np.int64)]))],
+            ["lang", "words", "phrase", "n"])
+        self.empty()
+        return out
+
+    def add(self, part: Slices) -> Iterator[pa.RecordBatch]:
+        """Count a slice; hands on what is held when it is much, or when two phrases share a key."""
+        rows, n = np.unique(part.rows, return_counts=True)
+        for row, times in zip(rows.tolist(), n.tolist(), strict=True):
+            self.totals[part.langs[row]] = self.totals.get(part.langs[row], 0) + times
+        found, number = np.unique(part.words ^ part.tongue[part.rows], return_inverse=True)
+        whole = np.arange(len(number))  # number of the phrase of the length so far that starts at a word
+        text, other = part.part.tobytes().lower(), part.words * _STEP
+        for length, (at, key) in zip(range(1, self.longest + 1), part.keys()):
+            code = number[at] if length == 1 else whole[at] * len(found) + number[at + length - 1]
+            _, first, whole_at, times = np.unique(code, return_index=True, return_inverse=True, return_counts=True)
+            whole[at] = whole_at
+            hit = bloom.known(self.filter, key[first])
+            first, times = first[hit], times[hit]
+            start, key = at[first], key[first]
+            check = np.zeros(len(start), np.uint64)
+            for j in range(length):
+                check = mix(check + other[start + j])
+            yield from self._merge(part, text, length, start, key, check, times)
+
+    def _merge(self, part: Slices, text: bytes, length: int, start, key, check, times) -> Iterator[pa.RecordBatch]:
+        order = np.argsort(key, kind="stable")
+        start, key, check, times = start[order], key[order], check[order], times[order]
+        spot = np.searchsorted(self.key, key)
+        held = spot < len(self.key)
+        held[held] = self.key[spot[held]] == key[held]
+        if len(self.key) > HELD_PHRASES or (self.check[spot[held]] != check[held]).any():
+            yield self.rows()
+            spot[:], held[:] = 0, False
+        twins = np.flatnonzero(key[1:] == key[:-1]) + 1  # two phrases of a slice with one key: all but one go on alone
+        if len(twins):
+            alone = Tally(self.longest, self.filter)
+            for k in twins.tolist():
+                yield from alone._merge(part, text, length, start[k:k + 1], key[k:k + 1], check[k:k + 1], times[k:k + 1])
+                yield alone.rows()
+            stay = np.ones(len(key), bool)
+            stay[twins] = False
+            start, key, check, times, spot, held = (x[stay] for x in (start, key, check, times, spot, held))
+        self.n[spot[held]] += times[held]
+        new = np.flatnonzero(~held)
+        names = np.empty(len(new), object)
+        starts, ends, langs, rows = part.starts, part.ends, part.langs, part.rows
+        for k, i in enumerate(start[new].tolist()):
+            names[k] = (langs[rows[i]], b" ".join([text[starts[j]:ends[j]] for j in range(i, i + length)]))
+        for name, rest in (("key", key[new]), ("check", check[new]), ("n", times[new]),
+                           ("words", np.full(len(new), length, np.int32)), ("names", names)):
+            setattr(self, name, np.insert(getattr(self, name), spot[new], rest))
+
+
 def _count(longest: int, filter_):
     """(lang, words, phrase, n) of the candidates; words 0 counts all word occurrences of a language."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[str, int, bytes], int] = {}
-
-        def close() -> pa.RecordBatch:
-            rows = pa.RecordBatch.from_arrays([
-                pa.array([k[0] for k in held], pa.string()), pa.array([k[1] for k in held], pa.int32()),
-                pa.array([k[2] for k in held], pa.binary()).cast(pa.string()), pa.array(list(held.values()), pa.int64())],
-                ["lang", "words", "phrase", "n"])
-            held.clear()
-            return rows
-
+        tally = Tally(longest, filter_.value)
         for batch in thin(batches, "text"):
             for part in Slices(batch.column("text"), batch.column("lang").to_pylist()):
-                _tally(part, longest, filter_.value, held)
-                if len(held) > HELD_PHRASES:
-                    yield close()
-        yield close()
+                yield from tally.add(part)
+        yield tally.rows()
 
     return run
 
 
-def _tally(part: Slices, longest: int, filter_: np.ndarray, held: dict) -> None:
-    rows, n = np.unique(part.rows, return_counts=True)
-    for row, times in zip(rows.tolist(), n.tolist(), strict=True):
-        total = (part.langs[row], 0, b"")
-        held[total] = held.get(total, 0) + times
-    found, number = np.unique(part.words ^ part.tongue[part.rows], return_inverse=True)
-    whole = np.arange(len(number))  # number of the phrase of the length so far that starts at a word
-    text, starts, ends = part.part.tobytes().lower(), part.starts, part.ends
-    for length, (at, key) in zip(range(1, longest + 1), part.keys()):
-        code = number[at] if length == 1 else whole[at] * len(found) + number[at + length - 1]
-        distinct, first, whole_at, times = np.unique(code, return_index=True, return_inverse=True, return_counts=True)
-        whole[at] = whole_at
-        for k in np.flatnonzero(bloom.known(filter_, key[first])).tolist():
-            i = int(at[first[k]])
-            phrase = b" ".join(text[starts[j]:ends[j]] for j in range(i, i + length))
-            name = (part.langs[part.rows[i]], length, phrase)
-            held[name] = held.get(name, 0) + int(times[k])
-
-
 def phrase_counts(docs: DataFrame, support: int = SUPPORT, shards: int = SHARDS, longest: int = LONGEST) -> DataFrame:
     """(lang, words, phrase, n) of all phrases of 1 to ``longest`` words that occur ``support`` times.
 
@@ -177,15 +226,18 @@ def phrase_counts(docs: DataFrame, support: int = SUPPORT, shards: int = SHARDS,
     sc = docs.sparkSession.sparkContext
     rows = docs.select(F.coalesce("lang", F.lit(UNKNOWN)).alias("lang"), "text",
                        F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)).cast("int").alias("shard"))
+    salts = _salts(shards)
+    salt = F.element_at(F.array(*[F.lit(int(x)) for x in salts.view(np.int64)]), F.col("shard") + 1)
     union, filter_ = None, None
     for length in range(1, longest + 1):
-        local = rows.mapInArrow(_mine(length, filter_), "shard int, key bigint, n bigint")
-        keys = stored(local.groupBy("shard", "key").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
-                      .select("key").distinct(), "frequent")
+        local = rows.mapInArrow(_mine(length, filter_, salts), "shard int, key bigint, n bigint")
+        found = stored(local.groupBy("shard", "key").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+                       .select("shard", "key"), "frequent")
         if filter_ is not None:
             filter_.destroy()
-        union = keys if union is None else union.unionByName(keys)
-        filter_ = sc.broadcast(bloom.build(keys if length < longest else union))
+        union = found.select("key") if union is None else union.unionByName(found.select("key"))
+        keys = found.select(F.col("key").bitwiseXOR(salt).alias("key")) if length < longest else union.distinct()
+        filter_ = sc.broadcast(bloom.build(keys))
     counted = rows.select("lang", "text").mapInArrow(
         _count(longest, filter_), "lang string, words int, phrase string, n bigint")
     out = stored(counted.groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n"))
