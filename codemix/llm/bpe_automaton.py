@@ -27,14 +27,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import BinaryType, DataType, StringType, StructField, StructType
 
-from codemix.llm.common import ChunkIds, row_slices, text_buffer
+from codemix.llm.common import ChunkIds, row_slices, text_buffer, thin
 
 NEVER = 1 << 60
 #: Bits of a worker's table of resolved arcs, and of its memory of chunks.
 ARC_BITS, CHUNK_BITS = 20, 20
 #: Units of a word that steps alone; shorter ones step together.
 LONG_WORD = 256
+#: Chunks that are encoded together, and bytes of a column that a worker handles at once.
+STEP, SLICE = 8192, 1 << 20
 ENCODED, DECODED = "ids", "decoded"
 
 
@@ -73,7 +76,7 @@ class Automaton:
         for unit, k in self.units.items():
             self.number[ord(unit)] = k
         children: list[dict[int, int]] = [{}]
-        self.ends = {False: [-1], True: [-1]}  # token that ends at a node, inside and at the end of a word
+        ends = {False: [-1], True: [-1]}  # token that ends at a node, inside and at the end of a word
         for token, i in live.items():
             last, node = token.endswith(end), 0
             for c in token[:-len(end)] if last else token:
@@ -81,17 +84,17 @@ class Automaton:
                 if unit not in children[node]:
                     children[node][unit] = len(children)
                     children.append({})
-                    self.ends[False].append(-1)
-                    self.ends[True].append(-1)
+                    ends[False].append(-1)
+                    ends[True].append(-1)
                 node = children[node][unit]
-            self.ends[last][node] = i
+            ends[last][node] = i
         inner = [k for k, c in enumerate(children) if c]
         self.row = np.full(len(children), len(inner), np.int32)  # nodes without children share the last row
         self.row[inner] = np.arange(len(inner))
         self.next = np.full((len(inner) + 1, len(self.units)), -1, np.int32)
         for r, k in enumerate(inner):
             self.next[r, list(children[k])] = list(children[k].values())
-        self.stop_at = np.array([self.ends[False], self.ends[True]], np.int32)
+        self.stop_at = np.array([ends[False], ends[True]], np.int32)
         self.arc_keys = np.full(1 << ARC_BITS, -1, np.int64)
         self.arc_values = np.zeros(1 << ARC_BITS, bool)
 
@@ -196,7 +199,7 @@ class Automaton:
     def _step_alone(self, units: np.ndarray, start: int, stop: int, last: np.ndarray, since: np.ndarray) -> None:
         """The same for one long word, position by position."""
         known: dict[tuple[int, int], bool] = {}
-        word, ends, row, after = units[start:stop].tolist(), self.ends, self.row, self.next
+        word, ends, row, after = units[start:stop].tolist(), self.stop_at, self.row, self.next
         tokens, begins = [-1] * len(word), [0] * len(word)
         for at in range(len(word)):
             node = 0
@@ -204,7 +207,7 @@ class Automaton:
                 node = int(after[row[node], word[to]])
                 if node < 0:
                     break
-                token = ends[to == len(word) - 1][node]
+                token = int(ends[int(to == len(word) - 1), node])
                 if token < 0:
                     continue
                 fits = at == 0
@@ -240,8 +243,6 @@ class Codec:
         self.special = {a["content"]: a["id"] for a in added}
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")"
                               if added else "(?!)")
-        names = {i: t for t, i in [*tokens.items(), *self.special.items()]}
-        self.labels = np.array([names.get(i, "") for i in range(max(names) + 1)], object)
         # the rules only: the merges stay out of the library
         self.rules = Tokenizer.from_str(json.dumps(spec | {
             "truncation": None, "padding": None, "added_tokens": [],
@@ -274,6 +275,9 @@ class Codec:
         return out
 
     def _encoded(self, chunks: list[str]) -> list[list[int]]:
+        return [ids for a in range(0, len(chunks), STEP) for ids in self._step(chunks[a:a + STEP])]
+
+    def _step(self, chunks: list[str]) -> list[list[int]]:
         parts, owners, fixed = [], [], {}
         for k, chunk in enumerate(chunks):
             for part in self.cut.split(chunk):
@@ -284,10 +288,8 @@ class Codec:
                     owners.append(k)
         lists: list[list[str]] = [[]] * len(parts)
         plain = [j for j, p in enumerate(parts) if j not in fixed and len(p.split()) == 1 and p == p.strip()]
-        for a in range(0, len(plain), 4096):
-            some = plain[a:a + 4096]
-            for j, found in zip(some, self.words([parts[j] for j in some]), strict=True):
-                lists[j] = found
+        for j, found in zip(plain, self.words([parts[j] for j in plain]), strict=True):
+            lists[j] = found
         for j in set(range(len(parts))) - set(plain) - set(fixed):
             lists[j] = [w for w, _ in self._cut(self._normal(parts[j]))]
         number: dict[str, int] = {}
@@ -313,20 +315,46 @@ class Codec:
             base = int(bounds[a])
             yield from self.chunks.ids(data[base:int(bounds[b])], bounds[a:b + 1] - base)
 
+
+class Labels:
+    """The label of every id of a tokenizer file without a decoder."""
+
+    def __init__(self, path: str):
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
+        if spec["decoder"]:
+            raise ValueError(f"{path} has a decoder")
+        names = {i: t for t, i in spec["model"]["vocab"].items()} | {a["id"]: a["content"] for a in spec["added_tokens"]}
+        self.labels = np.array([names.get(i, "") for i in range(max(names) + 1)], object)
+
     def decode(self, ids: np.ndarray) -> str:
-        """Labels of the arcs, with a space between, as without a decoder in the file."""
+        """Labels of the arcs, with a space between."""
         return " ".join(self.labels[ids].tolist())
 
 
-_CODECS: dict[str, Codec] = {}
+_MADE: dict[tuple[type, str], object] = {}
+
+
+def once(kind: type, path: str):
+    """The codec or the labels of a file, made once per worker."""
+    if (kind, path) not in _MADE:
+        _MADE.clear()
+        _MADE[kind, path] = kind(path)
+    return _MADE[kind, path]
+
+
+def _added(rows: DataFrame, source: str, name: str, kind: DataType, run) -> DataFrame:
+    """Rows with a column that ``run`` makes from slices of another; one of that name is replaced."""
+    kept = rows.select(*[rows[c] for c in rows.columns if c != name or c == source])
+    schema = StructType([*[f for f in kept.schema.fields if f.name != name], StructField(name, kind)])
 
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in thin(batches, source, SLICE):
+            made = run(batch.column(source))
+            columns = [c for c in batch.schema.names if c != name]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in columns], made], [*columns, name])
 
-def codec(path: str) -> Codec:
-    """The codec of a file, compiled once per worker."""
-    if path not in _CODECS:
-        _CODECS.clear()
-        _CODECS[path] = Codec(path)
-    return _CODECS[path]
+    return kept.mapInArrow(step, schema)
 
 
 def encode(docs: DataFrame, tokenizer: str) -> DataFrame:
@@ -339,12 +367,9 @@ def encode(docs: DataFrame, tokenizer: str) -> DataFrame:
     """
 
     def run(texts: pa.Array) -> pa.Array:
-        rows = [ids.astype("<u4").tobytes() for ids in codec(tokenizer).encode(texts)]
-        return pa.array(rows, pa.binary())
+        return pa.array([ids.astype("<u4").tobytes() for ids in once(Codec, tokenizer).encode(texts)], pa.binary())
 
-    keep = [docs[c] for c in docs.columns if c != ENCODED]
-    once = F.arrow_udf(run, "binary").asNondeterministic()  # or a plan that reads ids twice would encode twice
-    return docs.select(*keep, once(docs["text"]).alias(ENCODED))
+    return _added(docs, "text", ENCODED, BinaryType(), run)
 
 
 def decode(rows: DataFrame, tokenizer: str) -> DataFrame:
@@ -354,11 +379,10 @@ def decode(rows: DataFrame, tokenizer: str) -> DataFrame:
     """
 
     def run(packed: pa.Array) -> pa.Array:
-        show = codec(tokenizer).decode
+        show = once(Labels, tokenizer).decode
         return pa.array([None if p is None else show(np.frombuffer(p, "<u4")) for p in packed.to_pylist()], pa.string())
 
-    keep = [rows[c] for c in rows.columns if c != DECODED]
-    return rows.select(*keep, F.arrow_udf(run, "string")(rows[ENCODED]).alias(DECODED))
+    return _added(rows, ENCODED, DECODED, StringType(), run)
 
 
 def id_list(packed: Column) -> Column:

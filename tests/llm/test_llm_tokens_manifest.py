@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -82,11 +83,11 @@ def test_codec_equals_the_library(codec, library):
     texts += [" ".join(rng.choices(names, k=5)) + "".join(rng.choices(names, k=3)) for _ in range(500)]
     texts += ["".join(chr(rng.choice([rng.randint(32, 127), rng.randint(0x80, 0x3000), rng.randint(0x300, 0x370),
                                       rng.randint(0x10000, 0x1FFFF), 0x2028])) for _ in range(30)) for _ in range(500)]
-    found = list(codec.encode(pa.array(texts)))
+    found, labels = list(codec.encode(pa.array(texts))), bpe_automaton.Labels(tokenizer_file(WORD_BPE))
     for text, ids in zip(texts, found, strict=True):
         want = library.encode(text or "", add_special_tokens=False).ids
         assert ids.tolist() == want, text
-        assert codec.decode(ids) == library.decode(want, skip_special_tokens=False)
+        assert labels.decode(ids) == library.decode(want, skip_special_tokens=False)
 
 
 def test_encode_keeps_rows_and_columns(spark):
@@ -229,9 +230,9 @@ def test_words_join_within_pieces_of_a_row():
 
 def test_tasks_hand_on_what_they_hold(spark, monkeypatch):
     batch = pa.RecordBatch.from_pydict({"text": ["a b c. a b"] * 3, "lang": ["en"] * 3, "shard": pa.array([0, 1, 1], pa.int32())})
-    whole = pa.Table.from_batches(phrases._mine(1, None)(iter([batch] * 4)))
+    whole = pa.Table.from_batches(phrases._mine(1, None, phrases._salts(2))(iter([batch] * 4)))
     monkeypatch.setattr(phrases, "HELD_KEYS", 5)
-    parts = pa.Table.from_batches(phrases._mine(1, None)(iter([batch] * 4)))
+    parts = pa.Table.from_batches(phrases._mine(1, None, phrases._salts(2))(iter([batch] * 4)))
     assert parts.num_rows > whole.num_rows == 6 and pc.sum(parts["n"]) == pc.sum(whole["n"])
 
 
@@ -252,3 +253,25 @@ def test_filter_misses_no_key(spark):
     assert bloom.known(bits, other).mean() < 0.01
     assert bloom.size_for(10 ** 12) == bloom.MAX_BITS and not bloom.known(
         bloom.build(spark.createDataFrame([], "key bigint")), other).any()
+
+
+def test_phrases_that_share_a_key_are_told_apart():
+    class Few(phrases.Slices):
+        def keys(self):
+            for at, key in super().keys():
+                yield at, key & np.uint64(7)
+
+    rng = random.Random(4)
+    texts = [" ".join(rng.choices("abcdefghij", k=40)) for _ in range(12)]
+    tally, got = phrases.Tally(2, np.full(1 << 17, 255, np.uint8)), Counter()
+    for a in range(0, 12, 3):
+        for part in Few(pa.array(texts[a:a + 3]), ["en", "fr", "en"]):
+            for rows in [*tally.add(part), tally.rows()]:
+                for row in rows.to_pylist():
+                    got[row["lang"], row["phrase"]] += row["n"] if row["words"] else 0
+    want = Counter()
+    for k, text in enumerate(texts):
+        words = text.split()
+        for phrase in [*words, *map(" ".join, zip(words, words[1:]))]:
+            want["fr" if k % 3 == 1 else "en", phrase] += 1
+    assert +got == want
