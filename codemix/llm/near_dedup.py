@@ -3,7 +3,9 @@
 Two small collections of band hashes, U (``BANDS_U`` bands of ``ROWS_U`` minimums) and
 V (``BANDS_V`` of ``ROWS_V``), give ``BANDS_U * BANDS_V`` tables: table (i, j) is keyed
 by the pair (U_i, V_j).  So 52 minimums serve 96 tables of five minimums each.  A pair
-of similarity 0.8 shares no table with probability 5e-4.
+of similarity 0.8 shares no table with probability 5e-4.  A key can only repeat where both
+of its hashes do: the 20 hashes of a class are counted first, and only pairs of repeated
+ones become keys.  Keys are counted once; then only those that repeat send their rows.
 
 Texts with the same shingle set form one class, and classes are compared once.  In
 every bucket all members are first compared with one pivot.  Classes that end up in
@@ -23,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from codemix.llm import bloom
 from codemix.llm.common import WordHasher, mix, row_slices, stream, text_buffer, thin
 from codemix.session import discard, stored
 
@@ -89,7 +92,7 @@ def _bands(least: np.ndarray, rows: int, tag: int) -> np.ndarray:
 def _sign(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split = BANDS_U * ROWS_U
-        for batch in thin(batches, "text"):
+        for batch in thin(batches, "text", 1 << 20):
             cols: dict[str, list] = {k: [] for k in ("n", "d1", "d2", "u", "v", "spread")}
             for values in shingle_sets(batch.column("text"), words):
                 cols["n"].append(len(values))
@@ -132,7 +135,7 @@ def _possible(percent: int):
 
 def _confirm(words: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in thin(batches, "text_a"):
+        for batch in thin(batches, "text_a", 1 << 20):
             linked = []
             for x, y in zip(shingle_sets(batch.column("text_a"), words),
                             shingle_sets(batch.column("text_b"), words), strict=True):
@@ -150,6 +153,52 @@ def _alike(x: Column, y: Column, percent: int) -> Column:
     return 100 * F.least(x, y) >= percent * F.greatest(x, y)
 
 
+def _keys(halves, repeated=None):
+    """(id, n, u, key) of the tables whose two hashes are in a filter of repeated hashes, and whose key is in one of keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, 2048):
+                part = batch.slice(a, 2048)
+                u, v = (part.column(c).flatten().to_numpy().view(np.uint64).reshape(part.num_rows, -1) for c in "uv")
+                use = (bloom.known(halves.value, u.ravel()).reshape(u.shape)[:, :, None]
+                       & bloom.known(halves.value, v.ravel()).reshape(v.shape)[:, None, :])
+                row, i, j = np.nonzero(use)
+                key = mix(mix(u[row, i]) + v[row, j])
+                if repeated is not None:
+                    keep = bloom.known(repeated.value, key)
+                    row, i, key = row[keep], i[keep], key[keep]
+                at = pa.array(row)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("id").take(at), part.column("n").take(at), pa.array(u[row, i].view(np.int64)),
+                     pa.array(key.view(np.int64))], ["id", "n", "u", "key"])
+
+    return run
+
+
+def _buckets(reps: DataFrame) -> DataFrame:
+    """The rows (id, n, u, key, pivot) of the buckets of two classes or more, each set of members once."""
+    sc, schema = reps.sparkSession.sparkContext, "id bigint, n bigint, u bigint, key bigint"
+    signed = reps.select(F.col("doc_id").alias("id"), "n", "u", "v")
+    halves = (signed.select(F.explode(F.concat("u", "v")).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("size"))
+              .filter(F.col("size") > 1).select("key"))
+    halves = stored(halves, "repeated")
+    known = sc.broadcast(bloom.build(halves))
+    discard(halves)
+    same = ["pivot", "size", "x", "y"]  # buckets of the same members are compared once
+    keys = signed.mapInArrow(_keys(known), schema)
+    buckets = stored(keys.groupBy("key").agg(F.min("id").alias("pivot"), F.count(F.lit(1)).alias("size"),
+                                             F.bit_xor(F.xxhash64("id")).alias("x"),
+                                             F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y"))
+                     .filter(F.col("size") > 1).groupBy(*same).agg(F.min("key").alias("key")).select("key", "pivot"), "buckets")
+    repeated = sc.broadcast(bloom.build(buckets))
+    rows = stored(signed.mapInArrow(_keys(known, repeated), schema).join(buckets, "key"))
+    discard(buckets)
+    known.destroy()
+    repeated.destroy()
+    return rows
+
+
 def possible(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) that the counts do not exclude."""
     sides = [reps.select(F.col("doc_id").alias(c), F.col("n").alias(f"n_{c}"), F.col("spread").alias(f"s_{c}"))
@@ -281,15 +330,7 @@ def _near_pairs(rows: DataFrame, pivots: DataFrame, percent: int) -> DataFrame:
 
 def links_of(reps: DataFrame, texts: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """Confirmed links between class representatives, and their component labels."""
-    table = F.explode(F.flatten(F.transform("u", lambda x: F.transform("v", lambda y: F.struct(
-        x.alias("u"), F.xxhash64(x, y).alias("key"))))))
-    keys = reps.select(F.col("doc_id").alias("id"), "n", table.alias("t")).select("id", "n", "t.u", "t.key")
-    same = ["pivot", "size", "x", "y"]  # buckets of the same members are compared once
-    buckets = (keys.groupBy("key").agg(F.min("id").alias("pivot"), F.count(F.lit(1)).alias("size"),
-                                       F.bit_xor(F.xxhash64("id")).alias("x"),
-                                       F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y"))
-               .filter(F.col("size") > 1).groupBy(*same).agg(F.min("key").alias("key")))
-    rows = stored(keys.join(buckets.select("key", "pivot"), "key"))
+    rows = _buckets(reps)
     sizes = reps.select(F.col("doc_id").alias("pivot"), F.col("n").alias("p_n"))
     seen = stored(rows.filter(F.col("id") != F.col("pivot")).select("id", "n", "pivot").distinct()
                         .join(sizes, "pivot").filter(_alike(F.col("n"), F.col("p_n"), percent))
