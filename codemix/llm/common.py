@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
 from collections.abc import Callable, Iterator
 from itertools import chain
 
@@ -29,12 +31,12 @@ def stream(seed: int, n: int) -> np.ndarray:
 
 
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """UTF-8 bytes of a string column and the n + 1 bounds of its rows; null counts as empty."""
+    """Bytes of a string or binary column and the n + 1 bounds of its rows; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = column.cast(pa.large_string())
+    column = column.cast(pa.large_binary() if pa.types.is_binary(column.type) else pa.large_string())
     if column.null_count:
-        column = column.fill_null("")
+        column = column.fill_null(b"" if pa.types.is_large_binary(column.type) else "")
     n = len(column)
     if n == 0:
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
@@ -55,11 +57,19 @@ def row_slices(bounds: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[i
 
 
 def thin(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Batches cut to about ``limit`` bytes of one text column, so that Python copies stay small."""
+    """Batches cut to about ``limit`` bytes of one text column, so that Python copies stay small.
+
+    At the end memory that a reused worker holds without need goes back.
+    """
     for batch in batches:
         _, bounds = text_buffer(batch.column(column))
         for a, b in row_slices(bounds, limit):
             yield batch.slice(a, b - a)
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
 
 
 def space_table() -> np.ndarray:

@@ -18,18 +18,17 @@ import json
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from codemix.llm.common import Remembered, WordHasher, row_slices, text_buffer
+from codemix.llm.common import ChunkIds, row_slices, text_buffer, thin
 
 CAPACITY = 1024
 END = 0
 #: Bits of a worker's memory of chunks; those that find no slot are tokenised again in the next block.
-MEMORY_BITS = 21
+MEMORY_BITS = 19
 #: Largest number of items of the multiset that one search looks at, longest first.
 WIDTH = 256
 
@@ -76,9 +75,7 @@ class Chunked:
     def __init__(self, path: str):
         self.encoder = ranked_encoder(path)
         self.special = re.compile("|".join(map(re.escape, self.encoder.special_tokens_set)) or r"(?!)")
-        self.hasher = WordHasher(False)
-        self.memory = Remembered(MEMORY_BITS)
-        self.sizes, self.flat = np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.chunks = ChunkIds(self._encode, glued=True, bits=MEMORY_BITS)
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
         plain, special = self.encoder.encode_ordinary, self.special
@@ -87,56 +84,21 @@ class Chunked:
     def ids(self, column: pa.Array) -> Iterator[np.ndarray]:
         """Ids of every text, in order, as unsigned 32-bit numbers; null counts as empty."""
         data, bounds = text_buffer(column)
-        for a, b in row_slices(bounds, 4 << 20):
+        for a, b in row_slices(bounds):
             base = int(bounds[a])
             part, inner = data[base:int(bounds[b])], bounds[a:b + 1] - base
             yield from self._block(part, inner)
 
     def _block(self, data: np.ndarray, bounds: np.ndarray) -> Iterator[np.ndarray]:
-        whole = data.tobytes()
-        if _ODD.search(whole.decode("utf-8", "surrogatepass")):
-            for s, e in zip(bounds[:-1], bounds[1:], strict=True):
-                text = whole[s:e].decode("utf-8", "surrogatepass")
-                yield np.array(self._encode([text])[0], np.uint32) if _ODD.search(text) else next(
-                    self._split(whole[s:e], data[s:e], np.array([0, e - s])))
+        if not _ODD.search(data.tobytes().decode("utf-8", "surrogatepass")):
+            yield from self.chunks.ids(data, bounds)
             return
-        yield from self._split(whole, data, bounds)
-
-    def _split(self, whole: bytes, data: np.ndarray, bounds: np.ndarray) -> Iterator[np.ndarray]:
-        _, ends = self.hasher.spans(data, bounds)
-        border = np.zeros(len(data) + 1, bool)
-        border[0] = border[bounds] = border[ends] = True
-        edge = np.flatnonzero(border)
-        starts, ends = edge[:-1], edge[1:]
-        if not len(starts):
-            for _ in range(len(bounds) - 1):
-                yield np.zeros(0, np.uint32)
-            return
-        hashes = self.hasher.hashes(data, starts, ends)
-        place = self.memory.find(hashes)
-        sizes, flat = self.sizes, self.flat
-        missed = np.flatnonzero(place < 0)
-        if len(missed):
-            new, first, back = np.unique(hashes[missed], return_index=True, return_inverse=True)
-            first = missed[first]
-            found = self._encode([whole[s:e].decode("utf-8", "surrogatepass")
-                                  for s, e in zip(starts[first].tolist(), ends[first].tolist(), strict=True)])
-            more = np.array([len(f) for f in found], np.int64)
-            ids = np.fromiter(chain.from_iterable(found), np.uint32, int(more.sum()))
-            place[missed] = len(sizes) + back
-            sizes, flat = np.concatenate([sizes, more]), np.concatenate([flat, ids])
-            kept = self.memory.add(new)
-            self.sizes = np.concatenate([self.sizes, more[kept]])
-            stay = np.zeros(len(more), bool)
-            stay[kept] = True
-            self.flat = np.concatenate([self.flat, ids[np.repeat(stay, more)]])
-        begin = np.cumsum(sizes) - sizes
-        cuts = np.searchsorted(starts, bounds, "left")
-        for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            use = place[s:e]
-            take = sizes[use]
-            shift = np.cumsum(take) - take
-            yield flat[np.arange(int(take.sum())) + np.repeat(begin[use] - shift, take)]
+        for s, e in zip(bounds[:-1], bounds[1:], strict=True):
+            text = data[s:e].tobytes().decode("utf-8", "surrogatepass")
+            if _ODD.search(text):
+                yield np.array(self._encode([text])[0], np.uint32)
+            else:
+                yield from self.chunks.ids(data[s:e], np.array([0, e - s]))
 
 
 # --- minimum bin slack ------------------------------------------------------
@@ -216,7 +178,7 @@ def _pack(path: str, capacity: int):
         def rows(columns) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
 
-        for batch in batches:
+        for batch in thin(batches, "text", 1 << 20):
             out: list[list] = [[] for _ in names]
             ids = batch.column("doc_id").to_pylist()
             for doc, found in zip(ids, encoder.ids(batch.column("text")), strict=True):
