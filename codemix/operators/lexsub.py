@@ -10,6 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from codemix.functions.draw import SPAN, digest, draw, hex_word
+from codemix.operators.compiled import Dictionary, compile_table
 from codemix.operators.lookup import lookup
 from codemix.session import BROADCAST_BYTES, fits_broadcast, stored
 
@@ -58,33 +59,47 @@ def lookup_lexicon(tokens: DataFrame, lexicon: DataFrame, limit: int = BROADCAST
                   F.struct("sent_id", "i"), limit)
 
 
-def _in_rows(rows: DataFrame, entries: DataFrame) -> Column:
-    """The drawn translation of every word, from a broadcast dictionary of measured size; no exchange."""
-    table = entries.select(F.concat_ws(SEP, "src_lang", "tgt_lang", "word").alias("key"), "choices").toArrow()
-    keys = pa.concat_arrays(table["key"].chunks) if len(table) else pa.array([], pa.string())
-    lists = pa.concat_arrays(table["choices"].chunks) if len(table) else pa.array([], pa.list_(pa.struct(
-        [("upto", pa.int64()), ("translation", pa.string())])))
-    flat, sizes = lists.flatten(), pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
-    upto = flat.field("upto").to_numpy(zero_copy_only=False).astype(np.int64)
-    totals = upto[np.cumsum(sizes) - 1] if len(sizes) else np.zeros(0, np.int64)
-    before = np.cumsum(totals) - totals
-    shared = rows.sparkSession.sparkContext.broadcast(
-        (keys, totals, before, upto + np.repeat(before, sizes), flat.field("translation")))
-
-    def run(src: pa.Array, words: pa.Array, langs: pa.Array, draws: pa.Array) -> pa.Array:
-        known, totals, before, ends, translations = shared.value
+class _Choices:
+    """A compiled dictionary with the cumulative counts of its translations in one array."""
+
+    def __init__(self, entries: Dictionary):
+        self.entries = entries
+        lists = entries.values
+        flat, sizes = lists.flatten(), pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+        upto = flat.field("upto").to_numpy(zero_copy_only=False).astype(np.int64)
+        self.totals = upto[np.cumsum(sizes) - 1] if len(sizes) else np.zeros(0, np.int64)
+        self.before = np.cumsum(self.totals) - self.totals
+        self.ends, self.translations = upto + np.repeat(self.before, sizes), flat.field("translation")
+        entries.values = None
+
+
+def compiled_dictionary(entries: DataFrame, limit: int = BROADCAST_BYTES) -> Dictionary | None:
+    """Entries keyed by (src_lang, tgt_lang, word), compiled; None above ``limit`` bytes."""
+    key = ["src_lang", "tgt_lang", "word"]
+    return compile_table(entries.select(F.xxhash64(*key).alias("hash"), F.concat_ws(SEP, *key).alias("key"),
+                                        F.col("choices").alias("value")), limit)
+
+
+def _in_rows(rows: DataFrame, known: Dictionary) -> Column:
+    """The drawn translation of every word, from a compiled dictionary; no exchange."""
+    shared = rows.sparkSession.sparkContext.broadcast(_Choices(known))
+
+    def run(src: pa.Array, words: pa.Array, langs: pa.Array, draws: pa.Array, hashes: pa.Array) -> pa.Array:
+        choices = shared.value
         size = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-        own = pc.take(src, pa.array(np.repeat(np.arange(len(size)), size)))
-        at = pc.index_in(pc.binary_join_element_wise(own, langs.flatten(), words.flatten(), SEP), value_set=known)
-        hit = at.is_valid().to_numpy(zero_copy_only=False)
-        entry = at.drop_null().to_numpy().astype(np.int64)
-        drawn = draws.flatten().to_numpy(zero_copy_only=False)[hit].astype(np.int64)
+        row, langs, words = np.repeat(np.arange(len(size)), size), langs.flatten(), words.flatten()
+        name = lambda at: pc.binary_join_element_wise(
+            src.take(pa.array(row).take(at)), langs.take(at), words.take(at), SEP)
+        entry = choices.entries.entries(hashes.flatten(), name)
+        hit = entry >= 0
+        drawn, entry = draws.flatten().to_numpy(zero_copy_only=False)[hit].astype(np.int64), entry[hit]
         place = np.full(len(hit), -1, np.int64)
-        place[hit] = np.searchsorted(ends, before[entry] + drawn % totals[entry], "right")
-        found = pc.take(translations, pa.array(place, mask=~hit))
+        place[hit] = np.searchsorted(choices.ends, choices.before[entry] + drawn % choices.totals[entry], "right")
+        found = choices.translations.take(pa.array(place, mask=~hit))
         return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), found)
 
-    return F.arrow_udf(run, "array<string>")("src_lang", "words", "langs", "draws")
+    hashes = F.zip_with("langs", "words", lambda g, w: F.xxhash64("src_lang", g, w))
+    return F.arrow_udf(run, "array<string>")("src_lang", "words", "langs", "draws", hashes)
 
 
 def _by_join(rows: DataFrame, entries: DataFrame, limit: int) -> DataFrame:
@@ -101,12 +116,14 @@ def _by_join(rows: DataFrame, entries: DataFrame, limit: int) -> DataFrame:
     return rows.join(grouped, "sent_id")
 
 
-def lex_substitute(df: DataFrame, lexicon: DataFrame, opts: LexiconOptions = LexiconOptions()) -> DataFrame:
+def lex_substitute(df: DataFrame, lexicon: DataFrame, opts: LexiconOptions = LexiconOptions(),
+                   entries: DataFrame | None = None) -> DataFrame:
     """Replace dictionary words of ``df(sent_id, lang, words)``; ``sent_id`` is unique.
 
     Result: ``sent_id, lang, n, text, switched, hits`` (``hits``: language of
     every replacement).  A sentence is one row, so with a dictionary of measured small
-    size there is no exchange.  One digest per word serves all its draws.
+    size there is no exchange.  One digest per word serves all its draws.  ``entries`` are
+    those of ``dictionary_entries``, where they are stored already.
     """
     langs = dictionary_languages(lexicon)
     langs = F.broadcast(langs) if fits_broadcast(langs, opts.broadcast_limit) else langs
@@ -120,9 +137,10 @@ def lex_substitute(df: DataFrame, lexicon: DataFrame, opts: LexiconOptions = Lex
     else:
         rows = rows.withColumn("langs", F.transform("digests", lambda d: pick(hex_word(d, 0))))
     rows = rows.withColumn("draws", F.transform("digests", lambda d: hex_word(d, 1)))
-    entries = stored(dictionary_entries(lexicon), "entries")
-    if fits_broadcast(entries, opts.broadcast_limit):
-        found = rows.withColumn("entries", _in_rows(rows, entries))
+    entries = stored(dictionary_entries(lexicon), "entries") if entries is None else entries
+    known = compiled_dictionary(entries, opts.broadcast_limit)
+    if known is not None:
+        found = rows.withColumn("entries", _in_rows(rows, known))
     else:
         found = _by_join(rows, entries, opts.broadcast_limit)
     accepted = F.zip_with("entries", "digests", lambda e, d: F.when(

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from codemix.functions.arrays import hi, let, lo, pair
 from codemix.functions.draw import digest, draw
 from codemix.functions.text import LINE_END, words
+from codemix.operators.lexsub import dictionary_entries
 from codemix.session import dense_order, scratch_path
 
 TARGETS = ("xx", "yy", "zz")
@@ -158,6 +159,11 @@ def lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored(spark, sf_dir, "lexicon", _build_lexicon)
 
 
+def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dictionary's entries with their weighted translations, as a stored table."""
+    return stored(spark, sf_dir, "entries", lambda spark, sf_dir: dictionary_entries(lexicon(spark, sf_dir)))
+
+
 def _build_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = (sentences(spark, sf_dir).select("lang", F.explode("words").alias("word"))
                .distinct())

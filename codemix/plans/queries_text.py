@@ -181,7 +181,7 @@ def lexicon_lookup(spark, d):
 
 def _substitute(spark, d, per):
     return lexsub.lex_substitute(C.sentences(spark, d), C.lexicon(spark, d),
-                                 lexsub.LexiconOptions(ratio=0.9, per=per))
+                                 lexsub.LexiconOptions(ratio=0.9, per=per), entries=C.entries(spark, d))
 
 
 SUB_ROWS = """ SELECT sent_id, lang, string_agg(coalesce(entry, w), ' ' ORDER BY i) AS switched,

@@ -8,6 +8,7 @@ import uuid
 import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import ArrayType, BinaryType, DataType, MapType, StringType, StructType
 
 BROADCAST_BYTES = 128 << 20
 ROW_OVERHEAD = 64
@@ -87,24 +88,36 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def fits_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
+def _bytes(col: Column, kind: DataType) -> Column:
+    """Bytes of a value in columnar memory: eight of a number, content and four more of a text or list."""
+    four = F.lit(4).cast("bigint")
+    if isinstance(kind, (StringType, BinaryType)):
+        return four + F.coalesce(F.octet_length(col), F.lit(0))
+    if isinstance(kind, StructType):
+        inner = F.lit(0).cast("bigint")
+        for f in kind.fields:
+            inner = inner + _bytes(col[f.name], f.dataType)
+        return inner
+    if isinstance(kind, ArrayType):
+        if isinstance(kind.elementType, (StringType, BinaryType, StructType, ArrayType, MapType)):
+            return four + F.coalesce(F.aggregate(
+                col, F.lit(0).cast("bigint"), lambda n, x: n + _bytes(x, kind.elementType)), F.lit(0))
+        return four + 8 * F.coalesce(F.size(col), F.lit(0))
+    if isinstance(kind, MapType):
+        return _bytes(F.map_keys(col), ArrayType(kind.keyType)) + _bytes(F.map_values(col), ArrayType(kind.valueType))
+    return F.lit(8).cast("bigint")
+
+
+def fits_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES, overhead: int = ROW_OVERHEAD) -> bool:
     """Measure a side before it may be broadcast.
 
-    Sums the bytes of all strings and nested values (as JSON, an upper bound)
-    plus a row overhead; the caller keeps a shuffle plan
+    Sums the bytes of all values and an overhead per row; the caller keeps another plan
     for the case that this returns False.
     """
-    sized = []
+    per_row = F.lit(overhead).cast("bigint")
     for f in df.schema.fields:
-        kind, col = f.dataType.simpleString(), F.col(f.name)
-        if kind == "string":
-            sized.append(F.coalesce(F.octet_length(col), F.lit(0)))
-        elif kind.startswith(("array", "map", "struct")):
-            sized.append(F.coalesce(F.octet_length(F.to_json(col)), F.lit(0)))
-    per_row = F.lit(ROW_OVERHEAD)
-    for c in sized:
-        per_row = per_row + c
-    total = df.agg(F.sum(per_row.cast("bigint")).alias("b")).first()["b"] or 0
+        per_row = per_row + _bytes(F.col(f.name), f.dataType)
+    total = df.agg(F.sum(per_row).alias("b")).first()["b"] or 0
     return total <= limit
 
 
@@ -115,21 +128,20 @@ def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame
 def dense_order(df: DataFrame, *order: Column, name: str = "rank") -> DataFrame:
     """Add the 0-based position of every row in a global order.
 
-    One range exchange and sort; the sorted rows are checkpointed so that both
-    the per-partition counts and the result see the same partitions.  The
-    offsets table has one row per partition.  ``order`` must end in a unique
-    key: then equal leading keys are spread over partitions as well.
+    One range exchange and sort.  The sorted rows are stored with their partition and row,
+    so that the per-partition counts and the result see the same places.  The offsets table
+    has one row per partition.  ``order`` must end in a unique key: then equal leading keys
+    are spread over partitions as well.
     """
     spark = df.sparkSession
-    done = checkpointed(df.orderBy(*order))
-    pos = done.withColumn("_pid", F.spark_partition_id()).withColumn(
-        "_row", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+    done = stored(df.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()), "ordered")
+    part = F.shiftright("_at", 33)
     counts = {r["_pid"]: r["n"] for r in
-              pos.groupBy("_pid").agg(F.count(F.lit(1)).alias("n")).collect()}
+              done.groupBy(part.alias("_pid")).agg(F.count(F.lit(1)).alias("n")).collect()}
     offsets, total = [], 0
     for pid in sorted(counts):
         offsets.append((pid, total))
         total += counts[pid]
-    table = spark.createDataFrame(offsets or [(0, 0)], "_pid int, _off bigint")
-    return (pos.join(F.broadcast(table), "_pid")
-            .withColumn(name, F.col("_off") + F.col("_row")).drop("_pid", "_row", "_off"))
+    table = spark.createDataFrame(offsets or [(0, 0)], "_pid bigint, _off bigint")
+    return (done.withColumn("_pid", part).join(F.broadcast(table), "_pid")
+            .withColumn(name, F.col("_off") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_pid", "_at", "_off"))
