@@ -9,7 +9,7 @@ from codemix.operators import subword, vocab
 from codemix.plans import corpora as C, oracle as O
 from codemix.plans.queries_switch import joined_ints
 from codemix.plans.registry import query
-from codemix.session import checkpointed, scratch_path, stored
+from codemix.session import broadcast_if_small, checkpointed, scratch_path, stored
 from codemix.sources import store
 
 TAGS = ["en", "fr", "de", "es"]
@@ -104,16 +104,23 @@ def swap_direction(spark, d):
 
 @query("learn_subwords")
 def learn_subwords(spark, d):
-    model = subword.learn_subwords(C.sentences(spark, d))
-    return spark.createDataFrame([(p, float(round(v, 6))) for p, v in model.items()], "piece string, logp double")
+    return subword.learn_model(C.sentences(spark, d)).select("piece", F.round("logp", 6).alias("logp"))
+
+
+@query("subword_seeds", f"""WITH {O.SENT},
+words AS MATERIALIZED (SELECT '▁' || w AS word, count(*) AS c FROM tok GROUP BY w),
+cuts AS (SELECT word, c, l, unnest(range(1, len(word) - l + 2)) AS s FROM words, range(1, 17) x(l) WHERE l <= len(word))
+SELECT substr(word, s, l) AS piece, l::INT AS len, sum(c)::BIGINT AS freq FROM cuts GROUP BY 1, 2 HAVING l = 1 OR sum(c) >= 2""")
+def subword_seeds(spark, d):
+    """Every repeated substring of the marked words with its count, from sorted suffixes."""
+    return subword.substrings(subword.word_counts(C.sentences(spark, d)))
 
 
 def _trigram_model(spark, d):
     """A fixed model: every substring of up to three characters of the marked words, by frequency."""
     counts = subword.word_counts(C.sentences(spark, d))
-    rows = subword.seed_pieces(counts, 1 << 40, max_piece=3, min_count=1)
-    total = rows.agg(F.sum("freq")).first()[0] or 1
-    return {r["piece"]: r["logp"] for r in rows.select("piece", F.log(F.col("freq") / F.lit(float(total))).alias("logp")).collect()}
+    rows = subword.substrings(counts, max_piece=3, min_count=1)
+    return subword.normalised(rows.select("piece", F.col("freq").cast("double").alias("expected")))
 
 
 # Best score of a prefix from those of the three before it; the longest piece wins a tie.
@@ -142,12 +149,47 @@ def segment_words(spark, d):
     words = C.sentences(spark, d).select(F.explode("words").alias("w")).distinct().select(
         F.concat(F.lit(subword.MARK), "w").alias("word"), F.array("w").alias("words"))
     cut = subword.encode_subwords(words, model).select("word", "pieces")
-    logs = F.broadcast(spark.createDataFrame(list(model.items()), "piece string, logp double"))
-    scored = cut.select("word", "pieces", F.posexplode("pieces").alias("i", "piece")).join(logs, "piece")
+    scored = cut.select("word", "pieces", F.posexplode("pieces").alias("i", "piece")).join(broadcast_if_small(model), "piece")
     return scored.groupBy("word", "pieces").agg(F.round(F.sum("logp"), 6).alias("score")).select(
         "word", F.array_join("pieces", " ").alias("pieces"), "score")
 
 
+# Sums over all segmentations: ahead from the beginning of a word, back from its end, over pieces of up to
+# three characters. s1 and s2 are the sums one and two characters before s0.
+EM_ROUND = SEGMENTED[:SEGMENTED.index("walk(")].rstrip() + """
+ahead(word, e, s0, s1, s2) AS (
+  SELECT word, 0, 0.0::DOUBLE, '-inf'::DOUBLE, '-inf'::DOUBLE FROM words
+  UNION ALL
+  SELECT word, e + 1, m + ln(exp(c1 - m) + exp(c2 - m) + exp(c3 - m)), s0, s1 FROM (
+    SELECT *, greatest(c1, c2, c3) AS m FROM (
+      SELECT w.*, s0 + a.logp AS c1, CASE WHEN e >= 1 THEN s1 + b.logp ELSE '-inf'::DOUBLE END AS c2,
+        CASE WHEN e >= 2 THEN s2 + c.logp ELSE '-inf'::DOUBLE END AS c3
+      FROM ahead w JOIN model a ON a.piece = substr(word, e + 1, 1) LEFT JOIN model b ON e >= 1 AND b.piece = substr(word, e, 2)
+      LEFT JOIN model c ON e >= 2 AND c.piece = substr(word, e - 1, 3) WHERE e < len(word)))),
+back(word, e, s0, s1, s2) AS (
+  SELECT word, len(word), 0.0::DOUBLE, '-inf'::DOUBLE, '-inf'::DOUBLE FROM words
+  UNION ALL
+  SELECT word, e - 1, m + ln(exp(c1 - m) + exp(c2 - m) + exp(c3 - m)), s0, s1 FROM (
+    SELECT *, greatest(c1, c2, c3) AS m FROM (
+      SELECT w.*, s0 + a.logp AS c1, CASE WHEN e <= len(word) - 1 THEN s1 + b.logp ELSE '-inf'::DOUBLE END AS c2,
+        CASE WHEN e <= len(word) - 2 THEN s2 + c.logp ELSE '-inf'::DOUBLE END AS c3
+      FROM back w JOIN model a ON a.piece = substr(word, e, 1) LEFT JOIN model b ON e <= len(word) - 1 AND b.piece = substr(word, e, 2)
+      LEFT JOIN model c ON e <= len(word) - 2 AND c.piece = substr(word, e, 3) WHERE e > 0))),
+arcs AS (SELECT a.word, a.e AS s, a.e + l AS t, substr(a.word, a.e + 1, l) AS piece, a.s0 AS before
+  FROM ahead a, range(1, 4) x(l) WHERE a.e + l <= len(a.word)),
+uses AS (SELECT r.piece, c * exp(before + logp + b.s0 - z.s0) AS x FROM arcs r JOIN model m USING (piece)
+  JOIN back b ON b.word = r.word AND b.e = r.t JOIN back z ON z.word = r.word AND z.e = 0 JOIN words w ON w.word = r.word)
+SELECT piece, round(sum(x), 2) AS expected FROM uses GROUP BY piece"""
+
+
+@query("subword_em_round", EM_ROUND)
+def subword_em_round(spark, d):
+    """Expected uses of every piece of the fixed model: one EM round by forward and backward sums."""
+    counts = subword.word_counts(C.sentences(spark, d))
+    uses = subword.expectation(counts, _trigram_model(spark, d)).filter("piece IS NOT NULL")
+    return uses.select("piece", F.round("expected", 2).alias("expected"))
+
+
 @query("prepare_ids", SEGMENTED.rstrip() + """,
 seg AS MATERIALIZED (SELECT word, string_split(trim(p0), ' ') AS ps FROM walk WHERE e = len(word)),
 flat AS MATERIALIZED (SELECT t.sent_id, t.i, unnest(ps) AS piece, generate_subscripts(ps, 1) AS j
@@ -167,7 +209,7 @@ def prepare_ids(spark, d):
 def encode_subwords_round_trip(spark, d):
     """Encode, then decode: the text itself."""
     sentences = C.sentences(spark, d)
-    enc = subword.encode_subwords(sentences, subword.learn_subwords(sentences))
+    enc = subword.encode_subwords(sentences, subword.learn_model(sentences))
     return enc.select("sent_id", T.decode_pieces(F.col("pieces")).alias("text"))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from codemix.functions import text as T
 from codemix.functions.draw import draw
+from codemix.session import stored
 from codemix.operators import align, clean, corpus, embed, lexsub, pack, sample, score, subword, vocab
 from codemix.operators.lookup import lookup
 from codemix.plans import queries_vocab
@@ -348,10 +349,11 @@ def test_registered_subwords_have_the_operators_sizes(spark, monkeypatch):
 
     def learn(*args, **named):
         sizes.append((args[1:], named))
-        return {c: -1.0 for c in "low" + subword.MARK}
+        rows = [(c, -1.0) for c in "low" + subword.MARK]
+        return stored(spark.createDataFrame(rows, "piece string, logp double"), "model")
 
     monkeypatch.setattr(queries_vocab.C, "sentences", lambda *_: df)
-    monkeypatch.setattr(subword, "learn_subwords", learn)
+    monkeypatch.setattr(subword, "learn_model", learn)
     assert queries_vocab.learn_subwords(spark, "").count() == 4
     assert [tuple(r) for r in queries_vocab.encode_subwords_round_trip(spark, "").collect()] == [(1, "low")]
     assert sizes == [((), {}), ((), {})]
