@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from codemix.functions.draw import draw
 from codemix.session import BROADCAST_BYTES, dense_order, fits_broadcast, stored
 
-#: Consecutive source lengths that are packed together, and tasks that share one frequent pair of lengths.
-WIDTH, SALTS = 16, 32
+#: Rows that one task packs, maps joined by one task, and ranks that share a row of the table of batches.
+CHUNK, FAN, BLOCK = 1 << 18, 64, 512
 
 
 def _tie(row_id: str, shuffle: bool, seed: int) -> list[Column]:
@@ -27,108 +26,133 @@ def order_by_length(df: DataFrame, row_id: str = "ex_id", shuffle: bool = False,
     return dense_order(df, F.col("src_len"), F.col("tgt_len"), *_tie(row_id, shuffle, seed))
 
 
-def batch_segments(sizes: Iterator[tuple[int, int]], max_tokens: int, max_sentences: int,
-                   multiple: int) -> Iterator[tuple[int, int, int, int]]:
-    """Batches of a sorted corpus from its run-length coded sizes.
+def next_starts(sizes: np.ndarray, n: int, max_tokens: int, max_sentences: int, multiple: int) -> np.ndarray:
+    """Where the batch that begins at each of the first ``n`` rows ends, by the greedy rule.
 
-    ``sizes`` gives (size, rows) runs in corpus order.  Yields segments
-    (first rank, end rank, first batch, rows per batch): the greedy batch closes
-    when one more row would break the token budget (rows x longest) or the row
-    limit; a closed batch is cut down to a multiple and its rest moves on.
-    Inside a run only the first few batches are stepped, the rest is division.
+    A batch closes when one more row would break the token budget (rows x longest) or the row
+    limit, and is cut down to a multiple; its rest begins the next one.  So the end depends on
+    the beginning alone.  Maxima over powers of two rows give all ends at once, by bisection.
     """
-    start = batch = 0          # rank and number of the open batch
-    held: list[list[int]] = []  # runs [size, rows] of the open batch
-
-    def close(count: int) -> int:
-        return max(multiple * (count // multiple), count % multiple)
-
-    for size, rows in sizes:
-        if size > max_tokens:
-            raise ValueError(f"a row of size {size} exceeds the budget of {max_tokens}")
-        while rows > 0:
-            count, longest = sum(r for _, r in held), max([s for s, _ in held], default=0)
-            room = min(max_sentences, max_tokens // max(longest, size)) - count
-            if room > 0:
-                add = min(room, rows)
-                held.append([size, add])
-                rows -= add
-                continue
-            cut = close(count)
-            if rows and all(s == size for s, _ in held):
-                # every further batch of this run repeats this cut
-                repeat = 1 + max(0, (rows - cut) // cut)
-            else:
-                repeat = 1
-            yield start, start + cut * repeat, batch, cut
-            taken = cut
-            rest = []
-            for s, r in held:
-                drop = min(taken, r)
-                taken -= drop
-                if r > drop:
-                    rest.append([s, r - drop])
-            held = rest
-            rows -= cut * (repeat - 1)
-            start, batch = start + cut * repeat, batch + repeat
-    while held:
-        count = sum(r for _, r in held)
-        cut = close(count)
-        yield start, start + cut, batch, cut
-        start, batch, left = start + cut, batch + 1, count - cut
-        held = [[0, left]] if left else []
+    tops, count, longest = [sizes], np.zeros(n, np.int64), np.zeros(n, np.int64)
+    while 2 << len(tops) - 1 <= min(max_tokens, max_sentences, len(sizes)):
+        half = 1 << len(tops) - 1
+        tops.append(np.maximum(tops[-1][:-half], tops[-1][half:]))
+    at = np.arange(n)
+    for k in reversed(range(len(tops))):
+        more, place = count + (1 << k), at + count
+        inside = place < len(tops[k])
+        top = np.maximum(longest, tops[k][np.minimum(place, len(tops[k]) - 1)])
+        ok = inside & (more * top <= max_tokens) & (more <= max_sentences)
+        count, longest = np.where(ok, more, count), np.where(ok, top, longest)
+    return at + np.maximum(multiple * (count // multiple), count % multiple)
+
+
+def chunk_exits(following: np.ndarray, entries: int) -> tuple[np.ndarray, np.ndarray]:
+    """For a batch that begins at each of the first rows: the first beginning past the chunk, batches until there."""
+    n, target, steps = len(following), following.copy(), np.ones(len(following), np.int64)
+    while (inside := np.flatnonzero(target < n)).size:
+        on = target[inside]
+        steps[inside] += steps[on]
+        target[inside] = target[on]
+    return target[:entries] - n, steps[:entries]
+
+
+def _then(exits: np.ndarray, steps: np.ndarray, following) -> tuple[np.ndarray, np.ndarray]:
+    """Two chunks as one: entries of the second that lie past the corpus end there."""
+    known = exits < len(following["exits"])
+    at = np.where(known, exits, 0)
+    return (np.where(known, np.asarray(following["exits"])[at], 0),
+            steps + np.where(known, np.asarray(following["steps"])[at], 0))
+
+
+MAPS = "node bigint, exits array<bigint>, steps array<bigint>"
+ENTRIES = "node bigint, at bigint, batch bigint"
+
+
+def _joined_maps(maps: pd.DataFrame) -> pd.DataFrame:
+    """One map of consecutive ones."""
+    rows = maps.sort_values("node").to_dict("records")
+    exits, steps = np.asarray(rows[0]["exits"]), np.asarray(rows[0]["steps"])
+    for row in rows[1:]:
+        exits, steps = _then(exits, steps, row)
+    return pd.DataFrame({"node": [rows[0]["up"]], "exits": [exits], "steps": [steps]})
+
+
+def _entered(maps: pd.DataFrame) -> pd.DataFrame:
+    """Where the batches enter each of consecutive chunks; ``at, batch`` hold the entry of the first."""
+    rows, out = maps.sort_values("node").to_dict("records"), []
+    at, batch = np.array([rows[0]["at"]]), np.array([rows[0]["batch"]])
+    for row in rows:
+        out.append((row["node"], at[0], batch[0]))
+        at, batch = _then(at, batch, row)
+    return pd.DataFrame(out, columns=["node", "at", "batch"])
 
 
 def pack_batches(df: DataFrame, max_tokens: int = 4000, max_sentences: int = 1 << 30, multiple: int = 1,
-                 row_id: str = "ex_id", shuffle: bool = False, seed: int = 0, width: int = WIDTH,
-                 limit: int = BROADCAST_BYTES) -> DataFrame:
+                 row_id: str = "ex_id", shuffle: bool = False, seed: int = 0, chunk: int = CHUNK,
+                 fan: int = FAN, limit: int = BROADCAST_BYTES) -> DataFrame:
     """Greedy token-budget batches over the length order: adds ``rank`` and ``batch_no``.
 
-    No batch spans two groups of ``width`` consecutive source lengths; so groups are packed
-    in parallel, each from its run-length histogram, which the position limits bound and not
-    the corpus.  Rows find their batch by their rank inside the run; a large table of runs is
-    joined with a salt, so that one frequent pair of lengths is spread over tasks.
+    The result is that of one pass over the whole order; a row counts one token at least.
+    Chunks of ``chunk`` rows (at least a batch) are packed in parallel from the run-length histogram: each finds,
+    for every row at which the open batch may enter it, where the batches leave it and how
+    many they are.  These maps are joined pairwise in a tree (a parallel prefix), which
+    gives every chunk its real entry; then the chunks cut their batches.  Rows find theirs by blocks of ranks.
     """
+    window = min(max_tokens, max_sentences)
+    chunk = max(chunk, window)
     ranked = order_by_length(df, row_id, shuffle, seed)
-    hist = (ranked.groupBy("src_len", "tgt_len").agg(F.count(F.lit(1)).alias("n"), F.min("rank").alias("first"))
-            .withColumn("grp", F.floor(F.col("src_len") / width)))
-
-    def segments(runs: pd.DataFrame) -> pd.DataFrame:
-        runs = runs.sort_values("first")
-        sizes = runs[["src_len", "tgt_len"]].max(axis=1)
-        base = runs["first"].iloc[0]
-        rows, pos, ends = [], 0, list(zip(runs["src_len"], runs["tgt_len"], runs["first"], runs["n"], strict=True))
-        for lo, hi, batch, per in batch_segments(zip(sizes, runs["n"], strict=True), max_tokens, max_sentences, multiple):
-            lo, hi = lo + base, hi + base
-            while pos < len(ends) and ends[pos][2] + ends[pos][3] <= lo:
-                pos += 1
-            k = pos
-            while k < len(ends) and ends[k][2] < hi:  # a segment may span several runs
-                a, b = max(lo, ends[k][2]), min(hi, ends[k][2] + ends[k][3])
-                rows.append((runs["grp"].iloc[0], *ends[k][:2], a, b, batch, lo, per, batch + (hi - lo) // per))
-                k += 1
-        return pd.DataFrame(rows, columns=["grp", "src_len", "tgt_len", "a", "b", "batch", "lo", "per", "upto"])
-
-    found = stored(hist.groupBy("grp").applyInPandas(
-        segments, "grp bigint, src_len int, tgt_len int, a bigint, b bigint, batch bigint, lo bigint, per bigint, upto bigint"))
-    starts, total = [], 0
-    for r in found.groupBy("grp").agg(F.max("upto").alias("n")).orderBy("grp").collect():  # one row per group of lengths
-        starts.append((r["grp"], total))
-        total += r["n"]
-    table = (found.join(F.broadcast(df.sparkSession.createDataFrame(starts, "grp bigint, before bigint")), "grp")
-             .groupBy("src_len", "tgt_len")
-             .agg(F.sort_array(F.collect_list(F.struct("a", "b", (F.col("before") + F.col("batch")).alias("batch"), "lo", "per")))
-                  .alias("segs")))
+    hist = stored(ranked.groupBy(F.greatest("src_len", "tgt_len").alias("size"), "src_len", "tgt_len")
+                  .agg(F.count(F.lit(1)).alias("n"), F.min("rank").alias("first"))
+                  .select("first", (F.col("first") + F.col("n")).alias("upto"), F.greatest("size", F.lit(1)).alias("size")), "runs")
+    total, widest = hist.agg(F.max("upto"), F.max("size")).first()
+    if widest is not None and widest > max_tokens:
+        raise ValueError(f"a row of size {widest} exceeds the budget of {max_tokens}")
+    touched = F.sequence(F.greatest(F.floor((F.col("first") - window) / chunk), F.lit(0)), F.floor((F.col("upto") - 1) / chunk))
+    begin = F.col("node") * chunk
+    runs = (hist.withColumn("node", F.explode(touched))
+            .select("node", F.greatest("first", begin).alias("first"), F.least("upto", begin + chunk + window).alias("upto"), "size")
+            .filter("first < upto"))
+
+    def ends(rows: pd.DataFrame) -> np.ndarray:
+        rows = rows.sort_values("first")
+        sizes = np.repeat(rows["size"].to_numpy(np.int64), (rows["upto"] - rows["first"]).to_numpy())
+        return next_starts(sizes, min(chunk, len(sizes)), max_tokens, max_sentences, multiple)
+
+    def solve(rows: pd.DataFrame) -> pd.DataFrame:
+        exits, steps = chunk_exits(ends(rows), window)
+        return pd.DataFrame({"node": [rows["node"].iloc[0]], "exits": [exits], "steps": [steps]})
+
+    def cut(rows: pd.DataFrame) -> pd.DataFrame:
+        following, base, at = ends(rows).tolist(), int(rows["node"].iloc[0]) * chunk, int(rows["at"].iloc[0])
+        batch, out = int(rows["batch"].iloc[0]), []
+        while at < len(following):
+            lo, per, first = at, following[at] - at, batch
+            while at < len(following) and following[at] - at == per:
+                at, batch = following[at], batch + 1
+            for block in range((base + lo) // BLOCK, (base + at - 1) // BLOCK + 1):
+                out.append((block, max(base + lo, block * BLOCK), min(base + at, (block + 1) * BLOCK), first, base + lo, per))
+        return pd.DataFrame(out, columns=["block", "a", "b", "batch", "lo", "per"])
+
+    entries = df.sparkSession.createDataFrame([(0, 0, 0)], ENTRIES)
+    nodes = -(-(total or 0) // chunk)
+    if nodes > 1:
+        levels = [stored(runs.groupBy("node").applyInPandas(solve, MAPS), "chunk-maps")]
+        up = F.floor(F.col("node") / fan).alias("up")
+        while (nodes := -(-nodes // fan)) > 1:
+            levels.append(stored(levels[-1].select("*", up).groupBy("up").applyInPandas(_joined_maps, MAPS), "chunk-maps"))
+        for maps in reversed(levels):
+            below = maps.select("*", up).join(entries.withColumnRenamed("node", "up"), "up")
+            entries = below.groupBy("up").applyInPandas(_entered, ENTRIES)
+        entries = stored(entries, "entries")
+    segments = "block bigint, a bigint, b bigint, batch bigint, lo bigint, per bigint"
+    table = stored(runs.join(entries, "node").groupBy("node").applyInPandas(cut, segments).groupBy("block")
+                   .agg(F.collect_list(F.struct("a", "b", "batch", "lo", "per")).alias("segs")), "batches")
     seg = F.get(F.filter("segs", lambda s: (F.col("rank") >= s["a"]) & (F.col("rank") < s["b"])), F.lit(0))
-    if fits_broadcast(table, limit):
-        joined = ranked.join(F.broadcast(table), ["src_len", "tgt_len"])
-    else:
-        salted = table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = ranked.withColumn("salt", F.pmod("rank", F.lit(SALTS)).cast("int")).join(
-            salted, ["src_len", "tgt_len", "salt"]).drop("salt")
-    return (joined.withColumn("seg", seg)
+    side = F.broadcast(table) if fits_broadcast(table, limit) else table
+    return (ranked.withColumn("block", F.floor(F.col("rank") / BLOCK)).join(side, "block").withColumn("seg", seg)
             .withColumn("batch_no", F.col("seg.batch") + F.floor((F.col("rank") - F.col("seg.lo")) / F.col("seg.per")))
-            .drop("segs", "seg"))
+            .drop("segs", "seg", "block"))
 
 
 def assign_shards(df: DataFrame, n: int, drop_remainder: bool = False, n_batches: int | None = None,

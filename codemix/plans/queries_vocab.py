@@ -109,8 +109,9 @@ def learn_subwords(spark, d):
 
 @query("subword_seeds", f"""WITH {O.SENT},
 words AS MATERIALIZED (SELECT '▁' || w AS word, count(*) AS c FROM tok GROUP BY w),
-cuts AS (SELECT word, c, l, unnest(range(1, len(word) - l + 2)) AS s FROM words, range(1, 17) x(l) WHERE l <= len(word))
-SELECT substr(word, s, l) AS piece, l::INT AS len, sum(c)::BIGINT AS freq FROM cuts GROUP BY 1, 2 HAVING l = 1 OR sum(c) >= 2""")
+cuts AS (SELECT word, c, l, unnest(range(1, len(word) - l + 2)) AS s FROM words, range(1, 17) x(l) WHERE l <= len(word)),
+found AS (SELECT substr(word, s, l) AS piece, l::INT AS len, sum(c)::BIGINT AS freq FROM cuts GROUP BY ALL)
+SELECT piece, len, freq FROM found WHERE len = 1 OR freq >= 2""")
 def subword_seeds(spark, d):
     """Every repeated substring of the marked words with its count, from sorted suffixes."""
     return subword.substrings(subword.word_counts(C.sentences(spark, d)))

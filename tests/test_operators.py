@@ -1,20 +1,19 @@
 """Sampling, packing, vocabulary, scores, sources, subwords: brute force and properties."""
 
-import itertools
 import math
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from codemix.functions import text as T
 from codemix.functions.draw import draw
-from codemix.session import stored
 from codemix.operators import align, clean, corpus, embed, lexsub, pack, sample, score, subword, vocab
 from codemix.operators.lookup import lookup
 from codemix.plans import queries_vocab
-from codemix.session import dense_order
+from codemix.session import dense_order, stored
 from codemix.sources import lexicon, lines, logs, store
 
 
@@ -35,30 +34,32 @@ def greedy(sizes, max_tokens, max_sentences, multiple):
     return out
 
 
-def test_batch_segments_against_row_by_row():
+def test_next_starts_against_row_by_row():
     rng = random.Random(3)
     for _ in range(1500):
-        runs = [(rng.randint(1, 20), rng.randint(1, 30)) for _ in range(rng.randint(1, 8))]
+        sizes = [rng.randint(1, 20) for _ in range(rng.randint(1, 120))]
         limits = rng.randint(20, 100), rng.choice([3, 8, 1000]), rng.choice([1, 2, 4, 8])
-        got, pos = [], 0
-        for lo, hi, batch, per in pack.batch_segments(iter(runs), *limits):
-            assert lo == pos and batch == len(got) and (hi - lo) % per == 0
-            got += [per] * ((hi - lo) // per)
-            pos = hi
-        assert got == greedy([s for s, n in runs for _ in range(n)], *limits)
-
-
-@pytest.mark.parametrize("multiple", [1, 8])
-def test_pack_batches_rows(spark, multiple):
+        following = pack.next_starts(np.array(sizes), len(sizes), *limits)
+        got, at = [], 0
+        while at < len(sizes):
+            got.append(following[at] - at)
+            at = following[at]
+        assert got == greedy(sizes, *limits)
+        exits, steps = pack.chunk_exits(following, 5)
+        assert exits[0] == 0 and steps[0] == len(got)
+
+
+@pytest.mark.parametrize("multiple, fan, limit", [(1, 2, 1 << 20), (8, 3, 0), (8, 64, 1 << 20)])
+def test_pack_batches_rows(spark, monkeypatch, multiple, fan, limit):
+    monkeypatch.setattr(pack, "BLOCK", 16)
     rng = random.Random(9)
     rows = [(i, rng.choice([5, 5, 5, rng.randint(1, 30)]), rng.randint(1, 30)) for i in range(3000)]
     df = spark.createDataFrame(rows, "ex_id bigint, src_len int, tgt_len int")
     ordered = sorted(rows, key=lambda r: (r[1], r[2], r[0]))
-    for width, limit in ((16, 1 << 20), (1000, 1 << 20), (4, 0)):
-        got = pack.pack_batches(df, 200, 64, multiple, width=width, limit=limit).orderBy("rank").collect()
+    for chunk in (64, 501, 1 << 18):
+        got = pack.pack_batches(df, 200, 64, multiple, chunk=chunk, fan=fan, limit=limit).orderBy("rank").collect()
         assert [r["ex_id"] for r in got] == [r[0] for r in ordered]
-        counts = [n for _, group in itertools.groupby(ordered, key=lambda r: r[1] // width)
-                  for n in greedy([max(r[1:]) for r in group], 200, 64, multiple)]
+        counts = greedy([max(r[1:]) for r in ordered], 200, 64, multiple)
         assert [r["batch_no"] for r in got] == [b for b, n in enumerate(counts) for _ in range(n)]
 
 
