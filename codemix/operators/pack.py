@@ -17,13 +17,29 @@ def _tie(row_id: str, shuffle: bool, seed: int) -> list[Column]:
     return ([draw(seed, F.col(row_id), 0, "length")] if shuffle else []) + [F.col(row_id)]
 
 
+def _ranked(df: DataFrame, row_id: str, shuffle: bool, seed: int) -> DataFrame:
+    """Id, lengths and rank: only keys are sorted and stored.
+
+    The keys are stored before, too: the range exchange reads its input twice, and lengths are costly.
+    """
+    keys = stored(df.select(row_id, "src_len", "tgt_len", *[t.alias("_tie") for t in _tie(row_id, shuffle, seed)[:-1]]), "lengths")
+    return dense_order(keys, *[F.col(c) for c in keys.columns if c != row_id], F.col(row_id)).drop("_tie")
+
+
+def _with_rest(df: DataFrame, numbered: DataFrame, row_id: str) -> DataFrame:
+    """Other columns of the rows join their numbers by id; rows of keys alone need no join."""
+    if set(df.columns) == {row_id, "src_len", "tgt_len"}:
+        return numbered
+    return df.join(numbered.drop("src_len", "tgt_len"), row_id)
+
+
 def order_by_length(df: DataFrame, row_id: str = "ex_id", shuffle: bool = False, seed: int = 0) -> DataFrame:
     """Dense 0-based ``rank`` by source length, then target length; ties random or by id.
 
     Ties end in the unique id, so one very frequent length is split over
-    partitions by the range exchange.
+    partitions by the range exchange.  Wide rows are neither sorted nor stored.
     """
-    return dense_order(df, F.col("src_len"), F.col("tgt_len"), *_tie(row_id, shuffle, seed))
+    return _with_rest(df, _ranked(df, row_id, shuffle, seed), row_id)
 
 
 def next_starts(sizes: np.ndarray, n: int, max_tokens: int, max_sentences: int, multiple: int) -> np.ndarray:
@@ -101,7 +117,7 @@ def pack_batches(df: DataFrame, max_tokens: int = 4000, max_sentences: int = 1 <
     """
     window = min(max_tokens, max_sentences)
     chunk = max(chunk, window)
-    ranked = order_by_length(df, row_id, shuffle, seed)
+    ranked = _ranked(df, row_id, shuffle, seed)
     hist = stored(ranked.groupBy(F.greatest("src_len", "tgt_len").alias("size"), "src_len", "tgt_len")
                   .agg(F.count(F.lit(1)).alias("n"), F.min("rank").alias("first"))
                   .select("first", (F.col("first") + F.col("n")).alias("upto"), F.greatest("size", F.lit(1)).alias("size")), "runs")
@@ -150,9 +166,10 @@ def pack_batches(df: DataFrame, max_tokens: int = 4000, max_sentences: int = 1 <
                    .agg(F.collect_list(F.struct("a", "b", "batch", "lo", "per")).alias("segs")), "batches")
     seg = F.get(F.filter("segs", lambda s: (F.col("rank") >= s["a"]) & (F.col("rank") < s["b"])), F.lit(0))
     side = F.broadcast(table) if fits_broadcast(table, limit) else table
-    return (ranked.withColumn("block", F.floor(F.col("rank") / BLOCK)).join(side, "block").withColumn("seg", seg)
-            .withColumn("batch_no", F.col("seg.batch") + F.floor((F.col("rank") - F.col("seg.lo")) / F.col("seg.per")))
-            .drop("segs", "seg", "block"))
+    numbered = (ranked.withColumn("block", F.floor(F.col("rank") / BLOCK)).join(side, "block").withColumn("seg", seg)
+                .withColumn("batch_no", F.col("seg.batch") + F.floor((F.col("rank") - F.col("seg.lo")) / F.col("seg.per")))
+                .drop("segs", "seg", "block"))
+    return _with_rest(df, numbered, row_id)
 
 
 def assign_shards(df: DataFrame, n: int, drop_remainder: bool = False, n_batches: int | None = None,
