@@ -79,6 +79,28 @@ def corpus_bleu_13a(spark, d):
     return score.corpus_bleu(C.ref_hyp(spark, d), ["grp"], tokenizer="13a")
 
 
+# A corpus with unspaced characters: two letters of the sentences become ideographs.
+LETTERS, SIGNS = "qx", "的一"
+
+
+def _sign_words(col: str) -> str:
+    alone = f"regexp_replace(trim(translate({col}, '{LETTERS}', '{SIGNS}')), '([一-龥])', ' \\1 ', 'g')"
+    return O.words(MTEVAL_SQL.replace("' ' || {t} || ' '", alone))
+
+
+@query("corpus_bleu_zh", f"""WITH {O.REFHYP},
+toks AS (SELECT sent_id, grp, 'w' AS kind, 'h' AS side, {_sign_words('hyp')} AS items FROM refhyp
+  UNION ALL SELECT sent_id, grp, 'w', 'r', {_sign_words('ref')} FROM refhyp),
+grams AS ({_ngram_sql('w', range(1, 5), ' ')}), {STATS}
+SELECT grp, round(100 * exp(sum(ln(m / h)) / 4) * any_value(bp), 2) AS bleu,
+  any_value(sl)::BIGINT AS sys_len, any_value(rl)::BIGINT AS ref_len
+FROM stats JOIN (SELECT grp AS g, h AS sl, r AS rl, CASE WHEN h >= r THEN 1 ELSE exp(1 - r / h) END AS bp FROM stats WHERE o = 1)
+  ON g = grp GROUP BY grp""")
+def corpus_bleu_zh(spark, d):
+    sides = [F.translate(c, LETTERS, SIGNS).alias(c) for c in ("ref", "hyp")]
+    return score.corpus_bleu(C.ref_hyp(spark, d).select("grp", *sides), ["grp"], tokenizer="zh")
+
+
 @query("corpus_bleu_pieces", f"""WITH {O.REFHYP},
 toks AS (SELECT sent_id, grp, 'w' AS kind, 'h' AS side, {PIECES_SQL.replace('{w}', O.words('hyp'))} AS items FROM refhyp
   UNION ALL SELECT sent_id, grp, 'w', 'r', {PIECES_SQL.replace('{w}', O.words('ref'))} FROM refhyp),

@@ -394,6 +394,20 @@ def test_long_words_do_not_underflow():
     assert subword.viterbi("a" * 20, model)[0] == ["a" * 20]
 
 
+def test_scorer_tokenizers_of_unspaced_scripts(spark):
+    df = spark.createDataFrame([(" 我有3.5个 ok,好。𠀀 ", "これは x-5 カナ。")], "zh string, ja string")
+    got = df.select(score.TOKENIZERS["zh"](F.col("zh")), score.TOKENIZERS["ja-mecab"](F.col("ja")),
+                    score.TOKENIZERS["zh"](F.lit("costs 5.")), score.TOKENIZERS["zh"](F.lit("  "))).first()
+    assert got[0] == ["我", "有", "3.5", "个", "ok", ",", "好", "。", "𠀀"]
+    assert got[1] == ["こ", "れ", "は", "x-5", "カ", "ナ", "。"]
+    assert got[2] == ["costs", "5."] and got[3] == []
+    pairs = spark.createDataFrame([("ja", "これはいい本です", "これはいい本です"), ("zh", "我有一本书", "我有一本书")],
+                                  "lang string, hyp string, ref string")
+    names = pairs.select("lang", T.scorer_tokenizer(F.col("lang")).alias("t")).collect()
+    for lang, name in names:
+        assert score.corpus_bleu(pairs.filter(F.col("lang") == lang), ["lang"], tokenizer=name).first()["bleu"] == 100.0
+
+
 def test_bpe_merges():
     ranks = {("l", "o"): 0, ("lo", "w</w>"): 1, ("e", "r</w>"): 2}
     assert subword.bpe_word("low", ranks) == ["low"]

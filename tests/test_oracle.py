@@ -17,7 +17,7 @@ NAMES = [
     "generation_log", "mix_training_one_part", "bidirectional_pairs", "slice_by_language", "build_vocabulary",
     "encode_ids", "decode_ids", "bpe_round_trip", "subsample_weighted", "subsample_replace_weighted", "pack_batches",
     "zip_lines", "subsample_replace_fractions", "segment_words", "prepare_ids", "subword_seeds", "subword_em_round", "score_log", "switch_totals",
-    "alignment_dropped", "compatible_sets", "corpus_bleu_13a", "corpus_bleu_pieces", "upsample_concat",
+    "alignment_dropped", "compatible_sets", "corpus_bleu_13a", "corpus_bleu_zh", "corpus_bleu_pieces", "upsample_concat",
     "length_buckets", "corpus_bleu", "contrastive_loss", "align_embeddings", "tokenize_corpus",
 ]
 
