@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from codemix.functions.text import lang_short, with_tag
-from codemix.operators.sample import subsample
+from codemix.operators.sample import sample_size, subsample_groups
 from codemix.operators.switch import SwitchOptions, switch_by_kind
 
 
@@ -100,19 +100,21 @@ def mix_training(parallel: DataFrame | None, mono: DataFrame | None, split: str,
     if split != "train" or mono is None:
         kind = "parallel" if parallel is not None else "mono"
         return base.filter(F.col("split") == split).withColumn("kind", F.lit(kind))
+    for ratio in (parallel_ratio, mono_ratio):
+        sample_size(0, ratio)  # a wrong ratio fails at once
     train = mono.filter(F.col("split") == split)
-    parts = list(range(n_mono_parts)) if n_mono_parts is not None else sorted(
-        r["part"] for r in train.select("part").distinct().collect())
-    if one_mono_part and parts:
-        parts = [parts[(epoch - 1) % len(parts)]]
-    sets = [subsample(train.filter(F.col("part") == p), "ex_id", mono_ratio, seed, epoch)
-            .withColumn("kind", F.lit("mono")) for p in parts]
-    if parallel is not None:
-        sets.append(subsample(parallel.filter(F.col("split") == split), "ex_id", parallel_ratio, seed, epoch)
-                    .withColumn("kind", F.lit("parallel")))
-    if not sets:
-        return train.withColumn("kind", F.lit("mono"))
-    return reduce(DataFrame.unionByName, sets)
+    if one_mono_part:
+        parts = list(range(n_mono_parts)) if n_mono_parts is not None else sorted(
+            r["part"] for r in train.select("part").distinct().collect() if r["part"] is not None)
+        train = train.filter(F.col("part") == parts[(epoch - 1) % len(parts)] if parts else F.lit(False))
+    elif n_mono_parts is not None:
+        train = train.filter(F.col("part").between(0, n_mono_parts - 1))
+    train = train.withColumn("kind", F.lit("mono")).withColumn("_part", F.col("part"))
+    if parallel is not None:  # the parallel set is one group, whatever its parts
+        train = train.unionByName(parallel.filter(F.col("split") == split).withColumn("kind", F.lit("parallel"))
+                                  .withColumn("_part", F.lit(None).cast(train.schema["_part"].dataType)))
+    ratio = F.when(F.col("kind") == "mono", F.lit(float(mono_ratio))).otherwise(F.lit(float(parallel_ratio)))
+    return subsample_groups(train, "ex_id", ratio, seed, epoch, "kind", "_part").drop("_part")
 
 
 def valid_for_mono(parallel: DataFrame, mono: DataFrame) -> DataFrame:

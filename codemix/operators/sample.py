@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from codemix.functions.draw import SPAN, draw, uniform
-from codemix.session import broadcast_if_small, dense_order
+from codemix.session import BROADCAST_BYTES, broadcast_if_small, dense_order, fits_broadcast, stored
 
 FINE = 1 << 20
 BUCKETS = 1 << 16
+CELL_BITS = 16
+SALTS = 64
 
 
 def shuffle_pairs(df: DataFrame, row_id: str, seed: int) -> DataFrame:
@@ -74,9 +79,73 @@ def smallest(df: DataFrame, key: Column, row_id: str, k, fine: int = FINE) -> Da
     return df.filter((value < v) | ((value == v) & ((spread < h) | ((spread == h) & (row <= i)))))
 
 
+def group_cutoffs(df: DataFrame, key: Column, row_id: str, size: Callable[[Column], Column], *groups: str) -> DataFrame:
+    """Per group the ``size(n)``-th smallest (key, hash of id, id): ``_g0.., _v, _h, _i``.
+
+    A histogram of the leading half of the keys finds the cell each cut-off lies in; ids are
+    gathered from those cells only, about one row in 2**CELL_BITS.  Counts are combined before
+    they shuffle, and a window holds at most 2**CELL_BITS cells of a group, never its rows.
+    Groups whose size is 0 have no row.
+    """
+    names = [f"_g{i}" for i in range(len(groups))]
+    rows = df.select(*groups, key.alias("_key"), F.col(row_id).alias("_i")).withColumn(
+        "_cell", F.shiftright("_key", CELL_BITS))
+
+    def before(order: str) -> Column:
+        return F.sum("_n").over(Window.partitionBy(*groups).orderBy(order)) - F.col("_n")
+
+    total = F.sum("_n").over(Window.partitionBy(*groups))
+    bounds = (rows.groupBy(*groups, "_cell").agg(F.count(F.lit(1)).alias("_n"))
+              .withColumn("_before", before("_cell")).withColumn("_k", F.least(size(total), total))
+              .filter("_before < _k AND _k <= _before + _n")
+              .select(*[F.col(g).alias(n) for g, n in zip(groups, names, strict=True)],
+                      F.col("_cell").alias("_at"), (F.col("_k") - F.col("_before")).alias("_need")))
+    bounds = broadcast_if_small(stored(bounds, "cells"))
+    own = reduce(and_, [F.col(g).eqNullSafe(F.col(n)) for g, n in zip(groups, names, strict=True)],
+                 F.col("_cell") == F.col("_at"))
+    order = Window.partitionBy(*names).orderBy("_key")
+    near = (rows.join(bounds, own).groupBy(*names, "_need", "_key")
+            .agg(F.sort_array(F.collect_list(F.struct(F.xxhash64("_i").cast("double").alias("h"), "_i"))).alias("_ids"))
+            .withColumn("_n", F.size("_ids"))
+            .withColumn("_place", F.col("_need") - F.sum("_n").over(order) + F.col("_n"))
+            .filter("_place BETWEEN 1 AND _n").withColumn("_last", F.get("_ids", (F.col("_place") - 1).cast("int"))))
+    return near.select(*names, F.col("_key").alias("_v"), F.col("_last.h").alias("_h"), F.col("_last._i").alias("_i"))
+
+
+def smallest_draws(df: DataFrame, key: Column, row_id: str, size: Callable[[Column], Column], *groups: str,
+                   limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Of every group the ``size(n)`` rows with the smallest keys, n being its number of rows.
+
+    ``key`` is a draw in [0, SPAN) and ``size`` may use the group columns.  Ties go by hash of the
+    id, then by id.  A null group is a group; without ``groups`` all rows are one.  Row ids are
+    unique and not null.
+
+    Three scans whatever the number of groups: a histogram, the ids around the cut-offs, and a
+    filter.  The cut-offs, one row a group, are broadcast up to ``limit`` bytes; more are joined
+    by group and a salt of the key, so that no group is one task.
+    """
+    cuts = group_cutoffs(df, key, row_id, size, *groups)
+    spread, row = F.xxhash64(F.col(row_id)).cast("double"), F.col(row_id)
+
+    def upto(v: Column, h: Column, i: Column) -> Column:
+        return (key < v) | ((key == v) & ((spread < h) | ((spread == h) & (row <= i))))
+
+    if not groups:
+        cut = cuts.first()
+        return df.filter(F.lit(False) if cut is None else upto(*(F.lit(cut[c]) for c in ("_v", "_h", "_i"))))
+    cuts = stored(cuts, "cuts")
+    own = [F.col(g).eqNullSafe(F.col(f"_g{i}")) for i, g in enumerate(groups)]
+    if fits_broadcast(cuts, limit):
+        cuts = F.broadcast(cuts)
+    else:
+        cuts = cuts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        own.append(F.pmod(key, F.lit(SALTS)) == F.col("_salt"))
+    return df.join(cuts, reduce(and_, own, upto(F.col("_v"), F.col("_h"), F.col("_i"))), "left_semi")
+
+
 def sample_n(df: DataFrame, row_id: str, n: int, seed: int) -> DataFrame:
     """n random rows without replacement."""
-    return smallest(df, draw(seed, F.col(row_id), 0, "sample"), row_id, n)
+    return smallest_draws(df, draw(seed, F.col(row_id), 0, "sample"), row_id, lambda _: F.lit(n).cast("bigint"))
 
 
 def _epoch_seed(seed: int, epoch: int) -> str:
@@ -96,12 +165,21 @@ def subsample(df: DataFrame, row_id: str, ratio: float, seed: int = 0, epoch: in
     With weights the smallest keys -ln(u)/w win (Efraimidis & Spirakis 2006);
     rows of weight 0 are never drawn.
     """
-    size = lambda n: sample_size(n, ratio)
     sample_size(0, ratio)  # a wrong ratio fails at once
-    u = uniform(_epoch_seed(seed, epoch), F.col(row_id), 0, "subsample")
     if weight is None:
-        return smallest(df, draw(_epoch_seed(seed, epoch), F.col(row_id), 0, "subsample"), row_id, size)
-    return smallest(df, F.when(F.col(weight) > 0, -F.log(u) / F.col(weight)), row_id, size)
+        return subsample_groups(df, row_id, F.lit(float(ratio)), seed, epoch)
+    u = uniform(_epoch_seed(seed, epoch), F.col(row_id), 0, "subsample")
+    return smallest(df, F.when(F.col(weight) > 0, -F.log(u) / F.col(weight)), row_id, lambda n: sample_size(n, ratio))
+
+
+def subsample_groups(df: DataFrame, row_id: str, ratio: Column, seed: int = 0, epoch: int = 1, *groups: str) -> DataFrame:
+    """``subsample`` of every group by itself, all groups at once.
+
+    ``ratio`` is a column over the group columns; each group gives the rows that
+    ``subsample`` of its rows alone would give.
+    """
+    key = draw(_epoch_seed(seed, epoch), F.col(row_id), 0, "subsample")
+    return smallest_draws(df, key, row_id, lambda n: F.ceil(n * ratio), *groups)
 
 
 def subsample_with_replacement(df: DataFrame, row_id: str, ratio: float, seed: int = 0, epoch: int = 1,

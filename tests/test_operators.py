@@ -95,6 +95,52 @@ def test_subsample_size_and_epochs(spark):
         sample.subsample(df, "id", 1.5)
 
 
+def _skewed_parts(spark, n):
+    part = F.when(F.col("id") % 3 == 0, 0).when(F.col("id") % 31 == 0, F.lit(None)).otherwise(F.col("id") % n)
+    return spark.range(4000).select("id", part.cast("int").alias("part"), F.lit("x").alias("kind"))
+
+
+@pytest.mark.parametrize("bits", [16, 30])
+def test_groups_at_once_equal_one_after_the_other(spark, monkeypatch, bits):
+    monkeypatch.setattr(sample, "CELL_BITS", bits)  # wide cells: several rows around every cut-off
+    df = _skewed_parts(spark, 7)
+    ratio = F.when(F.col("part") == 0, 0.07).when(F.col("part") == 1, 0.0).when(F.col("part") == 2, 1.0).otherwise(0.4)
+    got = sample.subsample_groups(df, "id", ratio, 3, 2, "kind", "part").collect()
+    want, of = set(), lambda p: {0: 0.07, 1: 0.0, 2: 1.0}.get(p, 0.4)
+    key = draw("42:3:2", F.col("id"), 0, "subsample")
+    rows = df.select("id", "part", key.alias("key")).collect()
+    for p in {r["part"] for r in rows}:
+        mine = sorted((r["key"], r["id"]) for r in rows if r["part"] == p)
+        want |= {i for _, i in mine[:math.ceil(len(mine) * of(p))]}
+    assert {r["id"] for r in got} == want and len(got) == len(want)
+
+
+def test_groups_with_tied_draws_and_a_salted_join(spark):
+    df = _skewed_parts(spark, 5).withColumn("key", F.col("id") % 4 * (1 << 20))  # ties of about 250 rows
+    run = lambda limit: {r["id"] for r in sample.smallest_draws(
+        df, F.col("key"), "id", lambda n: F.floor(n / 3), "part", limit=limit).collect()}
+    rows = df.select("id", "part", "key", F.xxhash64("id").cast("double").alias("h")).collect()
+    want = set()
+    for p in {r["part"] for r in rows}:
+        mine = sorted((r["key"], r["h"], r["id"]) for r in rows if r["part"] == p)
+        want |= {i for *_, i in mine[:len(mine) // 3]}
+    assert run(1 << 20) == run(0) == want
+    whole = sorted((r["key"], r["h"], r["id"]) for r in rows)
+    for k in (0, 1, 999, 4000, 5000):
+        one = sample.smallest_draws(df, F.col("key"), "id", lambda _: F.lit(k).cast("bigint"))
+        assert {r["id"] for r in one.collect()} == {i for *_, i in whole[:k]}
+    assert sample.subsample_groups(df.limit(0), "id", F.lit(0.5), 1, 1, "part").count() == 0
+
+
+def test_jobs_do_not_grow_with_the_parts(spark):
+    def jobs(n):
+        spark.sparkContext.setJobGroup(f"parts{n}", "")
+        sample.subsample_groups(_skewed_parts(spark, n), "id", F.lit(0.4), 1, 1, "part").collect()
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"parts{n}"))
+
+    assert jobs(2) == jobs(60)
+
+
 def test_weighted_replacement_follows_weights(spark):
     df = spark.range(2000).withColumn("w", F.when(F.col("id") == 5, 1000).otherwise(1))
     got = sample.subsample_with_replacement(df, "id", 1.0, weight="w", block=100)
@@ -253,6 +299,10 @@ def test_mix_modes(spark):
     assert {r["part"] for r in corpus.mix_training(None, mono, "train", 2, one_mono_part=True).collect()} == {1}
     assert count(corpus.mix_training(None, mono, "train", 1, 3, mono_ratio=0.5)) == {"mono": 135}
     assert count(corpus.mix_training(par, mono, "valid", 1, 3)) == {"parallel": 30}
+    assert count(corpus.mix_training(par, mono, "train", 1, 2, parallel_ratio=0.5)) == {"parallel": 135, "mono": 180}
+    each = {r["part"]: r["count"] for r in corpus.mix_training(None, mono, "train", 1, mono_ratio=0.25).groupBy("part").count().collect()}
+    assert each == {0: 23, 1: 23, 2: 23}  # 90 rows a part, rounded up in each
+    assert count(corpus.mix_training(par, mono.limit(0), "train", 1, one_mono_part=True)) == {"parallel": 270}
     with pytest.raises(ValueError):
         corpus.mix_training(par, mono, "train", 0, 3)
     with pytest.raises(ValueError):
