@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from codemix.functions.arrays import let
+from codemix.session import BROADCAST_BYTES, broadcast_if_small, stored
 
 MAX_BATCH = 4096
+BLOCK = 4096
+TILE = 512
 
 
 def mean_pool(df: DataFrame, vecs: str = "vecs", mask: str = "mask") -> DataFrame:
@@ -42,49 +48,88 @@ def batch_pairs(anchors: DataFrame, contrasts: DataFrame, max_batch: int = MAX_B
     A batch is bounded by construction; one with too many anchors or contrasts fails
     instead of growing with its square.  Inputs hold ``batch_id, pos, vec``.
     """
-    def bounded(df: DataFrame) -> DataFrame:
-        sizes = df.groupBy("batch_id").agg(F.count(F.lit(1)).alias("n"))
-        small = sizes.filter(F.assert_true(
-            F.col("n") <= max_batch, F.lit(f"a batch holds more than {max_batch} rows")).isNull()).select("batch_id")
-        return df.join(small, "batch_id")
-
-    a = bounded(anchors).select("batch_id", F.col("pos").alias("j"), F.col("vec").alias("a"))
-    c = bounded(contrasts).select("batch_id", F.col("pos").alias("i"), F.col("vec").alias("c"))
+    a = _bounded(anchors, max_batch).select("batch_id", F.col("pos").alias("j"), F.col("vec").alias("a"))
+    c = _bounded(contrasts, max_batch).select("batch_id", F.col("pos").alias("i"), F.col("vec").alias("c"))
     return a.join(c, "batch_id")
 
 
+def _bounded(df: DataFrame, max_batch: int) -> DataFrame:
+    sizes = df.groupBy("batch_id").agg(F.count(F.lit(1)).alias("n"))
+    small = sizes.filter(F.assert_true(
+        F.col("n") <= max_batch, F.lit(f"a batch holds more than {max_batch} rows")).isNull()).select("batch_id")
+    return df.join(small, "batch_id")
+
+
 def collect_batches(vecpairs: DataFrame, max_batch: int = MAX_BATCH) -> DataFrame:
     """``batch_id, anchors, contrasts`` (arrays of unit vectors in batch order).
 
     Rows are counted before they are collected, so an oversized batch fails early.
     """
-    sizes = vecpairs.groupBy("batch_id").agg(F.count(F.lit(1)).alias("n")).filter(F.assert_true(
-        F.col("n") <= max_batch, F.lit(f"a batch holds more than {max_batch} rows")).isNull())
-    rows = vecpairs.select("batch_id", "pos", unit(F.col("a")).alias("a"), unit(F.col("c")).alias("c"))
+    rows = _bounded(vecpairs, max_batch).select("batch_id", "pos", unit(F.col("a")).alias("a"), unit(F.col("c")).alias("c"))
     cells = F.sort_array(F.collect_list(F.struct("pos", "a", "c")))
-    return (rows.join(sizes, "batch_id").groupBy("batch_id").agg(cells.alias("cells"))
+    return (rows.groupBy("batch_id").agg(cells.alias("cells"))
             .select("batch_id", F.col("cells.a").alias("anchors"), F.col("cells.c").alias("contrasts")))
 
 
-def contrastive_loss(vecpairs: DataFrame, tau: float = 0.1, max_batch: int = MAX_BATCH) -> DataFrame:
-    """Per batch: sum over anchors of -log softmax over contrasts of cos / tau at the own pair.
+def _matrix(rows: pa.Table) -> np.ndarray:
+    vecs = rows.column("vec").combine_chunks()
+    return vecs.flatten().to_numpy(zero_copy_only=False).reshape(len(vecs), -1)
 
-    The largest similarity is taken out of the exponentials, so a small ``tau`` does not
-    overflow.  A batch of more than ``max_batch`` pairs is an error.
 
-    The similarity matrix lives inside the row of its batch, never as rows.
-    """
-    def losses(env: Column) -> Column:
-        def one(a: Column, j: Column) -> Column:
-            sims = F.transform(env["contrasts"], lambda c: dot(a, c) / tau)
-            return let(sims, lambda s: let(F.array_max(s), lambda top: top + F.log(F.aggregate(
-                s, F.lit(0.0), lambda t, v: t + F.exp(v - top))) - F.get(s, j)))
+def _log_sums(tau: float):
+    """Per anchor of a block: largest similarity to a block of contrasts, and the sum of exponentials above it."""
+
+    def run(anchors: pa.Table, contrasts: pa.Table) -> pa.Table:
+        a, c = _matrix(anchors), _matrix(contrasts)
+        top, total = np.full(len(a), -np.inf), np.zeros(len(a))
+        for at in range(0, len(c), TILE):
+            sims = a @ c[at:at + TILE].T / tau
+            high = np.maximum(top, sims.max(axis=1))
+            total = total * np.exp(top - high) + np.exp(sims - high[:, None]).sum(axis=1)
+            top = high
+        return anchors.select(["batch_id", "pos", "own"]).append_column(
+            "top", pa.array(top)).append_column("total", pa.array(total))
 
-        return F.aggregate(F.transform(env["anchors"], one), F.lit(0.0), lambda t, v: t + v)
+    return run
 
-    return collect_batches(vecpairs, max_batch).select(
-        "batch_id", F.size("anchors").cast("bigint").alias("nsentences"),
-        let(F.struct("anchors", "contrasts"), losses).alias("loss"))
+
+def contrastive_loss(vecpairs: DataFrame, tau: float = 0.1, max_batch: int | None = None, block: int = BLOCK,
+                     limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Per batch: sum over anchors of -log softmax over contrasts of cos / tau at the own pair.
+
+    Rows are ``batch_id, pos, a, c``; positions are unique in a batch, vectors of a batch have one
+    length, and pairs that lack a vector take no part.  A batch may be of any size, unless
+    ``max_batch`` makes larger ones an error: it is cut
+    into blocks of ``block`` positions, and a task multiplies one block of anchors with one of
+    contrasts, TILE contrasts at a time, under a running maximum and sum.  Vectors travel once
+    for every block of their batch, similarities never; a small ``tau`` does not overflow.
+    """
+    if max_batch is not None:
+        vecpairs = _bounded(vecpairs, max_batch)
+    whole = vecpairs.filter("a IS NOT NULL AND c IS NOT NULL").select(
+        "batch_id", "pos", unit(F.col("a")).alias("a"), unit(F.col("c")).alias("c"),
+        F.floor(F.col("pos") / block).alias("block"))
+    # only batches of several blocks, so at most one number for every block of rows
+    several = (whole.select("batch_id", "block").distinct().groupBy(F.col("batch_id").alias("_batch"))
+               .agg(F.sort_array(F.collect_list("block")).alias("blocks")).filter(F.size("blocks") > 1))
+    several = broadcast_if_small(stored(several, "blocks"), limit)
+    cut = whole.join(several, F.col("batch_id").eqNullSafe(F.col("_batch")), "left").withColumn(
+        "other", F.explode(F.coalesce("blocks", F.array("block"))))
+    own = dot(F.col("a"), F.col("c")) / tau
+    anchors = cut.select("batch_id", "pos", F.col("a").alias("vec"), own.alias("own"),
+                         F.col("block").alias("mine"), F.col("other").alias("theirs"))
+    contrasts = cut.select(F.col("batch_id").alias("batch"), F.col("c").alias("vec"),
+                           F.col("other").alias("across"), F.col("block").alias("at"))
+    types = {f.name: f.dataType for f in whole.schema}
+    schema = StructType([StructField(n, types[n]) for n in ("batch_id", "pos")]
+                        + [StructField(n, DoubleType()) for n in ("own", "top", "total")])
+    parts = anchors.groupBy("batch_id", "mine", "theirs").cogroup(
+        contrasts.groupBy("batch", "across", "at")).applyInArrow(_log_sums(tau), schema)
+    each = parts.groupBy("batch_id", "pos", "own").agg(
+        F.max("top").alias("top"), F.sort_array(F.collect_list(F.struct("top", "total"))).alias("parts"))
+    total = F.aggregate("parts", F.lit(0.0), lambda t, p: t + p["total"] * F.exp(p["top"] - F.col("top")))
+    return each.groupBy("batch_id").agg(
+        F.count(F.lit(1)).alias("nsentences"), F.sum(F.col("top") + F.log(total) - F.col("own")).alias("loss"))
 
 
 def reduce_loss(per_batch: DataFrame, *keys: str) -> DataFrame:

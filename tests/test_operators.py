@@ -383,6 +383,33 @@ def test_contrastive_batch_limit(spark):
         embed.collect_batches(df, max_batch=5).collect()
 
 
+def _loss(rows, tau):
+    a, c = (np.array([r[k] for r in rows]) for k in (2, 3))
+    a, c = (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-8) for v in (a, c))
+    s = a @ c.T / tau
+    top = s.max(axis=1)
+    return float((top + np.log(np.exp(s - top[:, None]).sum(axis=1)) - np.diag(s)).sum())
+
+
+@pytest.mark.parametrize("limit", [1 << 20, 0])
+def test_contrastive_loss_of_blocks(spark, monkeypatch, limit):
+    monkeypatch.setattr(embed, "TILE", 7)
+    rng = np.random.default_rng(5)
+    rows = [(b, int(p) * step, rng.normal(size=6).tolist(), rng.normal(size=6).tolist())
+            for b, n, step in ((0, 1, 1), (1, 37, 1), (2, 400, 1), (3, 60, 9)) for p in range(n)]
+    rows[5] = rows[5][:2] + ([0.0] * 6, rows[5][3])  # a zero vector
+    rows += [(None, p, [1.0, 0.0], [1.0, 0.0]) for p in range(50)]  # a null batch of repeated rows, another length
+    lost = [(1, 99, None, rows[0][3]), (4, 0, rows[0][2], None)]
+    df = spark.createDataFrame(rows + lost, "batch_id bigint, pos bigint, a array<double>, c array<double>").withColumn("top", F.lit(1))
+    for tau in (0.1, 0.0005):
+        got = {r["batch_id"]: r for r in embed.contrastive_loss(df, tau, block=32, limit=limit).collect()}
+        assert set(got) == {None, 0, 1, 2, 3}
+        for b, r in got.items():
+            mine = [x for x in rows if x[0] == b]
+            assert r["nsentences"] == len(mine) and r["loss"] == pytest.approx(_loss(mine, tau), rel=1e-9, abs=1e-9)
+    assert embed.contrastive_loss(df.limit(0)).count() == 0
+
+
 def test_subwords(spark):
     text = ["low lower lowest", "new newer newest", "slow slower", "wide wider widest"] * 3
     df = spark.createDataFrame([(i, t.split()) for i, t in enumerate(text)], "sent_id bigint, words array<string>")
