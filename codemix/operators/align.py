@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from codemix.functions.arrays import hi, let, lo, pair
 from codemix.functions.text import is_alpha
-from codemix.operators.components import phrase_udf
+from codemix.operators.components import dropped_udf, phrase_udf
 
 EDGE = r"^\d{1,9}-\d{1,9}$"
 
@@ -27,13 +27,11 @@ def parse_alignment(alignment: Column) -> Column:
 
 
 def dropped_edges(alignment: Column, n_src: Column, n_tgt: Column) -> Column:
-    """How many edges of an alignment are malformed or lie outside the sentences; null counts as none."""
-    def bad(e: Column) -> Column:
-        inside = (F.substring_index(e, "-", 1).try_cast("int") < n_src) & (
-            F.substring_index(e, "-", -1).try_cast("int") < n_tgt)
-        return (e != "") & ~(e.rlike(EDGE) & F.coalesce(inside, F.lit(False)))
+    """How many edges of an alignment are malformed or lie outside the sentences; null counts as none.
 
-    return F.size(F.filter(F.split(F.coalesce(alignment, F.lit("")), r"\s+"), bad))
+    Counted over Arrow batches: the sizes are computed once per row, not once per edge.
+    """
+    return dropped_udf()(alignment, n_src, n_tgt)
 
 
 def phrases(df: DataFrame, one_to_one: bool = False, contiguous_only: bool = False) -> DataFrame:
