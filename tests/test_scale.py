@@ -4,11 +4,10 @@ import random
 from hashlib import md5
 
 import pyarrow as pa
-import pytest
 from pyspark.sql import functions as F
 
 from codemix.functions.digests import md5_words
-from codemix.operators import align
+from codemix.operators import align, switch
 from codemix.plans import corpora
 
 
@@ -17,12 +16,10 @@ def plan(df) -> str:
 
 
 def test_batch_digests_equal_hashlib():
-    messages = [b"x" * k for k in range(56)] + [b"0:%d:%d:xx" % (i ** 3, i) for i in range(9000)]
+    messages = [b"x" * k for k in range(130)] + [b"0:%d:%d:xx" % (i ** 3, i) for i in range(9000)]
     got = md5_words(pa.array(messages)[3:])
     assert [got[:, k].astype(">u4").tobytes() for k in range(got.shape[1])] == [md5(m).digest() for m in messages[3:]]
     assert md5_words(pa.array([], pa.string())).shape == (4, 0)
-    with pytest.raises(ValueError):
-        md5_words(pa.array(["x" * 56]))
 
 
 def _candidate(sid, words, tgt):
@@ -60,3 +57,17 @@ def test_dropped_edges_take_the_sizes_once_per_row(spark):
     out = df.select(align.dropped_edges(F.col("alignment"), F.col("n"), F.size(F.split("tgt", " "))).alias("d"))
     assert [r.d for r in out.collect()] == [2, 1, 0, 0, 2, 2, 3, 0]
     assert "lambda" not in plan(out)
+
+
+def test_queues_are_drawn_in_batches(spark):
+    rows = [(k, "a 12 c d", [(0, "xx", "A B C D", "0-0 1-1 2-2 3-3"), (1, None, "E F G H", "0-0 1-0 3-3")]) for k in (1, None)]
+    df = spark.createDataFrame(rows, f"sent_id bigint, text string, cands {switch.CANDIDATE}")
+    done = switch.with_phrases(switch.valid_candidates(df), switch.SwitchOptions(seed=5))
+    for r in done.collect():
+        for c, free in zip(r.cands, ([0, 2, 3], [0, 3]), strict=True):
+            key = lambda at: ":".join(str(p) for p in (5, r.sent_id, at, c.lang and f"phrase:{c.lang}") if p is not None)
+            at = [p.s[0] for p in c.phrases]
+            want = [((int(md5(key(s).encode()).hexdigest()[:8], 16) >> 1) << 31) + k
+                    for k, s in enumerate(at) if s in free and not (c.lang is None and s == 0)]
+            assert c.queue == sorted(want)
+    assert "md5(" not in plan(done)  # no interpreted draw per phrase
