@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -102,18 +103,39 @@ def _in_rows(rows: DataFrame, known: Dictionary) -> Column:
     return F.arrow_udf(run, "array<string>")("src_lang", "words", "langs", "draws", hashes)
 
 
-def _by_join(rows: DataFrame, entries: DataFrame, limit: int) -> DataFrame:
-    """The same for a dictionary too large to broadcast: words are exploded, joined and grouped again."""
-    cells = F.when(F.size("words") > 0, F.transform("words", lambda w, i: F.struct(
-        w.alias("word"), i.alias("i"), F.get("langs", i).alias("tgt_lang"), F.get("draws", i).alias("d"))))
-    flat = rows.select("sent_id", "src_lang", F.explode_outer(cells).alias("c")).select("sent_id", "src_lang", "c.*")
+def _placed(words: pa.Array, at: pa.Array, entries: pa.Array) -> pa.Array:
+    """Entries at their positions of the words, null elsewhere."""
+    length = lambda lists: pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    starts = np.concatenate(([0], np.cumsum(length(words))))
+    place = np.full(starts[-1], -1, np.int64)
+    found = at.flatten().to_numpy(zero_copy_only=False).astype(np.int64) + np.repeat(starts[:-1], length(at))
+    place[found] = np.arange(len(found))
+    return pa.ListArray.from_arrays(pa.array(starts, pa.int32()), entries.flatten().take(pa.array(place, mask=place < 0)))
+
+
+def _by_join(rows: DataFrame, drawn: Callable[[DataFrame], DataFrame], accepted: Callable[[Column], Column],
+             entries: DataFrame, limit: int) -> DataFrame:
+    """The same for a dictionary too large to broadcast: words are exploded, joined and grouped again.
+
+    Only words whose draw accepts an entry are looked up and only found ones return.  The digests,
+    languages and draws do not travel: they are drawn again after the join.
+    """
+    # a lookup of a row without id would find no row again
+    rows = rows.filter(F.col("sent_id").isNotNull())
+    # zipped outside of the lambda: an array named inside would be computed once per word
+    cells = F.filter(F.transform(F.arrays_zip("words", "langs", "draws", "digests"), lambda c, i: F.struct(
+        c["words"].alias("word"), i.cast("int").alias("i"), c["langs"].alias("tgt_lang"), c["draws"].alias("d"),
+        accepted(c["digests"]).alias("ok"))), lambda c: c["ok"])
+    flat = drawn(rows).select("sent_id", "src_lang", F.explode(cells).alias("c")).select(
+        "sent_id", "src_lang", "c.word", "c.i", "c.tgt_lang", "c.d")
     found = lookup(flat, entries, ["src_lang", "tgt_lang", "word"], F.struct("sent_id", "i"), limit)
     at = F.pmod("d", F.element_at("choices", -1)["upto"])
     entry = F.get(F.filter("choices", lambda c: c["upto"] > F.col("at")), F.lit(0))["translation"]
-    listed = F.sort_array(F.collect_list(F.when(F.col("i").isNotNull(), F.struct("i", "entry"))))
-    grouped = (found.withColumn("at", at).withColumn("entry", entry).groupBy("sent_id")
-               .agg(F.transform(listed, lambda c: c["entry"]).alias("entries")))
-    return rows.join(grouped, "sent_id")
+    grouped = (found.withColumn("at", at).withColumn("entry", entry).filter(F.col("entry").isNotNull())
+               .groupBy("sent_id").agg(F.sort_array(F.collect_list(F.struct("i", "entry"))).alias("hits")))
+    return drawn(rows.join(grouped, "sent_id", "left")).withColumn("entries", F.arrow_udf(_placed, "array<string>")(
+        "words", F.coalesce(F.col("hits.i"), F.array().cast("array<int>")),
+        F.coalesce(F.col("hits.entry"), F.array().cast("array<string>")))).drop("hits")
 
 
 def lex_substitute(df: DataFrame, lexicon: DataFrame, opts: LexiconOptions = LexiconOptions(),
@@ -129,22 +151,26 @@ def lex_substitute(df: DataFrame, lexicon: DataFrame, opts: LexiconOptions = Lex
     langs = F.broadcast(langs) if fits_broadcast(langs, opts.broadcast_limit) else langs
     pick = lambda d: F.get("tgt_langs", F.pmod(d, F.greatest(F.size("tgt_langs"), F.lit(1))).cast("int"))
     rows = (df.select("sent_id", F.col("lang").alias("src_lang"), F.coalesce("words", F.array().cast("array<string>")).alias("words"))
-            .join(langs, "src_lang", "left")
-            .withColumn("digests", F.transform("words", lambda w, i: digest(opts.seed, F.col("sent_id"), i, "lex"))))
-    if opts.per == "sentence":
-        rows = rows.withColumn("lang0", pick(draw(opts.seed, F.col("sent_id"), 0, "lang"))).withColumn(
-            "langs", F.transform("words", lambda w: F.col("lang0")))
-    else:
-        rows = rows.withColumn("langs", F.transform("digests", lambda d: pick(hex_word(d, 0))))
-    rows = rows.withColumn("draws", F.transform("digests", lambda d: hex_word(d, 1)))
+            .join(langs, "src_lang", "left"))
+
+    def drawn(df: DataFrame) -> DataFrame:
+        df = df.withColumn("digests", F.transform("words", lambda w, i: digest(opts.seed, F.col("sent_id"), i, "lex")))
+        if opts.per == "sentence":
+            df = df.withColumn("lang0", pick(draw(opts.seed, F.col("sent_id"), 0, "lang"))).withColumn(
+                "langs", F.transform("words", lambda w: F.col("lang0")))
+        else:
+            df = df.withColumn("langs", F.transform("digests", lambda d: pick(hex_word(d, 0))))
+        return df.withColumn("draws", F.transform("digests", lambda d: hex_word(d, 1)))
+
+    accept = lambda d: (hex_word(d, 2) + F.lit(0.5)) / F.lit(float(SPAN)) <= opts.ratio
     entries = stored(dictionary_entries(lexicon), "entries") if entries is None else entries
     known = compiled_dictionary(entries, opts.broadcast_limit)
     if known is not None:
+        rows = drawn(rows)
         found = rows.withColumn("entries", _in_rows(rows, known))
     else:
-        found = _by_join(rows, entries, opts.broadcast_limit)
-    accepted = F.zip_with("entries", "digests", lambda e, d: F.when(
-        (hex_word(d, 2) + F.lit(0.5)) / F.lit(float(SPAN)) <= opts.ratio, e))
+        found = _by_join(rows, drawn, accept, entries, opts.broadcast_limit)
+    accepted = F.zip_with("entries", "digests", lambda e, d: F.when(accept(d), e))
     done = found.withColumn("entries", accepted)
     return done.select(
         "sent_id", F.col("src_lang").alias("lang"), F.size("words").alias("n"), F.array_join("words", " ").alias("text"),

@@ -4,25 +4,32 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from codemix.session import BROADCAST_BYTES, discard, fits_broadcast, stored
+from codemix.session import BROADCAST_BYTES, fits_broadcast
 
 SALTS = 64
 HOT_PER_PARTITION = 4
+CELLS = 1 << 16
 
 
 def hot_keys(tokens: DataFrame, keys: list[str]) -> DataFrame | None:
     """Keys with more rows than a fraction of a fair partition; None if there is none.
 
     At most HOT_PER_PARTITION x partitions keys can exceed that share, so the
-    list is bounded whatever the data.  Counts are combined before the shuffle.
+    list is bounded whatever the data.  Rows are counted by hash cells first; single keys only
+    in cells that exceed the share, which every such key's cell does.  So the exchange holds no
+    row per key of a large vocabulary.
     """
     spark = tokens.sparkSession
     bound = HOT_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    counts = tokens.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    stored_counts = stored(counts, "counts")  # one pass over the tokens serves the total and the list
-    rows = stored_counts.agg(F.sum("_n")).first()[0] or 0
-    hot = stored_counts.filter(F.col("_n") * bound > rows).select(*keys).collect()
-    discard(stored_counts)
+    cell = F.pmod(F.xxhash64(*keys), F.lit(CELLS)).cast("int").alias("_cell")
+    cells = tokens.groupBy(cell).agg(F.count(F.lit(1)).alias("_n")).collect()  # at most CELLS rows
+    rows = sum(r["_n"] for r in cells)
+    full = [(r["_cell"],) for r in cells if r["_n"] * bound > rows]
+    if not full:
+        return None
+    few = tokens.select(*keys, cell).join(F.broadcast(spark.createDataFrame(full, "_cell int")), "_cell", "left_semi")
+    counts = few.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    hot = counts.filter(F.col("_n") * bound > rows).select(*keys).collect()
     return spark.createDataFrame([tuple(r) for r in hot], tokens.select(*keys).schema) if hot else None
 
 

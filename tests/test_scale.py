@@ -7,7 +7,8 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from codemix.functions.digests import md5_words
-from codemix.operators import align, switch
+from codemix.operators import align, lexsub, switch
+from codemix.operators.lookup import hot_keys
 from codemix.plans import corpora
 
 
@@ -71,3 +72,21 @@ def test_queues_are_drawn_in_batches(spark):
                     for k, s in enumerate(at) if s in free and not (c.lang is None and s == 0)]
             assert c.queue == sorted(want)
     assert "md5(" not in plan(done)  # no interpreted draw per phrase
+
+
+def test_only_accepted_words_are_joined_with_a_large_dictionary(spark, monkeypatch):
+    lexicon = spark.createDataFrame([("en", "xx", w, w.upper()) for w in "abc"], "src_lang string, tgt_lang string, word string, translation string")
+    df = spark.createDataFrame([(k, "en", list("abca")) for k in range(50)] + [(99, "en", []), (98, "fi", ["a"])],
+                               "sent_id bigint, lang string, words array<string>")
+    seen, lookup = [], lexsub.lookup
+    monkeypatch.setattr(lexsub, "lookup", lambda tokens, *more: (seen.append(tokens.count()), lookup(tokens, *more))[1])
+    run = lambda ratio, limit: lexsub.lex_substitute(df, lexicon, lexsub.LexiconOptions(ratio, broadcast_limit=limit))
+    for ratio in (-1.0, 0.5, 1.0):
+        assert sorted(map(str, run(ratio, 0).collect())) == sorted(map(str, run(ratio, 1 << 20).collect()))
+    assert seen[0] == 0 and 0 < seen[1] < 200 < seen[2] == 201  # refused words stay in their rows
+
+
+def test_hot_keys_are_counted_in_full_cells_only(spark):
+    tokens = spark.range(4000).select(F.when(F.col("id") % 2 == 0, "the").otherwise(F.col("id").cast("string")).alias("w"))
+    assert [r.w for r in hot_keys(tokens, ["w"]).collect()] == ["the"]
+    assert hot_keys(tokens.filter("w <> 'the'"), ["w"]) is None and hot_keys(tokens.limit(0), ["w"]) is None
