@@ -3,9 +3,12 @@
 1. Documents are dealt to ``shards`` by hash.  Every shard is mined completely, length by
    length, at the support divided by the number of shards: a phrase that reaches the support
    over all shards reaches this share of it in one of them at least.
-2. The union of the locally frequent phrases, a Bloom filter of bounded size, picks the
-   candidates out of the whole corpus.
-3. Candidates are counted globally, by their words; false ones fall below the support.
+2. The local counts bound the global one: where a phrase was not frequent it occurs less often
+   than the local support.  Phrases whose bound misses the support go, and with them, in every
+   shard, the longer phrases they are part of.
+3. The union of the others, a Bloom filter of bounded size, picks the candidates out of the
+   whole corpus.
+4. Candidates are counted globally, by their words; false ones fall below the support.
 
 A shard is no task: it is mined by all of them, so neither a shard nor a phrase is held in
 one place.  The local support must stay above one occurrence, or a shard would call every
@@ -34,7 +37,7 @@ from codemix.session import broadcast_if_small, stored
 SUPPORT, SHARDS, LONGEST = 10, 4, 3
 UNKNOWN = "und"
 #: Counts that a task holds before it hands them on.
-HELD_KEYS, HELD_PHRASES = 1_000_000, 300_000
+HELD_KEYS, HELD_PHRASES = 1_000_000, 600_000
 
 #: White space inside a piece, and characters that end one.
 BLANK = np.zeros(256, bool)
@@ -132,50 +135,72 @@ def _mine(length: int, filter_, salts: np.ndarray):
 
 
 class Tally:
-    """Counts of candidates that a task holds, by two 64-bit keys; phrases are written out once per key."""
+    """Counts of candidates that a task holds, by two 64-bit keys; phrases are written out once per key.
+
+    Phrases stand one after the other as bytes in the order in which they came; ``place`` is where a key's is.
+    """
 
     def __init__(self, longest: int, filter_: np.ndarray):
         self.longest, self.filter = longest, filter_
+        self.langs: dict[str, int] = {}
         self.empty()
 
     def empty(self) -> None:
         self.key, self.check = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-        self.n, self.words, self.names = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, object)
+        self.n, self.place = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.tongue, self.words, self.sizes = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+        self.bytes = [np.zeros(0, np.uint8)]
         self.totals: dict[str, int] = {}
 
     def rows(self) -> pa.RecordBatch:
-        langs, phrases = [k[0] for k in self.names] + list(self.totals), [k[1] for k in self.names]
+        n = np.empty(len(self.n), np.int64)
+        n[self.place] = self.n
+        offsets = np.concatenate([[0], np.cumsum(np.concatenate(self.sizes))]).astype(np.int64)
+        phrases = pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(offsets), pa.py_buffer(np.concatenate(self.bytes))])
+        known = pa.array(list(self.langs), pa.string()).take(pa.array(np.concatenate(self.tongue)))
+        rest = len(self.totals)
         out = pa.RecordBatch.from_arrays([
-            pa.array(langs, pa.string()), pa.array(np.concatenate([self.words, np.zeros(len(self.totals), np.int32)])),
-            pa.array(phrases + [b""] * len(self.totals), pa.binary()).cast(pa.string()),
-            pa.array(np.concatenate([self.n, np.array(list(self.totals.values()), np.int64)]))],
+            pa.concat_arrays([known, pa.array(list(self.totals), pa.string())]),
+            pa.array(np.concatenate([*self.words, np.zeros(rest, np.int32)])),
+            pa.concat_arrays([phrases.cast(pa.binary()).cast(pa.string()), pa.array([""] * rest, pa.string())]),
+            pa.array(np.concatenate([n, np.array(list(self.totals.values()), np.int64)]))],
             ["lang", "words", "phrase", "n"])
         self.empty()
         return out
 
+    def _write(self, part: Slices, text: np.ndarray, length: int, start: np.ndarray) -> None:
+        """Append phrases of ``length`` words: their bytes, words joined by one space."""
+        at = (start[:, None] + np.arange(length)).ravel()
+        begin, size = part.starts[at], part.ends[at] - part.starts[at]
+        room = size + 1
+        room[length - 1::length] -= 1
+        before = np.cumsum(size) - size
+        run = np.arange(int(size.sum()), dtype=np.int32)
+        out = np.full(int(room.sum()), 0x20, np.uint8)
+        out[run + np.repeat((np.cumsum(room) - room - before).astype(np.int32), size)] = text[run + np.repeat((begin - before).astype(np.int32), size)]
+        self.bytes.append(out)
+        self.sizes.append(room.reshape(-1, length).sum(axis=1))
+        rows, number = np.unique(part.rows[start], return_inverse=True)
+        codes = np.array([self.langs.setdefault(part.langs[r], len(self.langs)) for r in rows.tolist()], np.int32)
+        self.tongue.append(codes[number])
+        self.words.append(np.full(len(start), length, np.int32))
+
     def add(self, part: Slices) -> Iterator[pa.RecordBatch]:
         """Count a slice; hands on what is held when it is much, or when two phrases share a key."""
         rows, n = np.unique(part.rows, return_counts=True)
         for row, times in zip(rows.tolist(), n.tolist(), strict=True):
             self.totals[part.langs[row]] = self.totals.get(part.langs[row], 0) + times
-        found, number = np.unique(part.words ^ part.tongue[part.rows], return_inverse=True)
-        whole = np.arange(len(number))  # number of the phrase of the length so far that starts at a word
-        text, other = part.part.tobytes().lower(), part.words * _STEP
+        text, other = np.frombuffer(part.part.tobytes().lower(), np.uint8), part.words * _STEP
         for length, (at, key) in zip(range(1, self.longest + 1), part.keys()):
-            code = number[at] if length == 1 else whole[at] * len(found) + number[at + length - 1]
-            _, first, whole_at, times = np.unique(code, return_index=True, return_inverse=True, return_counts=True)
-            whole[at] = whole_at
-            hit = bloom.known(self.filter, key[first])
-            first, times = first[hit], times[hit]
-            start, key = at[first], key[first]
-            check = np.zeros(len(start), np.uint64)
+            hit = bloom.known(self.filter, key)  # only candidates are sorted
+            start, key = at[hit], key[hit]
+            check = part.tongue[part.rows[start]]
             for j in range(length):
                 check = mix(check + other[start + j])
-            yield from self._merge(part, text, length, start, key, check, times)
+            yield from self._merge(part, text, length, *_grouped(start, key, check))
 
-    def _merge(self, part: Slices, text: bytes, length: int, start, key, check, times) -> Iterator[pa.RecordBatch]:
-        order = np.argsort(key, kind="stable")
-        start, key, check, times = start[order], key[order], check[order], times[order]
+    def _merge(self, part: Slices, text: np.ndarray, length: int, start, key, check, times) -> Iterator[pa.RecordBatch]:
+        """Add phrases sorted by their keys."""
         spot = np.searchsorted(self.key, key)
         held = spot < len(self.key)
         held[held] = self.key[spot[held]] == key[held]
@@ -193,15 +218,37 @@ class Tally:
             start, key, check, times, spot, held = (x[stay] for x in (start, key, check, times, spot, held))
         self.n[spot[held]] += times[held]
         new = np.flatnonzero(~held)
-        names = np.empty(len(new), object)
-        starts, ends, langs, rows = part.starts, part.ends, part.langs, part.rows
-        for k, i in enumerate(start[new].tolist()):
-            names[k] = (langs[rows[i]], b" ".join([text[starts[j]:ends[j]] for j in range(i, i + length)]))
-        for name, rest in (("key", key[new]), ("check", check[new]), ("n", times[new]),
-                           ("words", np.full(len(new), length, np.int32)), ("names", names)):
+        if not len(new):
+            return
+        self._write(part, text, length, start[new])
+        places = len(self.n) + np.arange(len(new))
+        for name, rest in (("key", key[new]), ("check", check[new]), ("n", times[new]), ("place", places)):
             setattr(self, name, np.insert(getattr(self, name), spot[new], rest))
 
 
+def _grouped(start: np.ndarray, key: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, ...]:
+    """A start, the keys and the count of every phrase, by rising keys."""
+    order = np.argsort(key)
+    sorted_key, sorted_check = key[order], check[order]
+    if ((sorted_key[1:] == sorted_key[:-1]) & (sorted_check[1:] != sorted_check[:-1])).any():
+        order = np.lexsort((check, key))  # two phrases share a key
+        sorted_key, sorted_check = key[order], check[order]
+    fresh = np.ones(len(order), bool)
+    fresh[1:] = (sorted_key[1:] != sorted_key[:-1]) | (sorted_check[1:] != sorted_check[:-1])
+    first = np.flatnonzero(fresh)
+    return start[order[first]], sorted_key[first], sorted_check[first], np.diff(np.append(first, len(order)))
+
+
+def _possible(found: DataFrame, support: int, shards: int, least: int) -> DataFrame:
+    """Keys of (shard, key, n) that may reach the support over all shards, with the shards where they are frequent.
+
+    A shard that does not list a key holds it at most ``least - 1`` times.
+    """
+    most = F.col("n") + (shards - F.size("of")) * (least - 1)
+    return (found.groupBy("key").agg(F.sum("n").alias("n"), F.collect_list("shard").alias("of"))
+            .filter(most >= support).select("key", "of"))
+
+
 def _count(longest: int, filter_):
     """(lang, words, phrase, n) of the candidates; words 0 counts all word occurrences of a language."""
 
@@ -231,13 +278,14 @@ def phrase_counts(docs: DataFrame, support: int = SUPPORT, shards: int = SHARDS,
     union, filter_ = None, None
     for length in range(1, longest + 1):
         local = rows.mapInArrow(_mine(length, filter_, salts), "shard int, key bigint, n bigint")
-        found = stored(local.groupBy("shard", "key").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
-                       .select("shard", "key"), "frequent")
+        found = local.groupBy("shard", "key").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+        found = stored(_possible(found, support, shards, least), "frequent")
         if filter_ is not None:
             filter_.destroy()
         union = found.select("key") if union is None else union.unionByName(found.select("key"))
-        keys = found.select(F.col("key").bitwiseXOR(salt).alias("key")) if length < longest else union.distinct()
-        filter_ = sc.broadcast(bloom.build(keys))
+        keys = union if length == longest else found.select("key", F.explode("of").alias("shard")).select(
+            F.col("key").bitwiseXOR(salt).alias("key"))
+        filter_ = sc.broadcast(bloom.build(keys, distinct=True))
     counted = rows.select("lang", "text").mapInArrow(
         _count(longest, filter_), "lang string, words int, phrase string, n bigint")
     out = stored(counted.groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n"))

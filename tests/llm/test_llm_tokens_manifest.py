@@ -13,8 +13,8 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from codemix.llm import bloom, bpe_automaton, merkle, phrases
-from codemix.llm.registered import WORD_BPE, tokenizer_file
+from codemix.llm import bloom, bpe_automaton, merkle, packing, phrases
+from codemix.llm.registered import BPE, WORD_BPE, tokenizer_file
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
@@ -275,3 +275,24 @@ def test_phrases_that_share_a_key_are_told_apart():
         for phrase in [*words, *map(" ".join, zip(words, words[1:]))]:
             want["fr" if k % 3 == 1 else "en", phrase] += 1
     assert +got == want
+
+
+def test_keys_that_cannot_reach_the_support_go(spark):
+    """Of 4 shards at a local support of 3 one that lists 3 leaves 6 at most to the others."""
+    found = spark.createDataFrame([(0, 1, 3), (0, 2, 4), (0, 3, 3), (2, 3, 3), (1, 4, 3), (3, 5, 30)], "shard int, key bigint, n bigint")
+    left = {r["key"]: sorted(r["of"]) for r in phrases._possible(found, 10, 4, 3).collect()}
+    assert left == {2: [0], 3: [0, 2], 5: [3]}
+
+
+def test_distinct_keys_make_the_same_filter(spark):
+    keys = spark.createDataFrame([(k * 7919 << 20,) for k in range(5000)], "key bigint")
+    assert (bloom.build(keys) == bloom.build(keys, distinct=True)).all()
+
+
+def test_texts_are_tokenised_in_small_blocks(monkeypatch):
+    seen = []
+    whole = packing.Chunked._block
+    monkeypatch.setattr(packing.Chunked, "_block", lambda self, data, bounds: seen.append(len(data)) or whole(self, data, bounds))
+    texts = pa.array(["some words of a text " * 1000, None, "x"] * 100)
+    found = list(packing.Chunked(tokenizer_file(BPE)).ids(texts))
+    assert len(found) == 300 and max(seen) <= 1 << 18 and (found[0] == found[297]).all() and not len(found[1])
