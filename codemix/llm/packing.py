@@ -28,7 +28,9 @@ from codemix.llm.common import ChunkIds, row_slices, text_buffer, thin
 CAPACITY = 1024
 END = 0
 #: Bits of a worker's memory of chunks; those that find no slot are tokenised again in the next block.
-MEMORY_BITS = 19
+MEMORY_BITS = 18
+#: Bytes of text that are tokenised at a time, and pieces that are handed on at a time.
+BLOCK_BYTES, HELD_PIECES = 1 << 18, 8_000
 #: Largest number of items of the multiset that one search looks at, longest first.
 WIDTH = 256
 
@@ -84,7 +86,7 @@ class Chunked:
     def ids(self, column: pa.Array) -> Iterator[np.ndarray]:
         """Ids of every text, in order, as unsigned 32-bit numbers; null counts as empty."""
         data, bounds = text_buffer(column)
-        for a, b in row_slices(bounds):
+        for a, b in row_slices(bounds, BLOCK_BYTES):
             base = int(bounds[a])
             part, inner = data[base:int(bounds[b])], bounds[a:b + 1] - base
             yield from self._block(part, inner)
@@ -206,7 +208,7 @@ def _pack(path: str, capacity: int):
                     c.append(x)
                 offset += length
             serial += 1
-            if len(out[0]) > 50_000:
+            if len(out[0]) > HELD_PIECES:
                 yield rows(out)
                 out = [[] for _ in names]
         yield rows(out)

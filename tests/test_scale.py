@@ -90,3 +90,29 @@ def test_hot_keys_are_counted_in_full_cells_only(spark):
     tokens = spark.range(4000).select(F.when(F.col("id") % 2 == 0, "the").otherwise(F.col("id").cast("string")).alias("w"))
     assert [r.w for r in hot_keys(tokens, ["w"]).collect()] == ["the"]
     assert hot_keys(tokens.filter("w <> 'the'"), ["w"]) is None and hot_keys(tokens.limit(0), ["w"]) is None
+
+
+def test_batches_of_long_texts_stay_small(spark):
+    import pyarrow as pa
+
+    from codemix import session
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": pa.array([b.nbytes], pa.int64())})
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    try:
+        spark.conf.set(name, "64m")
+    except Exception:  # the session takes plain bytes only
+        spark.conf.unset(name)
+    try:
+        session.small_batches(spark, 1 << 20)
+        rows = spark.range(0, 3000, 1, 1).selectExpr("repeat('x', 3000) t")
+        assert max(r["n"] for r in rows.mapInArrow(sizes, "n bigint").collect()) < 2 << 20
+        spark.conf.set(name, "1000")
+        session.small_batches(spark)
+        assert spark.conf.get(name).removesuffix("b") == "1000"
+    finally:
+        spark.conf.set(name, before)
