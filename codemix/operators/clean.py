@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from codemix.functions.arrays import let
 from codemix.functions.text import strip, words
 
 DEFAULT_MIN_RATIO = 0.6
@@ -21,7 +22,9 @@ def length_ratio_ok(a: Column, b: Column, min_ratio: float) -> Column:
 def clean_pairs(df: DataFrame, src: str = "src", tgt: str = "tgt",
                 min_ratio: float = DEFAULT_MIN_RATIO, copy_check: bool = True) -> DataFrame:
     """Keep pairs of similar length that are not copies of each other."""
-    keep = length_ratio_ok(F.size(words(F.col(src))), F.size(words(F.col(tgt))), min_ratio)
+    # bound once: the rule names every count several times
+    counts = F.struct(F.size(words(F.col(src))).alias("a"), F.size(words(F.col(tgt))).alias("b"))
+    keep = let(counts, lambda n: length_ratio_ok(n["a"], n["b"], min_ratio))
     if copy_check:
         keep = keep & (strip(F.col(src)) != strip(F.col(tgt)))
     return df.filter(keep)
