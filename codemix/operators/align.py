@@ -35,13 +35,13 @@ def dropped_edges(alignment: Column, n_src: Column, n_tgt: Column) -> Column:
 
 
 def phrases(df: DataFrame, one_to_one: bool = False, contiguous_only: bool = False) -> DataFrame:
-    """Add ``phrases`` to rows that hold ``words``, ``alignment`` and ``n_tgt``.
+    """Add ``phrases`` to rows that hold ``words`` (or ``alpha``: which of them are all letters), ``alignment`` and ``n_tgt``.
 
     Connected components of the alignment graph in source order, each with an
     all-letter source word; malformed and out-of-range edges are dropped.
     """
-    found = phrase_udf(one_to_one, contiguous_only)(
-        F.array("alignment"), F.array("n_tgt"), F.transform("words", is_alpha))
+    alpha = F.col("alpha") if "alpha" in df.columns else F.transform("words", is_alpha)
+    found = phrase_udf(one_to_one, contiguous_only)(F.array("alignment"), F.array("n_tgt"), alpha)
     return df.withColumn("phrases", F.get(found, F.lit(0)))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from codemix.functions.text import words
+from codemix.functions.text import is_alpha, words
 from codemix.operators import align, report, switch
 from codemix.plans import corpora as C, oracle as O
 from codemix.plans.registry import query
@@ -27,11 +27,13 @@ def single_picks(spark, d):
 
 
 def candidate_pairs(spark, d):
-    """One row per valid candidate: source words, target words, alignment."""
-    src = C.sentences(spark, d).select("sent_id", "words", "n", F.col("text").alias("src"))
-    cand = C.candidates(spark, d)
-    return (src.join(cand, "sent_id").withColumn("tw", words(F.col("text")))
-            .withColumn("n_tgt", F.size("tw")))
+    """One row per candidate: its alignment, the numbers of words, which source words are all letters.
+
+    The join carries flags in place of the words of both sides, and they are found once per sentence.
+    """
+    src = C.sentences(spark, d).select("sent_id", "n", F.transform("words", is_alpha).alias("alpha"))
+    cand = C.candidates(spark, d).select("sent_id", "lang", "alignment", F.size(words(F.col("text"))).alias("n_tgt"))
+    return src.join(cand, "sent_id")
 
 
 @query("alignment_parse", f"""WITH {O.CAND}
