@@ -8,10 +8,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from codemix.session import discard, stored
+
 BITS_PER_KEY, PROBES = 16, 3
 #: Sizes are powers of two; the larger one bounds the broadcast to 64 MB.
 MIN_BITS, MAX_BITS = 1 << 20, 1 << 29
 CHUNK_BITS = 20
+#: Bits that come to the driver in one job.
+JOB_BITS = 1 << 26
 
 
 def size_for(keys: int) -> int:
@@ -47,7 +51,8 @@ def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def build(keys: DataFrame, column: str = "key", distinct: bool = False) -> np.ndarray:
     """The filter of a bigint column as packed bits; at most ``MAX_BITS / 8`` bytes reach the driver.
 
-    Places are shuffled by chunk, so a task holds one chunk at a time.  With more keys than
+    Places are shuffled by chunk, so a task holds one chunk at a time.  The chunks are stored and
+    come to the driver in jobs of ``JOB_BITS``, not in one per shuffle partition.  With more keys than
     the largest filter has room for, more foreign keys seem known; no key is ever missed.
     Keys known to be ``distinct`` spare the exchange that removes repeated places.
     """
@@ -58,10 +63,11 @@ def build(keys: DataFrame, column: str = "key", distinct: bool = False) -> np.nd
     places = (places if distinct else places.distinct()).withColumn("chunk", F.shiftright("at", CHUNK_BITS))
     bits = np.zeros(size // 8, np.uint8)
     step = (1 << CHUNK_BITS) // 8
-    rows = (places.repartition("chunk").sortWithinPartitions("chunk").select("at")
-            .mapInArrow(_bits, "chunk bigint, bits binary"))
-    for row in rows.toLocalIterator():
+    rows = stored(places.repartition("chunk").sortWithinPartitions("chunk").select("at")
+                  .mapInArrow(_bits, "chunk bigint, bits binary"), "bits")
+    for row in rows.coalesce(-(-size // JOB_BITS)).toLocalIterator():
         bits[row["chunk"] * step:(row["chunk"] + 1) * step] = np.frombuffer(row["bits"], np.uint8)
+    discard(rows)
     return bits
 
 

@@ -31,7 +31,7 @@ from codemix.session import discard, stored
 
 BANDS_U, ROWS_U = 8, 2
 BANDS_V, ROWS_V = 12, 3
-#: Rows of an open bucket that all its rows are compared with per round, and rows of a band in one task (streamed).
+#: Rows of an open bucket that all its rows are compared with per round, and rows of a band's buckets in one block (held).
 PIVOTS, BLOCK_ROWS = 1024, 65_536
 SALTS = 32
 #: Ids that may be broadcast to pick texts (8 bytes each).
@@ -260,18 +260,22 @@ def _pivots(rows: DataFrame) -> DataFrame:
 
 
 def _meet(percent: int):
-    """Pairs of a bucket's pivots and rows that lie in different components and can be alike.
+    """Pairs of a band's pivots and rows that share a bucket, lie in different components and can be alike.
 
-    Buckets arrive one after the other, those of one U band together, pivots first.  At most
-    PIVOTS rows, a batch and the distinct pairs of a band's block are held.
+    Bands arrive one after the other, in blocks: first the block's rows, which are held, then its
+    pivots.  A pivot meets a row once, however many of the band's buckets hold both.
     """
 
-    def parts(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+    def parts(batch: pa.RecordBatch) -> tuple:
         spread = batch.column("spread")
         known = ~spread.is_null().to_numpy(zero_copy_only=False)
         spread = spread.fill_null(b"\0" * 256)  # not read where unknown
+        keys = batch.column("keys")
+        sizes = np.diff(keys.offsets.to_numpy())
+        flat = keys.flatten()
         return (*(batch.column(c).to_numpy() for c in ("id", "label", "n")),
-                np.frombuffer(b"".join(spread.to_pylist()), np.uint8).reshape(-1, 256), known)
+                np.frombuffer(b"".join(spread.to_pylist()), np.uint8).reshape(-1, 256), known,
+                sizes, flat.field("key").to_numpy(), flat.field("once").to_numpy(zero_copy_only=False))
 
     def distinct(out: list[np.ndarray]) -> pa.RecordBatch:
         pairs = np.concatenate(out)
@@ -279,52 +283,79 @@ def _meet(percent: int):
         new = np.concatenate([[True], (pairs[1:] != pairs[:-1]).any(1)])
         return pa.RecordBatch.from_arrays([pa.array(pairs[new, 0]), pa.array(pairs[new, 1])], ["a", "b"])
 
+    def gathered(held: list[tuple]) -> tuple:
+        """The rows of a block, the keys of its buckets in order, and the row of each of them."""
+        ids, labels, ns, spreads, known, sizes, keys, _ = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.argsort(keys, kind="stable")
+        return ids, labels, ns, spreads, known, keys[order], np.repeat(np.arange(len(ids)), sizes)[order]
+
+    def pairs(rows: tuple, pivots: tuple) -> Iterator[np.ndarray]:
+        ids, labels, ns, spreads, known, keys, owner = rows
+        ends = np.cumsum(pivots[5])
+        lo, hi = (np.searchsorted(keys, pivots[6], side) for side in ("left", "right"))
+        for i, label, n, spread, sure, size, end in zip(*pivots[:6], ends, strict=True):
+            met = []
+            for k in range(end - size, end):
+                there = owner[lo[k]:hi[k]]
+                met.append(there[ids[there] > i] if pivots[7][k] else there)
+            fit = np.unique(np.concatenate(met)) if len(met) > 1 else met[0]
+            sizes = ns[fit]
+            fit = fit[(labels[fit] != label) & (100 * np.minimum(sizes, n) >= percent * np.maximum(sizes, n))]
+            if len(fit) and sure:  # unknown counts exclude nothing
+                most = np.minimum(spreads[fit], spread).sum(1, dtype=np.int64)
+                fit = fit[~known[fit] | (100 * most >= percent * (ns[fit] + n - most))]
+            if len(fit):
+                yield np.stack([np.minimum(ids[fit], i), np.maximum(ids[fit], i)], 1)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        band, now, held, out = None, None, [], []
+        band, held, rows, out, size = None, [], None, [], 0
         for batch in batches:
-            marks = [batch.column(c).to_numpy() for c in ("u", "block", "key", "kind")]
+            marks = [batch.column(c).to_numpy() for c in ("u", "block", "kind")]
             edges = np.flatnonzero(np.any([np.diff(m) != 0 for m in marks], axis=0)) + 1
             for s, e in zip([0, *edges.tolist()], [*edges.tolist(), batch.num_rows], strict=True):
                 if s == e:
                     continue
-                u, block, key, kind = (m[s] for m in marks)
-                if band != (u, block) or sum(map(len, out)) > 1_000_000:
+                u, block, kind = (m[s] for m in marks)
+                if band != (u, block):
                     if out:
                         yield distinct(out)
-                    band, out = (u, block), []
-                if now != (u, block, key):
-                    now, held = (u, block, key), []
-                part = batch.slice(s, e - s)
-                ids, labels, sizes, spreads, known = parts(part)
+                    band, held, rows, out, size = (u, block), [], None, [], 0
+                part = parts(batch.slice(s, e - s))
                 if kind == 0:
-                    held.append((ids, labels, sizes, spreads, known))
-                    continue
-                once = part.column("whole").to_numpy()[0] <= PIVOTS  # all rows are pivots: a pair would be met twice
-                for pivots in held:
-                    for i, label, n, spread, sure in zip(*pivots, strict=True):
-                        fit = np.flatnonzero((labels != label) & (100 * np.minimum(sizes, n) >= percent * np.maximum(sizes, n))
-                                             & ((ids > i) | (not once)))
-                        if len(fit) and sure:  # unknown counts exclude nothing
-                            most = np.minimum(spreads[fit], spread).sum(1, dtype=np.int64)
-                            fit = fit[~known[fit] | (100 * most >= percent * (sizes[fit] + n - most))]
-                        if len(fit):
-                            out.append(np.stack([np.minimum(ids[fit], i), np.maximum(ids[fit], i)], 1))
+                    held.append(part)
+                elif held:
+                    rows = rows or gathered(held)
+                    for found in pairs(rows, part):
+                        out.append(found)
+                        size += len(found)
+                        if size > 1_000_000:
+                            yield distinct(out)
+                            out, size = [], 0
         if out:
             yield distinct(out)
 
     return run
 
 
-def _near_pairs(rows: DataFrame, pivots: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs of open buckets; large ones are cut into blocks that each get the pivots."""
+def _near_pairs(rows: DataFrame, pivots: DataFrame, spreads: DataFrame, percent: int) -> DataFrame:
+    """Candidate pairs of open buckets; large bands are cut into blocks that each get the pivots.
+
+    A row is sent once for all its buckets of a U band, and meets its counts of shingles so too.
+    """
     sizes = rows.groupBy("u", "key").agg(F.count(F.lit(1)).alias("whole"))
     blocks = sizes.groupBy("u").agg(F.ceil(F.sum("whole") / BLOCK_ROWS).cast("int").alias("blocks"))
-    shape = sizes.join(blocks, "u").drop("u")
-    here = rows.join(shape, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    sent = pivots.join(shape, "key").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    columns = ["u", "block", "key", "whole", "id", "label", "n", "spread"]
-    both = here.select(*columns, F.lit(1).alias("kind")).unionByName(sent.select(*columns, F.lit(0).alias("kind")))
-    return (both.repartition("u", "block").sortWithinPartitions("u", "block", "key", "kind")
+    chosen = pivots.select("u", "key", "id").distinct().withColumn("chosen", F.lit(True))
+    bucket = F.struct("key", (F.col("whole") <= PIVOTS).alias("once"))  # all rows are pivots: a pair would be met twice
+    sent = (rows.join(sizes, ["u", "key"]).join(chosen, ["u", "key", "id"], "left").groupBy("u", "id", "label", "n").agg(
+        F.collect_list(bucket).alias("all"),
+        F.collect_list(F.when(F.col("chosen"), bucket)).alias("pivots")).join(spreads, "id").join(blocks, "u"))
+    columns = ["u", "id", "label", "n", "spread"]
+    here = sent.select(*columns, F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"),
+                       F.lit(0).alias("kind"), F.col("all").alias("keys"))
+    there = sent.filter(F.size("pivots") > 0).select(
+        *columns, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("kind"),
+        F.col("pivots").alias("keys"))
+    return (here.unionByName(there).repartition("u", "block").sortWithinPartitions("u", "block", "kind")
             .mapInArrow(_meet(percent), "a bigint, b bigint").distinct())
 
 
@@ -343,9 +374,8 @@ def links_of(reps: DataFrame, texts: DataFrame, words: int, percent: int) -> tup
         rows = stored(_open(rows, labels))
         if rows.isEmpty():
             return links, labels
-        full = rows.join(spreads, "id")
-        pivots = stored(_pivots(full))
-        pairs = stored(_near_pairs(full, pivots, percent).join(seen, ["a", "b"], "left_anti"))
+        pivots = stored(_pivots(rows))
+        pairs = stored(_near_pairs(rows, pivots, spreads, percent).join(seen, ["a", "b"], "left_anti"))
         found = confirmed(pairs, texts, words, percent)
         seen = seen.union(pairs)
         if not found.isEmpty():

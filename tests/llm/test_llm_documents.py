@@ -173,6 +173,42 @@ def test_open_buckets_compare_all_their_components(spark):
     assert {r.id: r.label for r in labels.collect()} == {i: c for i, (_, c) in expect.items() if i}
 
 
+def test_open_rows_are_sent_once_a_band(spark, monkeypatch, tmp_path):
+    """Near copies share up to 96 tables; their counts of shingles travel once for each of 8 bands."""
+    rng, words = random.Random(3), [f"w{i}" for i in range(400)]
+    texts = [[w if rng.random() < 0.98 else f"{w}-{k}" for w in words] for k in range(40)]
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id bigint, text string")
+    reps = docs.mapInArrow(near_dedup._sign(2), near_dedup._SIGNED)
+    log, meet = str(tmp_path / "rows"), near_dedup._meet
+
+    def counting(percent):
+        inner = meet(percent)
+
+        def run(batches):
+            def seen():
+                for batch in batches:
+                    with open(log, "a") as f:
+                        f.write(f"{batch.num_rows}\n")
+                    yield batch
+
+            yield from inner(seen())
+
+        return run
+
+    monkeypatch.setattr(near_dedup, "_meet", counting)
+    monkeypatch.setattr(near_dedup, "components", lambda links: spark.createDataFrame([(0, 0)], "id bigint, label bigint"))
+    rows = near_dedup._buckets(reps)
+    open_ = near_dedup._open(rows.filter("id != pivot").select("u", "key", "id", "n"), near_dedup.components(None))
+    tables = open_.count()
+    monkeypatch.setattr(near_dedup, "confirmed", lambda pairs, *_: pairs)
+    monkeypatch.setattr(near_dedup, "_open", lambda rows, labels, first=[open_]: first.pop() if first else open_.limit(0))
+    links, _ = near_dedup.links_of(reps, docs, 2, 80)
+    assert {(r.a, r.b) for r in links.collect()} >= {(a, a + 1) for a in range(1, 39)}
+    with open(log) as f:
+        sent = sum(map(int, f))
+    assert tables > 1000 and sent <= 2 * near_dedup.BANDS_U * 40
+
+
 def test_long_texts_of_an_open_bucket_still_meet(spark):
     """Two alike sets of more than 80,000 shingles, without known counts, whose pivot links to neither."""
     near = [f"w{i}" for i in range(84_000)]
