@@ -65,6 +65,11 @@ def thin(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4 << 20) -
         _, bounds = text_buffer(batch.column(column))
         for a, b in row_slices(bounds, limit):
             yield batch.slice(a, b - a)
+    give_back()
+
+
+def give_back() -> None:
+    """Return memory that the worker holds without need to the system."""
     pa.default_memory_pool().release_unused()
     if sys.platform == "linux":
         trim = getattr(ctypes.CDLL(None), "malloc_trim", None)

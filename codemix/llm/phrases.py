@@ -8,7 +8,8 @@
    shard, the longer phrases they are part of.
 3. The union of the others, a Bloom filter of bounded size, picks the candidates out of the
    whole corpus.
-4. Candidates are counted globally, by their words; false ones fall below the support.
+4. Candidates are counted globally, by their words; false ones fall below the support.  A task
+   hands on its counts packed, by parts of the phrases, and each part is summed over all tasks.
 
 A shard is no task: it is mined by all of them, so neither a shard nor a phrase is held in
 one place.  The local support must stay above one occurrence, or a shard would call every
@@ -26,18 +27,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from codemix.llm import bloom
-from codemix.llm.common import WordHasher, mix, row_slices, stream, text_buffer, thin
+from codemix.llm.common import WordHasher, give_back, mix, row_slices, stream, text_buffer, thin
 from codemix.llm.order import numbered
 from codemix.operators.lookup import lookup
-from codemix.session import broadcast_if_small, stored
+from codemix.session import broadcast_if_small, small_batches, stored
 
 SUPPORT, SHARDS, LONGEST = 10, 4, 3
 UNKNOWN = "und"
 #: Counts that a task holds before it hands them on.
-HELD_KEYS, HELD_PHRASES = 1_000_000, 600_000
+HELD_KEYS, HELD_PHRASES = 1_000_000, 400_000
+#: Counts travel packed, by parts of the phrases; a task sums one part at a time, after so many rows again.
+PARTS, SUMMED_ROWS = 1024, 500_000
 
 #: White space inside a piece, and characters that end one.
 BLANK = np.zeros(256, bool)
@@ -153,8 +157,8 @@ class Tally:
         self.totals: dict[str, int] = {}
 
     def rows(self) -> pa.RecordBatch:
-        n = np.empty(len(self.n), np.int64)
-        n[self.place] = self.n
+        n, by = np.empty(len(self.n), np.int64), np.empty(len(self.n), np.uint64)
+        n[self.place], by[self.place] = self.n, self.key
         offsets = np.concatenate([[0], np.cumsum(np.concatenate(self.sizes))]).astype(np.int64)
         phrases = pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(offsets), pa.py_buffer(np.concatenate(self.bytes))])
         known = pa.array(list(self.langs), pa.string()).take(pa.array(np.concatenate(self.tongue)))
@@ -163,8 +167,9 @@ class Tally:
             pa.concat_arrays([known, pa.array(list(self.totals), pa.string())]),
             pa.array(np.concatenate([*self.words, np.zeros(rest, np.int32)])),
             pa.concat_arrays([phrases.cast(pa.binary()).cast(pa.string()), pa.array([""] * rest, pa.string())]),
-            pa.array(np.concatenate([n, np.array(list(self.totals.values()), np.int64)]))],
-            ["lang", "words", "phrase", "n"])
+            pa.array(np.concatenate([n, np.array(list(self.totals.values()), np.int64)])),
+            pa.array(np.concatenate([by, np.zeros(rest, np.uint64)]) % np.uint64(PARTS))],
+            ["lang", "words", "phrase", "n", "part"])
         self.empty()
         return out
 
@@ -249,15 +254,70 @@ def _possible(found: DataFrame, support: int, shards: int, least: int) -> DataFr
             .filter(most >= support).select("key", "of"))
 
 
+COUNTED = pa.schema([("lang", pa.string()), ("words", pa.int32()), ("phrase", pa.string()), ("n", pa.int64())])
+
+
+def _packed(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """(part, counts): the rows of every part as one Arrow message."""
+    part = rows.column("part").to_numpy()
+    order = np.argsort(part, kind="stable")
+    edges = np.append(np.flatnonzero(np.diff(part[order], prepend=np.uint64(PARTS))), len(order)).tolist()
+    rows = rows.select(COUNTED.names)
+    for a in range(0, len(edges) - 1, 64):
+        runs = list(zip(edges[a:a + 64], edges[a + 1:a + 65]))
+        first = runs[0][0]
+        some = rows.take(pa.array(order[first:runs[-1][1]]))
+        yield pa.RecordBatch.from_arrays([
+            pa.array([int(part[order[s]]) for s, _ in runs], pa.int32()),
+            pa.array([some.slice(s - first, e - s).serialize().to_pybytes() for s, e in runs], pa.binary())], ["part", "counts"])
+    del rows
+    give_back()
+
+
 def _count(longest: int, filter_):
-    """(lang, words, phrase, n) of the candidates; words 0 counts all word occurrences of a language."""
+    """(part, counts) of the candidates: packed lang, words, phrase, n; words 0 counts all word occurrences of a language."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tally = Tally(longest, filter_.value)
         for batch in thin(batches, "text"):
             for part in Slices(batch.column("text"), batch.column("lang").to_pylist()):
-                yield from tally.add(part)
-        yield tally.rows()
+                for rows in tally.add(part):
+                    yield from _packed(rows)
+        yield from _packed(tally.rows())
+
+    return run
+
+
+def _sum(support: int):
+    """(lang, words, phrase, n) of the phrases that reach the support, and all rows of 0 words, from packed counts sorted by part."""
+
+    def summed(held: list[pa.RecordBatch]) -> pa.Table:
+        rows = pa.Table.from_batches(held, COUNTED).group_by(["lang", "words", "phrase"]).aggregate([("n", "sum")])
+        return rows.rename_columns({"n_sum": "n"}).select(COUNTED.names).cast(COUNTED)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, size, room = None, [], 0, SUMMED_ROWS
+
+        def close() -> Iterator[pa.RecordBatch]:
+            rows = summed(held)
+            keep = pc.or_(pc.greater_equal(rows["n"], support), pc.equal(rows["words"], 0))
+            yield from rows.filter(keep).to_batches()
+
+        for batch in batches:
+            for part, counts in zip(batch.column("part").to_pylist(), batch.column("counts")):
+                if now is not None and part != now:
+                    yield from close()
+                    held, size, room = [], 0, SUMMED_ROWS
+                now = part
+                rows = pa.ipc.read_record_batch(counts.as_buffer(), COUNTED)
+                held.append(rows)
+                size += rows.num_rows
+                if size > room:
+                    held = summed(held).to_batches()
+                    size = sum(x.num_rows for x in held)
+                    room = max(SUMMED_ROWS, 2 * size)
+        if held:
+            yield from close()
 
     return run
 
@@ -271,6 +331,7 @@ def phrase_counts(docs: DataFrame, support: int = SUPPORT, shards: int = SHARDS,
         raise ValueError("the support of a shard must exceed one occurrence")
     least = -(-support // shards)
     sc = docs.sparkSession.sparkContext
+    small_batches(docs.sparkSession)
     rows = docs.select(F.coalesce("lang", F.lit(UNKNOWN)).alias("lang"), "text",
                        F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)).cast("int").alias("shard"))
     salts = _salts(shards)
@@ -286,10 +347,9 @@ def phrase_counts(docs: DataFrame, support: int = SUPPORT, shards: int = SHARDS,
         keys = union if length == longest else found.select("key", F.explode("of").alias("shard")).select(
             F.col("key").bitwiseXOR(salt).alias("key"))
         filter_ = sc.broadcast(bloom.build(keys, distinct=True))
-    counted = rows.select("lang", "text").mapInArrow(
-        _count(longest, filter_), "lang string, words int, phrase string, n bigint")
-    out = stored(counted.groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n"))
-                 .filter((F.col("n") >= support) | (F.col("words") == 0)), "counts")
+    counted = rows.select("lang", "text").mapInArrow(_count(longest, filter_), "part int, counts binary")
+    out = stored(counted.repartition("part").sortWithinPartitions("part")
+                 .mapInArrow(_sum(support), "lang string, words int, phrase string, n bigint"), "counts")
     filter_.destroy()
     return out
 

@@ -289,6 +289,46 @@ def test_distinct_keys_make_the_same_filter(spark):
     assert (bloom.build(keys) == bloom.build(keys, distinct=True)).all()
 
 
+def test_filter_comes_in_few_jobs(spark):
+    """Not one job for each shuffle partition."""
+    keys = spark.range(5000).selectExpr("id * 7919 as key")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "60")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.sparkContext.setJobGroup("filter-jobs", "")
+    try:
+        bloom.build(keys)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("filter-jobs")) < 20
+
+
+def test_counts_travel_packed_and_add_up(monkeypatch):
+    """A task hands on a row for each part, not for each phrase; sums do not depend on when they are made."""
+    texts = [" ".join(f"w{(k * j) % 997}" for j in range(3000)) for k in range(1, 4)]
+    batch = pa.RecordBatch.from_pydict({"text": texts, "lang": ["en", "fr", "en"]})
+    monkeypatch.setattr(phrases, "PARTS", 16)
+    every = type("Filter", (), {"value": np.full(1 << 17, 255, np.uint8)})
+    sent = [r for _ in range(2) for x in phrases._count(2, every)(iter([batch])) for r in x.to_pylist()]
+    assert len(sent) == 2 * 16
+    sent.sort(key=lambda r: r["part"])
+    rows = pa.RecordBatch.from_pylist(sent, pa.schema([("part", pa.int32()), ("counts", pa.binary())]))
+    want = Counter()
+    for lang, text in zip(["en", "fr", "en"], texts):
+        words = text.split()
+        want[lang, 0, ""] += 2 * len(words)
+        want.update({(lang, 1, w): 2 * n for w, n in Counter(words).items()})
+        want.update({(lang, 2, w): 2 * n for w, n in Counter(map(" ".join, zip(words, words[1:]))).items()})
+    for limit in (500_000, 10):
+        monkeypatch.setattr(phrases, "SUMMED_ROWS", limit)
+        found = [r for x in phrases._sum(7)(iter(rows.slice(k, 3) for k in range(0, 32, 3))) for r in x.to_pylist()]
+        assert {(r["lang"], r["words"], r["phrase"]): r["n"] for r in found} == {
+            k: n for k, n in want.items() if n >= 7 or k[1] == 0}
+        assert len(found) == len({(r["lang"], r["words"], r["phrase"]) for r in found})
+
+
 def test_texts_are_tokenised_in_small_blocks(monkeypatch):
     seen = []
     whole = packing.Chunked._block
