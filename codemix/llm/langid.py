@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from codemix.llm.common import Remembered, WordHasher, row_slices, text_buffer
+from codemix.llm.common import Remembered, WordHasher, give_back, row_slices, text_buffer, thin
 
 SEGMENT = 32
 BLOCK = 2 << 20
@@ -247,7 +247,7 @@ def held_out() -> Column:
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hasher = WordHasher(True)
-    for batch in batches:
+    for batch in thin(batches, "text"):
         data, bounds = text_buffer(batch.column("text"))
         langs, raw = batch.column("lang").to_pylist(), LOWER[data].tobytes()
         counts: dict[tuple[str, bytes], int] = {}
@@ -307,6 +307,7 @@ def identify(docs: DataFrame, network: Network) -> DataFrame:
             best = odds.argmax(1)
             scores = np.where(has, odds[np.arange(len(best)), best], 0.0)
             langs = [net.langs[b] if h else UNKNOWN for b, h in zip(best, has, strict=True)]
+        give_back()
         return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(np.clip(scores, 0, 1), pa.float64())],
                                           ["lang_pred", "score"])
 

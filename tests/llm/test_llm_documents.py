@@ -392,3 +392,15 @@ def test_packing_is_exact(spark, tokenizer):
         waste += 1024 - at
     assert waste <= 3 * 1023
     assert packing.pack(spark.createDataFrame([], "doc_id bigint, text string"), BPE).collect() == []
+
+
+def test_segments_are_counted_in_small_batches(monkeypatch):
+    """A large Arrow batch is cut, and the counts are those of the whole."""
+    seen, cut = [], langid.segments
+    monkeypatch.setattr(langid, "segments", lambda hasher, data, bounds: seen.append(len(data)) or cut(hasher, data, bounds))
+    batch = pa.RecordBatch.from_pydict({"text": ["one two " * 5000] * 300, "lang": ["en", "fr"] * 150})
+    got = Counter()
+    for out in langid._counted(iter([batch])):
+        for r in out.to_pylist():
+            got[r["lang"], r["segment"]] += r["n"]
+    assert max(seen) <= 5 << 20 and set(got.values()) == {150 * 5000} and len(got) == 4
