@@ -4,6 +4,7 @@ import random
 from hashlib import md5
 
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from codemix.functions.digests import md5_words
@@ -50,6 +51,24 @@ def test_candidates_follow_their_draws(spark, monkeypatch):
                    for sid, text in rows for k, t in enumerate(corpora.TARGETS)}
 
 
+def test_a_file_of_one_row_group_is_spread(spark, tmp_path):
+    path = str(tmp_path / "one.parquet")
+    pq.write_table(pa.table({"doc_id": range(20_000), "text": [str(k) * 30 for k in range(20_000)]}), path)
+    small, old = "spark.sql.files.maxPartitionBytes", spark.conf.get("spark.sql.files.maxPartitionBytes")
+    filled = lambda df: df.select(F.spark_partition_id().alias("p")).distinct().count()
+    try:
+        spark.conf.set(small, "65536")
+        docs = spark.read.parquet(path)
+        assert docs.rdd.getNumPartitions() >= 4 and filled(docs) == 1  # splits enough, but one holds all rows
+        assert filled(corpora.spread(docs, "doc_id")) >= 4
+        assert corpora.spread(docs, "doc_id").count() == 20_000
+    finally:
+        spark.conf.set(small, old)
+    even = spark.range(1000, numPartitions=8).withColumnRenamed("id", "doc_id")
+    assert corpora.spread(even, "doc_id") is even
+    assert corpora.spread(even.limit(0), "doc_id").count() == 0
+
+
 def test_dropped_edges_take_the_sizes_once_per_row(spark):
     rows = [("0-0 1-2 9-0", 2, "a b"), (" 0-0\t x 1-1 ", 2, "a b"), ("", 1, "a"), (None, 1, "a"), ("0-0 1-1", None, "a"),
             ("0-0 1-1", 2, None), ("1234567890-0 0-0-0 -1-0", 2, "a b"), ("0-0", 1, "a")]
