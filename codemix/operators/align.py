@@ -4,26 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from codemix.functions.arrays import hi, let, lo, pair
+from codemix.functions.arrays import let
 from codemix.functions.text import is_alpha
-from codemix.operators.components import dropped_udf, phrase_udf
+from codemix.operators.components import dropped_udf, edge_sums_udf, parse_udf, phrase_udf
 
-EDGE = r"^\d{1,9}-\d{1,9}$"
 
+def parse_alignment(alignment: Column) -> Column:
+    """``"0-0 1-2"`` to sorted distinct ``array<struct<s:int,t:int>>``; malformed edges are dropped.
 
-def edge_codes(alignment: Column) -> Column:
-    """``"0-0 1-2"`` to sorted distinct bigint codes; malformed edges are dropped."""
-    items = F.filter(F.split(alignment, r"\s+"), lambda e: e.rlike(EDGE))
-    codes = F.transform(
-        items,
-        lambda e: pair(F.substring_index(e, "-", 1).cast("int"), F.substring_index(e, "-", -1).cast("int")),
-    )
-    return F.sort_array(F.array_distinct(codes))
+    Parsed over Arrow batches.
+    """
+    return parse_udf()(alignment)
 
 
-def parse_alignment(alignment: Column) -> Column:
-    """``"0-0 1-2"`` to ``array<struct<s:int,t:int>>``."""
-    return F.transform(edge_codes(alignment), lambda c: F.struct(hi(c).alias("s"), lo(c).alias("t")))
+def edge_sums(edges: Column) -> Column:
+    """The number ``n`` of parsed edges and the sums ``s`` and ``t`` of their sides, in the batch that parsed them."""
+    return edge_sums_udf()(edges)
 
 
 def dropped_edges(alignment: Column, n_src: Column, n_tgt: Column) -> Column:

@@ -60,15 +60,44 @@ def _group_starts(sorted_keys: np.ndarray) -> np.ndarray:
         np.empty(0, dtype=np.int64)
 
 
+def edge_numbers(tokens: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which of the texts are edges ``s-t`` of one to nine digits a side, and the two numbers of those.
+
+    Read from the bytes at once if every text is an edge, else by the pattern.
+    """
+    tokens = tokens.cast(pa.string())
+    offsets = np.frombuffer(tokens.buffers()[1], np.int32)[tokens.offset:tokens.offset + len(tokens) + 1] if len(tokens) else \
+        np.zeros(1, np.int32)
+    data = np.frombuffer(tokens.buffers()[2] or b"", np.uint8)[offsets[0]:offsets[-1]] - np.uint8(ord("0"))
+    other = np.flatnonzero(data > 9)
+    if len(other) == len(tokens) and not tokens.null_count and (data[other] == np.uint8(ord("-") - ord("0") & 255)).all():
+        lo, hi = offsets[:-1] - offsets[0], offsets[1:] - offsets[0]
+        before, after = other - lo, hi - other - 1
+        if len(tokens) and min(before.min(), after.min()) > 0 and max(before.max(), after.max()) <= 9:
+            return np.ones(len(tokens), bool), _number(data, other, before), _number(data, hi, after)
+    parts = pc.extract_regex(tokens, pattern=EDGE_PARTS)
+    good = parts.is_valid()
+    parts = parts.filter(good)
+    s, t = (pc.cast(parts.field(k), pa.int64()).to_numpy(zero_copy_only=False) for k in (0, 1))
+    return good.to_numpy(zero_copy_only=False), s, t
+
+
+def _number(digits: np.ndarray, end: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers whose ``size`` digits stand before ``end``."""
+    out, scale = digits[end - 1].astype(np.int64), 1
+    for k in range(1, int(size.max())):
+        scale *= 10
+        more = np.flatnonzero(size > k)
+        out[more] += digits[end[more] - 1 - k].astype(np.int64) * scale
+    return out
+
+
 def _edges(texts: pa.Array, n_src: np.ndarray, n_tgt: np.ndarray, base: np.ndarray):
     """Distinct in-range edges as (source node, target index), sorted; others are dropped."""
     tokens = pc.ascii_split_whitespace(texts)
     owner = pc.list_parent_indices(tokens).to_numpy(zero_copy_only=False)
-    parts = pc.extract_regex(tokens.flatten(), pattern=EDGE_PARTS)
-    good = parts.is_valid()
-    owner = owner[good.to_numpy(zero_copy_only=False)]
-    parts = parts.filter(good)
-    s, t = (pc.cast(parts.field(k), pa.int64()).to_numpy(zero_copy_only=False) for k in (0, 1))
+    good, s, t = edge_numbers(tokens.flatten())
+    owner = owner[good]
     inside = (s < n_src[owner]) & (t < n_tgt[owner])
     codes = _distinct(((base[owner] + s)[inside] << SHIFT) | t[inside])
     return codes >> SHIFT, codes & LOW
@@ -184,10 +213,7 @@ def _dropped(alignments: pa.Array, n_src: np.ndarray, n_tgt: np.ndarray) -> np.n
     tokens = pc.ascii_split_whitespace(alignments)
     owner = pc.list_parent_indices(tokens).to_numpy(zero_copy_only=False)
     flat = tokens.flatten()
-    parts = pc.extract_regex(flat, pattern=EDGE_PARTS)
-    good = parts.is_valid().to_numpy(zero_copy_only=False)
-    edges = parts.filter(pa.array(good))
-    s, t = (pc.cast(edges.field(k), pa.int64()).to_numpy(zero_copy_only=False) for k in (0, 1))
+    good, s, t = edge_numbers(flat)
     bad = pc.not_equal(flat, "").to_numpy(zero_copy_only=False)
     bad[good] = (s >= n_src[owner[good]]) | (t >= n_tgt[owner[good]])
     return np.bincount(owner[bad], minlength=len(alignments))
@@ -209,3 +235,52 @@ def dropped_udf():
         return pa.array(np.concatenate(out), pa.int32())
 
     return run.asNondeterministic()  # marked like the one above
+
+
+def _parsed(alignments: pa.Array) -> pa.Array:
+    tokens = pc.ascii_split_whitespace(alignments)
+    owner, flat = pc.list_parent_indices(tokens).to_numpy(zero_copy_only=False), tokens.flatten()
+    some = pc.not_equal(flat, "").to_numpy(zero_copy_only=False)
+    if not some.all():  # blanks at the ends, or no text at all
+        owner, flat = owner[some], flat.filter(pa.array(some))
+    good, s, t = edge_numbers(flat)
+    owner, codes = owner[good], s << SHIFT | t
+    same = owner[1:] == owner[:-1]
+    if (same & (codes[1:] <= codes[:-1])).any():
+        order = np.lexsort((codes, owner))
+        owner, codes = owner[order], codes[order]
+        first = np.concatenate(([True], (owner[1:] != owner[:-1]) | (codes[1:] != codes[:-1])))
+        owner, codes = owner[first], codes[first]
+    edges = pa.StructArray.from_arrays(
+        [pa.array(codes >> SHIFT, pa.int32()), pa.array(codes & LOW, pa.int32())], names=["s", "t"])
+    upto = pa.array(starts(np.bincount(owner, minlength=len(alignments))), pa.int32())
+    return pa.ListArray.from_arrays(upto, edges, mask=alignments.is_null())
+
+
+def parse_udf():
+    """UDF (alignment) -> sorted distinct edges; malformed ones are dropped."""
+
+    @arrow_udf("array<struct<s:int,t:int>>")
+    def run(alignments: pa.Array) -> pa.Array:
+        size = pc.fill_null(pc.binary_length(alignments), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        upto, parts, lo = starts(size), [], 0
+        while lo < len(alignments):
+            hi = max(lo + 1, int(np.searchsorted(upto, upto[lo] + MAX_BYTES, side="right")) - 1)
+            parts.append(_parsed(alignments[lo:hi]))
+            lo = hi
+        return pa.concat_arrays(parts) if parts else _parsed(alignments)
+
+    return run.asNondeterministic()  # marked like the ones above
+
+
+def edge_sums_udf():
+    """UDF (edges) -> their number and the sums of both sides."""
+
+    @arrow_udf("struct<n:bigint,s:bigint,t:bigint>")
+    def run(edges: pa.Array) -> pa.Array:
+        n, flat = lengths(edges), edges.flatten()
+        upto = starts(n)
+        total = lambda k: np.diff(starts(pc.struct_field(flat, k).to_numpy(zero_copy_only=False).astype(np.int64))[upto])
+        return pa.StructArray.from_arrays([pa.array(n), pa.array(total(0)), pa.array(total(1))], names=["n", "s", "t"])
+
+    return run.asNondeterministic()

@@ -42,11 +42,10 @@ SELECT sent_id, lang, count(*) AS n_edges, sum(split_part(e, '-', 1)::BIGINT)::B
 FROM (SELECT sent_id, lang, unnest(string_split(alignment, ' ')) AS e FROM cand WHERE alignment <> '')
 GROUP BY ALL""")
 def alignment_parse(spark, d):
-    edges = C.candidates(spark, d).select("sent_id", "lang", align.parse_alignment(F.col("alignment")).alias("e"))
-    total = lambda f: F.aggregate("e", F.lit(0).cast("bigint"), lambda a, e: a + e[f])
-    return edges.filter(F.size("e") > 0).select(
-        "sent_id", "lang", F.size("e").cast("bigint").alias("n_edges"), total("s").alias("sum_s"),
-        total("t").alias("sum_t"))
+    edges = align.parse_alignment(F.col("alignment"))
+    sums = C.candidates(spark, d).select("sent_id", "lang", align.edge_sums(edges).alias("e"))
+    return sums.filter(F.col("e.n") > 0).select(
+        "sent_id", "lang", F.col("e.n").alias("n_edges"), F.col("e.s").alias("sum_s"), F.col("e.t").alias("sum_t"))
 
 
 @query("alignment_dropped", f"""WITH {O.CAND},

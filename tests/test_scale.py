@@ -51,6 +51,21 @@ def test_candidates_follow_their_draws(spark, monkeypatch):
                    for sid, text in rows for k, t in enumerate(corpora.TARGETS)}
 
 
+def test_alignments_are_parsed_once_over_batches(spark):
+    rows = [("0-0 1-2 9-0",), (" 10-3\t x 1-12  1-2 10-3 ",), ("",), (None,), ("   ",), ("1234567890-0 0-0-0 -1-0 5- 7",),
+            ("999999999-123456789 3-1",), ("é-1 2-2",)]
+    df = spark.createDataFrame(rows, "alignment string").coalesce(1)
+    parsed = align.parse_alignment(F.col("alignment"))
+    want = [[(0, 0), (1, 2), (9, 0)], [(1, 2), (1, 12), (10, 3)], [], None, [], [], [(3, 1), (999999999, 123456789)], [(2, 2)]]
+    assert [None if r.e is None else [tuple(e) for e in r.e] for r in df.select(parsed.alias("e")).collect()] == want
+    plain = spark.createDataFrame([(f"{k}-{7 * k} {k + 1}-{10 ** (k % 9)}",) for k in range(100)], "alignment string")
+    assert [[tuple(e) for e in r.e] for r in plain.select(parsed.alias("e")).collect()] == [
+        [(k, 7 * k), (k + 1, 10 ** (k % 9))] for k in range(100)]
+    sums = df.select(align.edge_sums(parsed).alias("e")).filter(F.col("e.n") > 0)
+    assert [tuple(r.e) for r in sums.collect()] == [(len(w), sum(s for s, _ in w), sum(t for _, t in w)) for w in want if w]
+    assert plan(sums).count("ArrowEvalPython") == 1 and "lambda" not in plan(sums)
+
+
 def test_a_file_of_one_row_group_is_spread(spark, tmp_path):
     path = str(tmp_path / "one.parquet")
     pq.write_table(pa.table({"doc_id": range(20_000), "text": [str(k) * 30 for k in range(20_000)]}), path)
