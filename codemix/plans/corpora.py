@@ -16,6 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from codemix.functions.arrays import HALF, let
+from codemix.functions.batches import n_words
 from codemix.functions.digests import md5_words
 from codemix.functions.draw import draw
 from codemix.functions.text import LINE_END, strip, words
@@ -253,7 +254,7 @@ def pair_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lengths with end mark of every sentence and each of its candidates."""
     src = sentences(spark, sf_dir).select("sent_id", (F.col("n") + 1).alias("src_len"))
     tgt = candidates(spark, sf_dir).select(
-        "sent_id", "lang_idx", (F.size(words(F.col("text"))) + 1).alias("tgt_len"))
+        "sent_id", "lang_idx", (n_words(F.col("text")) + 1).alias("tgt_len"))
     return src.join(tgt, "sent_id").select(
         (F.col("sent_id") * len(TARGETS) + F.col("lang_idx")).alias("ex_id"), "src_len", "tgt_len")
 

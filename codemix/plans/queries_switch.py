@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from codemix.functions.text import is_alpha, words
+from codemix.functions.batches import n_words
+from codemix.functions.text import is_alpha
 from codemix.operators import align, report, switch
 from codemix.plans import corpora as C, oracle as O
 from codemix.plans.registry import query
@@ -32,7 +33,7 @@ def candidate_pairs(spark, d):
     The join carries flags in place of the words of both sides, and they are found once per sentence.
     """
     src = C.sentences(spark, d).select("sent_id", "n", F.transform("words", is_alpha).alias("alpha"))
-    cand = C.candidates(spark, d).select("sent_id", "lang", "alignment", F.size(words(F.col("text"))).alias("n_tgt"))
+    cand = C.candidates(spark, d).select("sent_id", "lang", "alignment", n_words(F.col("text")).alias("n_tgt"))
     return src.join(cand, "sent_id")
 
 

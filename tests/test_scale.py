@@ -7,7 +7,9 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
+from codemix.functions.batches import count_words, n_words
 from codemix.functions.digests import md5_words
+from codemix.functions.text import BLANK_CHARS, words
 from codemix.operators import align, lexsub, switch
 from codemix.operators.lookup import hot_keys
 from codemix.plans import corpora
@@ -84,6 +86,16 @@ def test_a_file_of_one_row_group_is_spread(spark, tmp_path):
     assert corpora.spread(even.limit(0), "doc_id").count() == 0
 
 
+def test_words_are_counted_like_they_are_split(spark):
+    rng = random.Random(5)
+    marks = BLANK_CHARS + "abé«’​中"
+    texts = [None, "", " ", *("".join(rng.choice(marks if k % 2 else "ab  ") for _ in range(rng.randint(0, 12))) for k in range(3000))]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    rows = df.select(n_words(F.col("text")).alias("n"), F.size(words(F.col("text"))).alias("m")).collect()
+    assert all(r.n == r.m for r in rows) and rows[0].n is None
+    assert count_words(pa.array(texts)[2:50]).tolist() == [r.n for r in rows[2:50]]
+
+
 def test_dropped_edges_take_the_sizes_once_per_row(spark):
     rows = [("0-0 1-2 9-0", 2, "a b"), (" 0-0\t x 1-1 ", 2, "a b"), ("", 1, "a"), (None, 1, "a"), ("0-0 1-1", None, "a"),
             ("0-0 1-1", 2, None), ("1234567890-0 0-0-0 -1-0", 2, "a b"), ("0-0", 1, "a")]
