@@ -96,6 +96,23 @@ def test_words_are_counted_like_they_are_split(spark):
     assert count_words(pa.array(texts)[2:50]).tolist() == [r.n for r in rows[2:50]]
 
 
+def test_candidates_are_judged_once(spark):
+    long = " ".join(f"w{k}" for k in range(10))
+    cases = [("0-0", long + "　", False), ("0-0", long + " x", True), ("0-0", "a b c d e", False), ("0-0", "a b c d e f", True),
+             (" \t", "a " * 9, False), (None, "a " * 9, False), ("0-0", None, False), ("0-0", "  ", False), ("0-0", "a  b " * 8, True)]
+    rows = [(1, long, [(k, f"l{k}", text, al) for k, (al, text, _) in enumerate(cases)]), (2, None, [(0, "l", long, "0-0")]),
+            (3, "a", []), (4, "a", [(0, "l", "b", "0-0")])]
+    df = spark.createDataFrame(rows, f"sent_id bigint, text string, cands {switch.CANDIDATE}").coalesce(1)
+    done = switch.valid_candidates(df, switch.SwitchOptions())
+    got = {r.sent_id: [c.lang_idx for c in r.cands] for r in done.collect()}
+    assert got == {1: [k for k, (_, _, good) in enumerate(cases) if good], 4: [0]}
+    kept = switch.valid_candidates(df, switch.SwitchOptions(copy_check=False, min_ratio=0.0)).filter("sent_id = 1")
+    assert [c.lang_idx for c in kept.first().cands] == [0, 1, 2, 3, 8]
+    assert [c.tw for c in kept.first().cands][3] == list("abcdef")
+    # the filter on the number of candidates neither counts nor splits their words again
+    assert plan(done).count("ArrowEvalPython") == 1 and plan(done).count("split(") == 2
+
+
 def test_dropped_edges_take_the_sizes_once_per_row(spark):
     rows = [("0-0 1-2 9-0", 2, "a b"), (" 0-0\t x 1-1 ", 2, "a b"), ("", 1, "a"), (None, 1, "a"), ("0-0 1-1", None, "a"),
             ("0-0 1-1", 2, None), ("1234567890-0 0-0-0 -1-0", 2, "a b"), ("0-0", 1, "a")]
