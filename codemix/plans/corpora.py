@@ -8,6 +8,7 @@ purpose.  All of it is row-local apart from the dictionary counts.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,15 +17,17 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from codemix.functions.arrays import HALF, let
-from codemix.functions.batches import n_words
+from codemix.functions.batches import SLICE_BYTES, SPACES, count_words, in_slices, n_words
 from codemix.functions.digests import md5_words
 from codemix.functions.draw import draw
-from codemix.functions.text import LINE_END, strip, words
+from codemix.functions.text import BLANK_CHARS, LINE_END
 from codemix.operators.lexsub import dictionary_entries
-from codemix.session import dense_order, scratch_path
+from codemix.session import dense_order, files_cleaned, scratch_path
 
 TARGETS = ("xx", "yy", "zz")
 BAD_ONE_IN = 30
+#: Words parted by anything but one space.
+UNEVEN = SPACES[:-1] + "{2}|" + SPACES[:-1].replace(re.escape(" "), "", 1)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,14 +62,20 @@ def stored(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _STORED:
         path = scratch_path(spark, name)
-        build(spark, sf_dir).write.option("parquet.block.size", ROW_GROUP).parquet(path)
+        with files_cleaned(spark):
+            (build(spark, sf_dir).write.option("parquet.block.size", ROW_GROUP).option("compression", "zstd")
+             .option("parquet.compression.codec.zstd.level", "6").parquet(path))
         _STORED[key] = path
     return spark.read.parquet(_STORED[key])
 
 
 def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every non-blank line of every document: ``sent_id, lang, words, n, text``."""
-    return stored(spark, sf_dir, "sentences", _build_sentences)
+    """Every non-blank line of every document: ``sent_id, lang, words, n, text``.
+
+    The words are the parts of the text, so the table does not hold them again.
+    """
+    lines = stored(spark, sf_dir, "sentences", _build_sentences)
+    return lines.select("sent_id", "lang", F.split("text", " ").alias("words"), "n", "text")
 
 
 #: Line numbers of a document; a longer one is an error and no clash of ids.
@@ -78,17 +87,33 @@ def sentence_id(doc_id: Column, pos: Column) -> Column:
     return F.when(fits, doc_id * LINES_PER_DOC + pos + 1)
 
 
+def _line_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Non-blank lines with their position, their words joined by one space and the number of these."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch["text"]), 0).to_numpy(zero_copy_only=False)
+        yield from in_slices(sizes, SLICE_BYTES, lambda lo, hi: _lines(batch.slice(lo, hi - lo)))
+
+
+def _lines(docs: pa.RecordBatch) -> pa.RecordBatch:
+    parts = pc.split_pattern_regex(docs["text"], LINE_END)
+    doc, text = pc.list_parent_indices(parts), pc.utf8_trim(parts.flatten(), characters=BLANK_CHARS)
+    size = pc.fill_null(pc.list_value_length(parts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    pos = pa.array(np.arange(len(text)) - np.repeat(np.cumsum(size) - size, size), pa.int32())
+    some = pc.not_equal(text, "")
+    doc, text, pos = doc.filter(some), text.filter(some), pos.filter(some)
+    uneven = pc.match_substring_regex(text, UNEVEN)
+    if pc.any(uneven).as_py():
+        text = pc.replace_with_mask(text, uneven, pc.replace_substring_regex(text.filter(uneven), SPACES, " "))
+    return pa.RecordBatch.from_arrays(
+        [docs["doc_id"].take(doc), docs["lang"].take(doc), pos, pa.array(count_words(text), pa.int32()), text],
+        names=["doc_id", "lang", "pos", "n", "text"])
+
+
 def _build_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), "doc_id")
-    lines = docs.select("doc_id", "lang", F.posexplode(F.split("text", LINE_END)).alias("pos", "line"))
-    # a line has words if it is not blank; a filter on the words would split every line twice
-    return (
-        lines.filter(strip(F.col("line")) != "")
-        .select(sentence_id(F.col("doc_id"), F.col("pos")).alias("sent_id"), "lang",
-                words(F.col("line")).alias("words"))
-        .withColumn("n", F.size("words"))
-        .withColumn("text", F.array_join("words", " "))
-    )
+    kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
+    lines = docs.mapInArrow(_line_batches, f"doc_id {kinds['doc_id']}, lang {kinds['lang']}, pos int, n int, text string")
+    return lines.select(sentence_id(F.col("doc_id"), F.col("pos")).alias("sent_id"), "lang", "n", "text")
 
 
 # First byte of a draw, below these bounds: lost tokens and the two kinds of extra edges.
@@ -179,8 +204,11 @@ def hashed_by(df: DataFrame, *keys: str) -> DataFrame:
 
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``sent_id, lang_idx, lang, text, alignment`` in long form."""
-    return stored(spark, sf_dir, "candidates", _build_candidates)
+    """``sent_id, lang_idx, lang, text, alignment`` in long form, derived where they are read.
+
+    They are four times the text, and every query exchanges them: a stored table would hold them twice.
+    """
+    return _build_candidates(spark, sf_dir)
 
 
 def _build_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:

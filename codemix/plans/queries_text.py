@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from codemix.functions import text as T
-from codemix.operators import clean, corpus, lexsub, report
+from codemix.operators import blocks, clean, corpus, lexsub, report
 from codemix.plans import corpora as C, oracle as O
 from codemix.plans.registry import query
 from codemix.sources import lexicon as lex_source
@@ -32,7 +32,7 @@ WHERE len({O.words('text')}) > 0 AND least(n / len({O.words('text')}), len({O.wo
   AND text <> src_text""")
 def clean_pairs(spark, d):
     src = C.sentences(spark, d).select("sent_id", F.col("text").alias("src"))
-    pairs = src.join(C.candidates(spark, d).select("sent_id", "lang", F.col("text").alias("tgt")), "sent_id")
+    pairs = blocks.joined(src, C.candidates(spark, d).select("sent_id", "lang", F.col("text").alias("tgt")), "sent_id")
     return clean.clean_pairs(pairs).select("sent_id", "lang")
 
 
@@ -60,7 +60,7 @@ def drop_blank_lines(spark, d):
 def tagged_pairs(spark, d):
     src = C.sentences(spark, d).select("sent_id", F.concat("lang", F.lit("_XX")).alias("src_lang"), F.col("text").alias("src"))
     tgt = C.candidates(spark, d).select("sent_id", F.concat("lang", F.lit("_ZZ")).alias("tgt_lang"), F.col("text").alias("tgt"))
-    return corpus.tag_pairs(src.join(tgt, "sent_id"))
+    return corpus.tag_pairs(blocks.joined(src, tgt, "sent_id"))
 
 
 @query("tag_pairs", f"""WITH {O.CAND}
@@ -128,7 +128,8 @@ def unpaste_pairs(spark, d):
     from codemix.sources.lines import unpaste_lines
 
     src = C.sentences(spark, d).select("sent_id", F.col("text").alias("src"))
-    pasted = src.join(C.candidates(spark, d), "sent_id").select(
+    tgt = C.candidates(spark, d).select("sent_id", "lang", "text")
+    pasted = blocks.joined(src, tgt, "sent_id").select(
         "sent_id", "lang", T.paste(F.col("src"), F.col("text")).alias("text"))
     return unpaste_lines(pasted)
 
@@ -170,13 +171,11 @@ FROM tok t CROSS JOIN (VALUES ('xx'), ('yy'), ('zz')) g(tgt)
 LEFT JOIN entries e ON t.lang = e.src_lang AND e.tgt_lang = g.tgt AND t.w = e.word GROUP BY ALL""")
 def lexicon_lookup(spark, d):
     targets = F.explode(F.array(*[F.lit(t) for t in C.TARGETS])).alias("tgt_lang")
-    tokens = C.hashed_by(C.sentences(spark, d), "sent_id").select(
-        "sent_id", F.col("lang").alias("src_lang"), "words", targets).select(
-        "sent_id", "src_lang", "tgt_lang", F.posexplode("words").alias("i", "word"))
-    found = lexsub.lookup_lexicon(tokens, C.lexicon(spark, d))
-    return found.groupBy("sent_id", F.col("src_lang").alias("lang"), "tgt_lang").agg(
-        F.count(F.lit(1)).alias("n_tokens"), F.count("choices").alias("n_found"),
-        F.coalesce(F.sum(F.element_at("choices", -1)["upto"]), F.lit(0)).alias("n_entries"))
+    tokens = C.sentences(spark, d).select("sent_id", F.col("lang").alias("src_lang"), targets, "words")
+    found = lexsub.lookup_lexicon(tokens, C.lexicon(spark, d), value=F.element_at("choices", -1)["upto"])
+    return found.select("sent_id", "src_lang", "tgt_lang", lexsub.found_sums(F.col("found")).alias("s")).groupBy(
+        "sent_id", F.col("src_lang").alias("lang"), "tgt_lang").agg(
+        F.sum("s.n").alias("n_tokens"), F.sum("s.found").alias("n_found"), F.sum("s.total").alias("n_entries"))
 
 
 def _substitute(spark, d, per):

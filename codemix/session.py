@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 import zipfile
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import ArrayType, BinaryType, DataType, MapType, StringType, StructType
@@ -59,6 +60,21 @@ def small_batches(spark: SparkSession, limit: int = 8 << 20) -> None:
         spark.conf.set(name, str(limit))
 
 
+@contextmanager
+def files_cleaned(spark: SparkSession):
+    """Let Spark remove the shuffle files of the queries run inside as each of them ends.
+
+    Else they stay until the driver's garbage is collected, beside those of the query that follows.
+    """
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder, removed when the application ends."""
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
