@@ -5,9 +5,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from codemix.functions.draw import draw
 from codemix.functions.text import BLANK_CHARS, LINE_END, strip, words
 from codemix.operators import blocks, lexsub, switch
-from codemix.plans import corpora, queries_text
+from codemix.plans import corpora, queries_text, queries_vocab
 
 LEX = "src_lang string, tgt_lang string, word string, translation string"
 
@@ -113,3 +114,23 @@ def test_words_are_looked_up_once_per_chunk(spark, tmp_path, monkeypatch):
                 hit = [v for v in n if v]
                 want.add((k * 10_000_000 + pos, lang, tgt, len(n), len(hit), sum(hit)))
     assert got == want
+
+
+def test_hypotheses_follow_their_draws(spark, monkeypatch):
+    rows = [(None if k == 7 else k * 10_000_001 - 50, "en", " ".join(f"é{j}" for j in range(1 + k % 40))) for k in range(200)]
+    monkeypatch.setattr(corpora, "sentences", lambda *_: spark.createDataFrame(rows, "sent_id bigint, lang string, text string"))
+    monkeypatch.setattr(corpora, "SLICE_BYTES", 100)
+    got = corpora.ref_hyp(spark, "")
+    kept = F.filter(F.split("text", " "), lambda w, i: draw(0, F.col("sent_id"), i, "H") % 8 != 0)
+    want = corpora.sentences().select("sent_id", F.col("lang").alias("grp"), F.col("text").alias("ref"), F.array_join(kept, " ").alias("hyp"))
+    assert "md5(" not in plan(got) and got.dtypes == want.dtypes and texts(got) == texts(want)
+
+
+def test_both_sides_of_decoded_ids_travel_in_blocks(spark, tmp_path):
+    docs = [(k, "a b a z\nc" if k % 2 else f"b  b w{k}", "en") for k in range(40)]
+    spark.createDataFrame(docs, "doc_id bigint, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    df = queries_vocab.decode_ids(spark, str(tmp_path))
+    assert "Join" not in plan(df)
+    got = {r.ex_id: (r.ref, r.hyp) for r in df.collect()}
+    assert len(got) == 60 and got[10_000_001] == ("a b a z",) * 2 and got[20_000_001] == tuple(
+        f"b b UNKNOWNTOKENIN{s}" for s in ("REF", "HYP"))
